@@ -47,6 +47,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import classes_of
+
+    return classes_of(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing, shared
 
@@ -62,6 +68,21 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.c AS component_id, s.doc_id = c.c AS kept FROM s JOIN c ON s.doc_id = c.x
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -88,7 +109,8 @@ FROM p
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_media_columns": op9_media_columns,
 }
-SQL: dict[str, str] = {"op8_source_mix": OP8_SQL}
+SQL: dict[str, str] = {"op7_minhash_dedup": OP7_SQL, "op8_source_mix": OP8_SQL}
