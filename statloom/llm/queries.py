@@ -68,6 +68,12 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -83,6 +89,18 @@ c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.c AS component_id, s.doc_id = c.c AS kept FROM s JOIN c ON s.doc_id = c.x
 """
 
+OP10_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+k AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM p),
+d AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM k JOIN d USING (k)),
+l AS (SELECT r, list(j) AS j, count(*) AS n FROM c GROUP BY r)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN l.j IS NULL THEN w.w ELSE list_filter(w.w, lambda x, i: NOT list_contains(l.j, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN l ON w.r = l.r
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -112,5 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_media_columns": op9_media_columns,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-SQL: dict[str, str] = {"op7_minhash_dedup": OP7_SQL, "op8_source_mix": OP8_SQL}
+SQL: dict[str, str] = {"op10_substring_dedup": OP10_SQL, "op7_minhash_dedup": OP7_SQL, "op8_source_mix": OP8_SQL}

@@ -25,6 +25,9 @@ class Words(NamedTuple):
     codes: np.ndarray  # position of each word in `distinct`
     offsets: np.ndarray  # documents' first words, and the end
     distinct: pa.BinaryArray
+    starts: np.ndarray  # each word's first byte in `data`
+    stops: np.ndarray
+    data: np.ndarray  # all bytes of the texts
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +74,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     bounds = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(stops - starts, out=bounds[1:])
     codes, distinct = _encoded(data[~gap[:n]], bounds)
-    return Words(codes, offsets, distinct)
+    return Words(codes, offsets, distinct, starts, stops, data)
 
 
 def _encoded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array]:
