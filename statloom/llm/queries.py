@@ -38,6 +38,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), pieces_path())
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_lm
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = ngram_lm.train(docs.where(~in_fold("doc_id", 7, 2)).select("text"))
+    held_out, train_tokens = in_fold("doc_id", 7, 2).alias("held_out"), F.lit(model.stats["tokens"]).cast("long").alias("train_tokens")
+    return ngram_lm.score_documents(docs, model).select("doc_id", held_out, "n_tokens", "n_known", train_tokens, "base_score", "score")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -126,6 +135,7 @@ FROM p
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_lm_score": op4_lm_score,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_source_mix": op8_source_mix,
