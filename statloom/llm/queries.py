@@ -38,6 +38,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), pieces_path())
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan as scan
+
+    found = scan.with_spans(table(spark, sf_dir, "documents", "doc_id", "text"), scan.train(spark))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{scan.KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(scan.joined(F.col("base")), 256).alias("base_sha256"), scan.joined(F.col("spans")).alias("spans"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_lm
 
@@ -135,6 +143,7 @@ FROM p
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_secret_scan": op3_secret_scan,
     "op4_lm_score": op4_lm_score,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_minhash_dedup": op7_minhash_dedup,
