@@ -26,6 +26,12 @@ def in_fold(key: str, folds: int, fold: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op2_columns(docs: DataFrame, path: str) -> DataFrame:
     from .sentencepiece_codec import encode_documents
 
@@ -64,6 +70,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda key: key % 20 == 0)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import classes_of
 
@@ -142,10 +154,12 @@ FROM p
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
     "op4_lm_score": op4_lm_score,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_vector_search": op6_vector_search,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_media_columns": op9_media_columns,
