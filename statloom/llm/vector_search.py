@@ -4,8 +4,9 @@ Equal vectors are one (with their k + 1 least ids: no answer can need more), so
 vector that a third of all rows share is one candidate. Vectors are assigned to the
 nearest of a bounded number of centroids, fitted on a bounded sample; every row is
 indexed. A query is sent to its best lists; the number of lists is what finds AIM of
-the true neighbours of sample queries. Lists and their queries are dealt in tiles of a
-bounded number of rows and queries, however large a list is.
+the true neighbours of sample queries. Small lists are put together in shards, so that a
+query travels once to each; large lists are cut. Shards and their queries are dealt in
+tiles of a bounded number of rows and queries, however large a list is.
 
 In a tile, vectors are rotated and read in column blocks. After each block a
 candidate is dropped if its partial inner product, plus Z standard deviations of what
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 SAMPLE, LISTS, AIM, Z = 8192, 1024, 0.985, 4.0
-BLOCK, QUERIES, COLUMNS, STEP = 8192, 1024, 16, 512
+BLOCK, QUERIES, COLUMNS, STEP = 4096, 4096, 16, 512
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -66,9 +67,15 @@ def rotation(size: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query, the rows that may be among its k of largest inner product. Both in double precision."""
+def scan(queries: np.ndarray, rows: np.ndarray, k: int, lists: np.ndarray | None = None, probed: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each query, the rows that may be among its k of largest inner product in the lists it probes.
+
+    lists: the list of each row, sorted, from 0; probed: whether a query (first axis) probes a list. The
+    k-th best that a query has from one list is where the next begins.
+    """
     size = rows.shape[1]
+    lists = np.zeros(len(rows), np.int64) if lists is None else lists
+    probed = np.ones((len(queries), int(lists[-1]) + 1), bool) if probed is None else probed
     turn = rotation(size)
     q, x = queries @ turn, rows @ turn
     cuts = [*range(COLUMNS, size, COLUMNS), size]
@@ -76,31 +83,39 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
     x_rest = {d: np.linalg.norm(x[:, d:], axis=1) for d in cuts}
     best = np.full((len(q), k), -np.inf)
     found_q, found_x, found_s = [], [], []
-    for at in range(0, len(x), STEP):
-        here = slice(at, at + STEP)
-        least = best[:, 0]
-        if at == 0 or size <= COLUMNS:  # a first block, so that there is a k-th best
-            iq, ix = np.nonzero(np.ones((len(q), len(x[here])), bool))
-            value = (q @ x[here].T).ravel()
-        else:
-            part = q[:, : cuts[0]] @ x[here, : cuts[0]].T
-            spread = np.outer(q_rest[cuts[0]], x_rest[cuts[0]][here]) / (size - cuts[0]) ** 0.5
-            iq, ix = np.nonzero(part + Z * spread >= least[:, None])
-            value = part[iq, ix]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                value = value + np.einsum("ij,ij->i", q[iq, a:b], x[at + ix, a:b])
-                rest = q_rest[b][iq] * x_rest[b][at + ix] / max(1, size - b) ** 0.5
-                stay = value + Z * rest + 1e-9 * (1 + np.abs(value)) >= least[iq]
-                iq, ix, value = iq[stay], ix[stay], value[stay]
-        found_q.append(iq), found_x.append(at + ix), found_s.append(value)
-        order = np.lexsort((-value, iq))
-        iq, value = iq[order], value[order]
-        starts = np.searchsorted(iq, np.arange(len(q)))
-        place = np.arange(len(iq)) - starts[iq]
-        top = place < k
-        new = np.full((len(q), k), -np.inf)
-        new[iq[top], place[top]] = value[top]
-        best = np.sort(np.concatenate([best, new], 1), axis=1)[:, -k:]
+    bounds = np.searchsorted(lists, np.arange(probed.shape[1] + 1))
+    for one in range(probed.shape[1]):
+        own = np.flatnonzero(probed[:, one])
+        for at in range(bounds[one], bounds[one + 1], STEP) if len(own) else ():
+            here = slice(at, min(at + STEP, bounds[one + 1]))
+            least = best[own, 0]
+            part = q[own, : cuts[0]] @ x[here, : cuts[0]].T
+            go = part + Z / max(1, size - cuts[0]) ** 0.5 * np.outer(q_rest[cuts[0]][own], x_rest[cuts[0]][here]) >= least[:, None]
+            if go.mean() > 0.25:  # too many to pick out: the other columns at once
+                part += q[own, cuts[0] :] @ x[here, cuts[0] :].T
+                iq, ix = np.nonzero(part + 1e-9 * (1 + np.abs(part)) >= least[:, None])
+                value = part[iq, ix]
+            else:
+                iq, ix = np.nonzero(go)
+                value = part[iq, ix]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    value = value + np.einsum("ij,ij->i", q[own[iq], a:b], x[at + ix, a:b])
+                    rest = q_rest[b][own[iq]] * x_rest[b][at + ix] / max(1, size - b) ** 0.5
+                    stay = value + Z * rest + 1e-9 * (1 + np.abs(value)) >= least[iq]
+                    iq, ix, value = iq[stay], ix[stay], value[stay]
+            if not len(iq):
+                continue
+            found_q.append(own[iq]), found_x.append(at + ix), found_s.append(value)
+            order = np.lexsort((-value, iq))
+            iq, value = iq[order], value[order]
+            hit, starts = np.unique(iq, return_index=True)
+            place = np.arange(len(iq)) - np.repeat(starts, np.diff(np.r_[starts, len(iq)]))
+            top = place < k
+            new = np.full((len(hit), k), -np.inf)
+            new[np.searchsorted(hit, iq[top]), place[top]] = value[top]
+            best[own[hit]] = np.sort(np.concatenate([best[own[hit]], new], 1), axis=1)[:, -k:]
+    if not found_q:
+        return [np.zeros(0, np.int64)] * len(q)
     iq, ix, value = np.concatenate(found_q), np.concatenate(found_x), np.concatenate(found_s)
     stay = value + 1e-9 * (1 + np.abs(value)) >= best[iq, 0]
     iq, ix = iq[stay], ix[stay]
@@ -111,13 +126,18 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
 def _tile(k: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         asked = rows[rows["asks"]].drop_duplicates("id").sort_values("id")
-        held = rows[~rows["asks"]].sort_values("id")
+        held = rows[~rows["asks"]]
         if not len(asked) or not len(held):
             return pd.DataFrame({"qid": [], "near": []}).astype({"qid": "int64"})
+        own = np.array([x[0] for x in held["lists"]])
+        order = np.lexsort((held["id"].to_numpy(), own))
+        held = held.iloc[order]
+        names, own = np.unique(own[order], return_inverse=True)
+        probed = np.stack([np.isin(names, x) for x in asked["lists"]])
         q, x = np.stack(asked["embedding"]).astype(np.float64), np.stack(held["embedding"]).astype(np.float64)
         ids = held["id"].to_numpy()
         out = []
-        for i, near in enumerate(scan(q, x, k)):
+        for i, near in enumerate(scan(q, x, k, own, probed)):
             score = (x[near] * q[i]).sum(1)
             order = np.lexsort((ids[near], -score))[:k]
             out.append([{"neg": -float(s), "id": int(v)} for s, v in zip(score[order], ids[near][order], strict=True)])
@@ -126,8 +146,20 @@ def _tile(k: int):
     return run
 
 
-def _lists(centers: np.ndarray, probes: int, sizes: list[int] | None, most: int):
-    """Each vector's list, or with sizes its lists: the first `probes`, or as many as hold `most` rows."""
+def shards(sizes: list[int], most: int) -> list[int]:
+    """A shard for each list, in order: lists are put together up to `most` rows; a larger one is alone."""
+    out, shard, held = [], 0, 0
+    for c in sizes:
+        if held and held + c > most:
+            shard, held = shard + 1, 0
+        out.append(shard)
+        held += c
+    return out
+
+
+def _lists(centers: np.ndarray, probes: int, sizes: list[int] | None, most: int, shard: list[int] | None = None):
+    """Each vector with its list; or with sizes, a row for each shard that holds some of its lists: the first
+    `probes`, or as many as hold `most` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,13 +168,19 @@ def _lists(centers: np.ndarray, probes: int, sizes: list[int] | None, most: int)
             near = x @ centers.T
             if sizes is None:
                 rows, lists = np.arange(len(x)), near.argmax(1)
+                of = np.zeros(len(x), np.int64)
             else:
                 order = np.argsort(-near, axis=1, kind="stable")
                 before = np.cumsum(np.array(sizes)[order], axis=1) - np.array(sizes)[order]
                 rows, place = np.nonzero((np.arange(order.shape[1]) < probes) | (before < most))
                 lists = order[rows, place]
-            got = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([got["id"], got["embedding"], pa.array(lists, pa.int32())], names=["id", "embedding", "list"])
+                of = np.array(shard)[lists]
+                order = np.lexsort((lists, of, rows))
+                rows, lists, of = rows[order], lists[order], of[order]
+            first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (of[1:] != of[:-1])]) if len(rows) else rows
+            held = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)], pa.int32()), pa.array(lists, pa.int32()))
+            got = batch.take(pa.array(rows[first]))
+            yield pa.RecordBatch.from_arrays([got["id"], got["embedding"], held, pa.array(of[first], pa.int32())], names=["id", "embedding", "lists", "shard"])
 
     return run
 
@@ -172,24 +210,27 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     size = int(lengths.mode().max())
     single, questions = single.where(F.size("embedding") == size), questions.where(F.size("embedding") == size)
     centers, probes = fit(np.stack(sample[lengths == size]).astype(np.float64), single.count(), k + 1)
-    schema = f"id long, embedding {kind}, list int"
-    held = shared.saved(single.select("id", "embedding").mapInArrow(_lists(centers, 1, None, 0), schema), f"{at}/lists")
-    counts = dict(held.groupBy("list").count().collect())  # one row for each centroid
+    schema = f"id long, embedding {kind}, lists array<int>, shard int"
+    held = shared.saved(single.select("id", "embedding").mapInArrow(_lists(centers, 1, None, 0), schema).drop("shard"), f"{at}/lists")
+    counts = dict(held.groupBy(F.element_at("lists", 1)).count().collect())  # one row for each centroid
     sizes = [counts.get(i, 0) for i in range(len(centers))]
-    probed = shared.saved(questions.select("id", "embedding").mapInArrow(_lists(centers, probes, sizes, 2 * (k + 1)), schema), f"{at}/probes")
-    asks = dict(probed.groupBy("list").count().collect())
+    shard = shards(sizes, BLOCK)
+    of = [sum(c for c, s in zip(sizes, shard, strict=True) if s == i) for i in range(shard[-1] + 1)]
+    probed = shared.saved(questions.select("id", "embedding").mapInArrow(_lists(centers, probes, sizes, 2 * (k + 1), shard), schema), f"{at}/probes")
+    asks = dict(probed.groupBy("shard").count().collect())
 
     def parts(of: dict[int, int], most: int):
         many = {i: -(-c // most) for i, c in of.items() if c > most}  # at most one for each centroid
         table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair]) if many else None
-        return F.lit(1) if table is None else F.coalesce(table[F.col("list")], F.lit(1))
+        return F.lit(1) if table is None else F.coalesce(table[F.col("shard")], F.lit(1))
 
-    rows, chunks = parts(counts, BLOCK), parts(asks, QUERIES)
+    rows, chunks = parts(dict(enumerate(of)), BLOCK), parts(asks, QUERIES)
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    held = held.join(probed.select("list").distinct(), "list", "left_semi").withColumn("asks", F.lit(False)).withColumn("block", part(rows)).withColumn("chunk", every(chunks))
+    held = held.withColumn("shard", F.array(*map(F.lit, shard))[F.element_at("lists", 1)])
+    held = held.join(probed.select("shard").distinct(), "shard", "left_semi").withColumn("asks", F.lit(False)).withColumn("block", part(rows)).withColumn("chunk", every(chunks))
     probed = probed.withColumn("asks", F.lit(True)).withColumn("chunk", part(chunks)).withColumn("block", every(rows))
-    tiles = held.unionByName(probed).groupBy("list", "block", "chunk").applyInPandas(_tile(k + 1), "qid long, near array<struct<neg:double,id:long>>")
+    tiles = held.unionByName(probed).groupBy("shard", "block", "chunk").applyInPandas(_tile(k + 1), "qid long, near array<struct<neg:double,id:long>>")
     best = tiles.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     one = best.select("qid", F.explode("near").alias("n")).select("qid", "n.neg", F.col("n.id").alias("id")).join(single.select("id", "ids"), "id")
     named = one.select("qid", F.transform("ids", lambda v: F.struct(F.col("neg"), v.alias("id"))).alias("all"))
