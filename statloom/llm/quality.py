@@ -97,12 +97,20 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key & ((1 << BITS) - 1)).astype(np.int32), (count / np.repeat(total, np.diff(bounds))).astype(np.float32), bounds
 
 
+def _in_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as features(), with working arrays of one slice of texts at a time."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    parts = [features(x["text"]) for x in slices([batch], "text", 1 << 19)]
+    sizes = np.concatenate([np.diff(x[2]) for x in parts])
+    return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), np.r_[0, np.cumsum(sizes)]
+
+
 def train(texts: pa.Array, labels: np.ndarray, epochs: int = 3, rate: float = 1.5, batch: int = 16, seed: int = 7) -> Model:
     """Fits vectors and softmax layer by stochastic gradient descent, its rate falling to zero."""
     n = len(labels)
     if not n or labels.min() == labels.max():
         return Model(np.where(np.arange(1 << BITS) == END, 0.0 if not n else np.log(n + 1.0) * (2 * labels[0] - 1), 0.0))
-    rows, share, bounds = features(texts)
+    rows, share, bounds = _in_parts(texts)
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / SIZE, 1 / SIZE, (1 << BITS, SIZE)).astype(np.float32)
     layer = np.zeros((SIZE, 2), np.float32)
