@@ -163,8 +163,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(some), "key").orderBy(order, "key", "label", "text").limit(train_rows)
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).over(Window.orderBy(order, "key", "label", "text").rowsBetween(Window.unboundedPreceding, 0))
-    table = rows.withColumn("size", size).where(F.col("size") <= train_bytes).select("text", "label").toArrow()
-    return train(table["text"].combine_chunks(), table["label"].to_numpy().astype(np.int64))
+    sample = rows.withColumn("size", size).where(F.col("size") <= train_bytes).select("text", "label")
+    # the sample is one partition: its features and the table being trained stay on an executor
+    row = sample.mapInArrow(_train_task, "weights binary").first()
+    return Model(np.frombuffer(row[0], np.float64)) if row else train(pa.array([], pa.string()), np.zeros(0, np.int64))
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if held:
+        table = pa.Table.from_batches(held)
+        model = train(table["text"].combine_chunks(), table["label"].to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary())], names=["weights"])
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
