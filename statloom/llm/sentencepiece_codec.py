@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .textbatch import flat, slices, spans
 
 NO_RANK = np.int32(2**31 - 1)
+SLICE = 2 << 20
 UNKNOWN = 1 << 22  # a code point without a piece is the symbol UNKNOWN + code point
 
 
@@ -217,7 +218,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep_ids: b
     codec = Codec(path)  # bounded by the vocabulary, so the task's closure carries it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             ids, ends = codec.encode(batch[text])
             data, bounds = codec.decode(ids, ends)
             raw, plain = memoryview(ids.astype("<u4")).cast("B"), memoryview(data)
