@@ -179,27 +179,46 @@ def _verify(at: str, percent: int):
     return run
 
 
-def _tile(at: str, percent: int):
+def _links(store: Sets, tile: pd.DataFrame, percent: int, floor: float) -> list[tuple[int, int]]:
+    """Confirmed links that join a tile's components: no pair that can join two is left out."""
+    tile = tile.sort_values(["rep", "part"])
+    rep, n, part, comp, file, place = (tile[c].to_numpy() for c in ("rep", "n", "part", "comp", "file", "place"))
+    same = tile["t0"].iloc[0] == tile["t1"].iloc[0]
+    low = np.stack([store.low(f, p) for f, p in zip(file, place, strict=True)])
+    group = comp.copy()
+    links = []
+    for i in range(len(rep) - 1):
+        rest = slice(i + 1, None)
+        fit = (group[rest] != group[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+        if not same:
+            fit &= part[rest] != part[i]
+        fit = i + 1 + np.flatnonzero(fit)
+        for j in fit[(low[fit] == low[i]).mean(1) >= floor] if len(fit) else ():
+            if group[i] != group[j] and alike(store.of(file[i], place[i], n[i]), store.of(file[j], place[j], n[j]), percent):
+                links.append((rep[i], rep[j]))
+                group[group == group[j]] = group[i]
+    return links
+
+
+def _tiles(at: str, percent: int):
+    """Rows come sorted by tile; a tile is whole before it's read, and bounded by TILE classes."""
     floor = least_agreement(percent)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        store = Sets(at)
-        rows = rows.sort_values(["rep", "part"], ignore_index=True)
-        rep, n, part, comp, file, place = (rows[c].to_numpy() for c in ("rep", "n", "part", "comp", "file", "place"))
-        same = rows["t0"].iloc[0] == rows["t1"].iloc[0]
-        low = np.stack([store.low(f, p) for f, p in zip(file, place, strict=True)])
-        _, group = np.unique(comp, return_inverse=True)
-        links = []
-        for i in range(len(rep) - 1):
-            rest = slice(i + 1, None)
-            fit = (group[rest] != group[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-            if not same:
-                fit &= part[rest] != part[i]
-            for j in i + 1 + np.flatnonzero(fit):
-                if group[i] != group[j] and (low[i] == low[j]).mean() >= floor and alike(store.of(file[i], place[i], n[i]), store.of(file[j], place[j], n[j]), percent):
-                    links.append((rep[i], rep[j]))
-                    group[group == group[j]] = group[i]
-        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, held = Sets(at), pd.DataFrame()
+
+        def whole(rows: pd.DataFrame, cuts: np.ndarray) -> pa.RecordBatch:
+            found = [x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in _links(store, rows.iloc[a:b], percent, floor)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            rows = pd.concat([held, batch.to_pandas()], ignore_index=True)
+            key = rows[["band", "t0", "t1"]].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+            yield whole(rows, cuts)
+            held = rows.iloc[cuts[-1] :] if len(cuts) else rows
+        if len(held):
+            yield whole(held, np.array([0, len(held)]))
 
     return run
 
@@ -233,7 +252,8 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     rest = open_.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rest = rest.withColumn("t0", F.least("part", "other")).withColumn("t1", F.greatest("part", "other")).join(index, "rep").select("band", "t0", "t1", "part", "rep", "comp", "n", "file", "place")
-    links = rest.groupBy("band", "t0", "t1").applyInPandas(_tile(f"{at}/sets", percent), "u long, v long")
+    rest = rest.repartition(4 * _parts(spark), "band", "t0", "t1").sortWithinPartitions("band", "t0", "t1")
+    links = rest.mapInArrow(_tiles(f"{at}/sets", percent), "u long, v long")
     links = shared.saved(links, f"{at}/links")
     if links.limit(1).count():
         found = components(found.unionByName(links))
