@@ -1,0 +1 @@
+"""A Spark-first engine for statistics over large Parquet tables."""

@@ -1,0 +1 @@
+"""The statistics engine has no event-stream operators: its inputs are bounded tables, and every plan is a batch DataFrame."""
