@@ -8,6 +8,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -128,26 +129,26 @@ def _each(f, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if any(x is None or x != x for x in r) else f(*map(float, r)) for r in rows], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _each(f_upper, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return _each(chi2_upper, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mann_whitney_pvalue(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     return _each(lambda a, b, c, d: mann_whitney_p(a, int(b), int(c), d), u, n1, n2, ties)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def shapiro_pvalue(w: pd.Series, n: pd.Series) -> pd.Series:
     return _each(lambda a, b: shapiro_p(a, int(b)), w, n)
