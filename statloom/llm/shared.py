@@ -35,7 +35,7 @@ def put(uri: str, parts: Iterable[bytes | np.ndarray]) -> None:
         new = f"{path}.{uuid.uuid4().hex}"
         with open(new, "wb") as f:
             for part in parts:
-                f.write(memoryview(np.ascontiguousarray(part)).cast("B") if isinstance(part, np.ndarray) else part)
+                f.write(np.ascontiguousarray(part).reshape(-1).view(np.uint8).data if isinstance(part, np.ndarray) else part)
         os.replace(new, path)
         return
     from pyarrow import fs

@@ -1,0 +1,401 @@
+"""Each operator against a plain version on small tables with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import html as entities
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def prose(rng, n, size=400):
+    return " ".join(f"w{int(rng.paretovariate(0.7)) % size}" for _ in range(n))
+
+
+def documents(spark):
+    rng = random.Random(1)
+    base = [prose(rng, k) for k in (3, 30, 60, 200, 5000)]
+    shared = prose(rng, 60)
+    texts = [None, "", "  \n ", "one", *base, base[2], base[3] + " tail", base[3].upper(), base[1] + "\t" + shared + "\né", "x " + shared + " y", "日本語 ﬁ ▁ \x00 😀", "token = abcdef0123456789"]
+    rows = [(i, t, "en", [None, "b", "a", "B"][i % 4], len(t) if t else 0) for i, t in enumerate(texts)]
+    rows += [rows[8], (None, base[1], "en", "b", 3)]
+    return spark.createDataFrame(rows, SCHEMA), rows
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_codec(spark):
+    import sentencepiece
+
+    from statloom.llm.queries import pieces_path
+    from statloom.llm.sentencepiece_codec import encode_documents
+
+    df, rows = documents(spark)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces_path())
+    got = sorted(encode_documents(df, pieces_path(), keep_ids=True).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    for r, (_, t, *_) in zip(got, sorted(rows, key=lambda r: (r[0] is None, r[0])), strict=True):
+        ids = model.encode(t or "", add_bos=True, add_eos=True)
+        assert r["token_ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+    assert encode_documents(empty(spark), pieces_path()).count() == 0
+    with pytest.raises(ValueError):
+        encode_documents(df.withColumn("n_tokens", F.lit(1)), pieces_path())
+
+
+def test_codec_random_strings():
+    import sentencepiece
+
+    from statloom.llm.queries import pieces_path
+    from statloom.llm.sentencepiece_codec import Codec
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aabbc  theing\n.éß▁　😀") for _ in range(rng.randrange(80))) for _ in range(300)]
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=pieces_path()), Codec(pieces_path())
+    ids, ends = codec.encode(pa.array(texts))
+    data, bounds = codec.decode(ids, ends)
+    for i, t in enumerate(texts):
+        want = model.encode(t, add_bos=True, add_eos=True)
+        assert ids[ends[i] : ends[i + 1]].tolist() == want and data[bounds[i] : bounds[i + 1]].tobytes().decode() == model.decode(want)
+
+
+def test_media(spark):
+    from statloom.llm.iso_media import media_columns, payload_of, read_container, walk
+
+    df, rows = documents(spark)
+    for r in media_columns(df, keep_media=True).collect():
+        text = next(t for i, t, *_ in rows if i == r["doc_id"]) or ""
+        payload = text.encode() or b" " * 192
+        payload = payload.ljust(-(-len(payload) // 192) * 192)
+        track = read_container(r["media"])[0]
+        assert payload_of(r["media"], track) == payload and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["n_bytes"] == len(text.encode()) and r["payload_bytes"] == len(payload) == track.duration
+        assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["feature"].startswith("codec=raw ")
+        assert [k for k, *_ in walk(memoryview(bytes(r["media"])))] == [b"ftyp", b"moov", b"mdat"]
+    assert media_columns(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        read_container(b"\0\0\0\x20ftyp")
+    with pytest.raises(ValueError):
+        read_container(b"\0\0\0\x08free")
+
+
+def test_secret_spans(spark):
+    from statloom.llm import secret_scan as scan
+
+    key = "Zx9Kq2Lm8Vt4Rb7Wc1Yd5Hf3"
+    texts = [f"Password: {'a' * 8} token=token:abcdefghij", "API_KEY='abc' apikey = \"Abc12345", f"AKIA{'Z' * 12} AKIAAKIA{'Q' * 12} AKIA12", f"{'0af3' * 8} {'ABCDEF' * 9}", f"é {key} internationalizationHandlerFactory", None, "", "secret=" * 300 + "ab12cd34"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = scan.train(spark)
+    got = {r["doc_id"]: r for r in scan.with_spans(df, model).collect()}
+    forms = (re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+"))
+    for i, t in enumerate(texts):
+        want = sorted((m.start(), k, m.end()) for k, f in enumerate(forms) for m in f.finditer(t or "") if len(m[1] if k == 0 else m[0]) >= (8, 16, 32)[k])
+        assert [(s["start"], s["kind"], s["end"]) for s in got[i]["base"]] == want
+    assert [(s["kind"], s["s"]) for s in got[4]["spans"]] == [(3, key)]
+    clean = {r["doc_id"]: r["text"] for r in scan.redacted(df).collect()}
+    assert clean[4] == "é [SECRET] internationalizationHandlerFactory" and clean[5] is None and clean[6] == "" and "0af3" not in clean[3]
+    assert scan.with_spans(empty(spark), model).count() == 0
+    with pytest.raises(ValueError):
+        scan.with_spans(df.withColumn("spans", F.lit(1)), model)
+
+
+def test_markov_models(spark):
+    from statloom.llm import secret_scan as scan
+
+    model = scan.train(spark)
+    rng = random.Random(9)
+    randoms = ["".join(rng.choice(scan.ALPHABET[:62]) for _ in range(32)) for _ in range(200)]
+    names = ["_".join(rng.sample("river mountain calendar invoice parser network weather account payment holiday".split(), 3)) for _ in range(200)]
+    df = spark.createDataFrame([(1, x) for x in randoms] + [(0, x) for x in names], "y int, s string").withColumn("r", scan.likelihood_ratio(F.col("s"), model) >= scan.LEAST)
+    assert df.where("y = 1 AND r").count() >= 198 and df.where("y = 0 AND r").count() <= 2
+
+
+def test_language_model(spark):
+    from statloom.llm import ngram_lm
+
+    df, rows = documents(spark)
+    train = [t for i, t, *_ in rows if i is not None and i % 3]
+    model = ngram_lm.train(df.where("doc_id % 3 != 0").select("text"))
+    tokens = lambda t: [*WORD.findall((t or "").translate(LOWER)), None]
+    count, pairs = Counter(), Counter()
+    for t in train:
+        before = 0
+        for w in tokens(t):
+            count[w] += 1
+            pairs[before, w] += 1
+            before = w
+    n, v = sum(count.values()), len(count)
+    own = lambda c: ngram_lm.discounts(*(sum(x == k for x in c) for k in (1, 2, 3, 4)))
+    contexts = Counter(w for _, w in pairs)
+    d2, d1, total = own(pairs.values()), own(contexts.values()), sum(contexts.values())
+    spare = sum(d1[min(c, 3)] for c in contexts.values()) / total
+    for r in ngram_lm.score_documents(df, model).collect():
+        t = tokens(next(t for i, t, *_ in rows if i == r["doc_id"]))
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
+        score, before = 0.0, 0
+        for w in t:
+            p = (contexts[w] - d1[min(contexts[w], 3)]) / total + spare / (v + 1)
+            follow = [c for (u, _), c in pairs.items() if u == before]
+            if follow:
+                p = (pairs[before, w] - d2[min(pairs[before, w], 3)]) / sum(follow) + sum(d2[min(c, 3)] for c in follow) / sum(follow) * p
+            score += math.log10(p)
+            before = w
+        assert (r["n_tokens"], r["n_known"]) == (len(t), sum(count[w] > 0 for w in t))
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
+    none = ngram_lm.train(empty(spark).select("text"))
+    assert all(r["score"] == 0 for r in ngram_lm.score_documents(df, none).collect())
+    assert ngram_lm.score_documents(empty(spark), none).count() == 0
+
+
+def test_quality(spark):
+    from statloom.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = quality.fit(docs, labels.where(fold != 1), train_rows=2500)
+    got = quality.score_documents(docs, model).join(labels.where(fold == 1), "doc_id")
+    n, right, clean_lost = got.agg(F.count(F.lit(1)), F.sum(((F.col("score") >= 0.5) == (F.col("quality") == 1)).cast("int")), F.sum(((F.col("score") < 0.5) & (F.col("quality") == 1)).cast("int"))).first()
+    assert right / n > 0.97 and clean_lost / n < 0.01
+    df, rows = documents(spark)
+    scores = [r["score"] for r in quality.score_documents(df, model).collect()]
+    assert len(scores) == len(rows) and all(0 <= s <= 1 for s in scores)
+    assert quality.score_documents(empty(spark), model).count() == 0
+    blank = quality.fit(empty(spark), labels)
+    assert {r["score"] for r in quality.score_documents(df, blank).collect()} == {0.5}
+    with pytest.raises(ValueError):
+        quality.score_documents(df.withColumn("score", F.lit(1)), model)
+
+
+def vectors(rng, n, size=16):
+    x = rng.normal(size=(n, size)).astype(np.float32)
+    x[n // 2 : n // 2 + n // 3] = x[0]  # a third are equal
+    return x
+
+
+def test_vector_search(spark):
+    from statloom.llm.vector_search import nearest
+
+    rng = np.random.default_rng(6)
+    x = vectors(rng, 600)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000, None, 1), (1020, [0.0] * 16, 1), (1040, [float("nan")] * 16, 1), (1060, [1.0, None], 1), (0, x[0].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = {}
+    for r in nearest(df, lambda k: k % 20 == 0).distinct().collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == set(range(0, 600, 20))
+    hits, wide = 0, x.astype(float)
+    for q, near in got.items():
+        score = (wide * wide[q]).sum(1)
+        score[q] = -np.inf
+        want = np.lexsort((np.arange(600), -score))[:20]
+        ids = [near[k][0] for k in range(1, 21)]
+        hits += len(set(ids) & set(want.tolist()))
+        assert all(near[k][1] == pytest.approx(score[near[k][0]], abs=1e-12) for k in near) and q not in ids
+        assert [near[k][1] for k in range(1, 21)] == sorted((near[k][1] for k in near), reverse=True)
+    assert hits >= 0.9 * 20 * len(got)
+    few = nearest(df.where("vec_id < 5"), lambda k: k % 20 == 0).collect()
+    assert len({r["vec_id"] for r in few}) == 4
+    assert nearest(df.where("vec_id > 1000"), lambda k: k % 20 == 0).count() == 0
+
+
+def test_scan_drops_nothing_that_counts():
+    from statloom.llm.vector_search import scan
+
+    rng = np.random.default_rng(7)
+    q, x = rng.normal(size=(7, 40)), rng.normal(size=(3000, 40))
+    lists = np.sort(rng.integers(0, 5, 3000))
+    probed = rng.random((7, 5)) < 0.6
+    for i, near in enumerate(scan(q, x, 10, lists, probed)):
+        own = np.flatnonzero(probed[i][lists])
+        want = own[np.argsort(-(x[own] @ q[i]))[:10]]
+        assert set(want) <= set(near)
+
+
+def sets_of(rows):
+    out = []
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        out.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    return out
+
+
+def components_of(rows, percent):
+    sets = sets_of(rows)
+    group = list(range(len(sets)))
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (i, _), g in zip(sets, group, strict=True):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    return [(i, len(s), least.get(g)) for (i, s), g in zip(sets, group, strict=True)]
+
+
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_near_duplicates(spark, monkeypatch, tile):
+    from statloom.llm import minhash_dedup
+
+    monkeypatch.setattr(minhash_dedup, "TILE", tile)
+    _, rows = documents(spark)
+    rng, rows = random.Random(4), list(rows)
+    for b in range(3):  # chains: each text near the one before, the ends far apart
+        words = prose(rng, 120, 10**6).split()
+        for k in range(12):
+            words[k * 9] = f"new{b}_{k}"
+            rows.append((100 + 20 * b + k, " ".join(words), "en", "a", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = minhash_dedup.classes_of(df).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(components_of(rows, 85), key=str)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+    if tile == 4:
+        return
+    kept = minhash_dedup.deduplicated(df, percent=85)
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    want = {i for i, _, c in components_of(rows, 85) if i is not None and i == c}
+    assert sorted(i for i in ids if i is not None) == sorted(want)
+    assert minhash_dedup.classes_of(empty(spark)).count() == 0
+
+
+def test_components(spark):
+    from statloom.llm.components import components
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(1, 1)]
+    got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    group = {}
+    find = lambda x: x if group.setdefault(x, x) == x else find(group[x])
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        group[b] = a
+    assert got == {x: find(x) for x in group if find(x) != x}
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_mix(spark):
+    from statloom.llm import mixing
+
+    df, rows = documents(spark)
+    got = mixing.mix(df, block_tokens=64).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, dict(weight), 1.5 * sum(sizes.values())
+    while free:
+        level = left / sum(free.values())
+        over = [s for s, w in free.items() if level * w > 2 * sizes[s]]
+        if not over:
+            target |= {s: level * w for s, w in free.items()}
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+            del free[s]
+    taken = Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == sizes[r["source"]] and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    rows_out = mixing.mixed_documents(df, block_tokens=64)
+    assert rows_out.columns == df.columns and sum(len(WORD.findall(r["text"])) for r in rows_out.collect()) == sum(taken.values())
+    assert mixing.mix(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(df.withColumn("taken", F.lit(1)))
+
+
+def test_schedule_is_even(spark):
+    from statloom.llm.mixing import schedule
+
+    targets = spark.createDataFrame([(1, 500.0, 500), (2, 300.0, 300), (3, 200.0, 200), (4, 0.01, 1), (5, 0.0, 0)], "_sid bigint, target double, _total bigint")
+    got = schedule(targets, 256, cells=16, chunk=32).orderBy("slot").collect()
+    assert len({r["slot"] for r in got}) == len(got) == 257
+    for s, share in ((1, 0.5), (2, 0.3), (3, 0.2)):
+        own = [r for r in got if r["_sid"] == s]
+        assert [r["rank"] for r in own] == list(range(len(own))) and own[0]["n"] == len(own) and abs(len(own) - 256 * share) <= 1.01
+        assert all(abs(sum(r["slot"] < k for r in own) - k * share) <= 5 for k in range(0, 257, 8))
+    assert [(r["rank"], r["n"]) for r in got if r["_sid"] == 4] == [(0, 1)]
+
+
+def test_repeats(spark, monkeypatch):
+    from statloom.llm import substring_dedup
+
+    df, rows = documents(spark)
+    words = [WORD.findall(t or "") for _, t, *_ in rows]
+    seen = Counter(tuple(w[k : k + 35]) for w in words for k in range(len(w) - 34))
+    want = []
+    for (i, *_), w in zip(rows, words, strict=True):
+        gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(df, keep_text=True).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    monkeypatch.setattr(substring_dedup, "GROUP", 3), monkeypatch.setattr(substring_dedup, "SEEN", 1)  # longer prefixes
+    more = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(df, keep_text=True).collect()]
+    assert sorted(more, key=str) == sorted(want, key=str)
+    assert substring_dedup.remove_repeats(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(df.withColumn("n_words", F.lit(1)))
+
+
+def test_html(spark):
+    from statloom.llm.html_text import extract_pages
+
+    def page(k, body, host="a.example"):
+        return (k, f"http://{host}/{k}", body)
+
+    promo = "<div class=zz><p>Weekly deals for members</p><a href=/x>more</a></div>"
+    unique = [f"<html><body>{promo}<div><p>Story {k} &amp; <b>bo</b>ld&nbsp;text</p><p>number {k}<br>end</div></body></html>" for k in range(6)]
+    rows = [page(k, x) for k, x in enumerate(unique)]
+    rows += [page(10, "<article><header><h1>Head &lt;1&gt;</h1></header><nav>menu</nav><p>One<p>two <i>in</i>side<script>if (a</p>b) x()</script><div class='comments'>bad</div><ul><li>x<li>y</ul></article><footer>f</footer>"), page(11, None), page(12, ""), page(13, "<p>a < b & c &copy; <!-- x <p>no</p> --> d"), (14, None, "plain"), (14, None, "plain"), page(15, "<p " + "a" * 5000), page(16, "<b>" * 3000 + "deep")]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(6):  # the promo block recurs on the host: a template
+        assert got[k] == f"Story {k} & bold text number {k} end"
+    assert got[10] == "Head <1> One two inside x y" and got[11] == got[12] == "" and got[13] == "a < b & c © d" and got[14] == "plain"
+    assert got[16] == "deep"
+    mirrored = [page(k, "<nav>m</nav><article><p>Same text</p></article>") for k in range(8)]
+    assert {r["text"] for r in extract_pages(spark.createDataFrame(mirrored, "page_id bigint, url string, html string")).collect()} == {"Same text"}
+    assert extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    found = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in extract_pages(found).collect()}
+    for r in found.collect():
+        body = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        want = " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body))).split())
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = p.classify(spark, docs, d)
+    good = docs.join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    assert kept.columns == docs.columns and good.join(kept, "doc_id", "left_anti").count() == 0 and kept.count() < docs.count()
+    one = p.deduplicate(spark, kept, d)
+    groups = {c for _, _, c in components_of([tuple(r) for r in kept.select("doc_id", "text").collect()], 80)}
+    assert {r["doc_id"] for r in one.collect()} == groups
+    hidden = p.hide_secrets(spark, one, d)
+    assert hidden.count() == one.count() and hidden.where(F.col("text").rlike("[0-9a-f]{32,}")).count() == 0
+    mixed = p.mix(spark, hidden, d)
+    assert mixed.columns == docs.columns and mixed.join(hidden, "doc_id", "left_anti").count() == 0
+    assert p.encode(spark, mixed, d).count() == mixed.count()
+    assert p.run(spark, d).count() == mixed.count()
