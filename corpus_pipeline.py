@@ -12,7 +12,8 @@ from statloom.llm.queries import op2_columns, pieces_path, table
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier doesn't reject; it learns from all labels."""
     model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.score_documents(docs, model, name="_score").where("_score >= 0.5").drop("_score")
+    score = shared.unused(docs, "_score")
+    return quality.score_documents(docs, model, name=score).where(f"{score} >= 0.5").drop(score)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ and gives byte ranges; it never decodes a payload. A file without a movie box, o
 with a box that goes beyond its end, raises ValueError in `read_container`.
 
 Nulls and empty texts are a payload of one padded unit. Equal texts give equal
-files: no times or random values are stored. Tables may be empty; other columns are passed on.
+files: no times or random values are stored. Tables may be empty; other columns are passed on,
+but for those that a result of the same name replaces.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import shared
 from .textbatch import slices
 
 SAMPLE, PER_CHUNK, KEY_EVERY, TIMESCALE = 192, 8, 16, 8000
@@ -186,9 +188,7 @@ def media_columns(docs: DataFrame, text: str = "text", keep_media: bool = False)
     """
     new = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     new += [("media", T.BinaryType())] * keep_media
-    if clash := {k for k, _ in new} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    others = [c for c in docs.columns if c != text]
+    others = shared.others(docs, (k for k, _ in new), text)
     schema = T.StructType([docs.schema[c] for c in others] + [T.StructField(*x) for x in new])
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * keep_media
 

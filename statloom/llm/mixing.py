@@ -12,7 +12,7 @@ The shuffle orders documents by md5 of the seed and doc_id. A source's documents
 are cut into `buckets` by that hash, so prefix sums never bring a source to one
 task. Null doc_ids are hashed as empty; rows that tie in all of it are alike. Null
 or empty texts have size 0 and are never taken. Null is a source of its own, the
-last. Tables may be empty. Clashing column names raise ValueError.
+last. Tables may be empty. The results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 WORD = r"[^\x20\x09-\x0D]+"
-OWN = ("size", "source_size", "target", "taken", "_sid", "_key", "_bucket", "_start", "_total")
+RESULTS = ("size", "source_size", "target", "taken")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -79,17 +79,17 @@ def mix(docs: DataFrame, text: str | None = "text", weights: tuple[float, ...] =
 
     docs has doc_id and source, and either the text column or, with text=None, size.
     """
-    if clash := set(OWN[text is None :]) & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
     spark = docs.sparkSession
-    sized = docs if text is None else docs.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
+    size = F.col("size") if text is None else F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
+    held = shared.others(docs, RESULTS, "doc_id", "source")
+    # whatever the other columns are called, they're out of the way in one
+    sized = docs.select("doc_id", "source", size.cast("long").alias("size"), *([F.struct(*held).alias("_row")] if held else []))
     sizes = shared.saved(sized.groupBy("source").agg(F.sum("size").alias("size")), shared.folder(spark, "mix-sizes"))
     targets = shared.saved(source_targets(sizes, weights, share, cap), shared.folder(spark, "mix-targets"))
     total = targets.agg(F.sum("_total")).first()[0] or 0
     slots = 1 << max(0, (-(-total // block_tokens) - 1)).bit_length()
     plan = schedule(targets, slots)
-    held = plan.groupBy("_sid").agg(F.max("n").alias("n"))
-    info = targets.join(held, "_sid", "left")
+    info = targets.join(plan.groupBy("_sid").agg(F.max("n").alias("n")), "_sid", "left")
 
     rows = sized.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = rows.withColumn("_bucket", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
@@ -111,17 +111,19 @@ def mix(docs: DataFrame, text: str | None = "text", weights: tuple[float, ...] =
     first = F.expr("rank * (_total div n) + least(rank, _total % n)")
     last = F.expr("(rank + 1) * (_total div n) + least(rank + 1, _total % n)")
     taken = pieces.join(plan.select("_sid", "rank"), ["_sid", "rank"]).groupBy("_sid", "_start").agg(F.sum(F.least("hi", last) - F.greatest("lo", first)).alias("taken"))
-    out = [*[c for c in docs.columns if c != "size" or text is None], *([] if text is None else ["size"]), "source_size", "target", "taken"]
+    out = [F.col(f"_row.`{c}`") if c in held else c for c in shared.others(docs, RESULTS)] + [*RESULTS]
     some = placed.where("size > 0").join(taken, ["_sid", "_start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     return some.select(*out).unionByName(placed.where("NOT size > 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix as rows of docs' own columns: a row for each time a document is taken, the last with only the words taken."""
-    chosen = mix(docs, text, **options).where("taken > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
+    own = ("doc_id", "source", text)
+    rest = [c for c in docs.columns if c not in own]
+    packed = docs.select(*own, *([F.struct(*rest).alias("_rest")] if rest else []))
+    chosen = mix(packed, text, **options).where("taken > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
     part = F.col("taken") - (F.col("_time") - 1) * F.col("size")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), part.cast("int")), " ")
     out = chosen.withColumn(text, F.when(part >= F.col("size"), F.col(text)).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    length = F.length(text).cast(docs.schema["n_chars"].dataType if "n_chars" in rest else "long").alias("n_chars")
+    return out.select(*[c if c in own else length if c == "n_chars" else F.col(f"_rest.`{c}`") for c in docs.columns])

@@ -16,6 +16,7 @@ Order two is a choice: counts of longer sequences need more disk than their gain
 
 All counts cover the whole training part. Null and empty texts are one end. Empty
 training gives log10 1 / (V + 1) = 0 for each token. Equal rows count each time.
+The results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -328,9 +329,7 @@ def train(texts: DataFrame) -> Model:
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds n_tokens, n_known, base_score and score (log10 probabilities of the whole text) to docs without its text."""
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    others = [c for c in docs.columns if c != text]
-    if clash := {f.name for f in new} & set(others):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    others = shared.others(docs, (f.name for f in new), text)
     schema = T.StructType([docs.schema[c] for c in others] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

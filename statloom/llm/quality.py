@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
 from .textbatch import Words, flat, hashes, mix, slices, words
 
 BITS, SIZE, GRAMS = 18, 8, (3, 4, 5)
@@ -178,9 +179,8 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """Adds the score of each whole text. A column of that name raises ValueError."""
-    if name in docs.columns:
-        raise ValueError(f"column already there: {name}")
+    """Adds the score of each whole text; it replaces a column of that name."""
+    docs = docs.select(shared.others(docs, [name]))
     schema = T.StructType([*docs.schema, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

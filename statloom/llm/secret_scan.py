@@ -7,7 +7,7 @@ scored by the mean log-likelihood ratio of the models for each step between char
 above LEAST are spans of kind random, unless a fixed pattern's span overlaps.
 
 Spans are in code points, end exclusive. Null and empty texts have no span. Very long
-texts are whole; no shuffle moves a text. Clashing column names raise ValueError.
+texts are whole; no shuffle moves a text. The results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: The patterns, in the order of kinds, and the least length of what is kept.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -95,17 +97,17 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(sizes, start, add, lambda acc: acc["out"])).otherwise(start["out"])
 
 
-def with_spans(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
+def with_spans(docs: DataFrame, model: list[float], text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
     """Adds base and spans: arrays of (start, kind, end, s), by start and kind."""
-    if clash := {"base", "spans"} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    docs = docs.select(shared.others(docs, (base, spans)))
+    long = shared.unused(docs, "_long")
     body = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(_spans(body, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 1)) >= 8)
     access = F.filter(_spans(body, ACCESS, 1), lambda x: F.length(x["s"]) >= 16)
-    found = docs.withColumn("base", F.array_sort(F.concat(assign, access, _spans(body, HEX, 2)))).withColumn("_long", _spans(body, RANDOM, 3))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.filter("_long", lambda x: apart(x) & (likelihood_ratio(x["s"], model) >= LEAST))
-    return found.withColumn("spans", F.array_sort(F.concat("base", more))).drop("_long")
+    found = docs.withColumn(base, F.array_sort(F.concat(assign, access, _spans(body, HEX, 2)))).withColumn(long, _spans(body, RANDOM, 3))
+    apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    more = F.filter(long, lambda x: apart(x) & (likelihood_ratio(x["s"], model) >= LEAST))
+    return found.withColumn(spans, F.array_sort(F.concat(base, more))).drop(long)
 
 
 def joined(spans: Column) -> Column:
@@ -116,7 +118,8 @@ def joined(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with a mark in the place of each run of overlapping spans; n_chars follows."""
-    found = with_spans(docs, train(docs.sparkSession), text)
+    base, spans = shared.unused(docs, "_base"), shared.unused(docs, "_spans")
+    found = with_spans(docs, train(docs.sparkSession), text, base, spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(acc, x):
@@ -124,8 +127,8 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Dat
         out = F.when(fresh, F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("spans", start, put, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(text))))
-    out = found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text)))
+    clean = F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(text))))
+    out = found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

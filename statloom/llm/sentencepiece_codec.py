@@ -9,7 +9,7 @@ once, and compacts the array, until no pair is left. Where a merge made at
 once with another would have opened a better pair, only the first is made.
 
 Empty and null texts give the begin and end ids alone. Very long texts are
-whole. Other columns are passed on; a clash with a result column raises ValueError.
+whole. Other columns are passed on, but for those that a result of the same name replaces.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import shared
 from .textbatch import flat, slices, spans
 
 NO_RANK = np.int32(2**31 - 1)
@@ -211,9 +212,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep_ids: b
     """Adds n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids (array of int)."""
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     new += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * keep_ids
-    if clash := {f.name for f in new} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    others = [c for c in docs.columns if c != text or keep_ids]
+    others = shared.others(docs, (f.name for f in new), *[text][keep_ids:])
     schema = T.StructType([docs.schema[c] for c in others] + new)
     codec = Codec(path)  # bounded by the vocabulary, so the task's closure carries it
 

@@ -24,6 +24,20 @@ def saved(df: DataFrame, at: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def others(df: DataFrame, names: Iterable[str], *besides: str) -> list[str]:
+    """df's columns without `besides` and without those that a result column of the same name (in any case) replaces."""
+    new = {x.lower() for x in names}
+    return [c for c in df.columns if c not in besides and c.lower() not in new]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """This name, or one made longer until no column of df has it."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def _local(uri: str) -> str | None:
     return uri.removeprefix("file://") if uri.startswith(("file://", "/")) else None
 

@@ -18,7 +18,7 @@ at WINDOW a node has 128 bits. Texts are never moved; each pass reads them again
    repeats. Words below a repeated window go.
 
 Null and empty texts have no words. Texts shorter than a window lose nothing. Rows
-may repeat; equal rows are copies of each other. Clashing names raise ValueError.
+may repeat; equal rows are copies of each other. The results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -249,9 +249,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ke
     """Adds n_words, n_removed, kept_sha256 and, if asked for, kept_text to docs without its text."""
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     new += [T.StructField("kept_text", T.StringType())] * keep_text
-    others = [c for c in docs.columns if c != text]
-    if clash := {f.name for f in new} & set(others):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    others = shared.others(docs, (f.name for f in new), text)
     spark = docs.sparkSession
     at = shared.folder(spark, "substrings")
     plain = docs.select(F.col(text).alias("text"))
