@@ -1,11 +1,15 @@
 """HTML extraction: site template removal by element subtrees counted per host.
 
-A page is parsed to a tree of elements. Each subtree is hashed with its tags, classes and
-text, and counted per host, once for each page, in Spark: packed by bucket, merged, and those that recur on many pages
-are written as sorted hash arrays in the shared folder. A second pass deletes what recurs
-outside the page's own article (unless nothing would be left: a mirrored page), and what is marked as no part of it: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments. Text that an article
-marks as its own stays, however often a host repeats it: mirrored articles aren't templates.
+A page is parsed to a tree of elements. Each block subtree of the main text is hashed with its tags, classes and
+text, and counted per host in Spark, once for each distinct main text it is in, so mirrored pages count as one:
+pairs of subtree and main text are packed by bucket and made distinct, counts are merged, and those that recur are
+written as sorted hash arrays in the shared folder. A second pass deletes what recurs, inside article and main
+as well (unless nothing would be left), and what is marked as no part of the text: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments.
+
+Inside an article, bare text blocks (PROSE without class or id) are never taken for templates: near copies and
+articles with common lines share them. Other blocks must recur in twice as many main texts as the
+article's own prose does, so that near copies of an article keep their lists and tables.
 
 The main text is that of the article elements (or of main, or else of the body), in
 page order. Character references are decoded once; white space in a block is one space; blocks are joined by one.
@@ -46,11 +50,12 @@ MARKS = set(
     "related recommended breadcrumb breadcrumbs pagination pager widget form search skip".split()
 )
 TEMPLATE = (BLOCK | NOT_TEXT) - {"html", "body", "br"}
+PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li p pre summary tbody td tfoot th thead tr".split())
 PLAIN = {"html", "body", "article", "main"}  # never deleted for a class word
 RAW = {t: re.compile(rf"(?i)</{t}(?=[\s/>])[^>]*>?") for t in "script style textarea title noscript iframe xmp noembed noframes".split()}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-PAGES, SHARE = 4, 0.2  # a template recurs on so many distinct pages of its host, and on this share of them
+PAGES, SHARE = 4, 0.2  # a template recurs in so many distinct main texts of its host, and in this share of them
 
 
 class Node:
@@ -154,32 +159,74 @@ def text_of(parts: list[Node], deleted: set[int]) -> str:
     return " ".join(entities.unescape("".join(out)).split())
 
 
-def subtrees(root: Node, skip: list[Node]) -> tuple[list[Node], list[bytes]]:
-    """The block subtrees outside `skip`, with a digest of the tags, classes and texts of each."""
+def subtrees(parts: list[Node]) -> tuple[list[Node], list[bytes]]:
+    """The block subtrees below the parts, with a digest of the tags, classes and texts of each; deleted ones count as absent."""
     nodes: list[Node] = []
     names: list[bytes] = []
-    held = set(map(id, skip))
+    whole = set(map(id, parts))
     made: dict[int, bytes] = {}
-    stack = [(root, False)]
+    stack = [(x, False) for x in parts]
     while stack:
         node, ready = stack.pop()
         if not ready:
             stack.append((node, True))
-            stack += [(x, False) for x in node.children if not isinstance(x, str) and id(x) not in held]
+            stack += [(x, False) for x in node.children if not isinstance(x, str) and not x.gone]
             continue
-        parts = [node.tag.encode("utf-8", "replace"), node.mark.encode("utf-8", "replace")]
+        held = [node.tag.encode("utf-8", "replace"), node.mark.encode("utf-8", "replace")]
         for x in node.children:
             if not isinstance(x, str):
-                parts.append(made.get(id(x), b""))
+                held.append(made.get(id(x), b""))
             elif text := x.strip():
-                parts.append(text.encode("utf-8", "replace"))
-        made[id(node)] = name = hashlib.blake2b(b"\0".join(parts), digest_size=16).digest()
-        if node.tag in TEMPLATE:  # a word that is bold on many pages is no template
+                held.append(text.encode("utf-8", "replace"))
+        made[id(node)] = name = hashlib.blake2b(b"\0".join(held), digest_size=16).digest()
+        if node.tag in TEMPLATE and id(node) not in whole:  # a word that is bold on many pages is no template
             nodes.append(node)
             names.append(name)
     return nodes, names
 
 
+def _size(node: Node) -> int:
+    """Characters below a node."""
+    n, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            n += len(x)
+        elif not x.gone:
+            stack += x.children
+    return n
+
+
+def templates_of(parts: list[Node], nodes: list[Node], counts: list[int]) -> set[int]:
+    """The nodes to delete, by identity; counts of nodes that aren't often enough on their host are 0."""
+    if not any(counts):
+        return set()
+    if parts[0].tag != "article":
+        return {id(x) for x, c in zip(nodes, counts, strict=True) if c}
+    count = {id(x): c for x, c in zip(nodes, counts, strict=True)}
+    bare = lambda x: x.tag in PROSE and x.mark in ("", "#")
+    often = {id(x) for x, c in zip(nodes, counts, strict=True) if c and not bare(x)}
+    if not often:
+        return often
+    prose, stack = [], list(parts)
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x.gone or id(x) in often:
+            continue
+        if x.tag in PROSE and id(x) in count:
+            prose.append((count[id(x)], _size(x)))
+        else:
+            stack += x.children
+    prose.sort()
+    half, own = sum(n for _, n in prose) / 2, 0
+    for c, n in prose:  # the median by size
+        half -= n
+        own = c
+        if half <= 0:
+            break
+    return {k for k in often if count[k] >= 2 * own}
+
+
 def host_of(url: str | None) -> str:
     try:
         return urlsplit(url or "").hostname or (url or "")
@@ -187,44 +234,68 @@ def host_of(url: str | None) -> str:
         return url or ""
 
 
-def _page_keys(url: str | None, page: str | None) -> tuple[Node, list[Node], list[Node], np.ndarray, int]:
-    root = parse(page or "")
-    parts = main_parts(root)
-    nodes, names = subtrees(root, [p for p in parts if p is not root])
+def _page_keys(url: str | None, page: str | None) -> tuple[list[Node], str, list[Node], np.ndarray, int, int]:
+    """The main parts and their text, their blocks with a key of each, the host's key and the key of the text."""
+    parts = main_parts(parse(page or ""))
+    text = text_of(parts, set())
+    nodes, names = subtrees(parts)
     host = host_of(url).encode("utf-8", "replace")
-    keys = hashes(pa.array([host + b"\0" + x for x in names] + [host + b"\0pages"], pa.binary()))
-    return root, parts, nodes, keys[:-1], int(keys[-1])
+    keys = hashes(pa.array([host + b"\0" + x for x in names] + [host + b"\0pages", text.encode("utf-8", "replace")], pa.binary()))
+    return parts, text, nodes, keys[:-2], int(keys[-2]), int(keys[-1])
 
 
-def _count(bits: int):
+def _packed(table: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The rows of each bucket as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, table = bucket[order], table[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(bucket)]
+    return bucket[starts].tolist(), [table[a:b].tobytes() for a, b in zip(starts, ends, strict=False)]
+
+
+def _distinct(table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return table
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    return table[np.r_[True, (table[1:] != table[:-1]).any(1)]]
+
+
+def _pairs(bits: int):
+    """Distinct pairs of block and main text, by buckets of the pair, so that a block on every page is in many."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 8 << 20):
-            all_keys, hosts = [], []
+            found = [np.zeros((0, 2), np.uint64)]
             for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                *_, keys, host = _page_keys(url, page)
-                all_keys.append(np.unique(keys))
-                hosts.append(host)
-            # each key beside its host's key, so that shares can be told in one bucket
-            key = np.concatenate([np.r_[k, np.uint64(h)] for k, h in zip(all_keys, hosts, strict=True)]) if hosts else np.zeros(0, np.uint64)
-            host = np.repeat(np.array(hosts, np.uint64), [len(k) + 1 for k in all_keys])
-            key, first, count = np.unique(key, return_index=True, return_counts=True)
-            host = host[first]
-            bucket = (mix(key) >> np.uint64(64 - bits)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, table = bucket[order], np.stack([key, host, count.astype(np.uint64)], 1)[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-            ends = np.r_[starts[1:], len(bucket)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([table[a:b].tobytes() for a, b in zip(starts, ends, strict=False)], pa.binary())], names=["bucket", "data"])
+                *_, keys, host, text = _page_keys(url, page)
+                keys = np.unique(np.r_[keys, np.uint64(host)])
+                found.append(np.stack([keys, np.full(len(keys), text, np.uint64)], 1))
+            table = _distinct(np.concatenate(found))
+            bucket = (mix(table[:, 0] ^ mix(table[:, 1])) >> np.uint64(64 - bits)).astype(np.int32)
+            bucket, data = _packed(table, bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    return run
+
+
+def _count(bits: int):
+    """The main texts of each block in this bucket of pairs, by buckets of the block."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        table = _distinct(np.frombuffer(b"".join(rows["data"]), np.uint64).reshape(-1, 2))
+        key, count = np.unique(table[:, 0], return_counts=True)
+        bucket, data = _packed(np.stack([key, count.astype(np.uint64)], 1), (mix(key) >> np.uint64(64 - bits)).astype(np.int32))
+        return pd.DataFrame({"bucket": bucket, "data": data})
 
     return run
 
 
 def _merge(at: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        table = np.frombuffer(b"".join(rows["data"]), np.uint64).reshape(-1, 3)
+        table = np.frombuffer(b"".join(rows["data"]), np.uint64).reshape(-1, 2)
         table = table[np.argsort(table[:, 0], kind="stable")]
         first = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0]])
-        count = np.add.reduceat(table[:, 2], first)
+        count = np.add.reduceat(table[:, 1], first)
         many = count >= PAGES
         own = int(rows["bucket"].iloc[0])
         shared.put(f"{at}/{own}", [table[first, 0][many], count[many]])
@@ -261,7 +332,8 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     new = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     others = shared.others(pages, (f.name for f in new), html)
     at, bits = shared.folder(pages.sparkSession, "templates"), 8
-    packed = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(_count(bits), "bucket int, data binary")
+    pairs = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(_pairs(bits), "bucket int, data binary")
+    packed = pairs.groupBy("bucket").applyInPandas(_count(bits), "bucket int, data binary")
     shared.saved(packed.groupBy("bucket").applyInPandas(_merge(f"{at}/counts"), "bucket int, n long"), f"{at}/done")
     schema = T.StructType([pages.schema[c] for c in others] + new)
 
@@ -273,12 +345,11 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
             named, place = np.unique(keys, return_inverse=True)
             count = held.counts(named)[place]
             texts, start = [], 0
-            for _, parts, nodes, own, _ in pages_:
+            for parts, text, nodes, own, *_ in pages_:
                 got, total = count[start : start + len(own)], count[start + len(own)]
                 start += len(own) + 1
-                often = (got >= PAGES) & (got >= SHARE * total)
-                deleted = {id(n) for n, x in zip(nodes, often, strict=True) if x}
-                texts.append(text_of(parts, deleted) or text_of(parts, set()) if deleted else text_of(parts, set()))
+                deleted = templates_of(parts, nodes, np.where((got >= PAGES) & (got >= SHARE * total), got, 0).tolist())
+                texts.append(text_of(parts, deleted) or text if deleted else text)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
 
     return pages.select(*others, html).mapInArrow(run, schema)

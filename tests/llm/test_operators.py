@@ -372,6 +372,25 @@ def test_html(spark):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
 
 
+def extracted(spark, rows):
+    from statloom.llm.html_text import extract_pages
+
+    return {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_html_templates_inside_articles(spark):
+    box = "<div class=zz><p>Weekly deals for members</p></div><ul><li><a href=/r>Read also this</a></ul>"
+    rows = [(k, f"http://a.example/{k}", f"<article><h1>Daily column</h1><p>Story {k} in many words of its own</p>{box}<p>Common line</p></article>") for k in range(6)]
+    rows += [(10 + k, f"http://b.example/{k}", f"<main><p>Story {k}</p>{box}</main>") for k in range(6)]
+    rows += [(20 + k, f"http://a.example/m{k}", f"<article><p>Mirrored</p><table><tr><td>cell</table>{box}</article>") for k in range(8)]
+    rows += [(30 + k, f"http://c.example/{k}", f"<article><p>One long shared paragraph of near copies</p><ul><li>own list</ul><p>{k}</p></article>") for k in range(8)]
+    got = extracted(spark, rows)
+    for k in range(6):  # boxes go; bare headings and paragraphs are an article's own
+        assert got[k] == f"Daily column Story {k} in many words of its own Common line" and got[10 + k] == f"Story {k}"
+    for k in range(8):
+        assert got[20 + k] == "Mirrored cell" and got[30 + k] == f"One long shared paragraph of near copies own list {k}"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
