@@ -2,9 +2,11 @@
 
 Two first-order Markov models over the characters of ALPHABET are trained from labelled
 samples: random strings (hex and base64 digests of numbers) and ordinary identifiers
-(words of IDENTIFIERS joined as programs join them). Long tokens of a text are
-scored by the mean log-likelihood ratio of the models for each step between characters; those
-above LEAST are spans of kind random, unless a fixed pattern's span overlaps.
+(words of IDENTIFIERS joined as programs join them). Long tokens of a text, without the spans
+of fixed patterns, are scored by the log-likelihood ratio of the models for each step between
+characters, less LEAST. Each stretch whose sum reaches EVIDENCE is a span of kind random, however long the names
+beside it are: a running maximum ends where the sum has fallen by FALL. A stretch is carried on to the joint (JOINTS) or end beside it
+if that is near. A token without such a stretch is a span if its mean ratio is LEAST or more.
 
 Spans are in code points, end exclusive. Null and empty texts have no span. Very long
 texts are whole; no shuffle moves a text. The results replace columns of their names.
@@ -26,7 +28,9 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1
+JOINTS = 64  # codes from this on join names: / _ = -
 LEAST = 0.35
+LENGTH, EVIDENCE, FALL, JOINT = 20, 9.0, 8.0, -0.5  # least characters and sum of a stretch; its end; the score of a step at a joint
 #: Words of ordinary identifiers and texts, for the labelled samples.
 IDENTIFIERS = (
     "user account name value index count total number first last next previous current default create update delete remove insert select filter "
@@ -83,6 +87,55 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
     return total["t"] / F.greatest(F.length(token) - 1, F.lit(1))
 
 
+def stretches(token: Column, model: list[float]) -> Column:
+    """The token's random stretches: start and end."""
+    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    many = F.greatest(F.length(token) - 1, F.lit(0))
+    joint = lambda a, c: (a >= JOINTS) | (c >= JOINTS)
+    scores = F.zip_with(F.slice(codes, F.lit(1), many), F.slice(codes, F.lit(2), many), lambda a, c: F.when(joint(a, c), F.lit(JOINT)).otherwise(F.element_at(table, a * WIDTH + c + 1) - LEAST))
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    first = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("t"), F.lit(0.0).alias("best"), F.lit(0).alias("start"), F.lit(0).alias("end"), none.alias("out"))
+
+    def kept(best, start, end, out):
+        return F.when(best >= EVIDENCE, F.concat(out, F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(out)
+
+    def step(acc, x):
+        t, i = acc["t"] + x, acc["i"]
+        best, end = F.greatest(acc["best"], t), F.when(t > acc["best"], i + 2).otherwise(acc["end"])
+        fallen = (t <= 0) | (t < best - FALL)
+        put = lambda yes, no, name: F.when(fallen, yes).otherwise(no).alias(name)
+        return F.struct((i + 1).alias("i"), put(F.lit(0.0), t, "t"), put(F.lit(0.0), best, "best"), put(i + 1, acc["start"], "start"), put(i + 1, end, "end"), put(kept(best, acc["start"], end, acc["out"]), acc["out"], "out"))
+
+    found = F.aggregate(scores, first, step, lambda acc: kept(acc["best"], acc["start"], acc["end"], acc["out"]))
+
+    def widened(x):
+        head, tail = F.substr(token, F.lit(1), x["start"]), F.substr(token, x["end"] + 1)
+        before = F.when(x["start"] <= 4, F.length(F.regexp_extract(head, "^[/_=-]*(.*)$", 1))).otherwise(F.length(F.regexp_extract(head, "(?:^|[/_=-])([A-Za-z0-9+]{0,8})$", 1)))
+        after = F.when(F.length(tail) <= 4, F.length(tail)).otherwise(F.length(F.regexp_extract(tail, "^([A-Za-z0-9+]{0,8}(?:==?$)?)(?:$|[/_=-])", 1)))
+        return F.struct((x["start"] - before).alias("start"), (x["end"] + after).alias("end"))
+
+    wide = F.filter(F.transform(found, widened), lambda x: x["end"] - x["start"] >= LENGTH)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(token).alias("end")))
+    return F.when(F.size(wide) > 0, wide).when(likelihood_ratio(token, model) >= LEAST, whole).otherwise(none)
+
+
+def _apart(x: Column, base: Column) -> Column:
+    """The parts of span x outside base, long enough to be a span: start, kind, end and s."""
+    start = F.struct(x["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+
+    def cut(acc, at, end):
+        return F.when(end - at >= LENGTH, F.concat(acc["out"], F.array(F.struct(at.alias("start"), end.alias("end"))))).otherwise(acc["out"])
+
+    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    parts = F.aggregate(touching, start, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), cut(acc, acc["at"], b["start"]).alias("out")), lambda acc: cut(acc, acc["at"], x["end"]))
+    return F.transform(parts, lambda y: _part(x, y["start"] - x["start"], y["end"] - x["start"]))
+
+
+def _part(x: Column, start: Column, end: Column) -> Column:
+    return F.struct((x["start"] + start).alias("start"), x["kind"].alias("kind"), (x["start"] + end).alias("end"), F.substr(x["s"], start + 1, end - start).alias("s"))
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Every match, leftmost and without overlaps: start, kind, end and the match. The gaps between them give the places."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -105,8 +158,8 @@ def with_spans(docs: DataFrame, model: list[float], text: str = "text", base: st
     assign = F.filter(_spans(body, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 1)) >= 8)
     access = F.filter(_spans(body, ACCESS, 1), lambda x: F.length(x["s"]) >= 16)
     found = docs.withColumn(base, F.array_sort(F.concat(assign, access, _spans(body, HEX, 2)))).withColumn(long, _spans(body, RANDOM, 3))
-    apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.filter(long, lambda x: apart(x) & (likelihood_ratio(x["s"], model) >= LEAST))
+    parts = F.flatten(F.transform(long, lambda x: _apart(x, F.col(base))))
+    more = F.flatten(F.transform(parts, lambda x: F.transform(stretches(x["s"], model), lambda y: _part(x, y["start"], y["end"]))))
     return found.withColumn(spans, F.array_sort(F.concat(base, more))).drop(long)
 
 

@@ -118,6 +118,25 @@ def test_markov_models(spark):
     assert df.where("y = 1 AND r").count() >= 198 and df.where("y = 0 AND r").count() <= 2
 
 
+def test_secrets_beside_names_and_base_spans(spark):
+    from statloom.llm import secret_scan as scan
+
+    rng = random.Random(8)
+    keys = ["".join(rng.choice(scan.ALPHABET[:62]) for _ in range(n)) for n in (20, 24, 32, 40) for _ in range(50)]
+    names = ("international_administration_connection_parameter=", "service/account/management/environment/production/", "config/production/database/connection/", f"AKIA{'Q' * 12}/", f"{'0af3' * 8}-")
+    rows = [(k, i, name + key, len(name), key) for k, name in enumerate(names) for i, key in enumerate(keys)]
+    rows += [(9, 0, f"{names[1]}{keys[160]}/{names[2]}{keys[170]}", 0, ""), (9, 1, names[1] + names[2] + "international_administration", 0, "")]
+    df = spark.createDataFrame(rows, "k int, i int, text string, at int, key string")
+    got = scan.with_spans(df, scan.train(spark)).collect()
+    for k in range(len(names)):
+        own = [(r, [x for x in r["spans"] if x["kind"] == 3]) for r in got if r["k"] == k]
+        assert all(len(x) <= 1 and all(r["text"][y["start"] : y["end"]] == y["s"] for y in x) for r, x in own)
+        assert sum(any(y["start"] <= r["at"] and y["end"] == len(r["text"]) for y in x) for r, x in own) >= 196
+        assert sum(any(y["s"] == r["key"] for y in x) for r, x in own) >= 180
+    last = {r["i"]: [x["s"] for x in r["spans"]] for r in got if r["k"] == 9}
+    assert last == {0: [keys[160], keys[170]], 1: []}
+
+
 def test_language_model(spark):
     from statloom.llm import ngram_lm
 
