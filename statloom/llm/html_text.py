@@ -5,7 +5,8 @@ text, and counted per host in Spark, once for each distinct main text it is in,
 pairs of subtree and main text are packed by bucket and made distinct, counts are merged, and those that recur are
 written as sorted hash arrays in the shared folder. A second pass deletes what recurs, inside article and main
 as well (unless nothing would be left), and what is marked as no part of the text: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments.
+notices, adverts, forms, scripts, styles and reader comments. Outside article and main any block with a word of MARKS
+in its class or id is marked; inside, only whole classes and ids known as furniture are, and the counts decide the rest.
 
 Inside an article, bare text blocks (PROSE without class or id) are never taken for templates: near copies and
 articles with common lines share them. Other blocks must recur in twice as many main texts as the
@@ -41,14 +42,20 @@ BLOCK = set("address article aside blockquote body br caption center dd details
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "option", "optgroup", "caption", "title"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "body", "html", "article", "main", "section", "div", "nav", "aside", "footer", "header", "td", "th", "li", "blockquote"}
-#: Elements, roles and class or id words that are no part of an article.
-NOT_TEXT = set("script style noscript template head title iframe object svg canvas math audio video select button textarea datalist form nav footer aside menu dialog search".split())
+#: Elements, roles and class or id words that are no part of an article. Inside article and main only whole classes in FURNITURE and ids in PLACES count.
+NOT_TEXT = set("script style noscript template head title iframe object svg canvas annotation annotation-xml audio video select button textarea datalist form nav footer aside menu dialog search".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = set(
     "nav navbar navigation menu menubar header masthead topbar footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies "
     "related recommended breadcrumb breadcrumbs pagination pager widget form search skip".split()
 )
+FURNITURE = set(
+    "nav navbar menu menubar masthead topbar sidebar ad ads adv advert adverts advertisement advertising sponsor sponsored promo "
+    "cookie cookies gdpr popup overlay newsletter subscribe signup share sharing comments disqus replies breadcrumb breadcrumbs pagination pager".split()
+)
+PLACES = {"comments", "disqus_thread", "sidebar"}
+MARKABLE = BLOCK - {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "caption", "figcaption", "legend", "summary", "br"}  # headings and inline elements are never deleted for a word
 TEMPLATE = (BLOCK | NOT_TEXT) - {"html", "body", "br"}
 PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li p pre summary tbody td tfoot th thead tr".split())
 PLAIN = {"html", "body", "article", "main"}  # never deleted for a class word
@@ -59,10 +66,12 @@ PAGES, SHARE = 4, 0.2  # a template recurs in so many distinct main texts of its
 
 
 class Node:
-    __slots__ = ("tag", "mark", "gone", "children")
+    """gone: no part of any text; worded: has a word of MARKS, which counts outside article and main."""
+
+    __slots__ = ("tag", "mark", "gone", "worded", "children")
 
     def __init__(self, tag: str, mark: str = "", gone: bool = False):
-        self.tag, self.mark, self.gone, self.children = tag, mark, gone, []
+        self.tag, self.mark, self.gone, self.worded, self.children = tag, mark, gone, False, []
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -101,10 +110,14 @@ def parse(page: str) -> Node:
         attributes = _attributes(m[3])
         node = Node(tag)
         if attributes:
-            words = set(re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+            names, place = attributes.get("class", "").lower(), attributes.get("id", "").lower()
             node.mark = f"{attributes.get('class', '')}#{attributes.get('id', '')}"
             style = attributes.get("style", "").replace(" ", "").lower()
-            node.gone = tag not in PLAIN and bool(words & MARKS or attributes.get("role", "").lower() in ROLES) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
+            node.gone = tag not in PLAIN and attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
+            if tag in MARKABLE and tag not in PLAIN:
+                node.gone |= place in PLACES or not FURNITURE.isdisjoint(names.split())
+            if (tag in MARKABLE or tag in ("a", "ins", "label")) and tag not in PLAIN:
+                node.worded = not MARKS.isdisjoint(re.split(r"[\s_-]+", f"{names} {place}"))
         node.gone |= tag in NOT_TEXT
         stack[-1].children.append(node)
         if tag in RAW:  # no markup inside; nothing of it is text of an article
@@ -123,7 +136,7 @@ def _articles(node: Node, tag: str, out: list[Node]) -> list[Node]:
     stack = [node]
     while stack:
         x = stack.pop()
-        if isinstance(x, str) or x.gone:
+        if isinstance(x, str) or x.gone or x.worded:
             continue
         if x.tag == tag:
             out.append(x)
@@ -136,21 +149,17 @@ def main_parts(root: Node) -> list[Node]:
     return _articles(root, "article", []) or _articles(root, "main", []) or [root]
 
 
-def _header_of_article(node: Node) -> bool:
-    return node.tag == "header" and any(isinstance(x, Node) and x.tag in ("h1", "h2", "hgroup") for x in node.children)
-
-
 def text_of(parts: list[Node], deleted: set[int]) -> str:
     """The parts' text without deleted nodes (by identity): decoded, one space between words and blocks."""
     out: list[str] = []
-    inside = any(p.tag in ("article", "main") for p in parts)
+    inside = parts[0].tag in ("article", "main")
     stack: list = list(reversed(parts))
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             out.append(x)
             continue
-        if (x.gone and x not in parts) or id(x) in deleted or (x.tag == "header" and not (inside and _header_of_article(x))):
+        if (x.gone and x not in parts) or id(x) in deleted or (not inside and (x.worded or x.tag == "header")):
             continue
         if x.tag in BLOCK:
             out.append("\n")

@@ -410,6 +410,15 @@ def test_html_templates_inside_articles(spark):
         assert got[20 + k] == "Mirrored cell" and got[30 + k] == f"One long shared paragraph of near copies own list {k}"
 
 
+def test_html_words_inside_articles(spark):
+    article = "<header>Byline</header><div class='entry-header'><h1>Title</h1></div><section id='related-work'><h2 class=search>Related</h2><p class='notice'>Notice</p></section>"
+    article += "<pre>x <span class='hljs-comment'># remark</span></pre><div class='search-results'>results</div><p>a <math><mi>x</mi><annotation>tex</annotation></math></p>"
+    article += "<div class='box comments'>bad</div><div id=comments>bad</div><div class=share>bad</div>"
+    rows = [(1, "http://a.example/1", f"<div class='site-search'>s</div><article>{article}</article>"), (2, "http://b.example/1", f"<main>{article}</main>"), (3, "http://c.example/1", "<h1 class=header>Head</h1><div class='site-search'>s</div><p>t <span class=comment>u</span></p>")]
+    want = "Byline Title Related Notice x # remark results a x"
+    assert extracted(spark, rows) == {1: want, 2: want, 3: "Head t u"}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
