@@ -9,8 +9,9 @@ notices, adverts, forms, scripts, styles and reader comments. Outside article an
 in its class or id is marked; inside, only whole classes and ids known as furniture are, and the counts decide the rest.
 
 Inside an article, bare text blocks (PROSE without class or id) are never taken for templates: near copies and
-articles with common lines share them. Other blocks must recur in twice as many main texts as the
-article's own prose does, so that near copies of an article keep their lists and tables.
+articles with common lines share them. A block must recur in PAGES main texts, however many the host has, and in twice as
+many as the page's own prose does, so that near copies keep their paragraphs, lists and tables; outside of
+articles a fifth of the host's texts (SHARE) is enough in place of the latter.
 
 The main text is that of the article elements (or of main, or else of the body), in
 page order. Character references are decoded once; white space in a block is one space; blocks are joined by one.
@@ -62,7 +63,8 @@ PLAIN = {"html", "body", "article", "main"}  # never deleted for a class word
 RAW = {t: re.compile(rf"(?i)</{t}(?=[\s/>])[^>]*>?") for t in "script style textarea title noscript iframe xmp noembed noframes".split()}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-PAGES, SHARE = 4, 0.2  # a template recurs in so many distinct main texts of its host, and in this share of them
+PAGES = 4  # a template recurs in so many distinct main texts of its host, whatever the host's size
+SHARE = 0.2  # on pages whose own prose recurs (near copies), those in this share of the host's texts go too, outside of articles
 
 
 class Node:
@@ -206,16 +208,15 @@ def _size(node: Node) -> int:
     return n
 
 
-def templates_of(parts: list[Node], nodes: list[Node], counts: list[int]) -> set[int]:
-    """The nodes to delete, by identity; counts of nodes that aren't often enough on their host are 0."""
+def templates_of(parts: list[Node], nodes: list[Node], counts: list[int], total: int) -> set[int]:
+    """The nodes to delete, by identity; counts of nodes below PAGES are 0, total is the host's number of texts."""
     if not any(counts):
         return set()
-    if parts[0].tag != "article":
-        return {id(x) for x, c in zip(nodes, counts, strict=True) if c}
+    article = parts[0].tag == "article"
     count = {id(x): c for x, c in zip(nodes, counts, strict=True)}
-    bare = lambda x: x.tag in PROSE and x.mark in ("", "#")
-    often = {id(x) for x, c in zip(nodes, counts, strict=True) if c and not bare(x)}
-    if not often:
+    bare = {id(x) for x in nodes if x.tag in PROSE and x.mark in ("", "#")}
+    often = {k for k, c in count.items() if c and k not in bare}
+    if article and not often:
         return often
     prose, stack = [], list(parts)
     while stack:
@@ -233,7 +234,9 @@ def templates_of(parts: list[Node], nodes: list[Node], counts: list[int]) -> set
         own = c
         if half <= 0:
             break
-    return {k for k in often if count[k] >= 2 * own}
+    if article:
+        return {k for k in often if count[k] >= 2 * own}
+    return {k for k, c in count.items() if c and (c >= 2 * own or c >= SHARE * total)}
 
 
 def host_of(url: str | None) -> str:
@@ -357,7 +360,7 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
             for parts, text, nodes, own, *_ in pages_:
                 got, total = count[start : start + len(own)], count[start + len(own)]
                 start += len(own) + 1
-                deleted = templates_of(parts, nodes, np.where((got >= PAGES) & (got >= SHARE * total), got, 0).tolist())
+                deleted = templates_of(parts, nodes, got.tolist(), int(total))
                 texts.append(text_of(parts, deleted) or text if deleted else text)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
 

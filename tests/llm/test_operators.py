@@ -410,6 +410,17 @@ def test_html_templates_inside_articles(spark):
         assert got[20 + k] == "Mirrored cell" and got[30 + k] == f"One long shared paragraph of near copies own list {k}"
 
 
+def test_html_templates_of_large_hosts(spark):
+    side, copied = "<div class=zz><p>Section news for readers</p></div><p>All of this section</p>", "<p>One long shared paragraph of near copies</p><div>and a part</div>"
+    rows = [(k, "http://a.example/x", f"<body>{side if k < 20 else ''}<p>Story {k} in many words of its own, and more</p></body>") for k in range(300)]
+    rows += [(400 + k, "http://a.example/x", f"<body>{copied}<p>{k}</p></body>") for k in range(8)]
+    rows += [(600 + k, "http://b.example/x", f"<body><div class=zz>Kept</div><p>Mirrored {k % 3}</p></body>") for k in range(40)]
+    got = extracted(spark, rows)
+    assert all(got[k] == f"Story {k} in many words of its own, and more" for k in range(300))
+    assert all(got[400 + k] == f"One long shared paragraph of near copies and a part {k}" for k in range(8))
+    assert all(got[600 + k] == f"Kept Mirrored {k % 3}" for k in range(40))
+
+
 def test_html_words_inside_articles(spark):
     article = "<header>Byline</header><div class='entry-header'><h1>Title</h1></div><section id='related-work'><h2 class=search>Related</h2><p class='notice'>Notice</p></section>"
     article += "<pre>x <span class='hljs-comment'># remark</span></pre><div class='search-results'>results</div><p>a <math><mi>x</mi><annotation>tex</annotation></math></p>"
