@@ -2,9 +2,9 @@
 
 A document's set is its distinct shingles of five words (A-Z lower-cased), or the
 whole sequence if it has fewer. Documents with equal sets are one class; only
-classes are compared. HASHES minima of multiply-add hashes make BANDS keys of
-ROWS minima each. With Jaccard similarity 0.85, two sets share no key once in
-about a million pairs, and a pair of less is met only where it shares one.
+classes are compared. Minima of multiply-add hashes make keys of ROWS minima
+each, so many (24 for a similarity of 0.85, 35 for 0.8) that two sets at the threshold share no key less
+than once in a million pairs (7.7e-7 and 9.2e-7), and a pair of less is met only where it shares one.
 
 All classes that share a key are a bucket. Each is first held against the least
 one of its bucket. Buckets whose classes have then not become one component are
@@ -22,6 +22,7 @@ in their class but never name it; if they're alone in it component_id is null an
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -36,7 +37,8 @@ from .components import components
 from .textbatch import hashes, mix, slices, words
 
 SHINGLE, ROWS, BANDS = 5, 5, 24
-HASHES = ROWS * BANDS
+HASHES = ROWS * BANDS  # of a stored signature; the bands of a threshold may take more
+MISSED = 1e-6
 TILE = 2048
 _draw = np.random.default_rng(5)
 FACTORS = _draw.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,34 +77,46 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     return value[fresh], np.r_[0, np.cumsum(fresh)][bounds]
 
 
-def minima(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """HASHES rows: the least hash of each set, none of them empty."""
-    out = np.empty((HASHES, len(starts)), np.uint64)
+def bands_for(percent: int) -> int:
+    """The least number of bands that miss a pair at this similarity at most once in a million."""
+    return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
+
+
+def _hashing(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n factors and shifts, the first HASHES of them FACTORS and SHIFTS."""
+    draw = np.random.default_rng(6)
+    more = draw.integers(0, 2**63, (max(n - HASHES, 0), 2), np.uint64)
+    return np.r_[FACTORS, more[:, 0] * np.uint64(2) + np.uint64(1)][:n], np.r_[SHIFTS, more[:, 1]][:n]
+
+
+def minima(sets: np.ndarray, starts: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """n rows: the least hash of each set, none of them empty."""
+    out = np.empty((n, len(starts)), np.uint64)
     work = np.empty_like(sets)
-    for k in range(HASHES):
-        np.multiply(sets, FACTORS[k], out=work)
-        np.add(work, SHIFTS[k], out=work)
+    for k, (factor, shift) in enumerate(zip(*_hashing(n), strict=True)):
+        np.multiply(sets, factor, out=work)
+        np.add(work, shift, out=work)
         out[k] = np.minimum.reduceat(work, starts)
     return out
 
 
-def sketches(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[pa.RecordBatch]:
+def sketches(batches: Iterator[pa.RecordBatch], key: str, text: str, bands: int = BANDS) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, text):
         sets, bounds = shingle_sets(batch[text])
         count = np.diff(bounds)
         full = count > 0
-        low = minima(sets, bounds[:-1][full])
-        names, keys = np.zeros(len(count), np.uint64), np.zeros((len(count), BANDS), np.uint64)
+        low = minima(sets, bounds[:-1][full], ROWS * bands)
+        names, keys = np.zeros(len(count), np.uint64), np.zeros((len(count), bands), np.uint64)
         if full.any():
             names[full] = np.add.reduceat(mix(sets ^ BASE), bounds[:-1][full])
-            for b in range(BANDS):
+            for b in range(bands):
                 one = np.full(low.shape[1], b + 1, np.uint64)
                 for r in range(ROWS):
                     one = one * BASE + mix(low[b * ROWS + r])
                 keys[full, b] = mix(one)
-        ends = np.r_[0, np.cumsum(np.where(full, BANDS, 0))]
-        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[full].reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch[key].cast(pa.int64()), pa.array(count, pa.int64()), pa.array(names.view(np.int64)), bands], names=["doc_id", "n_shingles", "name", "bands"])
+        ends = np.r_[0, np.cumsum(np.where(full, bands, 0))]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[full].reshape(-1).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch[key].cast(pa.int64()), pa.array(count, pa.int64()), pa.array(names.view(np.int64)), lists], names=["doc_id", "n_shingles", "name", "bands"])
 
 
 def _store(at: str):
@@ -228,7 +242,8 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     spark = docs.sparkSession
     at = shared.folder(spark, "minhash")
     pair = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    drawn = pair.mapInArrow(lambda it: sketches(it, "doc_id", "text"), "doc_id long, n_shingles long, name long, bands array<long>")
+    bands = bands_for(percent)
+    drawn = pair.mapInArrow(lambda it: sketches(it, "doc_id", "text", bands), "doc_id long, n_shingles long, name long, bands array<long>")
     drawn = shared.saved(drawn, f"{at}/sketches")
     classes = drawn.where("n_shingles > 0").groupBy("name", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = shared.saved(classes, f"{at}/classes")

@@ -287,6 +287,16 @@ def test_near_duplicates(spark, monkeypatch, tile):
     assert minhash_dedup.classes_of(empty(spark)).count() == 0
 
 
+def test_bands_follow_the_threshold(spark):
+    from statloom.llm import minhash_dedup as m
+
+    assert (m.bands_for(85), m.bands_for(80)) == (24, 35)
+    assert all((1 - (p / 100) ** m.ROWS) ** m.bands_for(p) <= 1e-6 for p in range(50, 100, 5))
+    texts = pa.record_batch([pa.array([1]), pa.array(["a b c d e f g"])], names=["doc_id", "text"])
+    few, more = (next(m.sketches(iter([texts]), "doc_id", "text", m.bands_for(p)))["bands"][0].as_py() for p in (85, 80))
+    assert len(set(more)) == 35 and more[:24] == few
+
+
 def test_components(spark):
     from statloom.llm.components import components
 
