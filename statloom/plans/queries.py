@@ -44,27 +44,27 @@ TWO = f"""SELECT trait_id, count(v) FILTER (g = 'P') AS n1, count(v) FILTER (g =
 
 
 @query("SELECT * FROM nation")
-def op01_scan(spark, d):
+def s01_scan(spark, d):
     return _t(spark, d, "nation")
 
 
 @query("SELECT * FROM region UNION ALL SELECT * FROM region")
-def op02_scan_many(spark, d):
+def s02_scan_many(spark, d):
     return tables.scan_many(spark, [f"{d}/region.parquet", f"{d}/no_such_file.parquet"]).unionByName(tables.scan(spark, f"{d}/region.parquet"))
 
 
 @query("SELECT value FROM events")
-def op03_scan_column(spark, d):
+def s03_scan_column(spark, d):
     return tables.scan_column(spark, f"{d}/events.parquet", "value")
 
 
 @query("SELECT l_partkey AS trait_id, l_extendedprice AS trait_value FROM lineitem WHERE l_partkey = 17")
-def op09_extract_trait(spark, d):
+def s09_extract_trait(spark, d):
     return rows.extract_trait(_traits(spark, d), 17).select("trait_id", "trait_value")
 
 
 @query("SELECT l_linenumber AS chra, month(l_shipdate)::INT AS windowa, l_returnflag AS origin, l_extendedprice AS effect_value FROM lineitem WHERE l_linenumber = 2 AND month(l_shipdate) = 3")
-def op10_extract_window(spark, d):
+def s10_extract_window(spark, d):
     return rows.extract_window(_effects(spark, d), 2, 3).drop("trait_id")
 
 
@@ -81,17 +81,17 @@ FLIP = """SELECT l_linenumber::TINYINT AS chra, month(l_shipdate)::INT AS window
 
 
 @query(FLIP.format(-1))
-def op11_positive_flips(spark, d):
+def s11_positive_flips(spark, d):
     return rows.mutation_flips(*_flip_sides(spark, d), "pos_flip")
 
 
 @query(FLIP.format(1))
-def op11_negative_flips(spark, d):
+def s11_negative_flips(spark, d):
     return rows.mutation_flips(*_flip_sides(spark, d), "nega_flip")
 
 
 @query("SELECT l_orderkey AS f2, CASE WHEN l_orderkey % 2 = 0 THEN 'M' ELSE 'P' END AS origin FROM lineitem")
-def op12_origin(spark, d):
+def s12_origin(spark, d):
     return _traits(spark, d).select("f2", "origin")
 
 
@@ -104,57 +104,57 @@ DESCRIBE = """WITH e AS (SELECT l_linenumber AS chra, month(l_shipdate)::INT AS
 
 
 @query(DESCRIBE)
-def op13_describe(spark, d):
+def s13_describe(spark, d):
     out = describe.describe(_effects(spark, d), "effect_value")
     digits = {"mean": 4, "std": 4, "var": 2, "cv": 6, "median": 4, "iqr": 4, "qcd": 6}
     return out.withColumns({c: F.round(c, k) for c, k in digits.items()})
 
 
 @query("SELECT l_partkey, count(*) AS count FROM lineitem GROUP BY 1")
-def op14_sizes(spark, d):
+def s14_sizes(spark, d):
     return describe.sizes(_t(spark, d, "lineitem"), "l_partkey")
 
 
 @query("SELECT p_brand, round(count(DISTINCT p_size) * 100.0 / count(p_brand), 6) AS ratio FROM part GROUP BY 1")
-def op15_distinct_ratio(spark, d):
+def s15_distinct_ratio(spark, d):
     return _rounded(describe.distinct_ratio(_t(spark, d, "part"), "p_brand", "p_size"))
 
 
 @query("SELECT count(*) AS n FROM lineitem")
-def op15c_row_count(spark, d):
+def s15c_row_count(spark, d):
     return _t(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT trait_id, round(m1 + 1e-7, 4) AS mean_p, round(m2 + 1e-7, 4) AS mean_m FROM ({TWO})")
-def op15d_conditional(spark, d):
+def s15d_conditional(spark, d):
     v = F.col("trait_value")
     return _traits(spark, d).groupBy("trait_id").agg(*[F.round(F.avg(F.when(F.col("origin") == g, v)) + 1e-7, 4).alias(n) for g, n in (("P", "mean_p"), ("M", "mean_m"))])
 
 
 @query("SELECT min(value) AS lo, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM events")
-def op15e_whole_column(spark, d):
+def s15e_whole_column(spark, d):
     return _t(spark, d, "events").agg(F.min("value").alias("lo"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"))
 
 
 @query()
-def op16_shapiro(spark, d):
+def s16_shapiro(spark, d):
     return _rounded(difference.shapiro(_traits(spark, d), "trait_value"))
 
 
 @query(f"""SELECT a.trait_id, sum(CASE WHEN a.v > b.v THEN 1.0::DOUBLE WHEN a.v = b.v THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS u FROM ({TRAITS}) a JOIN ({TRAITS}) b ON a.trait_id = b.trait_id
  WHERE a.g = 'P' AND b.g = 'M' GROUP BY 1""")
-def op17_mann_whitney(spark, d):
+def s17_mann_whitney(spark, d):
     return difference.mann_whitney(_traits(spark, d), "trait_value").where(~F.isnan("statistic")).select("trait_id", F.col("statistic").alias("u"))
 
 
 @query(f"""SELECT trait_id, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) AS t, n1 + n2 - 2.0::DOUBLE AS df FROM ({TWO}) WHERE n1 > 1 AND n2 > 1""")
-def op18a_student(spark, d):
+def s18a_student(spark, d):
     enough = difference._two(_traits(spark, d), "trait_value").where("n1 > 1 AND n2 > 1").select("trait_id")
     return difference.student(_traits(spark, d), "trait_value").join(enough, "trait_id").select("trait_id", F.round("statistic", 6).alias("t"), "df")
 
 
 @query(f"""SELECT trait_id, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / (v1 / n1 * v1 / n1 / (n1 - 1) + v2 / n2 * v2 / n2 / (n2 - 1)), 6) AS df FROM ({TWO}) WHERE n1 > 1 AND n2 > 1""")
-def op18b_welch(spark, d):
+def s18b_welch(spark, d):
     enough = difference._two(_traits(spark, d), "trait_value").where("n1 > 1 AND n2 > 1").select("trait_id")
     return difference.welch(_traits(spark, d), "trait_value").join(enough, "trait_id").select("trait_id", F.round("statistic", 6).alias("t"), F.round("df", 6).alias("df"))
 
@@ -166,23 +166,23 @@ LEVENE = f"""WITH z AS (SELECT trait_id, g, abs(v - median(v) OVER (PARTITION BY
 
 
 @query(LEVENE)
-def op19a_levene(spark, d):
+def s19a_levene(spark, d):
     both = _traits(spark, d).groupBy("trait_id").agg(F.count_distinct("origin").alias("k")).where("k = 2").select("trait_id")
     return difference.levene(_traits(spark, d), "trait_value").join(both, "trait_id").select("trait_id", F.round("statistic", 5).alias("f"))
 
 
 @query(f"""SELECT trait_id, round(((n1 + n2 - 2) * ln(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) - (n1 - 1) * ln(v1) - (n2 - 1) * ln(v2)) / (1 + (1.0 / (n1 - 1) + 1.0 / (n2 - 1) - 1.0 / (n1 + n2 - 2)) / 3), 6) AS t FROM ({TWO}) WHERE n1 > 1 AND n2 > 1""")
-def op19b_bartlett(spark, d):
+def s19b_bartlett(spark, d):
     return difference.bartlett(_traits(spark, d), "trait_value").where(~F.isnan("statistic")).select("trait_id", F.round("statistic", 6).alias("t"))
 
 
 @query()
-def op19c_fligner(spark, d):
+def s19c_fligner(spark, d):
     return _rounded(difference.fligner(_traits(spark, d), "trait_value"))
 
 
 @query()
-def op19d_difference_test(spark, d):
+def s19d_difference_test(spark, d):
     return _rounded(difference.significance(difference.difference_test(_traits(spark, d), "trait_value")))
 
 
@@ -199,27 +199,27 @@ ANOVA = """WITH e AS (SELECT l_linenumber AS chra, month(l_shipdate)::INT AS win
 
 
 @query(ANOVA)
-def op20_anova(spark, d):
+def s20_anova(spark, d):
     return variance.anova(_windows(spark, d), "v").where(~F.isnan("f")).select("chra", "windowa", "trait_id", F.round("f", 6).alias("f"), F.round("repeatability", 8).alias("repeatability"))
 
 
 @query()
-def op21_bayes(spark, d):
+def s21_bayes(spark, d):
     return variance.variance_components(_windows(spark, d), "v")
 
 
 @query()
-def op22_box_cox(spark, d):
+def s22_box_cox(spark, d):
     return shape.box_cox(_t(spark, d, "events").select("event_id", "value"), "value")[0]
 
 
 @query("SELECT o_orderkey, variable, value FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders) UNPIVOT INCLUDE NULLS (value FOR variable IN (o_orderstatus, o_orderpriority))")
-def op23_wide_to_long(spark, d):
+def s23_wide_to_long(spark, d):
     return rows.wide_to_long(_t(spark, d, "orders"), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
 
 
 @query("SELECT n_regionkey, " + ", ".join(f"arg_min(n_name, n_nationkey) FILTER (n_nationkey % 3 = {k}) AS \"{k}\"" for k in range(3)) + " FROM nation GROUP BY 1")
-def op24_long_to_wide(spark, d):
+def s24_long_to_wide(spark, d):
     n = _t(spark, d, "nation").withColumn("g", F.col("n_nationkey") % 3)
     return rows.long_to_wide(n, ["n_regionkey"], ["g"], ["n_name"], order="n_nationkey", names=[0, 1, 2])
 
@@ -227,36 +227,36 @@ def op24_long_to_wide(spark, d):
 @query("""WITH s AS (SELECT min(value) AS lo, (max(value) - min(value)) / 30 AS w, count(value) AS n FROM events),
  c AS (SELECT least(floor((value - lo) / w), 29)::INT AS bin, count(*) AS count FROM events, s WHERE value IS NOT NULL GROUP BY 1)
  SELECT range::INT AS bin, coalesce(count, 0)::BIGINT AS count, round(coalesce(count, 0) / (n * w), 8) AS density FROM range(30), s LEFT JOIN c ON range = bin""")
-def op25a_histogram(spark, d):
+def s25a_histogram(spark, d):
     return shape.histogram(_t(spark, d, "events"), "value").select("bin", "count", F.round("density", 8).alias("density"))
 
 
 @query("""WITH s AS (SELECT min(value) AS lo, max(value) AS hi, avg(value) AS m, stddev_pop(value) AS sd FROM events)
  SELECT range::INT AS i, round(lo + range * (hi - lo) / 99, 6) AS x, round(exp(-pow((lo + range * (hi - lo) / 99 - m) / sd, 2) / 2) / (sd * sqrt(2 * pi())), 8) AS density FROM range(100), s""")
-def op25b_normal_curve(spark, d):
+def s25b_normal_curve(spark, d):
     return shape.normal_curve(_t(spark, d, "events"), "value").select("i", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
 @query()
-def op25c_qq_points(spark, d):
+def s25c_qq_points(spark, d):
     return _rounded(shape.qq_points(_t(spark, d, "events"), "value"), 8)
 
 
 @query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS q3 FROM events)
  SELECT round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
  count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS fliers FROM events, q WHERE value IS NOT NULL GROUP BY ALL""")
-def op25d_box(spark, d):
+def s25d_box(spark, d):
     out = shape.box_statistics(_t(spark, d, "events"), "value")
     return out.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC NULLS FIRST LIMIT 25")
-def op26_preview(spark, d):
+def s26_preview(spark, d):
     return rows.preview(_t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), "o_orderdate, o_orderkey", True, 25)
 
 
 @query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
-def op28_union(spark, d):
+def s28_union(spark, d):
     n, r = _t(spark, d, "nation"), _t(spark, d, "region")
     return rows.union_strict(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), r.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")))
 
@@ -265,17 +265,17 @@ QC = """WITH s AS (SELECT l_partkey AS k, count(*) AS c, count(DISTINCT l_quanti
 
 
 @query(QC + " SELECT l_partkey AS trait_id, l_quantity AS trait_value, l_orderkey AS f2, CASE WHEN l_orderkey % 2 = 0 THEN 'M' ELSE 'P' END AS origin FROM lineitem WHERE l_partkey NOT IN (SELECT k FROM s WHERE c < 28 OR r < 80)")
-def op31_quality_control(spark, d):
+def s31_quality_control(spark, d):
     t = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("trait_id"), F.col("l_quantity").alias("trait_value"), F.col("l_orderkey").alias("f2"))
     return describe.quality_control(t, "trait_id", "trait_value", 28, 80.0)[0]
 
 
 @query(QC + " SELECT k AS trait_id, c AS count, round(r, 6) AS ratio FROM s WHERE c < 28 OR r < 80")
-def op31_deleted_groups(spark, d):
+def s31_deleted_groups(spark, d):
     t = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("trait_id"), F.col("l_quantity").alias("trait_value"), F.col("l_orderkey").alias("f2"))
     return _rounded(describe.quality_control(t, "trait_id", "trait_value", 28, 80.0)[1])
 
 
 @query("SELECT doc_id, length(text) AS length FROM documents")
-def op32_string_lengths(spark, d):
+def s32_string_lengths(spark, d):
     return rows.string_lengths(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.col("length").cast("bigint").alias("length"))

@@ -230,7 +230,7 @@ def test_oracle_at_small_scale(spark):
     con = duckdb.connect()
     for f in glob.glob("/root/testdata/sf0.001/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    for name in ("op11_positive_flips", "op13_describe", "op17_mann_whitney", "op20_anova", "op24_long_to_wide", "op31_quality_control"):
+    for name in ("s11_positive_flips", "s13_describe", "s17_mann_whitney", "s20_anova", "s24_long_to_wide", "s31_quality_control"):
         mine = QUERIES[name](spark, "/root/testdata/sf0.001")
         cols = sorted(mine.columns)
         assert sorted(map(str, (tuple(r) for r in mine.select(cols).collect()))) == sorted(map(str, con.sql(f'SELECT {", ".join(chr(34) + c + chr(34) for c in cols)} FROM ({SQL[name]})').fetchall())), name
