@@ -1,27 +1,29 @@
 """MinHash near-dedup: universal hash minima in bands, verification, and connected components.
 
 A document's set is its distinct shingles of five words (A-Z lower-cased), or the
-whole sequence if it has fewer. Documents with equal sets are one class; only
-classes are compared. Minima of multiply-add hashes make keys of ROWS minima
+whole sequence if it has fewer. Rows with equal sets (128-bit digests of the whole set) are one class; only
+classes are compared, and each has a number of its own. Minima of multiply-add hashes make keys of ROWS minima
 each, so many (24 for a similarity of 0.85, 35 for 0.8) that two sets at the threshold share no key less
 than once in a million pairs (7.7e-7 and 9.2e-7), and a pair of less is met only where it shares one.
 
 All classes that share a key are a bucket. Each is first held against the least
-one of its bucket. Buckets whose classes have then not become one component are
-cut into tiles of a bounded number of classes, and in each tile every pair of
-different components is held against each other, so no link of a bucket is lost
-however large it is. A pair whose minima agree too rarely (six standard deviations
+one of its bucket; the least ones of large buckets are broadcast, so no bucket is one task. Buckets whose classes
+have then not become one component are cut by size of set, as sets of unlike sizes can't be alike, and into
+tiles of a bounded number of classes. In each tile every pair of different components is held against each other,
+so no link of a bucket is lost however large it is. A pair whose minima agree too rarely (six standard deviations
 below the threshold) is refused by its signature; all others are confirmed
-on full sets. Sets of classes with a partner lie in files of the shared folder,
-memory-mapped where they are compared; nothing of them reaches the driver.
+on full sets. Sets of classes with a partner lie in files of the shared folder and
+are read from there pair by pair; nothing of them reaches the driver.
 
 Null and empty texts and texts of white space have no set: they're linked with
-nothing and kept. Rows may repeat: equal rows share a class. Rows with a null doc_id are
-in their class but never name it; if they're alone in it component_id is null and kept is false.
+nothing and kept. Rows may repeat: equal rows share a class. A doc_id that stands for several texts
+links them all. Rows with a null doc_id are in their class but never name it; if no row of their component has
+one, component_id is null and kept is false.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -39,7 +41,9 @@ from .textbatch import hashes, mix, slices, words
 SHINGLE, ROWS, BANDS = 5, 5, 24
 HASHES = ROWS * BANDS  # of a stored signature; the bands of a threshold may take more
 MISSED = 1e-6
-TILE = 2048
+TILE = 512  # classes of a tile's side
+SLICE = 2 << 20  # bytes of text at a time
+HOT_BUCKET, HOT_SHARE = 256, 4096  # a large bucket has so many classes, and one in so many: at most bands * HOT_SHARE such buckets
 _draw = np.random.default_rng(5)
 FACTORS = _draw.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _draw.integers(0, 2**63, HASHES, np.uint64)
@@ -100,46 +104,59 @@ def minima(sets: np.ndarray, starts: np.ndarray, n: int = HASHES) -> np.ndarray:
     return out
 
 
+def digests(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each whole set, as two numbers; of an empty one too."""
+    data = memoryview(np.ascontiguousarray(sets)).cast("B") if len(sets) else b""
+    ends = (8 * bounds).tolist()
+    raw = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True))
+    two = np.frombuffer(raw, np.int64).reshape(-1, 2)
+    return two[:, 0], two[:, 1]
+
+
 def sketches(batches: Iterator[pa.RecordBatch], key: str, text: str, bands: int = BANDS) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, text):
+    """Each row's other columns, the size and digest of its set, and its keys."""
+    for batch in slices(batches, text, SLICE):
         sets, bounds = shingle_sets(batch[text])
         count = np.diff(bounds)
         full = count > 0
         low = minima(sets, bounds[:-1][full], ROWS * bands)
-        names, keys = np.zeros(len(count), np.uint64), np.zeros((len(count), bands), np.uint64)
-        if full.any():
-            names[full] = np.add.reduceat(mix(sets ^ BASE), bounds[:-1][full])
-            for b in range(bands):
-                one = np.full(low.shape[1], b + 1, np.uint64)
-                for r in range(ROWS):
-                    one = one * BASE + mix(low[b * ROWS + r])
-                keys[full, b] = mix(one)
+        keys = np.zeros((low.shape[1], bands), np.int64)
+        for b in range(bands):
+            one = np.full(low.shape[1], b + 1, np.uint64)
+            for r in range(ROWS):
+                one = one * BASE + mix(low[b * ROWS + r])
+            keys[:, b] = mix(one).view(np.int64)
         ends = np.r_[0, np.cumsum(np.where(full, bands, 0))]
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[full].reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch[key].cast(pa.int64()), pa.array(count, pa.int64()), pa.array(names.view(np.int64)), lists], names=["doc_id", "n_shingles", "name", "bands"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.reshape(-1)))
+        high, less = digests(sets, bounds)
+        rest = [c for c in batch.schema.names if c not in (key, text)]
+        columns = [batch[key].cast(pa.int64()), *(batch[c] for c in rest), pa.array(count, pa.int64()), pa.array(high), pa.array(less), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *rest, "n_shingles", "hi", "lo", "bands"])
 
 
 def _store(at: str):
-    """Writes each task's sets, with their minima, to one file; rows tell the place of each."""
+    """Writes each task's sets, with their minima, to one file as they come; rows tell the place of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, place, held = uuid.uuid4().hex, 0, []
-        out = []
-        for batch in slices(batches, "text"):
+        name, place, file, seen = uuid.uuid4().hex, 0, None, set()
+        for batch in slices(batches, "text", SLICE):
             sets, bounds = shingle_sets(batch["text"])
             count = np.diff(bounds)
-            full = np.flatnonzero(count > 0)
-            low = (minima(sets, bounds[:-1][full]) >> np.uint64(48)).astype(np.uint16).T
-            names = np.add.reduceat(mix(sets ^ BASE), bounds[:-1][full]) if len(full) else np.zeros(0, np.uint64)
+            high, less = digests(sets, bounds)
+            names = list(zip(high.tolist(), less.tolist(), strict=True))
+            full = np.array([i for i, x in enumerate(names) if count[i] and x not in seen], np.int64)  # copies in one slice may both stay
+            seen = seen.union(names) if len(seen) < 1 << 20 else set()
+            low = (minima(sets, bounds[:-1][count > 0])[:, (np.cumsum(count > 0) - 1)[full]] >> np.uint64(48)).astype(np.uint16).T
             places = []
-            for k, i in enumerate(full):
-                held += [np.ascontiguousarray(low[k]), sets[bounds[i] : bounds[i + 1]]]
+            for k, i in enumerate(full.tolist()):
+                file = file or shared.Writer(f"{at}/{name}")
+                file.write(low[k])
+                file.write(sets[bounds[i] : bounds[i + 1]])
                 places.append(place)
                 place += 2 * HASHES + 8 * int(count[i])
-            out.append(pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(full)).cast(pa.int64()), pa.array(count[full], pa.int64()), pa.array(names.view(np.int64)), pa.array([file] * len(full), pa.string()), pa.array(places, pa.int64())], names=["rep", "n", "name", "file", "place"]))
-        if held:
-            shared.put(f"{at}/{file}", held)
-        yield from out
+            yield pa.RecordBatch.from_arrays([pa.array(high[full]), pa.array(less[full]), pa.array([name] * len(full), pa.string()), pa.array(places, pa.int64())], names=["hi", "lo", "file", "place"])
+        if file:  # before the task is done: its rows count only then
+            file.close()
 
     return run
 
@@ -148,20 +165,13 @@ class Sets:
     """The stored sets, by file and place."""
 
     def __init__(self, at: str):
-        self.at, self.files = at, {}
-
-    def raw(self, file: str) -> np.ndarray:
-        if file not in self.files:
-            if len(self.files) > 500:
-                self.files.clear()
-            self.files[file] = shared.get(f"{self.at}/{file}")
-        return self.files[file]
+        self.ranges = shared.Ranges(at)
 
     def low(self, file: str, place: int) -> np.ndarray:
-        return self.raw(file)[place : place + 2 * HASHES].view(np.uint16)
+        return self.ranges.read(file, place, 2 * HASHES).view(np.uint16)
 
     def of(self, file: str, place: int, n: int) -> np.ndarray:
-        return self.raw(file)[place + 2 * HASHES : place + 2 * HASHES + 8 * n].view(np.uint64)
+        return self.ranges.read(file, place + 2 * HASHES, 8 * n).view(np.uint64)
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -195,13 +205,13 @@ def _verify(at: str, percent: int):
 
 def _links(store: Sets, tile: pd.DataFrame, percent: int, floor: float) -> list[tuple[int, int]]:
     """Confirmed links that join a tile's components: no pair that can join two is left out."""
-    tile = tile.sort_values(["rep", "part"])
-    rep, n, part, comp, file, place = (tile[c].to_numpy() for c in ("rep", "n", "part", "comp", "file", "place"))
+    tile = tile.sort_values(["cid", "part"])
+    cid, n, part, comp, file, place = (tile[c].to_numpy() for c in ("cid", "n", "part", "comp", "file", "place"))
     same = tile["t0"].iloc[0] == tile["t1"].iloc[0]
     low = np.stack([store.low(f, p) for f, p in zip(file, place, strict=True)])
     group = comp.copy()
     links = []
-    for i in range(len(rep) - 1):
+    for i in range(len(cid) - 1):
         rest = slice(i + 1, None)
         fit = (group[rest] != group[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
         if not same:
@@ -209,13 +219,13 @@ def _links(store: Sets, tile: pd.DataFrame, percent: int, floor: float) -> list[
         fit = i + 1 + np.flatnonzero(fit)
         for j in fit[(low[fit] == low[i]).mean(1) >= floor] if len(fit) else ():
             if group[i] != group[j] and alike(store.of(file[i], place[i], n[i]), store.of(file[j], place[j], n[j]), percent):
-                links.append((rep[i], rep[j]))
+                links.append((cid[i], cid[j]))
                 group[group == group[j]] = group[i]
     return links
 
 
 def _tiles(at: str, percent: int):
-    """Rows come sorted by tile; a tile is whole before it's read, and bounded by TILE classes."""
+    """Rows come sorted by tile; a tile is whole before it's read, and bounded by TILE classes a side."""
     floor = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,46 +247,86 @@ def _tiles(at: str, percent: int):
     return run
 
 
-def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
+def _of_band(rows: DataFrame, table: DataFrame, limit: int) -> DataFrame:
+    """rows with their band's row of the table (band, c, ...). Bands with more than `limit` rows are few, and broadcast."""
+    hot = F.broadcast(table.where(F.col("c") > limit))
+    cold = rows.join(hot.select("band"), "band", "left_anti").join(table.where(F.col("c") <= limit), "band")
+    return rows.join(hot, "band").unionByName(cold)
+
+
+def _tiled(members: DataFrame, comp: DataFrame, index: DataFrame, percent: int, limit: int, at: str) -> DataFrame:
+    """The classes of buckets with more than one component, once for each tile they're in, the tile's rows together.
+
+    A bucket's classes are split by the logarithm of their size, so that only neighbouring sizes can be alike, and then by number.
+    """
+    found = members.select("band", "cid").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    found = shared.saved(found, f"{at}/open")
+    mixed = found.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high")
+    rest = _of_band(found, mixed.select("band", "c"), limit).drop("c").join(index, "cid")
+    # 1e-9: a pair exactly at the threshold is never two steps apart
+    rest = shared.saved(rest.withColumn("step", F.floor(F.log("n") / (math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")).cast("int")), f"{at}/rest")
+    sizes = rest.groupBy("band", "step").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+    order = Window.partitionBy("band").orderBy("step")
+    beside = lambda f, d: F.when(f("step").over(order) == F.col("step") + d, f("parts").over(order)).otherwise(0)
+    sizes = sizes.withColumn("up", beside(F.lead, 1)).withColumn("down", beside(F.lag, -1)).withColumn("c", F.col("parts") * TILE)
+    rest = rest.join(sizes.withColumnsRenamed({"band": "_band", "step": "_step"}), F.expr("band = _band AND step = _step")).drop("_band", "_step", "c")
+    own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+    name = lambda step, part: step.cast("long") * (1 << 32) + part
+    rest = rest.withColumn("part", name(F.col("step"), own))
+    upto = lambda step, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: name(step, k))).otherwise(F.expr("cast(array() as array<long>)"))
+    others = F.concat(upto(F.col("step"), F.col("parts")), upto(F.col("step") + 1, F.col("up")), upto(F.col("step") - 1, F.col("down")))
+    rest = rest.withColumn("other", F.explode(others)).withColumn("t0", F.least("part", "other")).withColumn("t1", F.greatest("part", "other"))
+    rest = rest.select("band", "t0", "t1", "part", "cid", "comp", "n", "file", "place")
+    return rest.repartition(4 * _parts(members.sparkSession), "band", "t0", "t1").sortWithinPartitions("band", "t0", "t1")
+
+
+def groups_of(rows: DataFrame, percent: int, by_id: bool) -> DataFrame:
+    """row, doc_id, n_shingles and comp (a number of the row's component, null without a set) of rows (row, doc_id, text).
+
+    row is a number that equal rows at most share. by_id: whether the texts of one doc_id are linked.
+    """
+    spark = rows.sparkSession
     at = shared.folder(spark, "minhash")
-    pair = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bands = bands_for(percent)
-    drawn = pair.mapInArrow(lambda it: sketches(it, "doc_id", "text", bands), "doc_id long, n_shingles long, name long, bands array<long>")
+    drawn = rows.select("doc_id", "row", "text").mapInArrow(lambda it: sketches(it, "doc_id", "text", bands), "doc_id long, row long, n_shingles long, hi long, lo long, bands array<long>")
     drawn = shared.saved(drawn, f"{at}/sketches")
-    classes = drawn.where("n_shingles > 0").groupBy("name", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = shared.saved(classes, f"{at}/classes")
-    keyed = classes.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("band", "head")
-    members = shared.saved(keyed.join(heads, "band"), f"{at}/members")
-    stored = pair.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_store(f"{at}/sets"), "rep long, n long, name long, file string, place long")
+    some = drawn.where("n_shingles > 0").groupBy("hi", "lo").agg(F.first("n_shingles").alias("n"), F.min("row").alias("row"), F.first("bands").alias("bands"))
+    classes = shared.saved(some.withColumn("cid", F.monotonically_increasing_id()), f"{at}/classes")  # numbers are fixed once written
+    owned = shared.saved(drawn.drop("bands").join(classes.select("hi", "lo", "cid"), ["hi", "lo"], "left"), f"{at}/owned")
+    limit = max(HOT_BUCKET, classes.count() // HOT_SHARE)
+
+    keyed = classes.select("cid", F.explode("bands").alias("band"))
+    heads = keyed.groupBy("band").agg(F.min("cid").alias("head"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("c")).where("head < last").drop("last")
+    members = shared.saved(_of_band(keyed, shared.saved(heads, f"{at}/heads"), limit).drop("c"), f"{at}/members")
+    paired = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("row")
+    stored = rows.join(paired, "row", "left_semi").select("text").mapInArrow(_store(f"{at}/sets"), "hi long, lo long, file string, place long")
     stored = shared.saved(stored, f"{at}/stored")
-    # a doc_id may stand for several texts: the class's own counts, from any one copy
-    index = classes.select("rep", "name", "n").join(stored, ["rep", "name", "n"]).groupBy("rep").agg(F.min(F.struct("file", "place", "n")).alias("s")).select("rep", "s.*")
+    index = classes.select("cid", "hi", "lo", "n").join(stored, ["hi", "lo"]).groupBy("cid", "n").agg(F.min(F.struct("file", "place")).alias("s")).select("cid", "n", "s.*")
     index = shared.saved(index, f"{at}/index")
-    edges = members.where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
-    two = index.select(F.col("rep").alias("v"), F.col("file").alias("file2"), F.col("place").alias("place2"), F.col("n").alias("n2"))
-    placed = edges.join(index.withColumnRenamed("rep", "u"), "u").join(two, "v").repartition(_parts(spark))
-    stars = shared.saved(placed.mapInArrow(_verify(f"{at}/sets", percent), "u long, v long"), f"{at}/stars")
-    found = components(stars)
-    comp = found.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
-    open_ = members.select("band", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_ = shared.saved(open_, f"{at}/open")
-    mixed = open_.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("band", F.ceil(F.col("c") / TILE).cast("int").alias("parts"))
-    rest = open_.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.withColumn("t0", F.least("part", "other")).withColumn("t1", F.greatest("part", "other")).join(index, "rep").select("band", "t0", "t1", "part", "rep", "comp", "n", "file", "place")
-    rest = rest.repartition(4 * _parts(spark), "band", "t0", "t1").sortWithinPartitions("band", "t0", "t1")
-    links = rest.mapInArrow(_tiles(f"{at}/sets", percent), "u long, v long")
-    links = shared.saved(links, f"{at}/links")
-    if links.limit(1).count():
-        found = components(found.unionByName(links))
-    last = classes.select("name", "n", "rep").join(found.select(F.col("u").alias("rep"), F.col("v").alias("least")), "rep", "left")
-    last = last.select("name", F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))
-    out = drawn.drop("bands").join(last, ["name", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0))
+
+    edges = members.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")).distinct()
+    two = index.select(F.col("cid").alias("v"), F.col("file").alias("file2"), F.col("place").alias("place2"), F.col("n").alias("n2"))
+    placed = edges.join(index.withColumnRenamed("cid", "u"), "u").join(two, "v").repartition(_parts(spark))
+    links = placed.mapInArrow(_verify(f"{at}/sets", percent), "u long, v long")
+    if by_id:
+        several = owned.where("doc_id IS NOT NULL AND cid IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("v"), F.max("cid").alias("last")).where("v < last")
+        links = links.unionByName(owned.join(several.drop("last"), "doc_id").where("cid <> v").select(F.col("cid").alias("u"), "v").distinct())
+    found = components(shared.saved(links, f"{at}/stars"))
+    comp = found.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
+    more = _tiled(members, comp, index, percent, limit, at).mapInArrow(_tiles(f"{at}/sets", percent), "u long, v long")
+    more = shared.saved(more, f"{at}/links")
+    if more.limit(1).count():
+        comp = components(found.unionByName(more)).select(F.col("u").alias("cid"), F.col("v").alias("comp"))
+    return owned.join(comp, "cid", "left").select("row", "doc_id", "n_shingles", F.coalesce("comp", "cid").alias("comp"))
+
+
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    groups = shared.saved(groups_of(rows, percent, True), shared.folder(docs.sparkSession, "groups"))
+    least = groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = groups.join(least, "comp", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0).alias("kept"))
 
 
 def _parts(spark) -> int:
@@ -284,8 +334,15 @@ def _parts(spark) -> int:
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without all but one of each group; equal rows of one doc_id are one, and rows without doc_id stay."""
-    groups = shared.saved(classes_of(docs, percent=percent), shared.folder(docs.sparkSession, "groups"))
-    stay = groups.where("kept").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    """docs with one row of each group of near copies, that of the least doc_id, whatever doc_ids they have. Rows without words all stay.
+
+    Only texts decide: unlike texts of one doc_id are no copies, and rows without a doc_id may be.
+    """
+    at = shared.folder(docs.sparkSession, "rows")
+    row = shared.unused(docs, "_row")
+    docs = shared.saved(docs.withColumn(row, F.monotonically_increasing_id()), f"{at}/docs")  # numbers are fixed once written
+    groups = groups_of(docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, False)
+    groups = shared.saved(groups, f"{at}/groups")
+    first = groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select("least.row")
+    stay = first.unionByName(groups.where("comp IS NULL").select("row"))
+    return docs.join(stay.withColumnRenamed("row", row), row, "left_semi").drop(row)

@@ -9,13 +9,26 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK = "/tmp/checkpoints"  # only where the session names no folder, as in tests
+FALLBACK = "/tmp/checkpoints"  # only where the session names no folder and all of Spark is on this machine, as in tests
+MADE: list[str] = []  # every folder that this process asked for
 
 
 def folder(spark: SparkSession, kind: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir. Its files are needed as long as the result is."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{FALLBACK}"
-    return f"{top.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new folder's URI below spark.checkpoint.dir. Its files are needed as long as the result is; see remove_all."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{FALLBACK}"
+    MADE.append(f"{top.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Deletes the folders of all results so far. Only for when none of them is needed any more."""
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, at: str) -> DataFrame:
@@ -42,38 +55,92 @@ def _local(uri: str) -> str | None:
     return uri.removeprefix("file://") if uri.startswith(("file://", "/")) else None
 
 
-def put(uri: str, parts: Iterable[bytes | np.ndarray]) -> None:
-    """Writes a file at once: a task that runs again replaces it by the same bytes."""
-    if path := _local(uri):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        new = f"{path}.{uuid.uuid4().hex}"
-        with open(new, "wb") as f:
-            for part in parts:
-                f.write(np.ascontiguousarray(part).reshape(-1).view(np.uint8).data if isinstance(part, np.ndarray) else part)
-        os.replace(new, path)
-        return
-    from pyarrow import fs
+class Writer:
+    """A file that appears whole or not at all: a task that runs again replaces it by the same bytes."""
 
-    system, path = fs.FileSystem.from_uri(uri)
-    system.create_dir(os.path.dirname(path), recursive=True)
-    new = f"{path}.{uuid.uuid4().hex}"
-    with system.open_output_stream(new) as f:
-        for part in parts:
-            f.write(np.ascontiguousarray(part).tobytes() if isinstance(part, np.ndarray) else part)
-    system.move(new, path)
+    def __init__(self, uri: str):
+        self.system, self.path = None, _local(uri)
+        if self.path is None:
+            from pyarrow import fs
+
+            self.system, self.path = fs.FileSystem.from_uri(uri)
+        self.new = f"{self.path}.{uuid.uuid4().hex}"
+        if self.system is None:
+            os.makedirs(os.path.dirname(self.path), exist_ok=True)
+            self.file = open(self.new, "wb")  # noqa: SIM115
+        else:
+            self.system.create_dir(os.path.dirname(self.path), recursive=True)
+            self.file = self.system.open_output_stream(self.new)
+
+    def write(self, part: bytes | np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(part).reshape(-1).view(np.uint8).data if isinstance(part, np.ndarray) else part)
+
+    def close(self) -> None:
+        self.file.close()
+        if self.system is None:
+            os.replace(self.new, self.path)
+        else:
+            self.system.move(self.new, self.path)
+
+
+def put(uri: str, parts: Iterable[bytes | np.ndarray]) -> None:
+    """Writes a file at once."""
+    file = Writer(uri)
+    for part in parts:
+        file.write(part)
+    file.close()
 
 
 def get(uri: str) -> np.ndarray:
-    """A file's bytes, memory-mapped where the folder is mounted; empty if there is none."""
+    """A file's bytes, memory-mapped where the folder is mounted. FileNotFoundError if there is none."""
     if path := _local(uri):
-        try:
-            return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-        except FileNotFoundError:
-            return np.zeros(0, np.uint8)
+        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
-    if system.get_file_info(path).type == fs.FileType.NotFound:
-        return np.zeros(0, np.uint8)
     with system.open_input_file(path) as f:
         return np.frombuffer(f.read(), np.uint8)
+
+
+class Files:
+    """Whole files of a folder, kept while there's room: mapped ones by number, others by their bytes."""
+
+    def __init__(self, at: str, maps: int = 1000, room: int = 128 << 20):
+        self.at, self.maps, self.room, self.held, self.bytes = at, maps, room, {}, 0
+
+    def __getitem__(self, name: str | int) -> np.ndarray:
+        if name not in self.held:
+            if len(self.held) >= self.maps or self.bytes > self.room:
+                self.held.clear()
+                self.bytes = 0
+            self.held[name] = x = get(f"{self.at}/{name}")
+            self.bytes += 0 if isinstance(x, np.memmap) else x.nbytes
+        return self.held[name]
+
+
+class Ranges:
+    """Byte ranges of a folder's files, read when they're asked for: only open files are kept."""
+
+    def __init__(self, at: str, most: int = 200):
+        self.at, self.most, self.open = at, most, {}
+
+    def read(self, name: str, start: int, size: int) -> np.ndarray:
+        if name not in self.open:
+            if len(self.open) >= self.most:
+                for f in self.open.values():
+                    f.close()
+                self.open.clear()
+            uri = f"{self.at}/{name}"
+            if path := _local(uri):
+                self.open[name] = open(path, "rb")  # noqa: SIM115
+            else:
+                from pyarrow import fs
+
+                system, path = fs.FileSystem.from_uri(uri)
+                self.open[name] = system.open_input_file(path)
+        file = self.open[name]
+        file.seek(start)
+        data = file.read(size)
+        if len(data) != size:
+            raise OSError(f"{self.at}/{name} is too short")
+        return np.frombuffer(data, np.uint8)

@@ -283,8 +283,53 @@ def test_near_duplicates(spark, monkeypatch, tile):
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
     want = {i for i, _, c in components_of(rows, 85) if i is not None and i == c}
-    assert sorted(i for i in ids if i is not None) == sorted(want)
-    assert minhash_dedup.classes_of(empty(spark)).count() == 0
+    assert sorted(ids) == sorted(want)
+    assert minhash_dedup.classes_of(empty(spark)).count() == 0 and minhash_dedup.deduplicated(empty(spark)).count() == 0
+
+
+def test_near_duplicates_where_a_doc_id_has_several_texts(spark):
+    from statloom.llm import minhash_dedup
+
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 80, 10**6) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, None), (None, c), (None, c), (None, "lone"), (5, c + " z"), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"comp": F.lit("c"), "cid": F.lit("d"), "row": F.lit("e"), "_row": F.lit("f"), "Bands": F.lit("g")})
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.classes_of(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, 5, False), (None, 5, False), (None, None, False), (5, 5, True), (1, 1, True)], key=str)
+    kept = minhash_dedup.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (4, None), (None, "lone"), (5, c + " z"), (1, "")], key=str)
+
+
+def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch):
+    """Classes that share one key and are unlike each other, of several sizes, in small tiles: every link is found."""
+    from statloom.llm import minhash_dedup as m
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        words = prose(rng, (20, 24, 60, 200)[k % 4], 10**6).split()
+        rows.append((k, " ".join(words)))
+        if k % 3 == 0:
+            rows.append((100 + k, " ".join([*words[:-1], "end"])))
+    monkeypatch.setattr(m, "TILE", 3), monkeypatch.setattr(m, "HOT_BUCKET", 10)
+    members = spark.createDataFrame([(7, i) for i in range(len(rows))], "band bigint, cid bigint")
+    sets, bounds = m.shingle_sets(pa.array([r[1] for r in rows]))
+    low = (m.minima(sets, bounds[:-1]) >> np.uint64(48)).astype(np.uint16).T
+    at = m.shared.folder(spark, "test")
+    parts, places, place = [], [], 0
+    for i in range(len(rows)):
+        own = sets[bounds[i] : bounds[i + 1]]
+        parts += [low[i], own]
+        places.append(place)
+        place += 2 * m.HASHES + 8 * len(own)
+    m.shared.put(f"{at}/sets/f", parts)
+    index = spark.createDataFrame([(i, int(bounds[i + 1] - bounds[i]), "f", places[i]) for i in range(len(rows))], "cid bigint, n bigint, file string, place bigint")
+    none = spark.createDataFrame([], "cid bigint, comp bigint")
+    tiled = m._tiled(members, none, index, 85, 10, at)
+    got = {tuple(sorted((r["u"], r["v"]))) for r in tiled.mapInArrow(m._tiles(f"{at}/sets", 85), "u long, v long").collect()}
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if m.alike(sets[bounds[i] : bounds[i + 1]], sets[bounds[j] : bounds[j + 1]], 85)}
+    assert got == want and len(want) > 5
 
 
 def test_bands_follow_the_threshold(spark):
@@ -450,7 +495,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept.columns == docs.columns and good.join(kept, "doc_id", "left_anti").count() == 0 and kept.count() < docs.count()
     one = p.deduplicate(spark, kept, d)
     groups = {c for _, _, c in components_of([tuple(r) for r in kept.select("doc_id", "text").collect()], 80)}
-    assert {r["doc_id"] for r in one.collect()} == groups
+    assert {r["doc_id"] for r in one.collect()} == groups and one.count() == len(groups)
     hidden = p.hide_secrets(spark, one, d)
     assert hidden.count() == one.count() and hidden.where(F.col("text").rlike("[0-9a-f]{32,}")).count() == 0
     mixed = p.mix(spark, hidden, d)
