@@ -4,7 +4,7 @@ A page is parsed to a tree of elements. Each block subtree of the main text is h
 text, and counted per host in Spark, once for each distinct main text it is in, so mirrored pages count as one:
 pairs of subtree and main text are packed by bucket and made distinct, counts are merged, and those that recur are
 written as sorted hash arrays in the shared folder. A second pass deletes what recurs, inside article and main
-as well (unless nothing would be left), and what is marked as no part of the text: menus, headers, footers, sidebars,
+as well, and what is marked as no part of the text: menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments. Outside article and main any block with a word of MARKS
 in its class or id is marked; inside, only whole classes and ids known as furniture are, and the counts decide the rest.
 
@@ -14,9 +14,10 @@ many as the page's own prose does, so that near copies keep their paragraphs, li
 articles a fifth of the host's texts (SHARE) is enough in place of the latter.
 
 The main text is that of the article elements (or of main, or else of the body), in
-page order. Character references are decoded once; white space in a block is one space; blocks are joined by one.
-Null and empty pages give an empty text. A url without a host is its own host. Broken markup never raises:
-unclosed elements end with their parent. Rows may repeat; the results replace columns of their names.
+page order. Character references are decoded once, in each run of text between tags; white space in a block is one space; blocks are joined by one.
+Null and empty pages and pages of nothing but templates give an empty text. A url without a host is its own host. Broken markup never raises:
+unclosed elements end with their parent, a tag without an end is text, and from the first tag on whose quotes never close tags end at the next ">".
+The time for a page grows with its length, whatever is in it. Rows may repeat; the results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -61,9 +62,11 @@ TEMPLATE = (BLOCK | NOT_TEXT) - {"html", "body", "br"}
 PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li p pre summary tbody td tfoot th thead tr".split())
 PLAIN = {"html", "body", "article", "main"}  # never deleted for a class word
 RAW = {t: re.compile(rf"(?i)</{t}(?=[\s/>])[^>]*>?") for t in "script style textarea title noscript iframe xmp noembed noframes".split()}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")  # possessive: nothing is tried twice
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 PAGES = 4  # a template recurs in so many distinct main texts of its host, whatever the host's size
+BUCKET = 16 << 20  # bytes of html for each bucket, in whatever number of buckets
 SHARE = 0.2  # on pages whose own prose recurs (near copies), those in this share of the host's texts go too, outside of articles
 
 
@@ -82,54 +85,101 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
+class _Open:
+    """The open elements, from the root in; where those of a tag and of SCOPE are is known without a walk."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.where, self.scope = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.nodes))
+        self.scope.append(len(self.nodes) if node.tag in SCOPE else self.scope[-1])
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            self.where[self.nodes.pop().tag].pop()
+            self.scope.pop()
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of this tag, 0 if there's none."""
+        held = self.where.get(tag)
+        return held[-1] if held else 0
+
+
+def _marked(node: Node, attributes: dict[str, str]) -> None:
+    """Sets what the attributes say of a node."""
+    tag = node.tag
+    names, place = attributes.get("class", "").lower(), attributes.get("id", "").lower()
+    node.mark = f"{attributes.get('class', '')}#{attributes.get('id', '')}"
+    style = attributes.get("style", "").replace(" ", "").lower()
+    node.gone = tag not in PLAIN and attributes.get("role", "").lower() in ROLES
+    node.gone |= "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
+    if tag in MARKABLE and tag not in PLAIN:
+        node.gone |= place in PLACES or not FURNITURE.isdisjoint(names.split())
+    if (tag in MARKABLE or tag in ("a", "ins", "label")) and tag not in PLAIN:
+        node.worded = not MARKS.isdisjoint(re.split(r"[\s_-]+", f"{names} {place}"))
+
+
+class _Tags:
+    """Finds a page's tags, comments and declarations from left to right."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.form = page, page.rfind(">"), TAG
+
+    def after(self, at: int) -> tuple[int, int, re.Match | None] | None:
+        """The start, end and match (None but for tags) of the next."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), at):
+                mark = "-->" if page.startswith("<!--", at) else ">"
+                end = page.find(mark, at + 2 * len(mark) - 2)
+                return at, end + len(mark) if end >= 0 else len(page), None
+            if at > self.last:  # no tag ends any more
+                return None
+            m = self.form.match(page, at)
+            if not m and self.form is TAG and (m := LOOSE.match(page, at)):  # quotes that never close
+                self.form = LOOSE
+            if m:
+                return at, m.end(), m
+            at += 1
+        return None
+
+
 def parse(page: str) -> Node:
     """The tree of a page: children are texts (not yet decoded) and nodes."""
     root = Node("#root")
-    stack = [root]
-    at = 0
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if not tag:
+    stack = _Open(root)
+    at, tags = 0, _Tags(page)
+    while found := tags.after(at):
+        start, end, m = found
+        if start > at:
+            stack.nodes[-1].children.append(page[at:start])
+        at = end
+        if m is None:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if k := stack.last(tag):
+                stack.cut(k)
             continue
         if tag in ENDS_P or tag in CLOSES:
-            ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE:
-                    break
-        attributes = _attributes(m[3])
+            k = max([stack.last(x) for x in CLOSES.get(tag, ())] + [stack.last("p") if tag in ENDS_P else 0])
+            if k and k >= stack.scope[-1]:
+                stack.cut(k)
         node = Node(tag)
-        if attributes:
-            names, place = attributes.get("class", "").lower(), attributes.get("id", "").lower()
-            node.mark = f"{attributes.get('class', '')}#{attributes.get('id', '')}"
-            style = attributes.get("style", "").replace(" ", "").lower()
-            node.gone = tag not in PLAIN and attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
-            if tag in MARKABLE and tag not in PLAIN:
-                node.gone |= place in PLACES or not FURNITURE.isdisjoint(names.split())
-            if (tag in MARKABLE or tag in ("a", "ins", "label")) and tag not in PLAIN:
-                node.worded = not MARKS.isdisjoint(re.split(r"[\s_-]+", f"{names} {place}"))
+        if attributes := _attributes(m[3]):
+            _marked(node, attributes)
         node.gone |= tag in NOT_TEXT
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW:  # no markup inside; nothing of it is text of an article
             node.gone = True
-            end = RAW[tag].search(page, at)
-            at = end.end() if end else len(page)
+            close = RAW[tag].search(page, at)
+            at = close.end() if close else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+            stack.push(node)
     if at < len(page):
-        stack[-1].children.append(page[at:])
+        stack.nodes[-1].children.append(page[at:])
     return root
 
 
@@ -155,19 +205,20 @@ def text_of(parts: list[Node], deleted: set[int]) -> str:
     """The parts' text without deleted nodes (by identity): decoded, one space between words and blocks."""
     out: list[str] = []
     inside = parts[0].tag in ("article", "main")
+    whole = set(map(id, parts))
     stack: list = list(reversed(parts))
     while stack:
         x = stack.pop()
         if isinstance(x, str):
-            out.append(x)
+            out.append(entities.unescape(x) if "&" in x else x)
             continue
-        if (x.gone and x not in parts) or id(x) in deleted or (not inside and (x.worded or x.tag == "header")):
+        if (x.gone and id(x) not in whole) or id(x) in deleted or (not inside and (x.worded or x.tag == "header")):
             continue
         if x.tag in BLOCK:
             out.append("\n")
             stack.append("\n")
         stack += reversed(x.children)
-    return " ".join(entities.unescape("".join(out)).split())
+    return " ".join("".join(out).split())
 
 
 def subtrees(parts: list[Node]) -> tuple[list[Node], list[bytes]]:
@@ -306,8 +357,8 @@ def _merge(at: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         table = np.frombuffer(b"".join(rows["data"]), np.uint64).reshape(-1, 2)
         table = table[np.argsort(table[:, 0], kind="stable")]
-        first = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0]])
-        count = np.add.reduceat(table[:, 1], first)
+        first = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0]]) if len(table) else np.zeros(0, np.int64)
+        count = np.add.reduceat(table[:, 1], first) if len(table) else table[:, 1]
         many = count >= PAGES
         own = int(rows["bucket"].iloc[0])
         shared.put(f"{at}/{own}", [table[first, 0][many], count[many]])
@@ -320,17 +371,13 @@ class Templates:
     """Counts of what recurs on a host's pages, from the shared folder."""
 
     def __init__(self, at: str, bits: int):
-        self.at, self.shift, self.files = at, np.uint64(64 - bits), {}
+        self.shift, self.files = np.uint64(64 - bits), shared.Files(at)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.uint64)
         bucket = (mix(keys) >> self.shift).astype(np.int64)
         for b in np.unique(bucket).tolist():
-            if b not in self.files:
-                if len(self.files) > 5000:
-                    self.files.clear()
-                self.files[b] = shared.get(f"{self.at}/{b}").view(np.uint64)
-            held = self.files[b]
+            held = self.files[b].view(np.uint64)
             n = len(held) // 2
             mine = np.flatnonzero(bucket == b)
             if n:
@@ -343,9 +390,13 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     """Adds text and n_chars to pages without its html."""
     new = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     others = shared.others(pages, (f.name for f in new), html)
-    at, bits = shared.folder(pages.sparkSession, "templates"), 8
+    spark = pages.sparkSession
+    at = shared.folder(spark, "templates")
+    size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    bits = min(31, max(8, (size // BUCKET).bit_length()))
     pairs = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(_pairs(bits), "bucket int, data binary")
     packed = pairs.groupBy("bucket").applyInPandas(_count(bits), "bucket int, data binary")
+    packed = packed.unionByName(spark.range(1 << bits).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("data")))  # each bucket's file is there
     shared.saved(packed.groupBy("bucket").applyInPandas(_merge(f"{at}/counts"), "bucket int, n long"), f"{at}/done")
     schema = T.StructType([pages.schema[c] for c in others] + new)
 
@@ -361,7 +412,7 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
                 got, total = count[start : start + len(own)], count[start + len(own)]
                 start += len(own) + 1
                 deleted = templates_of(parts, nodes, got.tolist(), int(total))
-                texts.append(text_of(parts, deleted) or text if deleted else text)
+                texts.append(text_of(parts, deleted) if deleted else text)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
 
     return pages.select(*others, html).mapInArrow(run, schema)
