@@ -8,7 +8,9 @@ characters, less LEAST. Each stretch whose sum reaches EVIDENCE is a span of kin
 beside it are: a running maximum ends where the sum has fallen by FALL. A stretch is carried on to the joint (JOINTS) or end beside it
 if that is near. A token without such a stretch is a span if its mean ratio is LEAST or more.
 
-Spans are in code points, end exclusive. Null and empty texts have no span. Very long
+Spans are in code points, end exclusive, and have their place in UTF-8 bytes as well. Places are running sums in rounds that double
+their reach, and new texts are joined from pieces once, so the work grows with a text's length and its number of
+spans (times that number's logarithm), not its square. Null and empty texts have no span. Very long
 texts are whole; no shuffle moves a text. The results replace columns of their names.
 """
 
@@ -41,6 +43,8 @@ IDENTIFIERS = (
     "attribute element component module package library version release build deploy test result status state event action listener callback promise "
     "thread process memory buffer stream queue stack graph node edge weight height width length size color font style border margin position transform "
     "international administration responsibility understanding communication environmental representative transportation characteristics approximately "
+    "haus wasser arbeit zeit jahr stadt land schule kirche freund bruder schwester wirtschaft regierung ordnung leistung verkehr strasse garten bahnhof "
+    "krankenhaus geschwindigkeit begrenzung durchschnitt entscheidung wahrscheinlich nachricht sprache schreiben zwischen gleichung werkzeug handel "
     "nevertheless entwicklung verantwortung wissenschaft gesellschaft beziehungen unternehmen developpement gouvernement informacion desarrollo"
 ).split()
 
@@ -87,13 +91,35 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
     return total["t"] / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-def stretches(token: Column, model: list[float]) -> Column:
-    """The token's random stretches: start and end."""
+def _bound(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(values: Column, join) -> Column:
+    """Running sums or maxima (join) of an array of ints from 0 on, each with its own: every round doubles the reach."""
+
+    def reach(held, k):
+        by = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(held, F.concat(F.array_repeat(F.lit(0), by), F.slice(held, F.lit(1), F.size(held) - by)), join)
+
+    rounds = lambda v: F.sequence(F.lit(0), F.length(F.bin(F.size(v) - 1)) - 1)
+    return _bound(values, lambda v: F.when(F.size(v) > 1, F.aggregate(rounds(v), v, reach)).otherwise(v))
+
+
+def _bytes(data: Column, start: Column, end: Column) -> Column:
+    """The text of these bytes; a string's own substr would count characters from its start each time."""
+    return F.substr(data, start + 1, F.greatest(end - start, F.lit(0))).cast("string")
+
+
+def stretches(token: Column, data: Column, model: list[float]) -> Column:
+    """The token's random stretches: start and end. data: the token as bytes, one for each character."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     many = F.greatest(F.length(token) - 1, F.lit(0))
     joint = lambda a, c: (a >= JOINTS) | (c >= JOINTS)
-    scores = F.zip_with(F.slice(codes, F.lit(1), many), F.slice(codes, F.lit(2), many), lambda a, c: F.when(joint(a, c), F.lit(JOINT)).otherwise(F.element_at(table, a * WIDTH + c + 1) - LEAST))
+    score = lambda a, c: F.when(joint(a, c), F.lit(JOINT)).otherwise(F.element_at(table, a * WIDTH + c + 1) - LEAST)
+    scores = _bound(codes, lambda x: F.zip_with(F.slice(x, F.lit(1), many), F.slice(x, F.lit(2), many), score))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     first = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("t"), F.lit(0.0).alias("best"), F.lit(0).alias("start"), F.lit(0).alias("end"), none.alias("out"))
 
@@ -105,62 +131,74 @@ def stretches(token: Column, model: list[float]) -> Column:
         best, end = F.greatest(acc["best"], t), F.when(t > acc["best"], i + 2).otherwise(acc["end"])
         fallen = (t <= 0) | (t < best - FALL)
         put = lambda yes, no, name: F.when(fallen, yes).otherwise(no).alias(name)
-        return F.struct((i + 1).alias("i"), put(F.lit(0.0), t, "t"), put(F.lit(0.0), best, "best"), put(i + 1, acc["start"], "start"), put(i + 1, end, "end"), put(kept(best, acc["start"], end, acc["out"]), acc["out"], "out"))
+        out = put(kept(best, acc["start"], end, acc["out"]), acc["out"], "out")
+        return F.struct((i + 1).alias("i"), put(F.lit(0.0), t, "t"), put(F.lit(0.0), best, "best"), put(i + 1, acc["start"], "start"), put(i + 1, end, "end"), out)
 
     found = F.aggregate(scores, first, step, lambda acc: kept(acc["best"], acc["start"], acc["end"], acc["out"]))
 
     def widened(x):
-        head, tail = F.substr(token, F.lit(1), x["start"]), F.substr(token, x["end"] + 1)
-        before = F.when(x["start"] <= 4, F.length(F.regexp_extract(head, "^[/_=-]*(.*)$", 1))).otherwise(F.length(F.regexp_extract(head, "(?:^|[/_=-])([A-Za-z0-9+]{0,8})$", 1)))
-        after = F.when(F.length(tail) <= 4, F.length(tail)).otherwise(F.length(F.regexp_extract(tail, "^([A-Za-z0-9+]{0,8}(?:==?$)?)(?:$|[/_=-])", 1)))
+        # nine characters before and twelve behind tell all that the patterns ask
+        head = _bytes(data, F.greatest(x["start"] - 9, F.lit(0)), x["start"])
+        tail, rest = _bytes(data, x["end"], F.least(x["end"] + 12, F.length(data))), F.length(data) - x["end"]
+        near = F.length(F.regexp_extract(head, "(?:^|[/_=-])([A-Za-z0-9+]{0,8})$", 1))
+        before = F.when(x["start"] <= 4, F.length(F.regexp_extract(head, "^[/_=-]*(.*)$", 1))).otherwise(near)
+        after = F.when(rest <= 4, rest).otherwise(F.length(F.regexp_extract(tail, "^([A-Za-z0-9+]{0,8}(?:==?$)?)(?:$|[/_=-])", 1)))
         return F.struct((x["start"] - before).alias("start"), (x["end"] + after).alias("end"))
 
     wide = F.filter(F.transform(found, widened), lambda x: x["end"] - x["start"] >= LENGTH)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(token).alias("end")))
-    return F.when(F.size(wide) > 0, wide).when(likelihood_ratio(token, model) >= LEAST, whole).otherwise(none)
+    return _bound(wide, lambda w: F.when(F.size(w) > 0, w).when(likelihood_ratio(token, model) >= LEAST, whole).otherwise(none))
 
 
-def _apart(x: Column, base: Column) -> Column:
-    """The parts of span x outside base, long enough to be a span: start, kind, end and s."""
-    start = F.struct(x["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+def _spans(text: Column, pattern: str, kind: int) -> Column:
+    """Every match, leftmost and without overlaps. The gaps between them give the places."""
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,s:string,at:int,to:int>>)")
 
-    def cut(acc, at, end):
-        return F.when(end - at >= LENGTH, F.concat(acc["out"], F.array(F.struct(at.alias("start"), end.alias("end"))))).otherwise(acc["out"])
+    def placed(found):
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        add = lambda a, b: a + b
+        size = lambda f: lambda g, m: f(g) + f(m)
+        ends = _bound(gaps, lambda g: F.zip_with(_running(F.zip_with(g, found, size(F.length)), add), _running(F.zip_with(g, found, size(F.octet_length)), add), lambda c, o: F.struct(c.alias("c"), o.alias("o"))))
+        return F.zip_with(found, ends, lambda m, e: F.struct((e["c"] - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e["c"].alias("end"), m.alias("s"), (e["o"] - F.octet_length(m)).alias("at"), e["o"].alias("to")))
 
-    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    parts = F.aggregate(touching, start, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), cut(acc, acc["at"], b["start"]).alias("out")), lambda acc: cut(acc, acc["at"], x["end"]))
-    return F.transform(parts, lambda y: _part(x, y["start"] - x["start"], y["end"] - x["start"]))
+    return _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
 
-def _part(x: Column, start: Column, end: Column) -> Column:
-    return F.struct((x["start"] + start).alias("start"), x["kind"].alias("kind"), (x["start"] + end).alias("end"), F.substr(x["s"], start + 1, end - start).alias("s"))
+def _replaced(text: Column, spans: Column, filler) -> Column:
+    """text with something else in the place of its spans (sorted): filler(span, end of those before it)."""
 
+    def whole(data, xs):
+        upto = lambda name: F.concat(F.array(F.lit(0)), _running(F.transform(xs, lambda x: x[name]), lambda a, b: F.greatest(a, b)))
+        before = F.zip_with(upto("end"), upto("to"), lambda c, o: F.struct(c.alias("c"), o.alias("o")))
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Every match, leftmost and without overlaps: start, kind, end and the match. The gaps between them give the places."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,s:string>>)").alias("out"))
+        def joined(seen):
+            pieces = F.zip_with(xs, F.slice(seen, F.lit(1), F.size(xs)), lambda x, p: F.concat(_bytes(data, p["o"], x["at"]), filler(x, p["c"])))
+            return F.concat(F.array_join(pieces, ""), _bytes(data, F.element_at(seen, -1)["o"], F.length(data)))
 
-    def add(acc, x):
-        at = acc["at"] + x["g"]
-        end = at + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("s")))).alias("out"))
+        return _bound(before, joined)
 
-    return F.when(F.size(found) > 0, F.aggregate(sizes, start, add, lambda acc: acc["out"])).otherwise(start["out"])
+    return F.when(F.size(spans) > 0, _bound(text.cast("binary"), lambda data: _bound(spans, lambda xs: whole(data, xs)))).otherwise(text)
 
 
 def with_spans(docs: DataFrame, model: list[float], text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
-    """Adds base and spans: arrays of (start, kind, end, s), by start and kind."""
+    """Adds base and spans: arrays of (start, kind, end, s, and its first byte and end in bytes), by start and kind."""
     docs = docs.select(shared.others(docs, (base, spans)))
-    long = shared.unused(docs, "_long")
+    long, rest = shared.unused(docs, "_long"), shared.unused(docs, "_rest")
     body = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(_spans(body, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 1)) >= 8)
     access = F.filter(_spans(body, ACCESS, 1), lambda x: F.length(x["s"]) >= 16)
-    found = docs.withColumn(base, F.array_sort(F.concat(assign, access, _spans(body, HEX, 2)))).withColumn(long, _spans(body, RANDOM, 3))
-    parts = F.flatten(F.transform(long, lambda x: _apart(x, F.col(base))))
-    more = F.flatten(F.transform(parts, lambda x: F.transform(stretches(x["s"], model), lambda y: _part(x, y["start"], y["end"]))))
-    return found.withColumn(spans, F.array_sort(F.concat(base, more))).drop(long)
+    found = docs.withColumn(base, F.array_sort(F.concat(assign, access, _spans(body, HEX, 2))))
+    # spaces for base spans: what is left of long tokens beside them is found at its own place
+    blank = lambda x, end: F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], end), F.lit(0)))
+    found = found.withColumn(rest, _replaced(body, F.col(base), blank))
+    found = found.withColumn(long, _spans(F.col(rest), RANDOM, 3))
+
+    def parts(x):
+        piece = lambda data, y: F.struct((x["start"] + y["start"]).alias("start"), x["kind"].alias("kind"), (x["start"] + y["end"]).alias("end"), _bytes(data, y["start"], y["end"]).alias("s"), (x["at"] + y["start"]).alias("at"), (x["at"] + y["end"]).alias("to"))
+        return _bound(x["s"].cast("binary"), lambda data: F.transform(stretches(x["s"], data, model), lambda y: piece(data, y)))
+
+    more = F.flatten(F.transform(long, parts))
+    return found.withColumn(spans, F.array_sort(F.concat(base, more))).drop(long, rest)
 
 
 def joined(spans: Column) -> Column:
@@ -173,14 +211,7 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Dat
     """docs with a mark in the place of each run of overlapping spans; n_chars follows."""
     base, spans = shared.unused(docs, "_base"), shared.unused(docs, "_spans")
     found = with_spans(docs, train(docs.sparkSession), text, base, spans)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def put(acc, x):
-        fresh = x["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(text))))
+    clean = _replaced(F.col(text), F.col(spans), lambda x, end: F.when(x["start"] >= end, F.lit(mark)).otherwise(F.lit("")))
     out = found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
