@@ -117,7 +117,12 @@ def _merge_pairs(at: str, bits: int, hot_bytes: bytes):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         hot, own = np.frombuffer(hot_bytes, np.uint64), int(rows["bucket"].iloc[0])
-        u, w, c = (np.concatenate(x) for x in zip(*map(_unpacked, rows["data"]), strict=True))
+        packs = [x for x in rows["data"] if x]
+        if not packs:
+            shared.put(f"{at}/pair/{own}", [np.zeros(2, np.int64)])
+            shared.put(f"{at}/context/{own}", [])
+            return pd.DataFrame({"bucket": pd.Series([], dtype="int32"), "data": pd.Series([], dtype=object)})
+        u, w, c = (np.concatenate(x) for x in zip(*map(_unpacked, packs), strict=True))
         order = np.lexsort((w, u))
         u, w = u[order], w[order]
         first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
@@ -156,12 +161,15 @@ def _merge_words(at: str):
         return w, _large(np.frombuffer(data, np.uint8, n, place), l1), _large(np.frombuffer(data, np.uint8, n, place + n), l2)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = int(rows["bucket"].iloc[0])
+        own, packs = int(rows["bucket"].iloc[0]), [x for x in rows["data"] if x]
         if own == -1:
-            stats = sum(np.frombuffer(x, np.int64) for x in rows["data"])
+            stats = sum(np.frombuffer(x, np.int64) for x in packs)
             return pd.DataFrame([stats.tolist()], columns=STATS)
+        if not packs:
+            shared.put(f"{at}/context/hot" if own == -2 else f"{at}/word/{own}", [])
+            return pd.DataFrame([[0] * len(STATS)], columns=STATS)
         if own == -2:
-            parts = [np.frombuffer(x, np.int64) for x in rows["data"]]
+            parts = [np.frombuffer(x, np.int64) for x in packs]
             u = np.concatenate([x[: len(x) // 5].view(np.uint64) for x in parts])
             context = np.concatenate([x[len(x) // 5 :].reshape(-1, 4) for x in parts])
             named, place = np.unique(u, return_inverse=True)
@@ -169,7 +177,7 @@ def _merge_words(at: str):
             np.add.at(total, place, context)
             shared.put(f"{at}/context/hot", [named, total])
             return pd.DataFrame([[0] * len(STATS)], columns=STATS)
-        w, seen, times = (np.concatenate(x) for x in zip(*map(one, rows["data"]), strict=True))
+        w, seen, times = (np.concatenate(x) for x in zip(*map(one, packs), strict=True))
         order = np.argsort(w, kind="stable")
         w = w[order]
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -216,22 +224,15 @@ class Reader:
     """A worker's view of the model: files are mapped when they're first asked for."""
 
     def __init__(self, model: Model):
-        self.model, self.files = model, {}
+        self.model, self.files = model, shared.Files(model.at, 2000)
         self.hot = np.frombuffer(model.hot, np.uint64)
         self.shift = np.uint64(64 - model.bits)
 
-    def file(self, name: str) -> np.ndarray:
-        if name not in self.files:
-            if len(self.files) > 2000:
-                self.files.clear()
-            self.files[name] = shared.get(f"{self.model.at}/{name}")
-        return self.files[name]
-
     def words(self, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of contexts and count of each of these words, sorted by hash."""
         seen, times = np.zeros(len(named), np.int64), np.zeros(len(named), np.int64)
         for bucket, a, b in _runs(named >> self.shift):
-            held = self.file(f"word/{bucket}").view(np.uint64)
+            held = self.files[f"word/{bucket}"].view(np.uint64)
             n = len(held) // 3
             place, there = _find(held[:n], named[a:b])
             if n:
@@ -243,7 +244,7 @@ class Reader:
         """Total and numbers of followers seen once, twice and more of each of these contexts, sorted by hash."""
         out = np.zeros((len(named), 4), np.int64)
         for bucket, a, b in [*_runs(named >> self.shift), *([("hot", 0, len(named))] if len(self.hot) else [])]:
-            held = self.file(f"context/{bucket}").view(np.int64)
+            held = self.files[f"context/{bucket}"].view(np.int64)
             n = len(held) // 5
             place, there = _find(held[:n].view(np.uint64), named[a:b])
             if n:
@@ -259,10 +260,10 @@ class Reader:
         order = np.lexsort((key, bucket))
         out = np.zeros(len(key), np.int64)
         for one, a, b in _runs(bucket[order]):
-            raw = self.file(f"pair/{one}")
-            if not len(raw):
-                continue
+            raw = self.files[f"pair/{one}"]
             n, large = raw[:16].view(np.int64)
+            if not n:
+                continue
             place, there = _find(raw[16 : 16 + 8 * n].view(np.uint64), key[order[a:b]])
             small = raw[16 + 8 * (n + large) :]
             got = small[place].astype(np.int64)
@@ -313,14 +314,16 @@ def train(texts: DataFrame) -> Model:
     spark = texts.sparkSession
     at = shared.folder(spark, "ngrams")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(8, (size >> 23).bit_length()))  # about 8 MB of text for each bucket
+    bits = min(31, max(8, (size >> 23).bit_length()))  # about 8 MB of text for each bucket, in whatever number of buckets
     seen = shared.saved(texts.mapInArrow(_common, "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), f"{at}/common")
     tokens = seen.agg(F.sum("tokens")).first()[0] or 0
     # at most HOT contexts have such a share; the start mark has one for each text
     words_ = [r[0] for r in seen.where(F.col("n") * HOT >= tokens).select("word").collect()]
     hot = np.sort(np.r_[np.array(words_, np.int64).view(np.uint64), START]).tobytes()
     packed = texts.mapInArrow(_count(bits, hot), "bucket int, data binary")
-    merged = packed.groupBy("bucket").applyInPandas(_merge_pairs(at, bits, hot), "bucket int, data binary")
+    every = spark.range(1 << bits).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("data"))  # each bucket's files are there
+    merged = packed.unionByName(every).groupBy("bucket").applyInPandas(_merge_pairs(at, bits, hot), "bucket int, data binary")
+    merged = merged.unionByName(every).unionByName(spark.createDataFrame([(-2, b"")], merged.schema))
     stats = merged.groupBy("bucket").applyInPandas(_merge_words(at), ", ".join(f"{x} long" for x in STATS))
     row = stats.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in STATS]).first()
     return Model(at, bits, hot, row.asDict())
