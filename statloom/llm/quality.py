@@ -9,9 +9,10 @@ vector is projected on the difference of the classes once, so that a document
 costs one gather and one sum.
 
 Training takes a bounded sample: at most `train_rows` labelled rows with at most
-`train_bytes` bytes of text, in the order of a hash of doc_id, whole texts only.
+`train_bytes` bytes of text, in the order of a hash of doc_id, whole texts only, equal rows once. Texts are
+chosen by their sizes and digests; only those chosen are brought together.
 Null or empty texts have the end mark alone. Without labelled rows of both
-classes every score is the prior (0.5 if there are none). Rows repeat as they are.
+classes every score is the prior (0.5 if there are none).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,14 +159,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """Trains on a bounded sample of docs that have a label of 0 or 1."""
     some = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     order = F.xxhash64("key", F.lit(17))
-    some = some.distinct().orderBy(order, "key", "label").limit(train_rows)
-    # at most train_rows rows, so it may be broadcast and summed in one task
-    from pyspark.sql import Window
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(some), "key").orderBy(order, "key", "label", "text").limit(train_rows)
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).over(Window.orderBy(order, "key", "label", "text").rowsBetween(Window.unboundedPreceding, 0))
-    sample = rows.withColumn("size", size).where(F.col("size") <= train_bytes).select("text", "label")
-    # the sample is one partition: its features and the table being trained stay on an executor
+    some = F.broadcast(some.distinct().orderBy(order, "key", "label").limit(train_rows))  # at most train_rows rows
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
+    sizes = rows.join(some, "key").groupBy("key", "label", "digest").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+    first = Window.orderBy(order, "key", "label", "digest")  # over at most train_rows rows
+    chosen = sizes.orderBy(order, "key", "label", "digest").limit(train_rows).withColumn("upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = F.broadcast(chosen.where(F.col("upto") <= train_bytes).select("key", "label", "digest"))
+    sample = rows.join(chosen, ["key", "digest"]).groupBy("key", "label", "digest").agg(F.first("text").alias("text"))
+    sample = sample.repartition(1).sortWithinPartitions(order, "key", "label", "digest").select("text", "label")
+    # one partition of at most train_bytes: its features and the table being trained stay on an executor
     row = sample.mapInArrow(_train_task, "weights binary").first()
     return Model(np.frombuffer(row[0], np.float64)) if row else train(pa.array([], pa.string()), np.zeros(0, np.int64))
 
