@@ -1,10 +1,10 @@
 """Nearest neighbours by adaptive dimension scan in an inverted-list index.
 
-Equal vectors are one (with their k + 1 least ids: no answer can need more), so a
-vector that a third of all rows share is one candidate. Vectors are assigned to the
-nearest of a bounded number of centroids, fitted on a bounded sample; every row is
+Equal vectors (by 128-bit digests) are one, with their k + 1 least ids: no answer can need more. So a
+vector that a third of all rows share is one candidate and one query; ids are cut down in salted parts first. Vectors are assigned to the
+nearest of about the square root of their number of centroids, fitted on a sample of at most SAMPLE_BYTES; every row is
 indexed. A query is sent to its best lists; the number of lists is what finds AIM of
-the true neighbours of sample queries. Small lists are put together in shards, so that a
+the true neighbours of ASKED sample vectors, which an exact pass over all vectors gives. Small lists are put together in shards, so that a
 query travels once to each; large lists are cut. Shards and their queries are dealt in
 tiles of a bounded number of rows and queries, however large a list is.
 
@@ -13,8 +13,9 @@ candidate is dropped if its partial inner product, plus Z standard deviations of
 a random rotation may still add, stays below the query's k-th best so far. The scores of
 those that are left are computed on the original vectors in double precision.
 
-Vectors that are null, zero, or hold null or non-finite components take no part; nor do
-those of another length than the sample's most common one. Rows that repeat an id are one candidate.
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different
+lengths have no inner product: each length is searched by itself. Equal rows are one; of several vectors of one id the one of
+the least digest counts.
 """
 
 from __future__ import annotations
@@ -29,37 +30,65 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SAMPLE, LISTS, AIM, Z = 8192, 1024, 0.985, 4.0
+SAMPLE_BYTES, ASKED, AIM, Z = 16 << 20, 400, 0.985, 4.0
 BLOCK, QUERIES, COLUMNS, STEP = 4096, 4096, 16, 512
+SALTS = 64  # parts of a group that may be large
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(sample: np.ndarray, rows: int, k: int, seed: int = 3) -> tuple[np.ndarray, int]:
-    """Centroids by k-means on directions, and how many lists a query needs."""
+def fit(sample: np.ndarray, rows: int, seed: int = 3) -> np.ndarray:
+    """Centroids by k-means on directions: the square root of the number of rows, or as many as the sample bears."""
     n = len(sample)
-    lists = int(max(1, min(LISTS, n // 16, round(rows**0.5))))
+    lists = int(max(1, min(n // 16, round(rows**0.5))))
     rng = np.random.default_rng(seed)
     unit = _unit(sample)
     centers = unit[rng.choice(n, lists, replace=False)]
     for _ in range(8):
-        own = (unit @ centers.T).argmax(1)
+        own = np.concatenate([(unit[k : k + STEP] @ centers.T).argmax(1) for k in range(0, n, STEP)])
         total = np.zeros_like(centers)
         np.add.at(total, own, unit)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         centers = np.where(norm > 0, total / np.maximum(norm, 1e-30), centers)
-    own = (unit @ centers.T).argmax(1)
-    asked = rng.choice(n, min(n, 400), replace=False)
-    score = sample[asked] @ sample.T
-    score[np.arange(len(asked)), asked] = -np.inf
-    near = np.argpartition(-score, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)] if n > 1 else np.zeros((len(asked), 0), np.int64)
-    order = np.argsort(-(sample[asked] @ centers.T), axis=1)
-    place = np.argsort(order, axis=1)
-    needed = np.sort(np.take_along_axis(place, own[near], 1).ravel())
-    probes = int(needed[min(len(needed) - 1, int(AIM * len(needed)))]) + 1 if len(needed) else lists
-    return centers, probes
+    return centers
+
+
+def _vectors(column: pa.Array, size: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), size)
+
+
+def _best_lists(asked: np.ndarray, k: int):
+    """A task's k best vectors for each of these queries: query, negative score, list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, where = np.full((len(asked), k), -np.inf), np.zeros((len(asked), k), np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), STEP):
+                part = batch.slice(at, STEP)
+                lists = part["lists"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # one each
+                score = np.c_[score, asked @ _vectors(part["embedding"], asked.shape[1]).T]
+                where = np.c_[where, np.tile(lists, (len(asked), 1))]
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, where = np.take_along_axis(score, top, 1), np.take_along_axis(where, top, 1)
+        q, place = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(-score[q, place]), pa.array(where[q, place], pa.int64())], names=["q", "neg", "list"])
+
+    return run
+
+
+def probes_for(held: DataFrame, sample: np.ndarray, centers: np.ndarray, k: int) -> int:
+    """How many lists of a query find AIM of its k nearest among all vectors, by the exact neighbours of some of the sample."""
+    asked = sample[np.random.default_rng(4).choice(len(sample), min(len(sample), ASKED), replace=False)]
+    found = held.select("embedding", "lists").mapInArrow(_best_lists(asked, k), "q long, neg double, list long")
+    best = lambda by: F.slice(F.array_sort(F.flatten(F.collect_list(by))), 1, k).alias("near")
+    found = found.withColumn("near", F.array(F.struct("neg", "list"))).withColumn("salt", F.pmod(F.xxhash64("neg", "list"), F.lit(SALTS)))
+    found = found.groupBy("q", "salt").agg(best("near")).groupBy("q").agg(best("near"))
+    near = {r["q"]: [x["list"] for x in r["near"]] for r in found.collect()}  # at most ASKED rows
+    place = np.argsort(np.argsort(-(asked @ centers.T), axis=1), axis=1)
+    needed = np.sort(np.concatenate([place[q, lists] for q, lists in near.items()]))
+    return int(needed[min(len(needed) - 1, int(AIM * len(needed)))]) + 1
 
 
 def rotation(size: int) -> np.ndarray:
@@ -162,9 +191,8 @@ def _lists(centers: np.ndarray, probes: int, sizes: list[int] | None, most: int,
     `probes`, or as many as hold `most` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch["embedding"]
-            x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), centers.shape[1])
+        for batch in (whole.slice(at, STEP) for whole in batches for at in range(0, len(whole), STEP)):
+            x = _vectors(batch["embedding"], centers.shape[1])
             near = x @ centers.T
             if sizes is None:
                 rows, lists = np.arange(len(x)), near.argmax(1)
@@ -185,38 +213,20 @@ def _lists(centers: np.ndarray, probes: int, sizes: list[int] | None, most: int,
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest by inner product. is_query: a predicate on the column _key."""
-    spark = vectors.sparkSession
-    at = shared.folder(spark, "vectors")
-    embedding = F.col("embedding")
-    whole = vectors.select(F.col(key).cast("long").alias("_key"), F.col(vector).alias("embedding")).where("_key IS NOT NULL AND embedding IS NOT NULL")
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    whole = whole.where(F.coalesce(F.forall(embedding, finite), F.lit(False)) & F.exists(embedding, lambda x: x != 0))
-    # -0.0 and 0.0 are one: such vectors have equal products
-    whole = whole.withColumn("embedding", F.transform(embedding, lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x.cast("float"))) if dict(vectors.dtypes)[vector] == "array<float>" else F.transform(embedding, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))))
-    kind = dict(whole.dtypes)["embedding"]
-    least = Window.partitionBy("embedding").orderBy("_key")
-    some = whole.withColumn("r", F.dense_rank().over(least)).where(F.col("r") <= k + 1)
-    single = some.groupBy("embedding").agg(F.array_sort(F.collect_set("_key")).alias("ids")).select(F.element_at("ids", 1).alias("id"), "ids", "embedding")
-    single = shared.saved(single, f"{at}/single")
-    asked = whole.where(is_query(F.col("_key"))).select("_key", "embedding")
-    questions = shared.saved(asked.groupBy("embedding").agg(F.min("_key").alias("id")), f"{at}/questions")
-    empty = "query_id long, rank int, vec_id long, score double"
-    sample = single.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toPandas()["embedding"]  # at most SAMPLE vectors
-    if not len(sample):
-        return spark.createDataFrame([], empty)
-    lengths = sample.map(len)
-    size = int(lengths.mode().max())
-    single, questions = single.where(F.size("embedding") == size), questions.where(F.size("embedding") == size)
-    centers, probes = fit(np.stack(sample[lengths == size]).astype(np.float64), single.count(), k + 1)
+def _search(single: DataFrame, questions: DataFrame, size: int, k: int, at: str) -> DataFrame:
+    """qid and the k nearest (neg, id) of each question's vector. single and questions: id and embedding, of one length."""
+    kind, rows = dict(single.dtypes)["embedding"], single.count()
+    most = min(max(8192, 16 * round(rows**0.5)), SAMPLE_BYTES // (8 * size) + 1)
+    sample = np.stack(single.orderBy(F.xxhash64("id"), "id").limit(most).select("embedding").toPandas()["embedding"]).astype(np.float64)
+    centers = fit(sample, rows)
     schema = f"id long, embedding {kind}, lists array<int>, shard int"
     held = shared.saved(single.select("id", "embedding").mapInArrow(_lists(centers, 1, None, 0), schema).drop("shard"), f"{at}/lists")
+    probes = probes_for(held, sample, centers, k)
     counts = dict(held.groupBy(F.element_at("lists", 1)).count().collect())  # one row for each centroid
     sizes = [counts.get(i, 0) for i in range(len(centers))]
     shard = shards(sizes, BLOCK)
-    of = [sum(c for c, s in zip(sizes, shard, strict=True) if s == i) for i in range(shard[-1] + 1)]
-    probed = shared.saved(questions.select("id", "embedding").mapInArrow(_lists(centers, probes, sizes, 2 * (k + 1), shard), schema), f"{at}/probes")
+    of = np.bincount(shard, sizes).astype(int).tolist()
+    probed = shared.saved(questions.select("id", "embedding").mapInArrow(_lists(centers, probes, sizes, 2 * k, shard), schema), f"{at}/probes")
     asks = dict(probed.groupBy("shard").count().collect())
 
     def parts(of: dict[int, int], most: int):
@@ -224,18 +234,49 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair]) if many else None
         return F.lit(1) if table is None else F.coalesce(table[F.col("shard")], F.lit(1))
 
-    rows, chunks = parts(dict(enumerate(of)), BLOCK), parts(asks, QUERIES)
+    blocks, chunks = parts(dict(enumerate(of)), BLOCK), parts(asks, QUERIES)
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     held = held.withColumn("shard", F.array(*map(F.lit, shard))[F.element_at("lists", 1)])
-    held = held.join(probed.select("shard").distinct(), "shard", "left_semi").withColumn("asks", F.lit(False)).withColumn("block", part(rows)).withColumn("chunk", every(chunks))
-    probed = probed.withColumn("asks", F.lit(True)).withColumn("chunk", part(chunks)).withColumn("block", every(rows))
-    tiles = held.unionByName(probed).groupBy("shard", "block", "chunk").applyInPandas(_tile(k + 1), "qid long, near array<struct<neg:double,id:long>>")
-    best = tiles.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    one = best.select("qid", F.explode("near").alias("n")).select("qid", "n.neg", F.col("n.id").alias("id")).join(single.select("id", "ids"), "id")
-    named = one.select("qid", F.transform("ids", lambda v: F.struct(F.col("neg"), v.alias("id"))).alias("all"))
+    held = held.join(probed.select("shard").distinct(), "shard", "left_semi")
+    held = held.withColumn("asks", F.lit(False)).withColumn("block", part(blocks)).withColumn("chunk", every(chunks))
+    probed = probed.withColumn("asks", F.lit(True)).withColumn("chunk", part(chunks)).withColumn("block", every(blocks))
+    tiles = held.unionByName(probed).groupBy("shard", "block", "chunk").applyInPandas(_tile(k), "qid long, near array<struct<neg:double,id:long>>")
+    return tiles.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k nearest by inner product. is_query: a predicate on the column _key."""
+    spark = vectors.sparkSession
+    at = shared.folder(spark, "vectors")
+    embedding, same = F.col("embedding"), ["h1", "h2"]
+    whole = vectors.select(F.col(key).cast("long").alias("_key"), F.col(vector).alias("embedding")).where("_key IS NOT NULL AND embedding IS NOT NULL")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    whole = whole.where(F.coalesce(F.forall(embedding, finite), F.lit(False)) & F.exists(embedding, lambda x: x != 0))
+    # -0.0 and 0.0 are one: such vectors have equal products
+    kind = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"
+    whole = whole.withColumn("embedding", F.transform(embedding, lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x.cast(kind))))
+    whole = whole.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
+
+    owned = whole.groupBy("_key").agg(F.min(F.struct(*same)).alias("h")).select("_key", "h.*")
+    few = owned.withColumn("salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
+    for by in ([*same, "salt"], same):
+        few = few.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("_key"))).where(F.col("r") <= k + 1)
+    few = few.groupBy(*same).agg(F.array_sort(F.collect_list("_key")).alias("ids"))
+    single = whole.groupBy(*same).agg(F.first("embedding").alias("embedding")).join(few, same)
+    single = shared.saved(single.select(*same, F.element_at("ids", 1).alias("id"), "ids", "embedding", F.size("embedding").alias("size")), f"{at}/single")
+    asked = owned.where(is_query(F.col("_key")))
+    questions = shared.saved(single.join(asked.select(*same).distinct(), same, "left_semi").drop("ids"), f"{at}/questions")
+    found = None
+    for size in sorted(r[0] for r in questions.select("size").distinct().collect()):
+        one = _search(single.where(F.col("size") == size), questions.where(F.col("size") == size), size, k + 1, f"{at}/{size}")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    near = found.select("qid", F.explode("near").alias("n")).select("qid", "n.neg", F.col("n.id").alias("id")).join(single.select("id", "ids"), "id")
+    named = near.select("qid", F.transform("ids", lambda v: F.struct(F.col("neg"), v.alias("id"))).alias("all"))
     answers = named.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("all"))), 1, k + 1).alias("all"))
-    answers = answers.join(questions.select(F.col("id").alias("qid"), "embedding"), "qid").drop("qid")
-    full = asked.join(answers, "embedding").select(F.col("_key").alias("query_id"), F.slice(F.filter("all", lambda a: a["id"] != F.col("_key")), 1, k).alias("all"))
+    answers = answers.join(questions.select(F.col("id").alias("qid"), *same), "qid").drop("qid")
+    full = asked.join(answers, same).select(F.col("_key").alias("query_id"), F.slice(F.filter("all", lambda a: a["id"] != F.col("_key")), 1, k).alias("all"))
     ranked = full.select("query_id", F.posexplode("all").alias("rank", "a"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("a.id").alias("vec_id"), (-F.col("a.neg")).alias("score"))
