@@ -6,17 +6,20 @@ the cumulative target weights: that source has the slot. Points in any interval
 are spread evenly over the slots, so every stretch of the mix is near the weights.
 A source's slots are ranked; the slot of rank r takes the r-th of equal blocks of
 tokens of the source's documents in shuffled order, read again from the start
-when they end. Blocks of one source differ by one token at most.
+when they end. Blocks of one source differ by one token at most. mixed_documents
+gives its rows in the order of the slots, so every stretch of what is written is near the weights too.
 
 The shuffle orders documents by md5 of the seed and doc_id. A source's documents
 are cut into `buckets` by that hash, so prefix sums never bring a source to one
-task. Null doc_ids are hashed as empty; rows that tie in all of it are alike. Null
+task. One row for each source is ordered in one task. Null doc_ids are hashed as empty; rows that tie in all of it are alike. Null
 or empty texts have size 0 and are never taken. Null is a source of its own, the
 last. Tables may be empty. The results replace columns of their names.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,16 +77,23 @@ def schedule(targets: DataFrame, slots: int, cells: int = 4096, chunk: int = 409
     return owned.withColumn("r", rank).join(part, ["_sid", "chunk"]).select("slot", "_sid", (F.col("base") + F.col("r")).alias("rank"), "n")
 
 
-def mix(docs: DataFrame, text: str | None = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_tokens: int = 1024, buckets: int = 4096, seed: str = "mix") -> DataFrame:
-    """Adds size, source_size, target and taken (the words the mix takes of this row, repeats counted) to docs.
+class Mix(NamedTuple):
+    placed: DataFrame  # the rows, with _sid, _start (their first token in their source's order), source_size, target, _total and n (their source's slots)
+    pieces: DataFrame  # a row for each time a row is taken: _row, _sid, _start, lo and hi in the tokens that the source gives
+    plan: DataFrame  # slot, _sid and rank of each block
+    slots: int
+    total: int  # tokens
 
-    docs has doc_id and source, and either the text column or, with text=None, size.
-    """
-    spark = docs.sparkSession
-    size = F.col("size") if text is None else F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
-    held = shared.others(docs, RESULTS, "doc_id", "source")
-    # whatever the other columns are called, they're out of the way in one
-    sized = docs.select("doc_id", "source", size.cast("long").alias("size"), *([F.struct(*held).alias("_row")] if held else []))
+
+def _rank(x) -> F.Column:
+    """The rank of the block that holds token x: the first _total % n blocks are longer by one."""
+    q, m = F.expr("_total div n"), F.expr("_total % n")
+    return F.when(x < m * (q + 1), F.floor(x / (q + 1))).otherwise(m + F.floor((x - m * (q + 1)) / F.greatest(q, F.lit(1))))
+
+
+def _mixed(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float, block_tokens: int, buckets: int, seed: str) -> Mix:
+    """The mix of sized: doc_id, source, size and _row (anything)."""
+    spark = sized.sparkSession
     sizes = shared.saved(sized.groupBy("source").agg(F.sum("size").alias("size")), shared.folder(spark, "mix-sizes"))
     targets = shared.saved(source_targets(sizes, weights, share, cap), shared.folder(spark, "mix-targets"))
     total = targets.agg(F.sum("_total")).first()[0] or 0
@@ -96,34 +106,62 @@ def mix(docs: DataFrame, text: str | None = "text", weights: tuple[float, ...] =
     named = rows.withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     info = info.withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
     sums = named.groupBy("_name", "_bucket").agg(F.sum("size").alias("s"))
-    sums = sums.withColumn("base", F.sum("s").over(Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).drop("s").join(info, "_name")
+    before = Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("base", F.sum("s").over(before) - F.col("s")).drop("s").join(info, "_name")
     inside = Window.partitionBy("_name", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = named.withColumn("_at", F.sum("size").over(inside) - F.col("size")).join(sums, ["_name", "_bucket"]).withColumn("_start", F.col("base") + F.col("_at"))
+    placed = named.withColumn("_at", F.sum("size").over(inside) - F.col("size")).join(sums, ["_name", "_bucket"])
+    placed = placed.withColumn("_start", F.col("base") + F.col("_at"))
+
+    pieces = placed.where("size > 0 AND n IS NOT NULL").select("_row", "_sid", "_start", "size", "source_size", "_total", "n")
+    times = F.sequence(F.col("_start"), F.col("_start") + F.lit(int(cap + 0.999)) * F.col("source_size"), F.col("source_size"))
+    pieces = pieces.withColumn("lo", F.explode(times)).withColumn("hi", F.least(F.col("lo") + F.col("size"), "_total")).where("lo < hi")
+    return Mix(placed, pieces, plan, slots, total)
 
-    def block(x):
-        """The rank of the block that holds token x: the first _total % n blocks are longer by one."""
-        q, m = F.expr("_total div n"), F.expr("_total % n")
-        return F.when(x < m * (q + 1), F.floor(x / (q + 1))).otherwise(m + F.floor((x - m * (q + 1)) / F.greatest(q, F.lit(1))))
 
-    pieces = placed.where("size > 0 AND n IS NOT NULL").select("_sid", "_start", "size", "source_size", "_total", "n")
-    pieces = pieces.withColumn("lo", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.lit(int(cap + 0.999)) * F.col("source_size"), F.col("source_size")))).withColumn("hi", F.least(F.col("lo") + F.col("size"), "_total")).where("lo < hi")
-    pieces = pieces.withColumn("rank", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))))
+def mix(docs: DataFrame, text: str | None = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_tokens: int = 1024, buckets: int = 4096, seed: str = "mix") -> DataFrame:
+    """Adds size, source_size, target and taken (the words the mix takes of this row, repeats counted) to docs.
+
+    docs has doc_id and source, and either the text column or, with text=None, size.
+    """
+    size = F.col("size") if text is None else F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
+    held = shared.others(docs, RESULTS, "doc_id", "source")
+    # whatever the other columns are called, they're out of the way in one
+    sized = docs.select("doc_id", "source", size.cast("long").alias("size"), (F.struct(*held) if held else F.lit(0)).alias("_row"))
+    found = _mixed(sized, weights, share, cap, block_tokens, buckets, seed)
+    blocks = found.pieces.drop("_row").withColumn("rank", F.explode(F.sequence(_rank(F.col("lo")), _rank(F.col("hi") - 1))))
     first = F.expr("rank * (_total div n) + least(rank, _total % n)")
     last = F.expr("(rank + 1) * (_total div n) + least(rank + 1, _total % n)")
-    taken = pieces.join(plan.select("_sid", "rank"), ["_sid", "rank"]).groupBy("_sid", "_start").agg(F.sum(F.least("hi", last) - F.greatest("lo", first)).alias("taken"))
+    words = F.sum(F.least("hi", last) - F.greatest("lo", first))
+    taken = blocks.join(found.plan.select("_sid", "rank"), ["_sid", "rank"]).groupBy("_sid", "_start").agg(words.alias("taken"))
     out = [F.col(f"_row.`{c}`") if c in held else c for c in shared.others(docs, RESULTS)] + [*RESULTS]
-    some = placed.where("size > 0").join(taken, ["_sid", "_start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    return some.select(*out).unionByName(placed.where("NOT size > 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
-
-
-def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The mix as rows of docs' own columns: a row for each time a document is taken, the last with only the words taken."""
-    own = ("doc_id", "source", text)
-    rest = [c for c in docs.columns if c not in own]
-    packed = docs.select(*own, *([F.struct(*rest).alias("_rest")] if rest else []))
-    chosen = mix(packed, text, **options).where("taken > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
-    part = F.col("taken") - (F.col("_time") - 1) * F.col("size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), part.cast("int")), " ")
-    out = chosen.withColumn(text, F.when(part >= F.col("size"), F.col(text)).otherwise(cut))
-    length = F.length(text).cast(docs.schema["n_chars"].dataType if "n_chars" in rest else "long").alias("n_chars")
-    return out.select(*[c if c in own else length if c == "n_chars" else F.col(f"_rest.`{c}`") for c in docs.columns])
+    none = F.lit(0).cast("long")
+    some = found.placed.where("size > 0").join(taken, ["_sid", "_start"], "left").withColumn("taken", F.coalesce("taken", none))
+    return some.select(*out).unionByName(found.placed.where("NOT size > 0").withColumn("taken", none).select(*out))
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_tokens: int = 1024, buckets: int = 4096, seed: str = "mix", slot: str | None = None, part_tokens: int = 1 << 24) -> DataFrame:
+    """The mix as rows of docs' own columns: a row for each time a document is taken, the last with only the words taken.
+
+    Rows come in the mix's order: partition by partition (of about part_tokens tokens, if that makes more than Spark's
+    shuffle partitions), sorted in each by the slot of the block with their first word. slot: the name of a column to add for that slot.
+    """
+    spark = docs.sparkSession
+    row = shared.unused(docs, "_row")
+    kept = shared.saved(docs.withColumn(row, F.monotonically_increasing_id()), shared.folder(spark, "mix-docs"))  # numbers are fixed once written
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    sized = shared.saved(kept.select("doc_id", "source", size, F.col(row).alias("_row")), shared.folder(spark, "mix-rows"))
+    found = _mixed(sized, weights, share, cap, block_tokens, buckets, seed)
+    times = found.pieces.withColumn("rank", _rank(F.col("lo"))).join(found.plan.select("slot", "_sid", "rank"), ["_sid", "rank"])
+    # whatever the columns of docs are called, they're out of the way in one
+    times = times.select(F.col("_row").alias("_at"), "slot", "lo", (F.col("hi") - F.col("lo")).alias("part"), "size")
+    packed = kept.select(F.col(row).alias("_at"), F.struct(*docs.columns).alias("_doc"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.total // part_tokens)
+    sources = F.least(F.col("slot"), F.lit(found.slots - 1))  # sources of less than half a slot come last
+    mixed = packed.join(times, "_at").repartitionById(parts, (sources * parts / found.slots).cast("int")).sortWithinPartitions("slot", "lo")
+    body = F.col(f"_doc.`{text}`")
+    cut = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("part").cast("int")), " ")
+    mixed = mixed.withColumn("_text", F.when(F.col("part") >= F.col("size"), body).otherwise(cut))
+    length = lambda c: F.length("_text").cast(docs.schema[c].dataType)
+    new = {text: F.col("_text"), "n_chars": length("n_chars") if "n_chars" in docs.columns else None}
+    out = [(new[c] if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns if c != slot]
+    return mixed.select(*out, *([F.col("slot").alias(slot)] if slot else []))
