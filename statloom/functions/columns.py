@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +12,7 @@ from pyspark.sql import functions as F
 def divide(num: Column, den: Column) -> Column:
     """IEEE division of doubles under ANSI mode: null if either is null, NaN for 0/0, else an infinity by sign for a zero denominator."""
     num, den = num.cast("double"), den.cast("double")
-    by_zero = F.when((num == 0) | F.isnan(num), F.lit(float("nan"))).when(num > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
-    return F.when(num.isNull() | den.isNull(), F.lit(None).cast("double")).when(den == 0, by_zero).otherwise(num / F.when(den != 0, den))
+    return F.coalesce(num / F.when(den != 0, den), F.when(den == 0, num * float("inf")))
 
 
 def origin(f2: Column) -> Column:
@@ -51,3 +51,15 @@ def inverse_normal(p: Column) -> Column:
     r = F.sqrt(-F.log(F.least(p, 1 - p)))
     far = F.when(r <= 5, _ratio(r - 1.6, MIDDLE)).otherwise(_ratio(r - 5, TAIL))
     return F.when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, CENTRE)).otherwise(F.signum(q) * far)
+
+
+def normal_quantiles(p: np.ndarray) -> np.ndarray:
+    """The same for an array."""
+
+    def ratio(x: np.ndarray, form: tuple) -> np.ndarray:
+        return np.polyval(form[0][::-1], x) / np.polyval(form[1][::-1], x)
+
+    q = p - 0.5
+    r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+    far = np.where(r <= 5, ratio(r - 1.6, MIDDLE), ratio(r - 5, TAIL))
+    return np.where(np.abs(q) <= 0.425, q * ratio(0.180625 - q * q, CENTRE), np.sign(q) * far)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import normal_quantiles
+
 
 def beta_inc(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function, by its continued fraction."""
@@ -103,6 +105,13 @@ def mann_whitney_p(u: float, n1: int, n2: int, ties: float) -> float:
     return math.nan if var <= 0 else min(1.0, 2 * normal_upper((top - n1 * n2 / 2 - 0.5) / math.sqrt(var)))
 
 
+#: Royston's polynomials, highest power first, for W's weights and for the mean and spread of its transform.
+LAST_WEIGHT = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0)
+NEXT_WEIGHT = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0)
+SMALL_MEAN, SMALL_SPREAD = (-0.0006714, 0.025054, -0.39978, 0.5440), (-0.0020322, 0.062767, -0.77857, 1.3822)
+LARGE_MEAN, LARGE_SPREAD = (0.0038915, -0.083751, -0.31082, -1.5861), (0.0030302, -0.082676, -0.4803)
+
+
 def shapiro_p(w: float, n: int) -> float:
     """The p-value of W, by Royston's approximations."""
     if n < 3 or math.isnan(w):
@@ -117,10 +126,10 @@ def shapiro_p(w: float, n: int) -> float:
         if y >= gamma:
             return 0.0
         y = -math.log(gamma - y)
-        mu, sigma = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+        mu, sigma = np.polyval(SMALL_MEAN, n), math.exp(np.polyval(SMALL_SPREAD, n))
     else:
         x = math.log(n)
-        mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], x), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], x))
+        mu, sigma = np.polyval(LARGE_MEAN, x), math.exp(np.polyval(LARGE_SPREAD, x))
     return normal_upper((y - mu) / sigma)
 
 
@@ -149,6 +158,52 @@ def mann_whitney_pvalue(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Ser
     return _each(lambda a, b, c, d: mann_whitney_p(a, int(b), int(c), d), u, n1, n2, ties)
 
 
-@F.pandas_udf(T.DoubleType())
-def shapiro_pvalue(w: pd.Series, n: pd.Series) -> pd.Series:
-    return _each(lambda a, b: shapiro_p(a, int(b)), w, n)
+SCORES = 1 << 20  # normal scores at a time
+
+
+@F.pandas_udf(T.StructType([T.StructField("sum", T.DoubleType()), T.StructField("squares", T.DoubleType())]))
+def score_sums(before: pd.Series, cnt: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """The sum of the normal scores (i - 3/8) / (n + 1/4) of the places i after `before`, as many as cnt, and of their squares."""
+    first, size, of = (x.to_numpy(np.float64) for x in (before, cnt, n))
+    one = normal_quantiles((first + 0.625) / (of + 0.25))
+    total, squares = one.copy(), one * one
+    for k in np.flatnonzero(size > 1):
+        total[k] = squares[k] = 0.0
+        for at in range(0, int(size[k]), SCORES):
+            places = first[k] + np.arange(at + 1, min(at + SCORES, int(size[k])) + 1)
+            scores = normal_quantiles((places - 0.375) / (of[k] + 0.25))
+            total[k] += scores.sum()
+            squares[k] += (scores * scores).sum()
+    return pd.DataFrame({"sum": total, "squares": squares})
+
+
+def shapiro_w(n: int, m2: float, mx: float, ss: float, x2: float, y2: float, y1: float) -> float:
+    """W of n values: m2 and mx are the sums of the squared scores and of scores times values; ss the sum of squares about the mean.
+
+    Values are distances from the least one; x2, y2 and y1 are the second, the last but one and the last.
+    """
+    if ss == 0:
+        return 1.0
+    top, second = normal_quantiles(np.array([n - 0.375, n - 1.375]) / (n + 0.25))
+    u, c = n**-0.5, m2**0.5
+    last, near = np.polyval(LAST_WEIGHT, u) + top / c, np.polyval(NEXT_WEIGHT, u) + second / c
+    if n == 3:
+        b = y1 * 0.5**0.5
+    elif n <= 5:
+        phi = (m2 - 2 * top**2) / (1 - 2 * last**2)
+        b = last * y1 + (mx - top * y1) / phi**0.5
+    else:
+        phi = (m2 - 2 * top**2 - 2 * second**2) / (1 - 2 * last**2 - 2 * near**2)
+        b = last * y1 + near * (y2 - x2) + (mx - top * y1 - second * (y2 - x2)) / phi**0.5
+    return min(b * b / ss, 1.0)
+
+
+@F.pandas_udf(T.StructType([T.StructField("statistic", T.DoubleType()), T.StructField("pvalue", T.DoubleType())]))
+def shapiro_test(n: pd.Series, m2: pd.Series, mx: pd.Series, ss: pd.Series, x2: pd.Series, y2: pd.Series, y1: pd.Series) -> pd.DataFrame:
+    """W and its p-value; null below three values, or with one that isn't finite."""
+    out = []
+    for k, *rest in zip(*(c.to_numpy(np.float64, na_value=math.nan) for c in (n, m2, mx, ss, x2, y2, y1)), strict=True):
+        known = k >= 3 and all(map(math.isfinite, rest))
+        w = shapiro_w(int(k), *rest) if known else math.nan
+        out.append((w, shapiro_p(w, int(k)) if known else math.nan))
+    return pd.DataFrame(out, columns=["statistic", "pvalue"])

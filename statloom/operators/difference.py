@@ -15,46 +15,61 @@ from ..functions.columns import divide, inverse_normal
 from .ranks import join_groups, median_of, value_ranks
 
 KEY = ["trait_id"]
+NAN = float("nan")
 
 
-def _poly(x: Column, *high_first: float) -> Column:
-    out = F.lit(0.0)
-    for c in high_first:
-        out = out * x + c
-    return out
+def _scored(ranked: DataFrame, value: str) -> DataFrame:
+    """Adds d, the distance from the trait's least value (sums of distances lose few digits), and the sums of each value's normal scores."""
+    ranked = ranked.withColumn("d", F.col(value).cast("double") - F.col("least").cast("double"))
+    return ranked.withColumn("scores", tails.score_sums("before", "cnt", "n"))
+
+
+def _normality() -> list[Column]:
+    """Aggregates over _scored that tails.shapiro_test takes. Scores of tied values are summed, not spread over rows."""
+    d, cnt, n = F.col("d"), F.col("cnt"), F.col("n")
+    at = lambda k: F.max(F.when((F.col("before") < k) & (k <= F.col("before") + cnt), d))
+    total = F.sum(cnt * d)
+    ss = F.greatest(F.sum(cnt * d * d) - total * total / F.max(n), F.lit(0.0))
+    sums = [F.sum("scores.squares").alias("w_squares"), F.sum(F.col("scores.sum") * d).alias("w_sum"), ss.alias("ss")]
+    return [F.max(n).alias("n"), *sums, at(2).alias("x2"), at(n - 1).alias("y2"), at(n).alias("y1")]
+
+
+def _shapiro() -> Column:
+    """A struct of statistic and pvalue, over a row with the aggregates of _normality."""
+    return tails.shapiro_test("n", "w_squares", "w_sum", "ss", "x2", "y2", "y1")
 
 
 def shapiro(df: DataFrame, value: str) -> DataFrame:
     """trait_id, n, statistic (W), pvalue; null below three values, and 1 for equal ones."""
     ranked = value_ranks(df.select(*KEY, value), KEY, value)
-    each = ranked.withColumn("i", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("cnt"))))
-    x, i, n = F.col(value).cast("double"), F.col("i"), F.col("n")
-    m = inverse_normal((i - 0.375) / (n + 0.25))
-    at = lambda k: F.max(F.when(i == k, x))
-    agg = each.groupBy(*KEY, "n").agg(F.sum(m * m).alias("m2"), F.sum(m * x).alias("mx"), (F.var_pop(x) * F.count(x)).alias("ss"), at(1).alias("x1"), at(2).alias("x2"), at(n - 1).alias("y2"), at(n).alias("y1"))
-    top, second = (inverse_normal((n - k) / (n + 0.25)) for k in (0.375, 1.375))
-    u = 1 / F.sqrt(n)
-    c = F.sqrt("m2")
-    a1 = _poly(u, -2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0) + top / c
-    a2 = _poly(u, -3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0) + second / c
-    more = n > 5
-    phi = F.when(more, (F.col("m2") - 2 * top * top - 2 * second * second) / (1 - 2 * a1 * a1 - 2 * a2 * a2)).otherwise((F.col("m2") - 2 * top * top) / (1 - 2 * a1 * a1))
-    wide, inner = F.col("y1") - F.col("x1"), F.col("y2") - F.col("x2")
-    rest = F.col("mx") - top * wide - F.when(more, second * inner).otherwise(0.0)
-    b = F.when(n == 3, wide * 0.5**0.5).otherwise(a1 * wide + F.when(more, a2 * inner).otherwise(0.0) + rest / F.sqrt(phi))
-    w = F.when(n < 3, None).when(F.col("ss") == 0, 1.0).otherwise(F.least(b * b / F.when(F.col("ss") != 0, F.col("ss")), F.lit(1.0)))
-    w = F.when(F.isnan("ss"), F.lit(float("nan"))).otherwise(w)
-    return agg.select(*KEY, "n", w.alias("statistic")).withColumn("pvalue", tails.shapiro_pvalue("statistic", "n"))
+    agg = _scored(ranked, value).groupBy(*KEY).agg(*_normality()).withColumn("w", _shapiro())
+    statistic = F.when(F.isnan("ss"), F.lit(NAN)).otherwise(F.col("w.statistic"))
+    return agg.select(*KEY, "n", statistic.alias("statistic"), F.col("w.pvalue").alias("pvalue"))
+
+
+def _sides() -> tuple[Column, Column]:
+    return F.count_if(F.col("origin") == "P").alias("p"), F.count_if(F.col("origin") == "M").alias("m")
+
+
+def _rank_sums(value: str) -> list[Column]:
+    """Aggregates over values with p, m and their running sums: the rank sum of P, ties, and whether a value is NaN."""
+    both, before = F.col("p") + F.col("m"), F.col("before_p") + F.col("before_m")
+    ties = F.sum((both * both * both - both).cast("double"))
+    return [F.sum(F.col("p") * (before + (both + 1) / 2)).alias("r"), ties.alias("ties"), F.max(F.isnan(F.col(value).cast("double"))).alias("nan")]
+
+
+def _u() -> Column:
+    """U of P over a row with n1, n2 and the aggregates of _rank_sums."""
+    n1 = F.col("n1")
+    return F.when((n1 == 0) | (F.col("n2") == 0) | F.col("nan"), F.lit(NAN)).otherwise(F.col("r") - n1 * (n1 + 1) / 2)
 
 
 def mann_whitney(df: DataFrame, value: str) -> DataFrame:
     """trait_id, statistic (U of P), pvalue (two-sided). NaN where a group is empty."""
-    ranked = value_ranks(df.where(F.col("origin").isin("P", "M")).select(*KEY, "origin", value), KEY, value, F.count_if(F.col("origin") == "P").alias("p"))
-    cnt, nan = F.col("cnt"), F.max(F.isnan(F.col(value).cast("double")))
-    agg = ranked.groupBy(*KEY).agg(F.sum("p").alias("n1"), F.sum(cnt).alias("n"), F.sum(F.col("p") * (F.col("before") + (cnt + 1) / 2)).alias("r"), F.sum((cnt * cnt * cnt - cnt).cast("double")).alias("ties"), nan.alias("nan"))
-    n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
-    u = F.when((n1 == 0) | (n2 == 0) | F.col("nan"), F.lit(float("nan"))).otherwise(F.col("r") - n1 * (n1 + 1) / 2)
-    return agg.select(*KEY, u.alias("statistic"), tails.mann_whitney_pvalue(u, n1, n2, "ties").alias("pvalue"))
+    rows = df.where(F.col("origin").isin("P", "M")).select(*KEY, "origin", value)
+    agg = value_ranks(rows, KEY, value, *_sides(), counts=("cnt", "p", "m"))
+    agg = agg.groupBy(*KEY).agg(F.sum("p").alias("n1"), F.sum("m").alias("n2"), *_rank_sums(value))
+    return agg.select(*KEY, _u().alias("statistic"), tails.mann_whitney_pvalue(_u(), "n1", "n2", "ties").alias("pvalue"))
 
 
 def _two(df: DataFrame, value: str) -> DataFrame:
@@ -63,23 +78,33 @@ def _two(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(*KEY).agg(*[part(f, g).alias(f"{name}{k}") for k, g in ((1, "P"), (2, "M")) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
 
 
-def student(df: DataFrame, value: str) -> DataFrame:
-    """trait_id, statistic, df, pvalue with one variance for both groups; P first."""
-    a = _two(df, value)
+def _student() -> tuple[Column, Column]:
+    """t and its degrees of freedom over a row with n1, m1, v1, n2, m2, v2."""
     n1, n2, free = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2") - 2
     pooled = divide((n1 - 1) * F.coalesce("v1", F.when(n1 == 1, 0.0)) + (n2 - 1) * F.coalesce("v2", F.when(n2 == 1, 0.0)), free)
     t = divide(F.col("m1") - F.col("m2"), F.sqrt(pooled * (divide(F.lit(1), n1) + divide(F.lit(1), n2))))
-    out = a.select(*KEY, t.alias("statistic"), free.cast("double").alias("df"))
+    return t, free.cast("double")
+
+
+def _welch() -> tuple[Column, Column]:
+    s1, s2 = divide(F.col("v1"), F.col("n1")), divide(F.col("v2"), F.col("n2"))
+    t = divide(F.col("m1") - F.col("m2"), F.sqrt(s1 + s2))
+    return t, divide((s1 + s2) * (s1 + s2), divide(s1 * s1, F.col("n1") - 1) + divide(s2 * s2, F.col("n2") - 1))
+
+
+def _t_test(df: DataFrame, value: str, form: tuple[Column, Column]) -> DataFrame:
+    out = _two(df, value).select(*KEY, form[0].alias("statistic"), form[1].alias("df"))
     return out.withColumn("pvalue", tails.t_pvalue("statistic", "df"))
 
 
+def student(df: DataFrame, value: str) -> DataFrame:
+    """trait_id, statistic, df, pvalue with one variance for both groups; P first."""
+    return _t_test(df, value, _student())
+
+
 def welch(df: DataFrame, value: str) -> DataFrame:
     """trait_id, statistic, df, pvalue with a variance for each group; P first."""
-    a = _two(df, value)
-    s1, s2 = divide(F.col("v1"), F.col("n1")), divide(F.col("v2"), F.col("n2"))
-    t = divide(F.col("m1") - F.col("m2"), F.sqrt(s1 + s2))
-    free = divide((s1 + s2) * (s1 + s2), divide(s1 * s1, F.col("n1") - 1) + divide(s2 * s2, F.col("n2") - 1))
-    return a.select(*KEY, t.alias("statistic"), free.alias("df")).withColumn("pvalue", tails.t_pvalue("statistic", "df"))
+    return _t_test(df, value, _welch())
 
 
 def _deviations(df: DataFrame, value: str) -> DataFrame:
@@ -89,52 +114,92 @@ def _deviations(df: DataFrame, value: str) -> DataFrame:
     return join_groups(rows, medians, [*KEY, "origin"]).select(*KEY, "origin", F.abs(F.col("v") - F.col("med")).alias("z"))
 
 
+def _levene(g: DataFrame) -> DataFrame:
+    """trait_id, statistic, k, N from a row for each trait and group: n, m (mean distance) and ss (squares about it)."""
+    n, m = F.col("n"), F.col("m")
+    g = g.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("N"), F.sum("ss").alias("within"), F.sum(n * m).alias("s"), F.sum(n * m * m).alias("q"))
+    between = F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("N"), F.lit(0.0))
+    f = divide(divide(between, F.col("k") - 1), divide(F.col("within"), F.col("N") - F.col("k")))
+    return g.select(*KEY, f.alias("statistic"), "k", "N")
+
+
 def levene(df: DataFrame, value: str) -> DataFrame:
     """trait_id, statistic, pvalue: equal variances, about medians. Equal if pvalue > 0.05."""
     g = _deviations(df, value).groupBy(*KEY, "origin").agg(F.count("z").alias("n"), F.avg("z").alias("m"), (F.var_pop("z") * F.count("z")).alias("ss"))
-    g = g.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum("ss").alias("within"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
-    between = F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("N"), F.lit(0.0))
-    f = divide(divide(between, F.col("k") - 1), divide(F.col("within"), F.col("N") - F.col("k")))
-    return g.select(*KEY, f.alias("statistic"), tails.f_pvalue(f, F.col("k") - 1, F.col("N") - F.col("k")).alias("pvalue"))
+    return _levene(g).select(*KEY, "statistic", tails.f_pvalue("statistic", F.col("k") - 1, F.col("N") - F.col("k")).alias("pvalue"))
 
 
 def bartlett(df: DataFrame, value: str) -> DataFrame:
     """trait_id, statistic, pvalue: equal variances of normal groups."""
     g = df.groupBy(*KEY, "origin").agg(F.count(value).alias("n"), F.var_samp(F.col(value).cast("double")).alias("v"))
-    f = F.col("n") - 1
-    g = g.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), F.sum(f).alias("f"), F.sum(f * F.col("v")).alias("fv"), F.sum(f * F.when(F.col("v") > 0, F.log("v"))).alias("fl"), F.sum(divide(F.lit(1), f)).alias("r"), F.min(F.col("v")).alias("least"), F.count("v").alias("c"))
-    stat = (F.col("f") * F.log(divide(F.col("fv"), F.col("f"))) - F.col("fl")) / (1 + (F.col("r") - divide(F.lit(1), F.col("f"))) / (3 * (F.greatest(F.col("k"), F.lit(2)) - 1)))
-    stat = F.when((F.col("k") > 1) & (F.col("c") == F.col("k")) & (F.col("least") > 0), stat).otherwise(F.lit(float("nan")))
+    f, v = F.col("n") - 1, F.col("v")
+    sums = [F.sum(f).alias("f"), F.sum(f * v).alias("fv"), F.sum(f * F.when(v > 0, F.log("v"))).alias("fl"), F.sum(divide(F.lit(1), f)).alias("r")]
+    g = g.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), *sums, F.min(v).alias("least"), F.count("v").alias("c"))
+    spread = 1 + (F.col("r") - divide(F.lit(1), F.col("f"))) / (3 * (F.greatest(F.col("k"), F.lit(2)) - 1))
+    stat = (F.col("f") * F.log(divide(F.col("fv"), F.col("f"))) - F.col("fl")) / spread
+    stat = F.when((F.col("k") > 1) & (F.col("c") == F.col("k")) & (F.col("least") > 0), stat).otherwise(F.lit(NAN))
     return g.select(*KEY, stat.alias("statistic"), tails.chi2_pvalue(stat, F.col("k") - 1).alias("pvalue"))
 
 
 def fligner(df: DataFrame, value: str) -> DataFrame:
     """trait_id, statistic, pvalue: equal variances by normal scores of the ranks of distances from medians."""
     z = _deviations(df, value)
-    ranked = value_ranks(z.select(*KEY, "z"), KEY, "z").select(*KEY, "z", "n", inverse_normal(0.5 + (F.col("before") + (F.col("cnt") + 1) / 2) / (2 * (F.col("n") + 1))).alias("a"))
-    scored = join_groups(z, ranked, [*KEY, "z"])
-    g = scored.groupBy(*KEY, "origin").agg(F.count("a").alias("c"), F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("q"))
+    place = 0.5 + (F.col("before") + (F.col("cnt") + 1) / 2) / (2 * (F.col("n") + 1))
+    ranked = value_ranks(z.select(*KEY, "z"), KEY, "z").select(*KEY, "z", inverse_normal(place).alias("a"))
+    a = F.col("a")
+    g = join_groups(z, ranked, [*KEY, "z"]).groupBy(*KEY, "origin").agg(F.count(a).alias("c"), F.sum(a).alias("s"), F.sum(a * a).alias("q"))
     g = g.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("B"))
     mean = F.col("S") * F.col("S") / F.col("N")
     stat = divide(F.col("B") - mean, divide(F.col("Q") - mean, F.col("N") - 1))
-    stat = F.when(F.col("k") > 1, stat).otherwise(F.lit(float("nan")))
+    stat = F.when(F.col("k") > 1, stat).otherwise(F.lit(NAN))
     return g.select(*KEY, stat.alias("statistic"), tails.chi2_pvalue(stat, F.col("k") - 1).alias("pvalue"))
 
 
-def difference_test(df: DataFrame, value: str) -> DataFrame:
-    """trait_id, statistic, pvalue, method: t or Welch for normal traits by Levene, else Mann-Whitney.
+VARIANCE_TESTS = {"bartlett": bartlett, "fligner": fligner}
+
+
+def difference_test(df: DataFrame, value: str, variances: str = "levene") -> DataFrame:
+    """trait_id, statistic, pvalue, method: t or Welch for normal traits by equality of variances, else Mann-Whitney.
 
-    Traits whose normality p-value is exactly 0.05, or null or NaN, are in neither part and left out.
+    Traits whose normality p-value is exactly 0.05, or null or NaN, are in neither part and left out. Normality is that
+    of all of a trait's values; the other tests take P and M. Values are ranked once: one aggregate over
+    them gives normality, U, t and medians, a second one Levene's distances. variances: levene, bartlett or fligner.
     """
-    normal = shapiro(df, value).select(*KEY, F.col("pvalue").alias("normal"))
-    out = normal
-    for name, test in (("levene", levene), ("t", student), ("w", welch), ("u", mann_whitney)):
-        out = join_groups(out, test(df, value).select(*KEY, F.col("statistic").alias(f"{name}_s"), F.col("pvalue").alias(f"{name}_p")), KEY)
-    is_normal, equal = (F.col("normal") > 0.05), F.coalesce(F.col("levene_p") > 0.05, F.lit(False))
-    pick = lambda kind: F.when(is_normal & equal, F.col(f"t_{kind}")).when(is_normal, F.col(f"w_{kind}")).otherwise(F.col(f"u_{kind}"))
-    method = F.when(is_normal & equal, "T-test").when(is_normal, "Welchs-test").otherwise("MannwhitneyU-test")
-    chosen = out.where(F.col("normal").isNotNull() & ~F.isnan("normal") & (F.col("normal") != 0.05))
-    return chosen.select(*KEY, pick("s").alias("statistic"), pick("p").alias("pvalue"), method.alias("method")).orderBy((F.col("method") == "MannwhitneyU-test"), *KEY)
+    if variances not in ("levene", *VARIANCE_TESTS):
+        raise ValueError(f"variances must be levene, {' or '.join(VARIANCE_TESTS)}")
+    values = value_ranks(df.select(*KEY, "origin", value), KEY, value, *_sides(), counts=("cnt", "p", "m"))
+    x, d = F.col(value).cast("double"), F.col("d")
+    sums = [F.sum(F.col(c) * y).alias(f"{c}_{name}") for c in "pm" for name, y in (("n", F.lit(1)), ("d", d), ("dd", d * d))]
+    medians = [median_of(value, c).alias(f"med_{c}") for c in "pm"]
+    one = _scored(values, value).groupBy(*KEY).agg(*_normality(), *_rank_sums(value), *sums, *medians, F.max("least").cast("double").alias("least"))
+    for k, c in ((1, "p"), (2, "m")):
+        n, total, squares = (F.col(f"{c}_{x}") for x in ("n", "d", "dd"))
+        mean = divide(total, F.when(n > 0, n))
+        var = F.when(n > 1, F.greatest((squares - total * mean) / (n - 1), F.lit(0.0)))
+        one = one.withColumns({f"n{k}": n, f"m{k}": mean + F.col("least"), f"v{k}": var})
+    if variances == "levene":
+        z = join_groups(values, one.select(*KEY, "med_p", "med_m"), KEY)
+        far = {c: F.abs(x - F.col(f"med_{c}")) for c in "pm"}
+        z = z.groupBy(*KEY).agg(*[F.sum(F.when(F.col(c) > 0, F.col(c) * y)).alias(f"{c}_{name}") for c in "pm" for name, y in (("n", F.lit(1)), ("z", far[c]), ("zz", far[c] * far[c]))])
+        side = lambda c: F.struct(*[F.col(f"{c}_{name}").alias(name) for name in ("n", "z", "zz")])
+        g = z.select(*KEY, F.explode(F.array(side("p"), side("m"))).alias("g")).select(*KEY, "g.*").where("n > 0")
+        g = g.select(*KEY, "n", (F.col("z") / F.col("n")).alias("m"), F.greatest(F.col("zz") - F.col("z") * F.col("z") / F.col("n"), F.lit(0.0)).alias("ss"))
+        p = tails.f_pvalue("statistic", F.col("k") - 1, F.col("N") - F.col("k"))
+        equal = _levene(g).select(*KEY, p.alias("equal"))
+    else:
+        equal = VARIANCE_TESTS[variances](df.where(F.col("origin").isin("P", "M")), value).select(*KEY, F.col("pvalue").alias("equal"))
+    out = join_groups(one, equal, KEY, "left").withColumn("normal", _shapiro()["pvalue"]).where("normal <> 0.05")
+    is_normal, same = F.col("normal") > 0.05, F.coalesce(F.col("equal") > 0.05, F.lit(False))
+    pick = lambda k: F.when(same, _student()[k]).otherwise(_welch()[k])
+    out = out.withColumns({
+        "method": F.when(is_normal & same, "T-test").when(is_normal, "Welchs-test").otherwise("MannwhitneyU-test"),
+        "t": pick(0),
+        "df": pick(1),
+        "u": _u(),
+    })
+    out = out.withColumns({"t_p": tails.t_pvalue("t", "df"), "u_p": tails.mann_whitney_pvalue("u", "n1", "n2", "ties")})
+    chosen = lambda a, b: F.when(F.col("method") == "MannwhitneyU-test", F.col(b)).otherwise(F.col(a))
+    return out.select(*KEY, chosen("t", "u").alias("statistic"), chosen("t_p", "u_p").alias("pvalue"), "method")
 
 
 def significance(tested: DataFrame, level: float = 0.05) -> DataFrame:

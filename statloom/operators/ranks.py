@@ -1,7 +1,8 @@
 """Ranks of values in groups of any size: never one task for a group.
 
 Equal values are one row with a count, so a value that a third of all rows share is
-nothing special. A group with many distinct values is cut into value ranges; each range's
+nothing special. Where a group may have more distinct values than a task should sort, it's cut into value ranges
+at approximate quantiles, twice: bounds only decide where ranges end, so ranks are exact. Each range's
 values are numbered on their own and moved by the counts of the ranges below.
 """
 
@@ -12,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_RANGE = 200_000
+PER_RANGE = 1 << 20  # distinct values that a task sorts
+CUTS = 256  # ranges that a larger group, or range of one, is cut into
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -22,28 +24,60 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column) -> DataFrame:
-    """Each group's distinct values: keys, value, cnt, before (rows of smaller values), n (rows of the group), and more aggregates. Nulls are left out."""
+def _names(count: str) -> tuple[str, str]:
+    """The columns with the running sum and the total of a count."""
+    return ("before", "n") if count == "cnt" else (f"before_{count}", f"n_{count}")
+
+
+def _cut(values: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds name: the range of each value among those of its group `by`; 0 in groups of at most PER_RANGE values."""
+    x = F.col(value).cast("double")
+    large = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > PER_RANGE).drop("_d")
+    some = join_groups(values, large, by).where(F.abs(x) < float("inf"))  # not NaN either
+    bounds = some.groupBy(*by).agg(F.percentile_approx(x, [k / CUTS for k in range(1, CUTS)], 10_000).alias("_bounds"))
+    placed = join_groups(values, bounds, by, "left")
+    return placed.withColumn(name, F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda b: b <= x)))).drop("_bounds")
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, counts: Sequence[str] = ("cnt",)) -> DataFrame:
+    """Each group's distinct values: keys, value, cnt, before (rows of smaller values), n (rows of the group), least (its least value), and more aggregates.
+
+    Nulls are left out. counts: cnt and those of the other aggregates that are counts too, whose running sums and totals become before_{name} and n_{name}.
+    """
     keys = list(keys)
     if not keys:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
     values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"), *more)
-    span = values.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.ceil(F.count(F.lit(1)) / PER_RANGE).alias("_parts"))
-    share = (F.col(value).cast("double") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    placed = join_groups(values, span, keys).withColumn("_range", F.coalesce(F.floor(F.least(F.nanvl(share, F.lit(1.0)), F.lit(1.0)) * (F.col("_parts") - 1)), F.lit(0)))
-    below = placed.groupBy(*keys, "_range").agg(F.sum("cnt").alias("_c"))
-    below = below.withColumn("_base", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).drop("_c")
-    inside = F.sum("cnt").over(Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("cnt")
-    out = join_groups(placed.withColumn("_in", inside), below, [*keys, "_range"])
-    return out.withColumn("before", F.col("_base") + F.col("_in")).drop("_lo", "_hi", "_parts", "_range", "_base", "_in", "_all")
+    upto = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = lambda c, by: F.sum(c).over(upto(by, [value])) - F.col(c)
+    if df.count() <= PER_RANGE:  # no group can be larger
+        for c in counts:
+            before, n = _names(c)
+            values = values.withColumn(before, running(c, keys)).withColumn(n, F.sum(c).over(Window.partitionBy(*keys)))
+        return values.withColumn("least", F.min(value).over(Window.partitionBy(*keys))).drop("_all")
+    ranges = ["_range", "_part"]
+    placed = _cut(_cut(values, keys, value, "_range"), [*keys, "_range"], value, "_part")
+    below = placed.groupBy(*keys, *ranges).agg(F.min(value).alias("_least"), *[F.sum(c).alias(f"_c_{c}") for c in counts])
+    below = below.withColumn("least", F.min("_least").over(Window.partitionBy(*keys))).drop("_least")
+    for c in counts:
+        own = F.col(f"_c_{c}")
+        below = below.withColumn(f"_base_{c}", F.sum(own).over(upto(keys, ranges)) - own).withColumn(_names(c)[1], F.sum(own).over(Window.partitionBy(*keys)))
+    below = below.drop(*[f"_c_{c}" for c in counts])
+    for c in counts:
+        placed = placed.withColumn(f"_in_{c}", running(c, [*keys, *ranges]))
+    out = join_groups(placed, below, [*keys, *ranges])
+    for c in counts:
+        out = out.withColumn(_names(c)[0], F.col(f"_base_{c}") + F.col(f"_in_{c}"))
+    return out.drop("_all", *ranges, *[f"{k}_{c}" for c in counts for k in ("_base", "_in")])
 
 
-def at_rank(value: str, rank: Column) -> Column:
-    """An aggregate over value_ranks: the value that holds this place (from 0)."""
-    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("cnt")), F.col(value)))
+def at_rank(value: str, rank: Column, count: str = "cnt") -> Column:
+    """An aggregate over value_ranks: the value that holds this place (from 0), among the rows of a count."""
+    before = F.col(_names(count)[0])
+    return F.max(F.when((before <= rank) & (rank < before + F.col(count)), F.col(value)))
 
 
-def median_of(value: str) -> Column:
+def median_of(value: str, count: str = "cnt") -> Column:
     """An aggregate over value_ranks: the mean of the middle values."""
-    n = F.col("n")
-    return (at_rank(value, F.floor((n - 1) / 2)).cast("double") + at_rank(value, F.ceil((n - 1) / 2)).cast("double")) / 2
+    n = F.col(_names(count)[1])
+    return (at_rank(value, F.floor((n - 1) / 2), count).cast("double") + at_rank(value, F.ceil((n - 1) / 2), count).cast("double")) / 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,33 +16,53 @@ def box_cox_of(x: Column, lam: float) -> Column:
     return F.log(x) if lam == 0 else F.expm1(lam * F.log(x)) / lam
 
 
-def box_cox(df: DataFrame, column: str) -> tuple[DataFrame, float]:
-    """Adds {column}_boxcox with the likeliest lambda, and that lambda. Values are moved above zero if any isn't; constant ones raise ValueError.
+LAMBDAS = 33  # tried in each pass
 
-    Each pass over the column tries 17 lambdas at once and narrows the bracket; only these scalars reach the driver.
-    """
-    v = F.col(column).cast("double")
-    n, low, high = df.agg(F.count(v), F.min(v), F.max(v)).first()
-    if not n or low == high:
-        raise ValueError("Box-Cox needs values that differ")
-    x = v if low > 0 else v - low + 1e-6
-    logs = df.where(v.isNotNull()).select(F.log(x).alias("l"))
+
+def _likelihoods(logs: DataFrame, n: int, lambdas: Sequence[float]) -> list[float]:
+    """The log-likelihood of each lambda, in one pass over the logarithms (column l)."""
+    forms = [F.var_pop(F.col("l") if abs(lam) < 1e-12 else F.expm1(F.lit(lam) * F.col("l")) / lam) for lam in lambdas]
+    total, *variances = logs.agg(F.sum("l"), *forms).first()
+    return [(lam - 1) * total - n / 2 * math.log(s) if s > 0 and math.isfinite(s) else -math.inf for lam, s in zip(lambdas, variances, strict=True)]
+
+
+def _likeliest(logs: DataFrame, n: int) -> float:
     lo, hi = -2.0, 2.0
     for _ in range(60):
-        lams = [lo + (hi - lo) * k / 16 for k in range(17)]
-        forms = [F.var_pop(F.col("l") if abs(lam) < 1e-12 else F.expm1(F.lit(lam) * F.col("l")) / lam) for lam in lams]
-        total, *variances = logs.agg(F.sum("l"), *forms).first()
-        scores = [(lam - 1) * total - n / 2 * math.log(s) if s > 0 and math.isfinite(s) else -math.inf for lam, s in zip(lams, variances, strict=True)]
-        k = max(range(17), key=scores.__getitem__)
+        lambdas = [lo + (hi - lo) * k / (LAMBDAS - 1) for k in range(LAMBDAS)]
+        scores = _likelihoods(logs, n, lambdas)
+        k = max(range(LAMBDAS), key=scores.__getitem__)
         width = hi - lo
-        if k in (0, 16) and width > 1:  # the edge isn't a bound
-            lo, hi = lams[k] - width, lams[k] + width
+        if k in (0, LAMBDAS - 1) and width > 1:  # the edge isn't a bound
+            lo, hi = lambdas[k] - width, lambdas[k] + width
             continue
-        lo, hi = lams[max(k - 1, 0)], lams[min(k + 1, 16)]
+        lo, hi = lambdas[max(k - 1, 0)], lambdas[min(k + 1, LAMBDAS - 1)]
         if hi - lo < 1e-7:
             break
-    lam = (lo + hi) / 2
-    return df.withColumn(f"{column}_boxcox", box_cox_of(x, lam)), lam
+    return (lo + hi) / 2
+
+
+def box_cox(df: DataFrame, column: str, lambdas: Sequence[float] | None = None) -> tuple[DataFrame, float]:
+    """Adds {column}_boxcox with the likeliest lambda (of these, if given), and that lambda.
+
+    Values are moved above zero if any isn't; constant ones raise ValueError. Without values the column is null and lambda NaN.
+    Logarithms are computed once and kept; each pass over them tries LAMBDAS lambdas and narrows the bracket, and only these scalars reach the driver.
+    """
+    v, name = F.col(column).cast("double"), f"{column}_boxcox"
+    n, low, high = df.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not n:
+        return df.withColumn(name, F.lit(None).cast("double")), math.nan
+    if low == high:
+        raise ValueError("Box-Cox needs values that differ")
+    x = v if low > 0 else v - low + 1e-6
+    logs = df.where(v.isNotNull()).select(F.log(x).alias("l")).persist()
+    if lambdas is None:
+        lam = _likeliest(logs, n)
+    else:
+        scores = _likelihoods(logs, n, lambdas)
+        lam = lambdas[max(range(len(lambdas)), key=scores.__getitem__)]
+    logs.unpersist()
+    return df.withColumn(name, box_cox_of(x, lam)), lam
 
 
 def _span(df: DataFrame, column: str) -> DataFrame:
@@ -102,3 +123,23 @@ def fliers(df: DataFrame, column: str) -> DataFrame:
     """The values beyond the whiskers."""
     one = F.broadcast(box_statistics(df, column))
     return df.select(F.col(column).cast("double").alias("v")).join(one).where("v < whisker_low OR v > whisker_high").select("v")
+
+
+def picture(df: DataFrame, column: str, path: str, points: int = 2000) -> None:
+    """Histogram with normal curve, Q-Q plot (at most about `points` points) and box plot in one file. Needs matplotlib."""
+    import matplotlib
+
+    matplotlib.use("Agg")
+    from matplotlib import pyplot
+
+    bars, curve = histogram(df, column).toPandas(), normal_curve(df, column).toPandas()  # 30 and 100 rows
+    every = max(1, df.where(F.col(column).isNotNull()).count() // points)
+    qq = qq_points(df, column).where((F.col("i") - 1) % every == 0).toPandas()
+    box = box_statistics(df, column).first()
+    figure, (left, middle, right) = pyplot.subplots(1, 3, figsize=(12, 4))
+    left.bar(bars["left"], bars["density"], bars["right"] - bars["left"], align="edge")
+    left.plot(curve["x"], curve["density"], "--")
+    middle.plot(qq["theoretical"], qq["sample"], "o")
+    right.bxp([{"q1": box["q1"], "med": box["median"], "q3": box["q3"], "whislo": box["whisker_low"], "whishi": box["whisker_high"], "fliers": []}])
+    figure.savefig(path)
+    pyplot.close(figure)

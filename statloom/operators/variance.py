@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,24 +15,45 @@ from ..functions.columns import divide
 WINDOW = ["chra", "windowa"]
 
 
-def _groups(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row for each window and group: n, mean, ss; groups other than P and M leave their window out."""
+RESULTS = ("anova_sigma_alpha_sq", "anova_sigma_epsilon_sq", "anova_repeatability", "anova_f_value", "bayes_sigma_alpha_sq", "bayes_sigma_epsilon_sq", "bayes_repeatability")
+CATEGORIES = ("P", "M")
+
+
+def category_codes(group: Column, categories: Sequence[str] = CATEGORIES) -> Column:
+    """A group's place among the categories, from 0; null for any other."""
+    return F.coalesce(*[F.when(group == c, k) for k, c in enumerate(categories)])
+
+
+def _windows(df: DataFrame, value: str, group: str) -> DataFrame:
+    """One row for each window: trait_id and g, its groups (in order, at most two) with n, mean and ss. Windows with a group other than P and M are left out."""
     v = F.col(value).cast("double")
     g = df.groupBy(*WINDOW, group).agg(F.count(v).alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count(v)).alias("ss"), F.min("trait_id").alias("trait_id"))
-    return g.where("n > 0").withColumn("other", ~F.coalesce(F.col(group).isin("P", "M"), F.lit(False)))
+    g = g.where("n > 0").withColumn("code", category_codes(F.col(group)))
+    # rows of a window are its groups: with one beyond P and M it's dropped before they're listed
+    only = g.groupBy(*WINDOW).agg(F.min("trait_id").alias("trait_id"), F.count(F.lit(1)).alias("groups"), F.count("code").alias("known"), *[
+        F.max(F.when(F.col("code") == k, F.struct("n", "m", "ss"))).alias(f"g{k}") for k in range(len(CATEGORIES))
+    ])
+    listed = F.filter(F.array(*[f"g{k}" for k in reversed(range(len(CATEGORIES)))]), lambda x: x.isNotNull())
+    return only.where(F.col("groups") == F.col("known")).select(*WINDOW, "trait_id", listed.alias("g"))
+
+
+def _with_anova(g: DataFrame) -> DataFrame:
+    """Adds ssb, ssw and the first four of RESULTS to _windows. At most two groups are summed."""
+    over = lambda f: F.aggregate("g", F.lit(0.0), lambda acc, x: acc + f(x))
+    g = g.withColumn("N", over(lambda x: x["n"])).withColumn("k", F.size("g")).withColumn("ssw", over(lambda x: x["ss"]))
+    g = g.withColumn("mean", over(lambda x: x["n"] * x["m"]) / F.col("N"))
+    g = g.withColumn("ssb", over(lambda x: x["n"] * (x["m"] - F.col("mean")) * (x["m"] - F.col("mean"))))
+    nan, one = F.lit(float("nan")), F.col("k") < 2
+    msb, msw = divide(F.col("ssb"), F.col("k") - 1), divide(F.col("ssw"), F.col("N") - F.col("k"))
+    alpha = F.greatest((msb - msw) / (F.col("N") / F.col("k")), F.lit(0.0))
+    g = g.withColumn(RESULTS[0], F.when(one, nan).otherwise(alpha)).withColumn(RESULTS[1], msw)
+    g = g.withColumn(RESULTS[2], F.when(one, nan).otherwise(divide(F.col(RESULTS[0]), F.col(RESULTS[0]) + F.col(RESULTS[1]))))
+    return g.withColumn(RESULTS[3], F.when(one, nan).otherwise(divide(msb, msw)))
 
 
 def anova(df: DataFrame, value: str, group: str = "origin") -> DataFrame:
-    """chra, windowa, trait_id, ssb, ssw, f, var_alpha, var_error, repeatability; NaN where only one group is there. N / k is used for unequal groups too."""
-    g = _groups(df, value, group).groupBy(*WINDOW).agg(F.min("trait_id").alias("trait_id"), F.max("other").alias("other"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum("ss").alias("ssw"), F.sum(F.col("n") * F.col("m")).alias("s"), F.collect_list(F.struct("n", "m")).alias("g"))
-    mean = F.col("s") / F.col("N")
-    g = g.where(~F.col("other")).withColumn("ssb", F.aggregate("g", F.lit(0.0), lambda a, x: a + x["n"] * (x["m"] - mean) * (x["m"] - mean)))  # at most two groups
-    nan = F.lit(float("nan"))
-    msb, msw = divide(F.col("ssb"), F.col("k") - 1), divide(F.col("ssw"), F.col("N") - F.col("k"))
-    alpha = F.greatest((msb - msw) / (F.col("N") / F.col("k")), F.lit(0.0))
-    one = F.col("k") < 2
-    out = g.withColumn("f", F.when(one, nan).otherwise(divide(msb, msw))).withColumn("var_alpha", F.when(one, nan).otherwise(alpha)).withColumn("var_error", msw)
-    return out.withColumn("repeatability", F.when(one, nan).otherwise(divide(F.col("var_alpha"), F.col("var_alpha") + F.col("var_error")))).select(*WINDOW, "trait_id", "ssb", "ssw", "f", "var_alpha", "var_error", "repeatability")
+    """chra, windowa, trait_id, ssb, ssw and the anova columns of RESULTS; NaN where only one group is there. N / k is used for unequal groups too."""
+    return _with_anova(_windows(df, value, group)).select(*WINDOW, "trait_id", "ssb", "ssw", *RESULTS[:4])
 
 
 def posterior_sds(n: np.ndarray, mean: np.ndarray, ssw: float, points: int = 300) -> tuple[float, float]:
@@ -71,19 +94,24 @@ def _posterior(n: pd.Series, m: pd.Series, ss: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["sa", "se"])
 
 
-def bayes(df: DataFrame, value: str, group: str = "origin") -> DataFrame:
-    """chra, windowa, trait_id, bayes_var_alpha, bayes_var_error, bayes_repeatability: squares of posterior mean deviations; NaN for constant values."""
-    g = _groups(df, value, group).groupBy(*WINDOW).agg(F.min("trait_id").alias("trait_id"), F.max("other").alias("other"), F.array_sort(F.collect_list(F.struct(group, "n", "m", "ss"))).alias("g")).where(~F.col("other"))
+def _with_bayes(g: DataFrame) -> DataFrame:
     g = g.withColumn("p", _posterior("g.n", "g.m", "g.ss"))
     a, e = F.col("p.sa"), F.col("p.se")
-    return g.select(*WINDOW, "trait_id", a.alias("bayes_var_alpha"), e.alias("bayes_var_error"), divide(a, a + e).alias("bayes_repeatability"))
+    return g.withColumn(RESULTS[4], a).withColumn(RESULTS[5], e).withColumn(RESULTS[6], divide(a, a + e))
+
+
+def bayes(df: DataFrame, value: str, group: str = "origin") -> DataFrame:
+    """chra, windowa, trait_id and the bayes columns of RESULTS: squares of posterior mean deviations; null for constant values."""
+    return _with_bayes(_windows(df, value, group)).select(*WINDOW, "trait_id", *RESULTS[4:])
 
 
-def windows_of(df: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows of windows 0 to the number that a dictionary (chra, windows) gives for their chromosome."""
+def windows_of(df: DataFrame, windows: DataFrame, chromosome: int | None = None) -> DataFrame:
+    """Rows of windows 0 to the number that a dictionary (chra, windows) gives for their chromosome; of one chromosome, if asked for."""
+    if chromosome is not None:
+        df, windows = df.where(F.col("chra") == chromosome), windows.where(F.col("chra") == chromosome)
     return df.join(windows, "chra").where((F.col("windowa") >= 0) & (F.col("windowa") < F.col("windows"))).drop("windows")
 
 
 def variance_components(df: DataFrame, value: str, group: str = "origin") -> DataFrame:
-    """Both methods' columns for each window."""
-    return anova(df, value, group).drop("ssb", "ssw").join(bayes(df, value, group).drop("trait_id"), WINDOW)
+    """chra, windowa, trait_id and RESULTS for each window."""
+    return _with_bayes(_with_anova(_windows(df, value, group))).select(*WINDOW, "trait_id", *RESULTS)

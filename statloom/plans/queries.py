@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import origin
+from ..functions.columns import CENTRE, MIDDLE, TAIL, origin
 from ..operators import describe, difference, rows, shape, variance
 from ..sources import tables
 
 QUERIES, SQL = {}, {}
 
 
+def sql_quantile(p: str) -> str:
+    """SQL text of the standard normal quantile of p."""
+
+    def ratio(x: str, form: tuple) -> str:
+        parts = []
+        for coefficients in form:
+            text = f"{coefficients[-1]!r}::DOUBLE"
+            for c in reversed(coefficients[:-1]):
+                text = f"({text} * {x} + {c!r}::DOUBLE)"
+            parts.append(text)
+        return f"({parts[0]} / {parts[1]})"
+
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    far = f"CASE WHEN {r} <= 5 THEN {ratio(f'({r} - 1.6)', MIDDLE)} ELSE {ratio(f'({r} - 5)', TAIL)} END"
+    return f"(CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(f'(0.180625 - {q} * {q})', CENTRE)} ELSE sign({q}) * {far} END)"
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -30,6 +47,13 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
+def _known(c: str | F.Column, digits: int | None = None) -> F.Column:
+    """A number rounded, with null in the place of NaN and infinities."""
+    c = F.col(c) if isinstance(c, str) else c
+    c = F.when(F.abs(c) < float("inf"), c)
+    return c if digits is None else F.round(c, digits)
+
+
 def _effects(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("chra"), F.month("l_shipdate").alias("windowa"), F.lit(1).alias("trait_id"), F.col("l_returnflag").alias("origin"), F.col("l_extendedprice").alias("effect_value"))
 
@@ -50,7 +74,8 @@ def s01_scan(spark, d):
 
 @query("SELECT * FROM region UNION ALL SELECT * FROM region")
 def s02_scan_many(spark, d):
-    return tables.scan_many(spark, [f"{d}/region.parquet", f"{d}/no_such_file.parquet"]).unionByName(tables.scan(spark, f"{d}/region.parquet"))
+    some = tables.scan_many(spark, [f"{d}/region.parquet", f"{d}/no_such_file.parquet"])
+    return some.unionByName(tables.scan(spark, f"{d}/region.parquet"))
 
 
 @query("SELECT value FROM events")
@@ -136,76 +161,200 @@ def s15e_whole_column(spark, d):
     return _t(spark, d, "events").agg(F.min("value").alias("lo"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"))
 
 
-@query()
+QUANTILE = sql_quantile
+RANKED = f"""SELECT trait_id, v, row_number() OVER (PARTITION BY trait_id ORDER BY v) AS i, count(*) OVER (PARTITION BY trait_id) AS n FROM ({TRAITS})"""
+SHAPIRO = f"""WITH r AS ({RANKED}), s AS (SELECT *, {QUANTILE("((i - 0.375) / (n + 0.25))")} AS m FROM r),
+ a AS (SELECT trait_id, n, sum(m * m) AS sq, sum(m * v) AS mx, var_pop(v) * n AS ss, max(v) FILTER (i = 1) AS x1, max(v) FILTER (i = 2) AS x2,
+  max(v) FILTER (i = n - 1) AS y2, max(v) FILTER (i = n) AS y1, max(m) FILTER (i = n) AS c1, max(m) FILTER (i = n - 1) AS c2, 1 / sqrt(n) AS u FROM s GROUP BY 1, 2),
+ b AS (SELECT *, ((((-2.706056 * u + 4.434685) * u - 2.071190) * u - 0.147981) * u + 0.221157) * u + c1 / sqrt(sq) AS a1,
+  ((((-3.582633 * u + 5.682633) * u - 1.752461) * u - 0.293762) * u + 0.042981) * u + c2 / sqrt(sq) AS a2 FROM a),
+ w AS (SELECT trait_id, n, CASE WHEN n < 3 THEN NULL WHEN ss = 0 THEN 1 WHEN n = 3 THEN pow((y1 - x1) * sqrt(0.5), 2) / ss
+  WHEN n <= 5 THEN pow(a1 * (y1 - x1) + (mx - c1 * (y1 - x1)) / sqrt((sq - 2 * c1 * c1) / (1 - 2 * a1 * a1)), 2) / ss
+  ELSE pow(a1 * (y1 - x1) + a2 * (y2 - x2) + (mx - c1 * (y1 - x1) - c2 * (y2 - x2)) / sqrt((sq - 2 * c1 * c1 - 2 * c2 * c2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / ss END AS w FROM b)"""
+
+
+@query(SHAPIRO + " SELECT trait_id, n, round(w, 6) AS statistic FROM w")
 def s16_shapiro(spark, d):
-    return _rounded(difference.shapiro(_traits(spark, d), "trait_value"))
+    return difference.shapiro(_traits(spark, d), "trait_value").select("trait_id", "n", _known("statistic", 6).alias("statistic"))
+
 
+U = f"""u AS (SELECT a.trait_id, sum(CASE WHEN a.v > b.v THEN 1.0::DOUBLE WHEN a.v = b.v THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS u
+ FROM ({TRAITS}) a JOIN ({TRAITS}) b ON a.trait_id = b.trait_id WHERE a.g = 'P' AND b.g = 'M' GROUP BY 1)"""
 
-@query(f"""SELECT a.trait_id, sum(CASE WHEN a.v > b.v THEN 1.0::DOUBLE WHEN a.v = b.v THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS u FROM ({TRAITS}) a JOIN ({TRAITS}) b ON a.trait_id = b.trait_id
- WHERE a.g = 'P' AND b.g = 'M' GROUP BY 1""")
+
+@query(f"WITH {U} SELECT trait_id, u FROM ({TWO}) LEFT JOIN u USING (trait_id)")
 def s17_mann_whitney(spark, d):
-    return difference.mann_whitney(_traits(spark, d), "trait_value").where(~F.isnan("statistic")).select("trait_id", F.col("statistic").alias("u"))
+    return difference.mann_whitney(_traits(spark, d), "trait_value").select("trait_id", _known("statistic").alias("u"))
+
+
+def _t_p(t: str, df: str) -> str:
+    """SQL of the two-sided p-value of t, by Simpson's rule on the angle."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    weight = "CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(401), lambda k: ({weight}) * pow(cos({angle} * k / 400), {df} - 1))) * {angle} / 1200"
+    return f"(1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {area})"
+
+
+STUDENT = f"""s AS (SELECT *, n1 + n2 - 2.0::DOUBLE AS df, CASE WHEN n1 > 0 AND n2 > 0 AND n1 + n2 > 2 THEN
+ (m1 - m2) / nullif(sqrt(((n1 - 1) * coalesce(v1, 0) + (n2 - 1) * coalesce(v2, 0)) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 0) END AS t FROM ({TWO}))"""
+WELCH = f"""w AS (SELECT *, (m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0) AS t, CASE WHEN n1 > 1 AND n2 > 1 THEN
+ pow(v1 / n1 + v2 / n2, 2) / nullif(v1 / n1 * v1 / n1 / (n1 - 1) + v2 / n2 * v2 / n2 / (n2 - 1), 0) END AS df FROM ({TWO}))"""
 
 
-@query(f"""SELECT trait_id, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) AS t, n1 + n2 - 2.0::DOUBLE AS df FROM ({TWO}) WHERE n1 > 1 AND n2 > 1""")
+def _tested(df: DataFrame) -> DataFrame:
+    return df.select("trait_id", _known("statistic", 6).alias("t"), _known("df", 6).alias("df"), F.when(_known("statistic").isNotNull(), _known("pvalue", 6)).alias("pvalue"))
+
+
+@query(f"WITH {STUDENT} SELECT trait_id, round(t, 6) AS t, df, round(CASE WHEN t IS NOT NULL THEN {_t_p('t', 'df')} END, 6) AS pvalue FROM s")
 def s18a_student(spark, d):
-    enough = difference._two(_traits(spark, d), "trait_value").where("n1 > 1 AND n2 > 1").select("trait_id")
-    return difference.student(_traits(spark, d), "trait_value").join(enough, "trait_id").select("trait_id", F.round("statistic", 6).alias("t"), "df")
+    return _tested(difference.student(_traits(spark, d), "trait_value"))
 
 
-@query(f"""SELECT trait_id, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / (v1 / n1 * v1 / n1 / (n1 - 1) + v2 / n2 * v2 / n2 / (n2 - 1)), 6) AS df FROM ({TWO}) WHERE n1 > 1 AND n2 > 1""")
+@query(f"WITH {WELCH} SELECT trait_id, round(t, 6) AS t, round(df, 6) AS df, round(CASE WHEN t IS NOT NULL THEN {_t_p('t', 'df')} END, 6) AS pvalue FROM w")
 def s18b_welch(spark, d):
-    enough = difference._two(_traits(spark, d), "trait_value").where("n1 > 1 AND n2 > 1").select("trait_id")
-    return difference.welch(_traits(spark, d), "trait_value").join(enough, "trait_id").select("trait_id", F.round("statistic", 6).alias("t"), F.round("df", 6).alias("df"))
+    return _tested(difference.welch(_traits(spark, d), "trait_value"))
 
 
-LEVENE = f"""WITH z AS (SELECT trait_id, g, abs(v - median(v) OVER (PARTITION BY trait_id, g)) AS z FROM ({TRAITS})),
+DISTANCES = f"z AS (SELECT trait_id, g, abs(v - median(v) OVER (PARTITION BY trait_id, g)) AS z FROM ({TRAITS}))"
+LEVENE = f"""{DISTANCES},
  a AS (SELECT trait_id, g, count(z) AS n, avg(z) AS m, var_pop(z) * count(z) AS ss FROM z GROUP BY 1, 2),
- b AS (SELECT trait_id, sum(n * m) / sum(n) AS mean FROM a GROUP BY 1)
- SELECT trait_id, round(((sum(n) - count(*)) / (count(*) - 1)) * sum(n * (m - mean) * (m - mean)) / sum(ss), 5) AS f FROM a JOIN b USING (trait_id) GROUP BY 1 HAVING count(*) = 2"""
+ b AS (SELECT trait_id, sum(n * m) / sum(n) AS mean FROM a GROUP BY 1),
+ l AS (SELECT trait_id, sum(n) AS n, CASE WHEN count(*) = 2 AND sum(n) > 2 THEN (sum(n) - 2) * sum(n * (m - mean) * (m - mean)) / nullif(sum(ss), 0) END AS f
+  FROM a JOIN b USING (trait_id) GROUP BY 1)"""
 
 
-@query(LEVENE)
+@query(f"WITH {LEVENE} SELECT trait_id, round(f, 5) AS f, round(CASE WHEN f IS NOT NULL THEN {_t_p('sqrt(f)', '(n - 2)')} END, 6) AS pvalue FROM l")
 def s19a_levene(spark, d):
-    both = _traits(spark, d).groupBy("trait_id").agg(F.count_distinct("origin").alias("k")).where("k = 2").select("trait_id")
-    return difference.levene(_traits(spark, d), "trait_value").join(both, "trait_id").select("trait_id", F.round("statistic", 5).alias("f"))
+    out = difference.levene(_traits(spark, d), "trait_value")
+    return out.select("trait_id", _known("statistic", 5).alias("f"), F.when(_known("statistic").isNotNull(), _known("pvalue", 6)).alias("pvalue"))
 
 
-@query(f"""SELECT trait_id, round(((n1 + n2 - 2) * ln(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) - (n1 - 1) * ln(v1) - (n2 - 1) * ln(v2)) / (1 + (1.0 / (n1 - 1) + 1.0 / (n2 - 1) - 1.0 / (n1 + n2 - 2)) / 3), 6) AS t FROM ({TWO}) WHERE n1 > 1 AND n2 > 1""")
+@query(f"""SELECT trait_id, round(CASE WHEN n1 > 1 AND n2 > 1 AND v1 > 0 AND v2 > 0 THEN
+ ((n1 + n2 - 2) * ln(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) - (n1 - 1) * ln(v1) - (n2 - 1) * ln(v2))
+ / (1 + (1.0 / (n1 - 1) + 1.0 / (n2 - 1) - 1.0 / (n1 + n2 - 2)) / 3) END, 6) AS t FROM ({TWO})""")
 def s19b_bartlett(spark, d):
-    return difference.bartlett(_traits(spark, d), "trait_value").where(~F.isnan("statistic")).select("trait_id", F.round("statistic", 6).alias("t"))
+    return difference.bartlett(_traits(spark, d), "trait_value").select("trait_id", _known("statistic", 6).alias("t"))
 
 
-@query()
+@query(f"""WITH {DISTANCES}, r AS (SELECT *, rank() OVER (PARTITION BY trait_id ORDER BY z) + (count(*) OVER (PARTITION BY trait_id, z) - 1) / 2 AS r, count(*) OVER (PARTITION BY trait_id) AS n FROM z),
+ a AS (SELECT trait_id, g, {QUANTILE("(0.5 + r / (2 * (n + 1)))")} AS a FROM r),
+ b AS (SELECT trait_id, g, count(a) AS c, sum(a) AS s, sum(a * a) AS q FROM a GROUP BY 1, 2),
+ c AS (SELECT trait_id, count(*) AS k, sum(c) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / c) AS b FROM b GROUP BY 1)
+ SELECT trait_id, round(CASE WHEN k = 2 THEN (b - s * s / n) / nullif((q - s * s / n) / (n - 1), 0) END, 6) AS statistic FROM c""")
 def s19c_fligner(spark, d):
-    return _rounded(difference.fligner(_traits(spark, d), "trait_value"))
+    return difference.fligner(_traits(spark, d), "trait_value").select("trait_id", _known("statistic", 6).alias("statistic"))
 
 
-@query()
+#: Whether W's p-value is above 0.05, as a bound on its transform (6/pi etc. for three values); -1.6448536269514722 is the normal quantile of 0.05.
+NORMAL = """CASE WHEN w >= 1 THEN true WHEN n = 3 THEN 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))) > 0.05
+ WHEN n <= 11 THEN ln(1 - w) < 0.459 * n - 2.273 AND (-ln(0.459 * n - 2.273 - ln(1 - w)) - (((-0.0006714 * n + 0.025054) * n - 0.39978) * n + 0.5440))
+  / exp(((-0.0020322 * n + 0.062767) * n - 0.77857) * n + 1.3822) < 1.6448536269514722
+ ELSE (ln(1 - w) - (((0.0038915 * ln(n) - 0.083751) * ln(n) - 0.31082) * ln(n) - 1.5861)) / exp((0.0030302 * ln(n) - 0.082676) * ln(n) - 0.4803) < 1.6448536269514722 END"""
+ROUTED = f"""WITH shapiro AS ({SHAPIRO} SELECT * FROM w), spread AS (WITH {LEVENE} SELECT * FROM l), {U}, {STUDENT}, {WELCH},
+ equal AS (SELECT trait_id, f IS NOT NULL AND {_t_p("sqrt(f)", "(n - 2)")} > 0.05 AS same FROM spread),
+ route AS (SELECT trait_id, {NORMAL} AS normal, coalesce(same, false) AS same FROM shapiro JOIN equal USING (trait_id) WHERE w IS NOT NULL)"""
+
+
+@query(f"""{ROUTED} SELECT trait_id, CASE WHEN NOT normal THEN 'MannwhitneyU-test' WHEN same THEN 'T-test' ELSE 'Welchs-test' END AS method,
+ round(CASE WHEN NOT normal THEN u WHEN same THEN s.t ELSE w.t END, 6) AS statistic,
+ round(CASE WHEN NOT normal THEN NULL WHEN same THEN {_t_p("s.t", "s.df")} ELSE {_t_p("w.t", "w.df")} END, 6) AS t_pvalue
+ FROM route LEFT JOIN u USING (trait_id) JOIN s USING (trait_id) JOIN w USING (trait_id)""")
 def s19d_difference_test(spark, d):
-    return _rounded(difference.significance(difference.difference_test(_traits(spark, d), "trait_value")))
+    out = difference.difference_test(_traits(spark, d), "trait_value")
+    p = F.when((F.col("method") != "MannwhitneyU-test") & _known("statistic").isNotNull(), _known("pvalue", 6))
+    return out.select("trait_id", "method", _known("statistic", 6).alias("statistic"), p.alias("t_pvalue"))
+
+
+@query(f"""WITH {STUDENT}, p AS (SELECT trait_id, CASE WHEN t IS NOT NULL THEN {_t_p("t", "df")} END AS p FROM s)
+ SELECT p < 0.05 AS significant, count(*) AS traits FROM p GROUP BY 1""")
+def s19e_significance(spark, d):
+    tested = difference.student(_traits(spark, d), "trait_value")
+    return difference.significance(tested).groupBy("significant").agg(F.count(F.lit(1)).alias("traits"))
 
 
 def _windows(spark, d):
-    return _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("chra"), F.month("l_shipdate").alias("windowa"), F.lit(1).alias("trait_id"), origin(F.col("l_orderkey")).alias("origin"), F.col("l_extendedprice").alias("v"))
+    t = _t(spark, d, "lineitem")
+    return t.select(F.col("l_linenumber").alias("chra"), F.month("l_shipdate").alias("windowa"), F.lit(1).alias("trait_id"), origin(F.col("l_orderkey")).alias("origin"), F.col("l_extendedprice").alias("v"))
 
 
-ANOVA = """WITH e AS (SELECT l_linenumber AS chra, month(l_shipdate)::INT AS windowa, l_orderkey % 2 AS g, l_extendedprice AS v FROM lineitem),
+WINDOWS = "SELECT l_linenumber AS chra, month(l_shipdate)::INT AS windowa, l_orderkey % 2 AS g, l_extendedprice AS v FROM lineitem"
+ANOVA = f"""WITH e AS ({WINDOWS}),
  a AS (SELECT chra, windowa, g, count(v) AS n, avg(v) AS m, var_pop(v) * count(v) AS ss FROM e GROUP BY 1, 2, 3),
  b AS (SELECT chra, windowa, sum(n * m) / sum(n) AS mean FROM a GROUP BY 1, 2),
  c AS (SELECT chra, windowa, sum(n) AS n, count(*) AS k, sum(n * (m - mean) * (m - mean)) AS ssb, sum(ss) AS ssw FROM a JOIN b USING (chra, windowa) GROUP BY 1, 2),
- s AS (SELECT *, ssb / (k - 1) AS msb, ssw / (n - k) AS msw FROM c)
- SELECT chra, windowa, 1 AS trait_id, round(msb / msw, 6) AS f, round(greatest((msb - msw) / (n / k), 0) / (greatest((msb - msw) / (n / k), 0) + msw), 8) AS repeatability FROM s WHERE k = 2"""
+ s AS (SELECT *, CASE WHEN k > 1 THEN ssb / (k - 1) END AS msb, ssw / nullif(n - k, 0) AS msw FROM c),
+ t AS (SELECT *, greatest((msb - msw) / (n / k), 0) + msb * 0 AS alpha FROM s)
+ SELECT chra, windowa, 1 AS trait_id, round(ssb, -5) AS ssb, round(ssw, -5) AS ssw, round(alpha, -2) AS anova_sigma_alpha_sq, round(msw, -2) AS anova_sigma_epsilon_sq,
+ round(alpha / (alpha + msw), 8) AS anova_repeatability, round(msb / msw, 6) AS anova_f_value FROM t"""
+DIGITS = {"ssb": -5, "ssw": -5, "anova_sigma_alpha_sq": -2, "anova_sigma_epsilon_sq": -2, "anova_repeatability": 8, "anova_f_value": 6}
+DIGITS |= {"bayes_sigma_alpha_sq": -2, "bayes_sigma_epsilon_sq": -2, "bayes_repeatability": 7}
+
+
+def _digits(df: DataFrame) -> DataFrame:
+    return df.select(*[_known(c, DIGITS[c]).alias(c) if c in DIGITS else c for c in df.columns])
 
 
 @query(ANOVA)
 def s20_anova(spark, d):
-    return variance.anova(_windows(spark, d), "v").where(~F.isnan("f")).select("chra", "windowa", "trait_id", F.round("f", 6).alias("f"), F.round("repeatability", 8).alias("repeatability"))
+    return _digits(variance.anova(_windows(spark, d), "v"))
+
+
+def _log_p(a: str, e: str) -> str:
+    """SQL of the log posterior of two standard deviations, for a window's standardised groups; means integrated out."""
+    v1, v2 = f"({a} * {a} + {e} * {e} / n1)", f"({a} * {a} + {e} * {e} / n2)"
+    s, t, q = f"(1 / {v1} + 1 / {v2})", f"(z1 / {v1} + z2 / {v2})", f"(z1 * z1 / {v1} + z2 * z2 / {v2})"
+    one = f"(1 + 0.25 * {s})"
+    return f"""(-(n1 + n2 - 2) * ln({e}) - r / (2 * {e} * {e}) - 0.5 * (ln({v1}) + ln({v2}) + ln({one})) - 0.5 * ({q} - 0.25 * {t} * {t} / {one})
+ - ({a} * {a} + {e} * {e}) / 0.5)"""
+
+
+BAYES = f"""WITH e AS ({WINDOWS}),
+ h AS (SELECT chra, windowa, count(v) FILTER (g = 0) AS n1, avg(v) FILTER (g = 0) AS m1, var_pop(v) FILTER (g = 0) * count(v) FILTER (g = 0) AS s1,
+  count(v) FILTER (g = 1) AS n2, avg(v) FILTER (g = 1) AS m2, var_pop(v) FILTER (g = 1) * count(v) FILTER (g = 1) AS s2 FROM e GROUP BY 1, 2),
+ y AS (SELECT *, (n1 * m1 + n2 * m2) / (n1 + n2) AS mean FROM h WHERE n1 > 0 AND n2 > 0),
+ x AS (SELECT *, sqrt((s1 + s2 + n1 * pow(m1 - mean, 2) + n2 * pow(m2 - mean, 2)) / (n1 + n2)) AS scale FROM y),
+ w AS (SELECT chra, windowa, n1::DOUBLE AS n1, n2::DOUBLE AS n2, (m1 - mean) / scale AS z1, (m2 - mean) / scale AS z2, (s1 + s2) / (scale * scale) AS r, scale FROM x),
+ i AS (SELECT range::INT AS k, pow(10.0::DOUBLE, -3 + range * (log10(3) + 3) / 299) AS x FROM range(300)),
+ p AS (SELECT w.chra, w.windowa, a.k AS i, e.k AS j, {_log_p("a.x", "e.x")} AS p FROM w, i a, i e),
+ m AS (SELECT chra, windowa, max(p) AS top FROM p GROUP BY 1, 2),
+ f AS (SELECT chra, windowa, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM p JOIN m USING (chra, windowa) WHERE p > top - 40 GROUP BY 1, 2),
+ b AS (SELECT f.*, CASE WHEN i0 > 0 THEN a0.x ELSE 0 END AS alo, a1.x AS ahi, CASE WHEN j0 > 0 THEN e0.x ELSE 0 END AS elo, e1.x AS ehi FROM f
+  JOIN i a0 ON a0.k = greatest(i0 - 1, 0) JOIN i a1 ON a1.k = least(i1 + 1, 299) JOIN i e0 ON e0.k = greatest(j0 - 1, 0) JOIN i e1 ON e1.k = least(j1 + 1, 299)),
+ c AS (SELECT w.*, alo + (i.k + 0.5) / 300 * (ahi - alo) AS a, elo + (j.k + 0.5) / 300 * (ehi - elo) AS e FROM w JOIN b USING (chra, windowa), i, i j),
+ q AS (SELECT chra, windowa, scale, a, e, {_log_p("a", "e")} AS p FROM c),
+ t AS (SELECT chra, windowa, max(p) AS top FROM q GROUP BY 1, 2),
+ z AS (SELECT chra, windowa, any_value(scale) AS scale, sum(exp(p - top) * a) / sum(exp(p - top)) AS a, sum(exp(p - top) * e) / sum(exp(p - top)) AS e FROM q JOIN t USING (chra, windowa) GROUP BY 1, 2)
+ SELECT chra, windowa, 1 AS trait_id, round(pow(a * scale, 2), -2) AS bayes_sigma_alpha_sq, round(pow(e * scale, 2), -2) AS bayes_sigma_epsilon_sq, round(a * a / (a * a + e * e), 7) AS bayes_repeatability FROM z"""
+
+
+@query(BAYES)
+def s21_bayes(spark, d):
+    return _digits(variance.bayes(_windows(spark, d), "v"))
 
 
-@query()
-def s21_bayes(spark, d):
-    return variance.variance_components(_windows(spark, d), "v")
+@query(f"WITH v AS ({ANOVA}) SELECT v.* FROM v WHERE chra = 2 AND windowa BETWEEN 0 AND 3")
+def s21b_windows(spark, d):
+    sizes = spark.createDataFrame([(2, 4), (3, 9)], "chra int, windows int")
+    return _digits(variance.anova(variance.windows_of(_windows(spark, d), sizes, 2), "v"))
+
+
+@query("SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 END AS code, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def s12b_codes(spark, d):
+    code = variance.category_codes(F.col("l_returnflag"), ("A", "R"))
+    return _t(spark, d, "lineitem").groupBy("l_returnflag", code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey AS chra, n_regionkey AS windows FROM nation")
+def s04c_dictionary(spark, d):
+    lines = _t(spark, d, "nation").select(F.concat_ws(" ", "n_nationkey", "n_regionkey").alias("value"), F.lit(1).alias("at"))
+    junk = lines.select(F.concat("value", F.lit(" x")).alias("value"), "at")
+    return tables.parse_windows(lines.unionByName(junk))
+
+
+@query("SELECT DISTINCT l_linenumber AS value FROM lineitem WHERE l_linenumber = 2")
+def s15b_single_value(spark, d):
+    one = describe.single_value(_t(spark, d, "lineitem").where("l_linenumber = 2"), "l_linenumber")
+    return spark.createDataFrame([(one,)], "value int")
 
 
 @query()
@@ -213,6 +362,16 @@ def s22_box_cox(spark, d):
     return shape.box_cox(_t(spark, d, "events").select("event_id", "value"), "value")[0]
 
 
+@query("""WITH x AS (SELECT event_id, value, CASE WHEN (SELECT min(value) FROM events) > 0 THEN value ELSE value - (SELECT min(value) FROM events) + 1e-6 END AS x FROM events),
+ g AS (SELECT (range - 20)::DOUBLE / 10 AS lam FROM range(41)),
+ s AS (SELECT lam, (lam - 1) * sum(ln(x)) - count(x) / 2.0 * ln(var_pop(CASE WHEN lam = 0 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END)) AS llf FROM x, g WHERE x IS NOT NULL GROUP BY 1),
+ b AS (SELECT arg_max(lam, llf) AS lam FROM s)
+ SELECT event_id, value, round(CASE WHEN lam = 0 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END, 6) AS value_boxcox FROM x, b""")
+def s22_box_cox_grid(spark, d):
+    out = shape.box_cox(_t(spark, d, "events").select("event_id", "value"), "value", [(k - 20) / 10 for k in range(41)])[0]
+    return out.withColumn("value_boxcox", F.round("value_boxcox", 6))
+
+
 @query("SELECT o_orderkey, variable, value FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders) UNPIVOT INCLUDE NULLS (value FOR variable IN (o_orderstatus, o_orderpriority))")
 def s23_wide_to_long(spark, d):
     return rows.wide_to_long(_t(spark, d, "orders"), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
@@ -237,7 +396,9 @@ def s25b_normal_curve(spark, d):
     return shape.normal_curve(_t(spark, d, "events"), "value").select("i", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
-@query()
+@query(f"""WITH r AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
+ p AS (SELECT *, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END::DOUBLE AS p FROM r)
+ SELECT i, round({sql_quantile("p")}, 8) AS theoretical, round(value, 8) AS sample FROM p""")
 def s25c_qq_points(spark, d):
     return _rounded(shape.qq_points(_t(spark, d, "events"), "value"), 8)
 
@@ -255,6 +416,12 @@ def s26_preview(spark, d):
     return rows.preview(_t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), "o_orderdate, o_orderkey", True, 25)
 
 
+@query("SELECT * FROM nation ORDER BY n_name DESC LIMIT 5")
+def s26b_sort_by_map(spark, d):
+    n = _t(spark, d, "nation").withColumn("m", F.create_map(F.lit("name"), F.col("n_name")))
+    return rows.preview(n, "m", True, 5).drop("m")
+
+
 @query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
 def s28_union(spark, d):
     n, r = _t(spark, d, "nation"), _t(spark, d, "region")

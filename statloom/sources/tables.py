@@ -67,13 +67,28 @@ def read_database(spark: SparkSession, url: str, query: str, partition_on: str |
     return spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", f"({text}) q").option("fetchsize", fetch).options(**ranges).load()
 
 
-def read_windows(spark: SparkSession, path: str) -> DataFrame:
-    """chra, windows: lines of two whole numbers; other lines are left out and the last of a chromosome's counts."""
+def parse_windows(lines: DataFrame) -> DataFrame:
+    """chra, windows of lines (value, and at, their order): two whole numbers each; other lines are left out and the last of a chromosome's counts."""
     words = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where((F.size(words) == 2) & F.col("value").rlike(r"^\s*[+-]?\d+\s+[+-]?\d+\s*$"))
-    return lines.select(words[0].cast("int").alias("chra"), words[1].cast("int").alias("windows"), "at").groupBy("chra").agg(F.max_by("windows", "at").alias("windows"))
+    known = lines.where((F.size(words) == 2) & F.col("value").rlike(r"^\s*[+-]?\d+\s+[+-]?\d+\s*$"))
+    return known.select(words[0].cast("int").alias("chra"), words[1].cast("int").alias("windows"), "at").groupBy("chra").agg(F.max_by("windows", "at").alias("windows"))
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """chra, windows of a text file."""
+    return parse_windows(spark.read.text(path).withColumn("at", F.monotonically_increasing_id()))
+
+
+def target(spark: SparkSession, path: str) -> str:
+    """Where a result goes: into query.parquet below a folder that is there and holds no result of Spark's, else to path itself."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = system.exists(there) and system.getFileStatus(there).isDirectory()
+    return f"{path.rstrip('/')}/query.parquet" if folder and not exists(spark, f"{path.rstrip('/')}/_SUCCESS") else path
 
 
-def write(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """Parquet, in the place of what was there. one_file only for small results."""
+def write(df: DataFrame, path: str, one_file: bool = False) -> str:
+    """Parquet, in the place of what was there; returns where. one_file only for small results."""
+    path = target(df.sparkSession, path)
     (df.coalesce(1) if one_file else df).write.mode("overwrite").parquet(path)
+    return path

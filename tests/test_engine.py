@@ -66,6 +66,21 @@ def test_ranks_with_ties_nulls_and_ranges(spark, monkeypatch):
             assert r["before"] == sum(x < r["v"] for x in values) and r["cnt"] == values.count(r["v"]) and r["n"] == len(values)
 
 
+def test_ranges_hold_under_outliers(spark, monkeypatch):
+    from statloom.operators import ranks
+
+    monkeypatch.setattr(ranks, "PER_RANGE", 200), monkeypatch.setattr(ranks, "CUTS", 16)
+    values = [float(v) for v in range(20_000)] + [1e15, math.inf, -math.inf, math.nan]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, 5.0), (2, 5.0), (None, 1.0)], "k int, v double")
+    cut = ranks._cut(ranks._cut(df, ["k"], "v", "_range"), ["k", "_range"], "v", "_part")
+    sizes = [r["count"] for r in cut.groupBy("k", "_range", "_part").count().collect()]
+    assert max(sizes) <= 400 and sum(sizes) == len(values) + 3
+    got = {(r["k"], str(r["v"])): (r["before"], r["cnt"], r["n"], r["least"]) for r in value_ranks(df, ["k"], "v").collect()}
+    assert got[2, "5.0"] == (0, 2, 2, 5.0) and got[None, "1.0"] == (0, 1, 1, 1.0) and got[1, "-inf"] == (0, 1, 20_004, -math.inf)
+    assert all(got[1, str(float(v))][0] == v + 1 for v in range(20_000)) and got[1, "1000000000000000.0" if (1, "1000000000000000.0") in got else "1e+15"][0] == 20_001
+    assert got[1, "inf"][0] == 20_002 and got[1, "nan"][0] == 20_003
+
+
 def test_describe_nearest_quantiles_and_edges(spark):
     data = [(1, 1, 1, "P", v) for v in (3.0, 1.0, 2.0, None, 4.0)] + [(1, 2, 1, "P", 5.0)] + [(1, 3, 1, "M", v) for v in (-1.0, 1.0)]
     df = spark.createDataFrame(data, "chra int, windowa int, trait_id int, origin string, v double")
@@ -129,15 +144,48 @@ def test_router(spark):
     assert {r["trait_id"]: r["method"] for r in got}[2] == "MannwhitneyU-test"
 
 
+def test_router_agrees_with_the_single_tests(spark):
+    rng = np.random.default_rng(8)
+    groups = {k: (rng.normal(k, 1, 20).round(1) + 1e6, rng.normal(0, 1 + k % 3 * 2, 15).round(1) + 1e6) for k in range(8)}
+    groups |= {10: (rng.exponential(1, 30) ** 2, rng.exponential(1, 20)), 11: ([], rng.normal(0, 1, 9)), 12: ([1.0], [2.0]), 13: ([1.0, math.nan, 3.0], [2.0]), 14: ([5.0] * 4, [5.0] * 4)}
+    df = traits(spark, groups)
+    one = lambda test: {r["trait_id"]: r for r in test(df, "trait_value").collect()}
+    normal, t, w, u = map(one, (difference.shapiro, difference.student, difference.welch, difference.mann_whitney))
+    for name, test in (("levene", difference.levene), ("bartlett", difference.bartlett), ("fligner", difference.fligner)):
+        equal = one(test)
+        got = {r["trait_id"]: r for r in difference.difference_test(df, "trait_value", name).collect()}
+        assert set(got) == {k for k, r in normal.items() if r["pvalue"] is not None and not math.isnan(r["pvalue"])} >= {0, 10, 14}
+        for k, r in got.items():
+            method, want = ("MannwhitneyU-test", u[k]) if normal[k]["pvalue"] < 0.05 else ("T-test", t[k]) if (equal[k]["pvalue"] or 0) > 0.05 else ("Welchs-test", w[k])
+            assert r["method"] == method, (name, k)
+            for c in ("statistic", "pvalue"):
+                same = lambda x: None if x is None or math.isnan(x) else pytest.approx(x, rel=1e-6)
+                assert (None if r[c] is None or math.isnan(r[c]) else r[c]) == same(want[c]), (name, k, c)
+    with pytest.raises(ValueError):
+        difference.difference_test(df, "trait_value", "other")
+
+
+def test_scores_of_ties_are_sums(spark):
+    from statistics import NormalDist
+
+    rows = [(0, 1, 10), (3, 4, 10), (9, 1, 10)]
+    got = spark.createDataFrame(rows, "b long, c long, n long").select(tails.score_sums("b", "c", "n").alias("s")).select("s.*").collect()
+    for (b, c, n), r in zip(rows, got, strict=True):
+        m = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(b + 1, b + c + 1)]
+        assert r["sum"] == pytest.approx(sum(m)) and r["squares"] == pytest.approx(sum(x * x for x in m))
+
+
 def test_variance(spark):
     rng = np.random.default_rng(4)
     data = [(1, 0, 1, g, float(x)) for g, m in (("P", 0), ("M", 1)) for x in rng.normal(m, 1, 30)] + [(1, 1, 1, "P", 1.0), (1, 1, 1, "P", 2.0), (1, 2, 1, "X", 2.0)]
     df = spark.createDataFrame(data, "chra int, windowa int, trait_id int, origin string, v double")
     a, one = variance.anova(df, "v").orderBy("windowa").collect()
     y = np.array([r[4] for r in data[:60]])
-    assert a["ssb"] + a["ssw"] == pytest.approx(((y - y.mean()) ** 2).sum()) and 0 <= a["repeatability"] <= 1 and math.isnan(one["f"])
+    assert a["ssb"] + a["ssw"] == pytest.approx(((y - y.mean()) ** 2).sum()) and 0 <= a["anova_repeatability"] <= 1 and math.isnan(one["anova_f_value"])
     t = difference.student(df.where("windowa = 0").withColumnRenamed("v", "trait_value"), "trait_value").first()["statistic"]
-    assert a["f"] == pytest.approx(t * t)
+    assert a["anova_f_value"] == pytest.approx(t * t)
+    names = "chra windowa trait_id anova_sigma_alpha_sq anova_sigma_epsilon_sq anova_repeatability anova_f_value bayes_sigma_alpha_sq bayes_sigma_epsilon_sq bayes_repeatability"
+    assert variance.variance_components(df, "v").columns == names.split()
     b = variance.bayes(df, "v").where("windowa = 0").first()
     assert 0 < b["bayes_repeatability"] < 1
     coarse, fine = (variance.posterior_sds(np.array([30.0, 30]), np.array([-0.4, 0.4]), 50.0, k) for k in (300, 500))
@@ -157,6 +205,9 @@ def test_box_cox(spark):
     assert shape.box_cox(df.select((F.col("v") - 5).alias("v")), "v")[0].where("v_boxcox IS NULL OR isnan(v_boxcox)").count() == 0
     with pytest.raises(ValueError):
         shape.box_cox(spark.range(3).select(F.lit(1.0).alias("v")), "v")
+    none, lam = shape.box_cox(df.where("v IS NULL"), "v")
+    assert none.columns == ["v", "v_boxcox"] and none.count() == 0 and math.isnan(lam)
+    assert shape.box_cox(df, "v", [-1.0, 0.1, 2.0])[1] == 0.1
 
 
 def test_plot_data(spark):
@@ -212,6 +263,35 @@ def test_database(spark, tmp_path):
     assert got.count() == 15 and got.rdd.getNumPartitions() == 3
 
 
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from statloom.cli import main
+
+    url, driver = "jdbc:derby:memory:cli;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rng = np.random.default_rng(6)
+    rows_ = [(t, float(v), i) for t in (1, 2) for i, v in enumerate(rng.normal(t, 1, 40) + (np.arange(40) % 2) * 3)] + [(3, 1.0, 1)]
+    df = spark.createDataFrame(rows_, "trait_id int, trait_value double, f2 int")
+    df.write.format("jdbc").options(url=url, dbtable="traits", driver=driver, user="u", password="p").save()
+    monkeypatch.setenv("STATLOOM_DB_USER", "u"), monkeypatch.setenv("STATLOOM_DB_PASSWORD", "p")
+    (tmp_path / "folder").mkdir()
+    query = 'SELECT * FROM traits'
+    assert main(["save", "--url", url, "--driver", driver, "--query", query, "--partition-on", '"trait_id"', "--size", "5", "--partitions", "2", "--output", str(tmp_path / "folder")]) == 0
+    saved = str(tmp_path / "folder" / "query.parquet")
+    assert "groups left out: 1 3" in capsys.readouterr().out and spark.read.parquet(saved).where("origin IS NOT NULL").count() == 80
+    assert main(["difference", saved, "--variances", "bartlett", "--output", str(tmp_path / "d")]) == 0
+    said = capsys.readouterr().out
+    assert "traits significant: 2 1, 2" in said and "traits not significant: 0" in said and " s\n" in said
+    assert main(["show", saved, "--count"]) == 0 and capsys.readouterr().out.endswith("rows\n80\n")
+    assert main(["show", saved]) == 0 and len(capsys.readouterr().out.splitlines()) == 81
+    assert main(["show", saved, "--rows", "3", "--sort", "trait_id"]) == 0 and len(capsys.readouterr().out.splitlines()) == 4
+    for tool, lines in (("box", 2), ("curve", 101), ("histogram", 31), ("plot", 2)):
+        assert main([tool, saved, "--value", "trait_value"]) == 0 and len(capsys.readouterr().out.splitlines()) == lines
+    windows = df.select(F.col("trait_id").alias("chra"), F.lit(0).alias("windowa"), "trait_id", F.col("trait_value").alias("v"), origin(F.col("f2")).alias("origin"))
+    tables.write(windows, str(tmp_path / "w"))
+    (tmp_path / "w.txt").write_text("1 1\n2 1\n")
+    assert main(["variance", str(tmp_path / "w"), "--value", "v", "--windows", str(tmp_path / "w.txt"), "--chromosome", "2"]) == 0
+    assert [x.split("\t")[0] for x in capsys.readouterr().out.splitlines()] == ["chra", "2"]
+
+
 def test_every_query_has_its_columns(spark):
     from statloom.plans.queries import QUERIES
 
@@ -230,7 +310,8 @@ def test_oracle_at_small_scale(spark):
     con = duckdb.connect()
     for f in glob.glob("/root/testdata/sf0.001/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    for name in ("s11_positive_flips", "s13_describe", "s17_mann_whitney", "s20_anova", "s24_long_to_wide", "s31_quality_control"):
+    for name in SQL:
         mine = QUERIES[name](spark, "/root/testdata/sf0.001")
         cols = sorted(mine.columns)
-        assert sorted(map(str, (tuple(r) for r in mine.select(cols).collect()))) == sorted(map(str, con.sql(f'SELECT {", ".join(chr(34) + c + chr(34) for c in cols)} FROM ({SQL[name]})').fetchall())), name
+        want = con.sql(f'SELECT {", ".join(chr(34) + c + chr(34) for c in cols)} FROM ({SQL[name]})').fetchall()
+        assert sorted(repr(tuple(r)) for r in mine.select(cols).collect()) == sorted(map(repr, want)), name
