@@ -323,8 +323,10 @@ def groups_of(rows: DataFrame, percent: int, by_id: bool) -> DataFrame:
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    groups = shared.saved(groups_of(rows, percent, True), shared.folder(docs.sparkSession, "groups"))
-    least = groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    at = shared.folder(docs.sparkSession, "groups")
+    groups = shared.saved(groups_of(rows, percent, True), f"{at}/rows")
+    # written, so that a large component's rows can be split in the join
+    least = shared.saved(groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")), f"{at}/least")
     out = groups.join(least, "comp", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0).alias("kept"))
 
