@@ -1,10 +1,11 @@
 """ISO media containers: nested boxes, sample tables, codec, duration and keyframe byte ranges.
 
 `write_container` stores bytes losslessly as the samples of one track, each
-sample SAMPLE bytes of 8-bit units. `read_container` walks the boxes of any file
-of this family, decodes its sample tables (stts, stss, stsc, stsz, stco or co64)
-and gives byte ranges; it never decodes a payload. A file without a movie box, or
-with a box that goes beyond its end, raises ValueError in `read_container`.
+sample SAMPLE bytes of 8-bit units. `read_container` walks the boxes of files
+of this family, decodes their sample tables (stts, stss, stsc, stsz or stz2, stco or co64)
+and gives byte ranges; it never decodes a payload. Edit lists aren't applied: samples come in the order
+they're stored. A file without a movie box, a fragmented one (moof: its samples aren't in these tables), one with a box or table that is cut
+off or goes beyond its end, or a track without one of these boxes raises ValueError in `read_container`.
 
 Nulls and empty texts are a payload of one padded unit. Equal texts give equal
 files: no times or random values are stored. Tables may be empty; other columns are passed on,
@@ -30,6 +31,7 @@ from .textbatch import slices
 SAMPLE, PER_CHUNK, KEY_EVERY, TIMESCALE = 192, 8, 16, 8000
 #: Fixed values of the format: boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
+DEPTH = 32  # of boxes in boxes; the format has eight
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -117,11 +119,14 @@ def walk(data: memoryview, start: int = 0, end: int | None = None) -> Iterator[t
         start += size
 
 
-def _tree(data: memoryview, start: int, end: int, found: dict[bytes, tuple[int, int]]) -> dict[bytes, tuple[int, int]]:
+def _tree(data: memoryview, start: int, end: int, found: dict[bytes, tuple[int, int]], depth: int = 0) -> dict[bytes, tuple[int, int]]:
+    """The first box of each kind in a box and those in it."""
+    if depth > DEPTH:
+        raise ValueError("boxes are nested too deeply")
     for kind, a, b in walk(data, start, end):
         found.setdefault(kind, (a, b))
         if kind in NESTED:
-            _tree(data, a, b, found)
+            _tree(data, a, b, found, depth + 1)
     return found
 
 
@@ -133,34 +138,56 @@ def _table(data: memoryview, at: tuple[int, int], kind: str, columns: int, skip:
     return np.frombuffer(data, kind, n * columns, at[0] + skip + 4).astype(np.int64).reshape(n, columns)
 
 
+def _sizes(data: memoryview, at: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """Each sample's bytes: one size for all, or a table of 4 bytes (stsz) or of 4, 8 or 16 bits each (stz2)."""
+    if b"stsz" in at:
+        even, n = struct.unpack_from(">II", data, at[b"stsz"][0] + 4)
+        return np.full(n, even, np.int64) if even else _table(data, at[b"stsz"], ">u4", 1, 8)[:, 0]
+    bits, n = struct.unpack_from(">7xBI", data, at[b"stz2"][0])
+    start = at[b"stz2"][0] + 12
+    if bits not in (4, 8, 16) or start + -(-n * bits // 8) > at[b"stz2"][1]:
+        raise ValueError("a table of sizes is wrong")
+    if bits == 4:
+        pairs = np.frombuffer(data, np.uint8, -(-n // 2), start)
+        return np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:n].astype(np.int64)
+    return np.frombuffer(data, ">u1" if bits == 8 else ">u2", n, start).astype(np.int64)
+
+
+def _track(data: memoryview, start: int, end: int) -> Track:
+    at = _tree(data, start, end, {})
+    version = data[at[b"mdhd"][0]]
+    (timescale,) = struct.unpack_from(">I", data, at[b"mdhd"][0] + (20 if version else 12))
+    codec = bytes(data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
+    handler = bytes(data[at[b"hdlr"][0] + 8 : at[b"hdlr"][0] + 12]).decode("latin-1")
+    sizes = _sizes(data, at)
+    chunks = _table(data, at[b"co64"], ">u8", 1)[:, 0] if b"co64" in at else _table(data, at[b"stco"], ">u4", 1)[:, 0]
+    runs = _table(data, at[b"stsc"], ">u4", 3)
+    each = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0] - 1, len(chunks)]))
+    if each.sum() != len(sizes):
+        raise ValueError("the chunks don't hold all samples")
+    before = np.r_[0, np.cumsum(sizes)]
+    lead = np.cumsum(each) - each
+    offsets = np.repeat(chunks - before[lead], each) + before[:-1]
+    times = _table(data, at[b"stts"], ">u4", 2)
+    keys = _table(data, at[b"stss"], ">u4", 1)[:, 0] - 1 if b"stss" in at else np.arange(len(sizes))
+    return Track(codec, handler, timescale, int((times[:, 0] * times[:, 1]).sum()), offsets, sizes, keys)
+
+
 def read_container(content: bytes) -> list[Track]:
     """The tracks of a file, from its boxes alone."""
-    data, tracks = memoryview(content), []
-    movies = [(a, b) for kind, a, b in walk(data) if kind == b"moov"]
+    data = memoryview(content)
+    top = list(walk(data))
+    movies = [(a, b) for kind, a, b in top if kind == b"moov"]
     if not movies:
         raise ValueError("no movie box")
-    for kind, a, b in walk(data, *movies[0]):
-        if kind != b"trak":
-            continue
-        at = _tree(data, a, b, {})
-        version = data[at[b"mdhd"][0]]
-        (timescale,) = struct.unpack_from(">I", data, at[b"mdhd"][0] + (20 if version else 12))
-        codec = bytes(data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
-        handler = bytes(data[at[b"hdlr"][0] + 8 : at[b"hdlr"][0] + 12]).decode("latin-1")
-        even, n = struct.unpack_from(">II", data, at[b"stsz"][0] + 4)
-        sizes = np.full(n, even, np.int64) if even else _table(data, at[b"stsz"], ">u4", 1, 8)[:, 0]
-        chunks = _table(data, at[b"co64"], ">u8", 1)[:, 0] if b"co64" in at else _table(data, at[b"stco"], ">u4", 1)[:, 0]
-        runs = _table(data, at[b"stsc"], ">u4", 3)
-        each = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0] - 1, len(chunks)]))
-        if each.sum() != n:
-            raise ValueError("the chunks don't hold all samples")
-        before = np.r_[0, np.cumsum(sizes)]
-        lead = np.cumsum(each) - each
-        offsets = np.repeat(chunks - before[lead], each) + before[:-1]
-        times = _table(data, at[b"stts"], ">u4", 2)
-        keys = _table(data, at[b"stss"], ">u4", 1)[:, 0] - 1 if b"stss" in at else np.arange(n)
-        tracks.append(Track(codec, handler, timescale, int((times[:, 0] * times[:, 1]).sum()), offsets, sizes, keys))
-    return tracks
+    if any(kind == b"moof" for kind, *_ in top):
+        raise ValueError("fragmented files aren't read")
+    try:
+        return [_track(data, a, b) for kind, a, b in walk(data, *movies[0]) if kind == b"trak"]
+    except KeyError as missing:
+        raise ValueError(f"a track has no box {missing}") from missing
+    except (struct.error, IndexError) as cut:
+        raise ValueError("a box is cut off") from cut
 
 
 def payload_of(content: bytes, track: Track) -> bytes:
@@ -186,7 +213,8 @@ def media_columns(docs: DataFrame, text: str = "text", keep_media: bool = False)
     Adds n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature and, if asked for, media (the file).
     """
-    new = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    new = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType())]
+    new += [("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     new += [("media", T.BinaryType())] * keep_media
     others = shared.others(docs, (k for k, _ in new), text)
     schema = T.StructType([docs.schema[c] for c in others] + [T.StructField(*x) for x in new])
@@ -201,7 +229,8 @@ def media_columns(docs: DataFrame, text: str = "text", keep_media: bool = False)
                 media = write_container(raw.ljust(size, b" "))
                 track = read_container(media)[0]
                 back = payload_of(media, track)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(track), media)[: len(new)])
+                stored = (len(media), hashlib.sha256(media).hexdigest(), describe(track), media)
+                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), *stored)[: len(new)])
             made = zip(*rows, strict=True) if rows else [[]] * len(new)
             yield pa.RecordBatch.from_arrays([batch[c] for c in others] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=schema.names)
 
