@@ -24,9 +24,9 @@ def folder(spark: SparkSession, kind: str) -> str:
     return MADE[-1]
 
 
-def remove_all(spark: SparkSession) -> None:
-    """Deletes the folders of all results so far. Only for when none of them is needed any more."""
-    while MADE:
+def remove_all(spark: SparkSession, after: int = 0) -> None:
+    """Deletes the folders of all results so far, but for the first `after`. Only for when none of them is needed any more."""
+    while len(MADE) > after:
         path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -51,6 +51,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def by_bucket(packed: DataFrame, bits: int):
+    """packed (with 2 ** bits buckets in its column bucket) in groups of a bucket, dealt to tasks whose number grows with that of buckets."""
+    parts = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << max(bits - 2, 0))
+    return packed.repartition(parts, "bucket").groupBy("bucket")
+
+
 def _local(uri: str) -> str | None:
     return uri.removeprefix("file://") if uri.startswith(("file://", "/")) else None
 
