@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ke
     def merged(run, reduce, kind: str) -> str:
         packed = plain.mapInArrow(run, "bucket int, data binary").unionByName(every)
         # the written table is small; with it the shuffle's files can go
-        shared.saved(packed.groupBy("bucket").applyInPandas(reduce, "n long"), f"{at}/{kind}-done").count()
+        shared.saved(shared.by_bucket(packed, bits).applyInPandas(reduce, "n long"), f"{at}/{kind}-done").count()
         return f"{at}/{kind}"
 
     census = merged(_census(bits, window), _repeated(f"{at}/census"), "census")
@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ke
         if k and not len(heavy):
             break
         packed = plain.mapInArrow(_counted(census, bits, window, depth, heavy.tobytes() if k else None), "bucket int, data binary")
-        found = packed.groupBy("bucket").applyInPandas(_heavy, "prefix long").collect()  # at most one in GROUP of all suffixes
+        found = shared.by_bucket(packed, bits).applyInPandas(_heavy, "prefix long").collect()  # at most one in GROUP of all suffixes
         heavy = np.sort(np.r_[heavy, np.array([r[0] for r in found], np.int64).view(np.uint64)])
     raw = heavy.tobytes()
     nodes = merged(_leaves(census, bits, window, raw), _subtrees(f"{at}/nodes", window), "nodes")
