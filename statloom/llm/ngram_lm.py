@@ -322,9 +322,9 @@ def train(texts: DataFrame) -> Model:
     hot = np.sort(np.r_[np.array(words_, np.int64).view(np.uint64), START]).tobytes()
     packed = texts.mapInArrow(_count(bits, hot), "bucket int, data binary")
     every = spark.range(1 << bits).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("data"))  # each bucket's files are there
-    merged = packed.unionByName(every).groupBy("bucket").applyInPandas(_merge_pairs(at, bits, hot), "bucket int, data binary")
+    merged = shared.by_bucket(packed.unionByName(every), bits).applyInPandas(_merge_pairs(at, bits, hot), "bucket int, data binary")
     merged = merged.unionByName(every).unionByName(spark.createDataFrame([(-2, b"")], merged.schema))
-    stats = merged.groupBy("bucket").applyInPandas(_merge_words(at), ", ".join(f"{x} long" for x in STATS))
+    stats = shared.by_bucket(merged, bits).applyInPandas(_merge_words(at), ", ".join(f"{x} long" for x in STATS))
     row = stats.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in STATS]).first()
     return Model(at, bits, hot, row.asDict())
 
