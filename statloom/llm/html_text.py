@@ -395,9 +395,9 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
     bits = min(31, max(8, (size // BUCKET).bit_length()))
     pairs = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(_pairs(bits), "bucket int, data binary")
-    packed = pairs.groupBy("bucket").applyInPandas(_count(bits), "bucket int, data binary")
+    packed = shared.by_bucket(pairs, bits).applyInPandas(_count(bits), "bucket int, data binary")
     packed = packed.unionByName(spark.range(1 << bits).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("data")))  # each bucket's file is there
-    shared.saved(packed.groupBy("bucket").applyInPandas(_merge(f"{at}/counts"), "bucket int, n long"), f"{at}/done")
+    shared.saved(shared.by_bucket(packed, bits).applyInPandas(_merge(f"{at}/counts"), "bucket int, n long"), f"{at}/done")
     schema = T.StructType([pages.schema[c] for c in others] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
