@@ -90,6 +90,55 @@ def test_media(spark):
         read_container(b"\0\0\0\x08free")
 
 
+def test_media_of_another_writer():
+    """A file put together here, box by box: two tracks, stz2 sizes, interleaved chunks, a free box and a large one."""
+    import struct
+
+    from statloom.llm.iso_media import describe, payload_of, read_container
+
+    box = lambda kind, body, wide=False: (struct.pack(">I4sQ", 1, kind, 16 + len(body)) if wide else struct.pack(">I4s", 8 + len(body), kind)) + body
+    full = lambda kind, body: box(kind, bytes(4) + body)
+    ints = lambda *x: struct.pack(f">{len(x)}I", *x)
+
+    def track(handler, codec, sizes, runs, chunks, times, keys=None, drop=None):
+        boxes = [full(b"stsd", ints(1) + box(codec, bytes(8))), full(b"stts", ints(len(times)) + b"".join(ints(*t) for t in times)), sizes]
+        boxes += [full(b"stsc", ints(len(runs)) + b"".join(ints(*r) for r in runs)), full(b"stco", ints(len(chunks), *chunks))]
+        boxes += [full(b"stss", ints(len(keys), *keys))] if keys else []
+        table = box(b"stbl", b"".join(x for x in boxes if x[4:8] != drop))
+        media = box(b"mdia", full(b"mdhd", ints(0, 0, 600, 0, 0)) + full(b"hdlr", ints(0) + handler + bytes(13)) + box(b"minf", table))
+        return box(b"trak", full(b"tkhd", bytes(80)) + media)
+
+    payload = bytes(range(60))
+
+    def file(first=0, drop=None, bits=8):
+        small = full(b"stz2", struct.pack(">3xBI", bits, 4) + (bytes([5, 6, 7, 2]) if bits == 8 else bytes([0x56, 0x72])))
+        video = track(b"vide", b"avc1", small, [(1, 2, 1), (2, 1, 1)], [first, first + 20, first + 40], [(4, 25)], [1, 3], drop)
+        sound = track(b"soun", b"mp4a", full(b"stsz", ints(0, 3, 9, 8, 7)), [(1, 1, 1)], [first + 11, first + 27, first + 42], [(1, 10), (2, 20)])
+        return box(b"ftyp", b"isomxxxx") + box(b"free", bytes(3)) + box(b"moov", full(b"mvhd", bytes(96)) + video + sound) + box(b"mdat", payload, True)
+
+    for bits in (8, 4):
+        content = file(len(file(bits=bits)) - 60, bits=bits)
+        video, sound = read_container(content)
+        start = len(content) - 60
+        assert payload_of(content, video) == payload[:11] + payload[20:27] + payload[40:42]
+        assert payload_of(content, sound) == payload[11:20] + payload[27:35] + payload[42:49]
+        assert describe(video) == f"codec=avc1;kind=vide;timescale=600;duration=100;samples=4;keyframes={start}+5,{start + 20}+7"
+        assert sound.duration == 50 and sound.keyframes.tolist() == [0, 1, 2]
+    for drop in (b"stsd", b"stts", b"stz2", b"stsc", b"stco"):
+        with pytest.raises(ValueError):
+            read_container(file(drop=drop))
+    for cut in range(0, len(content), 7):
+        with pytest.raises(ValueError):
+            read_container(content[:cut])
+    with pytest.raises(ValueError):
+        read_container(content + box(b"moof", b""))
+    nested = b""
+    for _ in range(2000):
+        nested = box(b"udta", nested)
+    with pytest.raises(ValueError):
+        read_container(box(b"moov", box(b"trak", nested)))
+
+
 def test_secret_spans(spark):
     from statloom.llm import secret_scan as scan
 
@@ -264,6 +313,86 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score_documents(df, blank).collect()} == {0.5}
 
 
+def plain_features(text):
+    """Each feature of a text (table row) and how often it is there, one by one, in Python's integers."""
+    from statloom.llm import quality as q
+    from statloom.llm.textbatch import hashes
+
+    wrap = 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & wrap
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & wrap
+        return (x ^ x >> 31) >> 64 - q.BITS
+
+    out = Counter([q.END])
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    h = {w: int(hashes(pa.array([w], pa.binary()))[0]) for w in words}
+    for w in words:
+        out[mixed(h[w])] += 1
+        marked = [256, *w, 257]
+        for size in q.GRAMS:
+            for k in range(len(marked) - size + 1):
+                x = marked[k] + 1
+                for c in marked[k + 1 : k + size]:
+                    x = (x * 1000003 + c + 1) & wrap
+                out[mixed((x * 8 + size) & wrap)] += 1
+    for a, b in zip(words, words[1:]):
+        out[q.AGAIN if a == b else mixed((h[a] * 0x9E3779B97F4A7C15 + h[b]) & wrap)] += 1
+    return out
+
+
+def test_quality_against_a_plain_version():
+    from statloom.llm import quality as q
+
+    texts = ["", None, "a a a b", "é word words word\tz", "one", "the cat sat on the mat, the cat sat"]
+    rows, share, bounds = q.features(pa.array(texts))
+    plain = [plain_features(t) for t in texts]
+    for i, want in enumerate(plain):
+        got = dict(zip(rows[bounds[i] : bounds[i + 1]].tolist(), share[bounds[i] : bounds[i + 1]].tolist(), strict=True))
+        assert got == pytest.approx({k: c / sum(want.values()) for k, c in want.items()})
+    weights = np.random.default_rng(1).normal(size=1 << q.BITS)
+    want = [1 / (1 + math.exp(-sum(weights[k] * c for k, c in x.items()) / sum(x.values()))) for x in plain]
+    assert q.score(q.Model(weights), pa.array(texts)).tolist() == pytest.approx(want)
+
+    # training: the same steps on vectors and layer, one document after another within a batch
+    labels, batch, epochs, rate = np.array([1, 0, 1, 0, 1, 0]), 4, 2, 1.5
+    model = q.train(pa.array(texts), labels, epochs, rate, batch, seed=3)
+    rng = np.random.default_rng(3)
+    table = rng.uniform(-1 / q.SIZE, 1 / q.SIZE, (1 << q.BITS, q.SIZE))
+    layer, step, steps = np.zeros((q.SIZE, 2)), 0, epochs * 2
+    for _ in range(epochs):
+        order = rng.permutation(len(texts))
+        for at in range(0, len(texts), batch):
+            lr, more, layers = rate * (1 - step / steps), Counter(), np.zeros_like(layer)
+            for i in order[at : at + batch]:
+                total = sum(plain[i].values())
+                hidden = sum(table[k] * c / total for k, c in plain[i].items())
+                p = np.exp(hidden @ layer)
+                p = p / p.sum() - np.eye(2)[labels[i]]
+                layers += np.outer(hidden, p)
+                for k, c in plain[i].items():
+                    more[k] = more[k] + layer @ p * c / total
+            for k, x in more.items():
+                table[k] -= lr * x
+            layer = layer - lr * layers
+            step += 1
+    seen = sorted({k for x in plain for k in x})
+    assert model.weights[seen].tolist() == pytest.approx((table[seen] @ (layer[:, 1] - layer[:, 0])).tolist(), rel=1e-3, abs=1e-4)
+
+
+def test_quality_of_long_texts_and_repeats(spark):
+    from statloom.llm import quality
+
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 30)) for i in range(20)] + [(0, prose(rng, 9000)), (0, "again")] + [(1, "same")] * 50 + [(None, "x"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("digest", F.lit("own"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0), (4, None), (None, 1)], "doc_id bigint, quality int")
+    few = quality.fit(docs, labels, train_rows=10, train_bytes=1000)
+    assert np.array_equal(few.weights, quality.fit(docs.repartition(5), labels, train_rows=10, train_bytes=1000).weights)
+    assert np.array_equal(quality.fit(docs, labels).weights, quality.fit(docs.distinct(), labels).weights)
+
+
 def vectors(rng, n, size=16):
     x = rng.normal(size=(n, size)).astype(np.float32)
     x[n // 2 : n // 2 + n // 3] = x[0]  # a third are equal
@@ -688,6 +817,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert mixed.columns == docs.columns and mixed.join(hidden, "doc_id", "left_anti").count() == 0
     assert p.encode(spark, mixed, d).count() == mixed.count()
     assert p.run(spark, d).count() == mixed.count()
+    assert [name for name, _ in p.STAGES] == ["quality classifier", "MinHash near-dedup", "secret scans", "mixing sources to target weights", "SentencePiece encoding and decoding"]
+    for name, stage in p.STAGES:
+        none = stage(spark, docs.limit(0), d)
+        assert none.count() == 0 and (name.startswith("SentencePiece") or none.columns == docs.columns), name
 
 
 def test_clashing_names(spark):
