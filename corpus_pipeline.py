@@ -31,22 +31,31 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document; documents it doesn't take go."""
+    """A row for each time the mix takes a document, in the mix's order; documents it doesn't take go."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each row's text, and the digests of the encoding query."""
+    """doc_id, lang and source of each row, the ids of its text, and the digests of the encoding query; other columns end here."""
     return op2_columns(docs.select("doc_id", "text", "lang", "source"), pieces_path())
 
 
-STAGES = [("quality classifier", classify), ("MinHash near-dedup", deduplicate), ("secret scans", hide_secrets), ("mixing sources to target weights", mix), ("SentencePiece encoding and decoding", encode)]
+STAGES = [
+    ("quality classifier", classify),
+    ("MinHash near-dedup", deduplicate),
+    ("secret scans", hide_secrets),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
+]
 ORACLE_SQL = None  # learned models and the codec are beyond SQL; tests/llm holds the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage wrote for its own use is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = shared.folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(shared.MADE)
         docs = shared.saved(stage(spark, docs, sf_dir), f"{at}/{k}")
+        shared.remove_all(spark, before)
     return docs
