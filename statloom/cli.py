@@ -75,7 +75,12 @@ def _difference(spark: SparkSession, o: Options) -> DataFrame:
     df = _one(spark, o)
     df = df if "origin" in df.columns else df.withColumn("origin", origin(F.col("f2")))
     out = difference.significance(difference.difference_test(df, o.value or "trait_value", o.variances)).persist()
-    for what, test in (("normal", "method <> 'MannwhitneyU-test'"), ("not normal", "method = 'MannwhitneyU-test'"), ("significant", "significant"), ("not significant", "NOT significant")):
+    for what, test in (
+        ("normal", "method <> 'MannwhitneyU-test'"),
+        ("not normal", "method = 'MannwhitneyU-test'"),
+        ("significant", "significant"),
+        ("not significant", "NOT significant"),
+    ):
         _named(out.where(test), "trait_id", f"traits {what}")
     return out
 

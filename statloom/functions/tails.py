@@ -25,7 +25,9 @@ def beta_inc(a: float, b: float, x: float) -> float:
     tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
     for i in range(2000):
         m = i // 2
-        term = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        term = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / (
+            (a + 2 * m) * (a + 2 * m + 1)
+        )
         d = 1 / (1 + term * d if abs(1 + term * d) > tiny else tiny)
         c = 1 + term / c if abs(1 + term / c) > tiny else tiny
         f *= c * d

@@ -75,7 +75,9 @@ def mann_whitney(df: DataFrame, value: str) -> DataFrame:
 def _two(df: DataFrame, value: str) -> DataFrame:
     v = F.col(value).cast("double")
     part = lambda f, g: f(F.when(F.col("origin") == g, v))
-    return df.groupBy(*KEY).agg(*[part(f, g).alias(f"{name}{k}") for k, g in ((1, "P"), (2, "M")) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    return df.groupBy(*KEY).agg(
+        *[part(f, g).alias(f"{name}{k}") for k, g in ((1, "P"), (2, "M")) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
+    )
 
 
 def _student() -> tuple[Column, Column]:
@@ -117,7 +119,13 @@ def _deviations(df: DataFrame, value: str) -> DataFrame:
 def _levene(g: DataFrame) -> DataFrame:
     """trait_id, statistic, k, N from a row for each trait and group: n, m (mean distance) and ss (squares about it)."""
     n, m = F.col("n"), F.col("m")
-    g = g.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("N"), F.sum("ss").alias("within"), F.sum(n * m).alias("s"), F.sum(n * m * m).alias("q"))
+    g = g.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("k"),
+        F.sum(n).alias("N"),
+        F.sum("ss").alias("within"),
+        F.sum(n * m).alias("s"),
+        F.sum(n * m * m).alias("q"),
+    )
     between = F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("N"), F.lit(0.0))
     f = divide(divide(between, F.col("k") - 1), divide(F.col("within"), F.col("N") - F.col("k")))
     return g.select(*KEY, f.alias("statistic"), "k", "N")
@@ -125,7 +133,9 @@ def _levene(g: DataFrame) -> DataFrame:
 
 def levene(df: DataFrame, value: str) -> DataFrame:
     """trait_id, statistic, pvalue: equal variances, about medians. Equal if pvalue > 0.05."""
-    g = _deviations(df, value).groupBy(*KEY, "origin").agg(F.count("z").alias("n"), F.avg("z").alias("m"), (F.var_pop("z") * F.count("z")).alias("ss"))
+    g = _deviations(df, value).groupBy(*KEY, "origin").agg(
+        F.count("z").alias("n"), F.avg("z").alias("m"), (F.var_pop("z") * F.count("z")).alias("ss")
+    )
     return _levene(g).select(*KEY, "statistic", tails.f_pvalue("statistic", F.col("k") - 1, F.col("N") - F.col("k")).alias("pvalue"))
 
 
@@ -148,7 +158,13 @@ def fligner(df: DataFrame, value: str) -> DataFrame:
     ranked = value_ranks(z.select(*KEY, "z"), KEY, "z").select(*KEY, "z", inverse_normal(place).alias("a"))
     a = F.col("a")
     g = join_groups(z, ranked, [*KEY, "z"]).groupBy(*KEY, "origin").agg(F.count(a).alias("c"), F.sum(a).alias("s"), F.sum(a * a).alias("q"))
-    g = g.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("B"))
+    g = g.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("k"),
+        F.sum("c").alias("N"),
+        F.sum("s").alias("S"),
+        F.sum("q").alias("Q"),
+        F.sum(F.col("s") * F.col("s") / F.col("c")).alias("B"),
+    )
     mean = F.col("S") * F.col("S") / F.col("N")
     stat = divide(F.col("B") - mean, divide(F.col("Q") - mean, F.col("N") - 1))
     stat = F.when(F.col("k") > 1, stat).otherwise(F.lit(NAN))
@@ -180,10 +196,20 @@ def difference_test(df: DataFrame, value: str, variances: str = "levene") -> Dat
     if variances == "levene":
         z = join_groups(values, one.select(*KEY, "med_p", "med_m"), KEY)
         far = {c: F.abs(x - F.col(f"med_{c}")) for c in "pm"}
-        z = z.groupBy(*KEY).agg(*[F.sum(F.when(F.col(c) > 0, F.col(c) * y)).alias(f"{c}_{name}") for c in "pm" for name, y in (("n", F.lit(1)), ("z", far[c]), ("zz", far[c] * far[c]))])
+        z = z.groupBy(*KEY).agg(
+            *[
+                F.sum(F.when(F.col(c) > 0, F.col(c) * y)).alias(f"{c}_{name}") for c in "pm" for name,
+                y in (("n", F.lit(1)), ("z", far[c]), ("zz", far[c] * far[c]))
+            ]
+        )
         side = lambda c: F.struct(*[F.col(f"{c}_{name}").alias(name) for name in ("n", "z", "zz")])
         g = z.select(*KEY, F.explode(F.array(side("p"), side("m"))).alias("g")).select(*KEY, "g.*").where("n > 0")
-        g = g.select(*KEY, "n", (F.col("z") / F.col("n")).alias("m"), F.greatest(F.col("zz") - F.col("z") * F.col("z") / F.col("n"), F.lit(0.0)).alias("ss"))
+        g = g.select(
+            *KEY,
+            "n",
+            (F.col("z") / F.col("n")).alias("m"),
+            F.greatest(F.col("zz") - F.col("z") * F.col("z") / F.col("n"), F.lit(0.0)).alias("ss"),
+        )
         p = tails.f_pvalue("statistic", F.col("k") - 1, F.col("N") - F.col("k"))
         equal = _levene(g).select(*KEY, p.alias("equal"))
     else:

@@ -61,7 +61,9 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, c
     below = below.withColumn("least", F.min("_least").over(Window.partitionBy(*keys))).drop("_least")
     for c in counts:
         own = F.col(f"_c_{c}")
-        below = below.withColumn(f"_base_{c}", F.sum(own).over(upto(keys, ranges)) - own).withColumn(_names(c)[1], F.sum(own).over(Window.partitionBy(*keys)))
+        below = below.withColumn(f"_base_{c}", F.sum(own).over(upto(keys, ranges)) - own).withColumn(
+            _names(c)[1], F.sum(own).over(Window.partitionBy(*keys))
+        )
     below = below.drop(*[f"_c_{c}" for c in counts])
     for c in counts:
         placed = placed.withColumn(f"_in_{c}", running(c, [*keys, *ranges]))

@@ -35,9 +35,20 @@ def mutation_flips(paternal: DataFrame, maternal: DataFrame, mutation_class: str
     def side(df: DataFrame, name: str, allele: str, mutant: str, effect: str) -> DataFrame:
         # signed: unsigned columns would wrap
         kept = df.where((F.col(effect) > 0) & (F.col(allele).cast("bigint") - F.col(mutant).cast("bigint") == steps[mutation_class]))
-        return kept.select(F.col("chra").cast("tinyint").alias("chra"), "windowa", "trait_id", F.lit(name).alias("origin"), F.col(allele).cast("tinyint").alias("allele"), F.col(mutant).cast("tinyint").alias("mutant"), F.col(effect).cast("double").alias("effect_value"))
-
-    return union_strict(side(paternal, "P", "allelea", "allelea_mutant_paternal", "trait_male_diff_paternal"), side(maternal, "M", "peerallelea", "peerallelea_mutant_maternal", "trait_male_diff_maternal"))
+        return kept.select(
+            F.col("chra").cast("tinyint").alias("chra"),
+            "windowa",
+            "trait_id",
+            F.lit(name).alias("origin"),
+            F.col(allele).cast("tinyint").alias("allele"),
+            F.col(mutant).cast("tinyint").alias("mutant"),
+            F.col(effect).cast("double").alias("effect_value"),
+        )
+
+    return union_strict(
+        side(paternal, "P", "allelea", "allelea_mutant_paternal", "trait_male_diff_paternal"),
+        side(maternal, "M", "peerallelea", "peerallelea_mutant_maternal", "trait_male_diff_maternal"),
+    )
 
 
 def wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], variable: str = "variable", value: str = "value") -> DataFrame:
@@ -47,7 +58,14 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], varia
     return df.unpivot(list(ids), list(values), variable, value)
 
 
-def long_to_wide(df: DataFrame, ids: Sequence[str], groups: Sequence[str], values: Sequence[str], order: str | None = None, names: Sequence[str] | None = None) -> DataFrame:
+def long_to_wide(
+    df: DataFrame,
+    ids: Sequence[str],
+    groups: Sequence[str],
+    values: Sequence[str],
+    order: str | None = None,
+    names: Sequence[str] | None = None,
+) -> DataFrame:
     """One column for each group (for several value columns value_group), holding the first value by `order`, null or not.
 
     Without order, the order of reading counts. names gives the groups' values and their column order; without it they're asked for first.

@@ -78,7 +78,13 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     place = F.least(F.floor((F.col(column).cast("double") - lo) / width), F.lit(bins - 1)).cast("int")
     counts = df.where(F.col(column).isNotNull()).join(one).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(one).join(counts, "bin", "left")
-    return every.select("bin", (lo + F.col("bin") * width).alias("left"), (lo + (F.col("bin") + 1) * width).alias("right"), F.coalesce("count", F.lit(0)).alias("count"), (F.coalesce("count", F.lit(0)) / (F.col("n") * width)).alias("density"))
+    return every.select(
+        "bin",
+        (lo + F.col("bin") * width).alias("left"),
+        (lo + (F.col("bin") + 1) * width).alias("right"),
+        F.coalesce("count", F.lit(0)).alias("count"),
+        (F.coalesce("count", F.lit(0)) / (F.col("n") * width)).alias("density"),
+    )
 
 
 def normal_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
@@ -86,7 +92,9 @@ def normal_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     x = F.col("lo") + F.col("id") * (F.col("hi") - F.col("lo")) / (points - 1)
     z = (F.col("x") - F.col("mean")) / F.col("sd")
     curve = df.sparkSession.range(points).join(F.broadcast(_span(df, column)))
-    return curve.withColumn("x", x).where("sd > 0").select(F.col("id").cast("int").alias("i"), "x", (F.exp(-z * z / 2) / (F.col("sd") * math.sqrt(2 * math.pi))).alias("density"))
+    return curve.withColumn("x", x).where("sd > 0").select(
+        F.col("id").cast("int").alias("i"), "x", (F.exp(-z * z / 2) / (F.col("sd") * math.sqrt(2 * math.pi))).alias("density")
+    )
 
 
 def qq_points(df: DataFrame, column: str) -> DataFrame:
@@ -100,7 +108,9 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
 
 def qq_line(points: DataFrame) -> DataFrame:
     """The first and last point."""
-    return points.agg(F.min_by(F.struct("theoretical", "sample"), "i").alias("a"), F.max_by(F.struct("theoretical", "sample"), "i").alias("b")).select(F.explode(F.array("a", "b")).alias("p")).select("p.*")
+    return points.agg(
+        F.min_by(F.struct("theoretical", "sample"), "i").alias("a"), F.max_by(F.struct("theoretical", "sample"), "i").alias("b")
+    ).select(F.explode(F.array("a", "b")).alias("p")).select("p.*")
 
 
 def box_statistics(df: DataFrame, column: str) -> DataFrame:
@@ -116,7 +126,11 @@ def box_statistics(df: DataFrame, column: str) -> DataFrame:
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col("v")
     inside = (v >= low) & (v <= high)
-    return ranked.join(F.broadcast(box)).groupBy("q1", "median", "q3").agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).alias("fliers"))
+    return ranked.join(F.broadcast(box)).groupBy("q1", "median", "q3").agg(
+        F.min(F.when(inside, v)).alias("whisker_low"),
+        F.max(F.when(inside, v)).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).alias("fliers"),
+    )
 
 
 def fliers(df: DataFrame, column: str) -> DataFrame:

@@ -15,7 +15,15 @@ from ..functions.columns import divide
 WINDOW = ["chra", "windowa"]
 
 
-RESULTS = ("anova_sigma_alpha_sq", "anova_sigma_epsilon_sq", "anova_repeatability", "anova_f_value", "bayes_sigma_alpha_sq", "bayes_sigma_epsilon_sq", "bayes_repeatability")
+RESULTS = (
+    "anova_sigma_alpha_sq",
+    "anova_sigma_epsilon_sq",
+    "anova_repeatability",
+    "anova_f_value",
+    "bayes_sigma_alpha_sq",
+    "bayes_sigma_epsilon_sq",
+    "bayes_repeatability",
+)
 CATEGORIES = ("P", "M")
 
 
@@ -27,7 +35,9 @@ def category_codes(group: Column, categories: Sequence[str] = CATEGORIES) -> Col
 def _windows(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row for each window: trait_id and g, its groups (in order, at most two) with n, mean and ss. Windows with a group other than P and M are left out."""
     v = F.col(value).cast("double")
-    g = df.groupBy(*WINDOW, group).agg(F.count(v).alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count(v)).alias("ss"), F.min("trait_id").alias("trait_id"))
+    g = df.groupBy(*WINDOW, group).agg(
+        F.count(v).alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count(v)).alias("ss"), F.min("trait_id").alias("trait_id")
+    )
     g = g.where("n > 0").withColumn("code", category_codes(F.col(group)))
     # rows of a window are its groups: with one beyond P and M it's dropped before they're listed
     only = g.groupBy(*WINDOW).agg(F.min("trait_id").alias("trait_id"), F.count(F.lit(1)).alias("groups"), F.count("code").alias("known"), *[
@@ -64,7 +74,9 @@ def posterior_sds(n: np.ndarray, mean: np.ndarray, ssw: float, points: int = 300
         inv = 1 / va
         a, b, c = inv.sum(-1), (inv * mean).sum(-1), (inv * mean**2).sum(-1)
         one = 1 + 0.25 * a
-        return -(n.sum() - len(n)) * np.log(se)[None] - ssw / (2 * se[None] ** 2) - 0.5 * (np.log(va).sum(-1) + np.log(one)) - 0.5 * (c - 0.25 * b**2 / one) - (sa[:, None] ** 2 + se[None] ** 2) / 0.5
+        return -(n.sum() - len(n)) * np.log(se)[None] - ssw / (2 * se[None] ** 2) - 0.5 * (np.log(va).sum(-1) + np.log(one)) - 0.5 * (c - 0.25 * b**2 / one) - (
+            sa[:, None] ** 2 + se[None] ** 2
+        ) / 0.5
 
     grid = np.geomspace(1e-3, 3, points)
     p = log_p(grid, grid)

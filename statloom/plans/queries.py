@@ -55,11 +55,22 @@ def _known(c: str | F.Column, digits: int | None = None) -> F.Column:
 
 
 def _effects(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("chra"), F.month("l_shipdate").alias("windowa"), F.lit(1).alias("trait_id"), F.col("l_returnflag").alias("origin"), F.col("l_extendedprice").alias("effect_value"))
+    return _t(spark, d, "lineitem").select(
+        F.col("l_linenumber").alias("chra"),
+        F.month("l_shipdate").alias("windowa"),
+        F.lit(1).alias("trait_id"),
+        F.col("l_returnflag").alias("origin"),
+        F.col("l_extendedprice").alias("effect_value"),
+    )
 
 
 def _traits(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("trait_id"), F.col("l_extendedprice").alias("trait_value"), F.col("l_orderkey").alias("f2"), origin(F.col("l_orderkey")).alias("origin"))
+    return _t(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("trait_id"),
+        F.col("l_extendedprice").alias("trait_value"),
+        F.col("l_orderkey").alias("f2"),
+        origin(F.col("l_orderkey")).alias("origin"),
+    )
 
 
 TRAITS = "SELECT l_partkey AS trait_id, l_extendedprice AS v, CASE WHEN l_orderkey % 2 = 0 THEN 'M' ELSE 'P' END AS g FROM lineitem"
@@ -88,13 +99,23 @@ def s09_extract_trait(spark, d):
     return rows.extract_trait(_traits(spark, d), 17).select("trait_id", "trait_value")
 
 
-@query("SELECT l_linenumber AS chra, month(l_shipdate)::INT AS windowa, l_returnflag AS origin, l_extendedprice AS effect_value FROM lineitem WHERE l_linenumber = 2 AND month(l_shipdate) = 3")
+@query(
+    "SELECT l_linenumber AS chra, month(l_shipdate)::INT AS windowa, l_returnflag AS origin, l_extendedprice AS effect_value FROM lineitem WHERE l_linenumber = 2 AND month(l_shipdate) = 3"
+)
 def s10_extract_window(spark, d):
     return rows.extract_window(_effects(spark, d), 2, 3).drop("trait_id")
 
 
 def _flip_sides(spark, d):
-    base = _t(spark, d, "lineitem").select("l_linestatus", F.col("l_linenumber").alias("chra"), F.month("l_shipdate").alias("windowa"), F.col("l_orderkey").alias("trait_id"), (F.col("l_partkey") % 3).alias("a"), (F.col("l_suppkey") % 3).alias("m"), (F.col("l_extendedprice") - 50000).alias("e"))
+    base = _t(spark, d, "lineitem").select(
+        "l_linestatus",
+        F.col("l_linenumber").alias("chra"),
+        F.month("l_shipdate").alias("windowa"),
+        F.col("l_orderkey").alias("trait_id"),
+        (F.col("l_partkey") % 3).alias("a"),
+        (F.col("l_suppkey") % 3).alias("m"),
+        (F.col("l_extendedprice") - 50000).alias("e"),
+    )
     p = base.where("l_linestatus = 'O'").withColumnsRenamed({"a": "allelea", "m": "allelea_mutant_paternal", "e": "trait_male_diff_paternal"})
     m = base.where("l_linestatus = 'F'").withColumnsRenamed({"a": "peerallelea", "m": "peerallelea_mutant_maternal", "e": "trait_male_diff_maternal"})
     return p, m
@@ -123,8 +144,10 @@ def s12_origin(spark, d):
 DESCRIBE = """WITH e AS (SELECT l_linenumber AS chra, month(l_shipdate)::INT AS windowa, 1 AS trait_id, l_returnflag AS origin, l_extendedprice AS v FROM lineitem),
  r AS (SELECT *, row_number() OVER (PARTITION BY chra, windowa, origin ORDER BY v) - 1 AS i, count(v) OVER (PARTITION BY chra, windowa, origin) AS n FROM e),
  g AS (SELECT chra, windowa, trait_id, origin, count(*) AS count, min(v) AS min, max(v) AS max, avg(v) AS mean, stddev_samp(v) AS std, var_samp(v) AS var, median(v) AS median,
- max(v) FILTER (i = 0) AS q0, max(v) FILTER (i = floor((n - 1) * 0.25 + 0.5)) AS q25, max(v) FILTER (i = floor((n - 1) * 0.75 + 0.5)) AS q75, max(v) FILTER (i = n - 1) AS q100 FROM r GROUP BY 1, 2, 3, 4)
- SELECT chra, windowa, trait_id, origin, count, min, max, round(mean, 4) AS mean, round(std, 4) AS std, round(var, 2) AS var, round(std / mean, 6) AS cv, round(median, 4) AS median, q0, q25, q75, q100,
+ max(v) FILTER (i = 0) AS q0, max(v) FILTER (i = floor((n - 1) * 0.25 + 0.5)) AS q25, max(v) FILTER (i = floor((n - 1) * 0.75 + 0.5)) AS q75,
+  max(v) FILTER (i = n - 1) AS q100 FROM r GROUP BY 1, 2, 3, 4)
+ SELECT chra, windowa, trait_id, origin, count, min, max, round(mean, 4) AS mean, round(std, 4) AS std, round(var, 2) AS var, round(std / mean, 6) AS cv,
+ round(median, 4) AS median, q0, q25, q75, q100,
  round(q75 - q25, 4) AS iqr, round((q75 - q25) / median, 6) AS qcd FROM g"""
 
 
@@ -153,12 +176,16 @@ def s15c_row_count(spark, d):
 @query(f"SELECT trait_id, round(m1 + 1e-7, 4) AS mean_p, round(m2 + 1e-7, 4) AS mean_m FROM ({TWO})")
 def s15d_conditional(spark, d):
     v = F.col("trait_value")
-    return _traits(spark, d).groupBy("trait_id").agg(*[F.round(F.avg(F.when(F.col("origin") == g, v)) + 1e-7, 4).alias(n) for g, n in (("P", "mean_p"), ("M", "mean_m"))])
+    return _traits(spark, d).groupBy("trait_id").agg(
+        *[F.round(F.avg(F.when(F.col("origin") == g, v)) + 1e-7, 4).alias(n) for g, n in (("P", "mean_p"), ("M", "mean_m"))]
+    )
 
 
 @query("SELECT min(value) AS lo, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM events")
 def s15e_whole_column(spark, d):
-    return _t(spark, d, "events").agg(F.min("value").alias("lo"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"))
+    return _t(spark, d, "events").agg(
+        F.min("value").alias("lo"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd")
+    )
 
 
 QUANTILE = sql_quantile
@@ -202,7 +229,12 @@ WELCH = f"""w AS (SELECT *, (m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0) AS t,
 
 
 def _tested(df: DataFrame) -> DataFrame:
-    return df.select("trait_id", _known("statistic", 6).alias("t"), _known("df", 6).alias("df"), F.when(_known("statistic").isNotNull(), _known("pvalue", 6)).alias("pvalue"))
+    return df.select(
+        "trait_id",
+        _known("statistic", 6).alias("t"),
+        _known("df", 6).alias("df"),
+        F.when(_known("statistic").isNotNull(), _known("pvalue", 6)).alias("pvalue"),
+    )
 
 
 @query(f"WITH {STUDENT} SELECT trait_id, round(t, 6) AS t, df, round(CASE WHEN t IS NOT NULL THEN {_t_p('t', 'df')} END, 6) AS pvalue FROM s")
@@ -210,7 +242,9 @@ def s18a_student(spark, d):
     return _tested(difference.student(_traits(spark, d), "trait_value"))
 
 
-@query(f"WITH {WELCH} SELECT trait_id, round(t, 6) AS t, round(df, 6) AS df, round(CASE WHEN t IS NOT NULL THEN {_t_p('t', 'df')} END, 6) AS pvalue FROM w")
+@query(
+    f"WITH {WELCH} SELECT trait_id, round(t, 6) AS t, round(df, 6) AS df, round(CASE WHEN t IS NOT NULL THEN {_t_p('t', 'df')} END, 6) AS pvalue FROM w"
+)
 def s18b_welch(spark, d):
     return _tested(difference.welch(_traits(spark, d), "trait_value"))
 
@@ -236,7 +270,8 @@ def s19b_bartlett(spark, d):
     return difference.bartlett(_traits(spark, d), "trait_value").select("trait_id", _known("statistic", 6).alias("t"))
 
 
-@query(f"""WITH {DISTANCES}, r AS (SELECT *, rank() OVER (PARTITION BY trait_id ORDER BY z) + (count(*) OVER (PARTITION BY trait_id, z) - 1) / 2 AS r, count(*) OVER (PARTITION BY trait_id) AS n FROM z),
+@query(f"""WITH {DISTANCES}, r AS (SELECT *, rank() OVER (PARTITION BY trait_id ORDER BY z) + (count(*) OVER (PARTITION BY trait_id, z) - 1) / 2 AS r,
+  count(*) OVER (PARTITION BY trait_id) AS n FROM z),
  a AS (SELECT trait_id, g, {QUANTILE("(0.5 + r / (2 * (n + 1)))")} AS a FROM r),
  b AS (SELECT trait_id, g, count(a) AS c, sum(a) AS s, sum(a * a) AS q FROM a GROUP BY 1, 2),
  c AS (SELECT trait_id, count(*) AS k, sum(c) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / c) AS b FROM b GROUP BY 1)
@@ -274,7 +309,13 @@ def s19e_significance(spark, d):
 
 def _windows(spark, d):
     t = _t(spark, d, "lineitem")
-    return t.select(F.col("l_linenumber").alias("chra"), F.month("l_shipdate").alias("windowa"), F.lit(1).alias("trait_id"), origin(F.col("l_orderkey")).alias("origin"), F.col("l_extendedprice").alias("v"))
+    return t.select(
+        F.col("l_linenumber").alias("chra"),
+        F.month("l_shipdate").alias("windowa"),
+        F.lit(1).alias("trait_id"),
+        origin(F.col("l_orderkey")).alias("origin"),
+        F.col("l_extendedprice").alias("v"),
+    )
 
 
 WINDOWS = "SELECT l_linenumber AS chra, month(l_shipdate)::INT AS windowa, l_orderkey % 2 AS g, l_extendedprice AS v FROM lineitem"
@@ -323,8 +364,10 @@ BAYES = f"""WITH e AS ({WINDOWS}),
  c AS (SELECT w.*, alo + (i.k + 0.5) / 300 * (ahi - alo) AS a, elo + (j.k + 0.5) / 300 * (ehi - elo) AS e FROM w JOIN b USING (chra, windowa), i, i j),
  q AS (SELECT chra, windowa, scale, a, e, {_log_p("a", "e")} AS p FROM c),
  t AS (SELECT chra, windowa, max(p) AS top FROM q GROUP BY 1, 2),
- z AS (SELECT chra, windowa, any_value(scale) AS scale, sum(exp(p - top) * a) / sum(exp(p - top)) AS a, sum(exp(p - top) * e) / sum(exp(p - top)) AS e FROM q JOIN t USING (chra, windowa) GROUP BY 1, 2)
- SELECT chra, windowa, 1 AS trait_id, round(pow(a * scale, 2), -2) AS bayes_sigma_alpha_sq, round(pow(e * scale, 2), -2) AS bayes_sigma_epsilon_sq, round(a * a / (a * a + e * e), 7) AS bayes_repeatability FROM z"""
+ z AS (SELECT chra, windowa, any_value(scale) AS scale, sum(exp(p - top) * a) / sum(exp(p - top)) AS a,
+  sum(exp(p - top) * e) / sum(exp(p - top)) AS e FROM q JOIN t USING (chra, windowa) GROUP BY 1, 2)
+ SELECT chra, windowa, 1 AS trait_id, round(pow(a * scale, 2), -2) AS bayes_sigma_alpha_sq, round(pow(e * scale, 2), -2) AS bayes_sigma_epsilon_sq,
+ round(a * a / (a * a + e * e), 7) AS bayes_repeatability FROM z"""
 
 
 @query(BAYES)
@@ -372,12 +415,18 @@ def s22_box_cox_grid(spark, d):
     return out.withColumn("value_boxcox", F.round("value_boxcox", 6))
 
 
-@query("SELECT o_orderkey, variable, value FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders) UNPIVOT INCLUDE NULLS (value FOR variable IN (o_orderstatus, o_orderpriority))")
+@query(
+    "SELECT o_orderkey, variable, value FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders) UNPIVOT INCLUDE NULLS (value FOR variable IN (o_orderstatus, o_orderpriority))"
+)
 def s23_wide_to_long(spark, d):
     return rows.wide_to_long(_t(spark, d, "orders"), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
 
 
-@query("SELECT n_regionkey, " + ", ".join(f"arg_min(n_name, n_nationkey) FILTER (n_nationkey % 3 = {k}) AS \"{k}\"" for k in range(3)) + " FROM nation GROUP BY 1")
+@query(
+    "SELECT n_regionkey, " + ", ".join(
+        f"arg_min(n_name, n_nationkey) FILTER (n_nationkey % 3 = {k}) AS \"{k}\"" for k in range(3)
+    ) + " FROM nation GROUP BY 1"
+)
 def s24_long_to_wide(spark, d):
     n = _t(spark, d, "nation").withColumn("g", F.col("n_nationkey") % 3)
     return rows.long_to_wide(n, ["n_regionkey"], ["g"], ["n_name"], order="n_nationkey", names=[0, 1, 2])
@@ -404,7 +453,8 @@ def s25c_qq_points(spark, d):
 
 
 @query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS q3 FROM events)
- SELECT round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+ SELECT round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
+ max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
  count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS fliers FROM events, q WHERE value IS NOT NULL GROUP BY ALL""")
 def s25d_box(spark, d):
     out = shape.box_statistics(_t(spark, d, "events"), "value")
@@ -425,24 +475,37 @@ def s26b_sort_by_map(spark, d):
 @query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
 def s28_union(spark, d):
     n, r = _t(spark, d, "nation"), _t(spark, d, "region")
-    return rows.union_strict(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), r.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")))
+    return rows.union_strict(
+        n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")),
+        r.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")),
+    )
 
 
 QC = """WITH s AS (SELECT l_partkey AS k, count(*) AS c, count(DISTINCT l_quantity) * 100.0 / count(l_partkey) AS r FROM lineitem GROUP BY 1)"""
 
 
-@query(QC + " SELECT l_partkey AS trait_id, l_quantity AS trait_value, l_orderkey AS f2, CASE WHEN l_orderkey % 2 = 0 THEN 'M' ELSE 'P' END AS origin FROM lineitem WHERE l_partkey NOT IN (SELECT k FROM s WHERE c < 28 OR r < 80)")
+@query(
+    QC
+    + """ SELECT l_partkey AS trait_id, l_quantity AS trait_value, l_orderkey AS f2, CASE WHEN l_orderkey % 2 = 0 THEN 'M' ELSE 'P' END AS origin
+ FROM lineitem WHERE l_partkey NOT IN (SELECT k FROM s WHERE c < 28 OR r < 80)"""
+)
 def s31_quality_control(spark, d):
-    t = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("trait_id"), F.col("l_quantity").alias("trait_value"), F.col("l_orderkey").alias("f2"))
+    t = _t(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("trait_id"), F.col("l_quantity").alias("trait_value"), F.col("l_orderkey").alias("f2")
+    )
     return describe.quality_control(t, "trait_id", "trait_value", 28, 80.0)[0]
 
 
 @query(QC + " SELECT k AS trait_id, c AS count, round(r, 6) AS ratio FROM s WHERE c < 28 OR r < 80")
 def s31_deleted_groups(spark, d):
-    t = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("trait_id"), F.col("l_quantity").alias("trait_value"), F.col("l_orderkey").alias("f2"))
+    t = _t(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("trait_id"), F.col("l_quantity").alias("trait_value"), F.col("l_orderkey").alias("f2")
+    )
     return _rounded(describe.quality_control(t, "trait_id", "trait_value", 28, 80.0)[1])
 
 
 @query("SELECT doc_id, length(text) AS length FROM documents")
 def s32_string_lengths(spark, d):
-    return rows.string_lengths(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.col("length").cast("bigint").alias("length"))
+    return rows.string_lengths(_t(spark, d, "documents").select("doc_id", "text"), "text").select(
+        "doc_id", F.col("length").cast("bigint").alias("length")
+    )

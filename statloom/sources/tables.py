@@ -51,7 +51,15 @@ def query_text(query: str) -> str:
     return query.strip().rstrip(";")
 
 
-def read_database(spark: SparkSession, url: str, query: str, partition_on: str | None = None, partition_num: int = 16, fetch: int = 50_000, **options: str) -> DataFrame:
+def read_database(
+    spark: SparkSession,
+    url: str,
+    query: str,
+    partition_on: str | None = None,
+    partition_num: int = 16,
+    fetch: int = 50_000,
+    **options: str,
+) -> DataFrame:
     """A query's rows over JDBC, in ranges of a numeric column whose bounds a first query asks for.
 
     Credentials belong in options (user, password) from the environment, never in the url.
@@ -64,14 +72,18 @@ def read_database(spark: SparkSession, url: str, query: str, partition_on: str |
     if low is None:
         return reader.option("dbtable", f"({text}) q").load()
     ranges = {"partitionColumn": partition_on, "lowerBound": int(low), "upperBound": int(high) + 1, "numPartitions": partition_num}
-    return spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", f"({text}) q").option("fetchsize", fetch).options(**ranges).load()
+    return spark.read.format("jdbc").option("url", url).options(**options).option(
+        "dbtable", f"({text}) q"
+    ).option("fetchsize", fetch).options(**ranges).load()
 
 
 def parse_windows(lines: DataFrame) -> DataFrame:
     """chra, windows of lines (value, and at, their order): two whole numbers each; other lines are left out and the last of a chromosome's counts."""
     words = F.split(F.trim("value"), r"\s+")
     known = lines.where((F.size(words) == 2) & F.col("value").rlike(r"^\s*[+-]?\d+\s+[+-]?\d+\s*$"))
-    return known.select(words[0].cast("int").alias("chra"), words[1].cast("int").alias("windows"), "at").groupBy("chra").agg(F.max_by("windows", "at").alias("windows"))
+    return known.select(words[0].cast("int").alias("chra"), words[1].cast("int").alias("windows"), "at").groupBy("chra").agg(
+        F.max_by("windows", "at").alias("windows")
+    )
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,9 @@ os.environ["PYTHONPATH"] = ":".join(filter(None, (HERE, os.environ.get("PYTHONPA
 def spark():
     from pyspark.sql import SparkSession
 
-    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
+    session = SparkSession.builder.master("local[4]").config(
+        "spark.sql.shuffle.partitions", "4"
+    ).config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -77,7 +77,9 @@ def test_ranges_hold_under_outliers(spark, monkeypatch):
     assert max(sizes) <= 400 and sum(sizes) == len(values) + 3
     got = {(r["k"], str(r["v"])): (r["before"], r["cnt"], r["n"], r["least"]) for r in value_ranks(df, ["k"], "v").collect()}
     assert got[2, "5.0"] == (0, 2, 2, 5.0) and got[None, "1.0"] == (0, 1, 1, 1.0) and got[1, "-inf"] == (0, 1, 20_004, -math.inf)
-    assert all(got[1, str(float(v))][0] == v + 1 for v in range(20_000)) and got[1, "1000000000000000.0" if (1, "1000000000000000.0") in got else "1e+15"][0] == 20_001
+    assert all(got[1, str(float(v))][0] == v + 1 for v in range(20_000)) and got[
+        1, "1000000000000000.0" if (1, "1000000000000000.0") in got else "1e+15"
+    ][0] == 20_001
     assert got[1, "inf"][0] == 20_002 and got[1, "nan"][0] == 20_003
 
 
@@ -99,7 +101,9 @@ def test_quality_control_thresholds(spark):
 
 
 def test_shapiro_published(spark):
-    got = difference.shapiro(traits(spark, {1: (WEIGHTS, []), 2: ([1, 2], []), 3: ([1, 2, 4], []), 4: ([5] * 6, [])}), "trait_value").orderBy("trait_id").collect()
+    got = difference.shapiro(
+        traits(spark, {1: (WEIGHTS, []), 2: ([1, 2], []), 3: ([1, 2, 4], []), 4: ([5] * 6, [])}), "trait_value"
+    ).orderBy("trait_id").collect()
     assert got[0]["statistic"] == pytest.approx(0.78881, abs=1e-5) and got[0]["pvalue"] == pytest.approx(0.006704, abs=1e-6)
     assert got[1]["statistic"] is None and got[1]["pvalue"] is None
     assert got[2]["statistic"] == pytest.approx(0.9642857, abs=1e-6) and got[3]["pvalue"] == 1
@@ -140,14 +144,25 @@ def test_two_group_tests(spark):
 
 def test_router(spark):
     rng = np.random.default_rng(3)
-    got = difference.significance(difference.difference_test(traits(spark, {1: (rng.normal(0, 1, 30), rng.normal(3, 1, 30)), 2: (rng.exponential(1, 40) ** 3, rng.exponential(1, 40) ** 3)}), "trait_value")).collect()
+    got = difference.significance(
+        difference.difference_test(
+            traits(spark, {1: (rng.normal(0, 1, 30), rng.normal(3, 1, 30)), 2: (rng.exponential(1, 40) ** 3, rng.exponential(1, 40) ** 3)}),
+            "trait_value",
+        )
+    ).collect()
     assert {r["trait_id"]: r["method"] for r in got}[2] == "MannwhitneyU-test"
 
 
 def test_router_agrees_with_the_single_tests(spark):
     rng = np.random.default_rng(8)
     groups = {k: (rng.normal(k, 1, 20).round(1) + 1e6, rng.normal(0, 1 + k % 3 * 2, 15).round(1) + 1e6) for k in range(8)}
-    groups |= {10: (rng.exponential(1, 30) ** 2, rng.exponential(1, 20)), 11: ([], rng.normal(0, 1, 9)), 12: ([1.0], [2.0]), 13: ([1.0, math.nan, 3.0], [2.0]), 14: ([5.0] * 4, [5.0] * 4)}
+    groups |= {
+        10: (rng.exponential(1, 30) ** 2, rng.exponential(1, 20)),
+        11: ([], rng.normal(0, 1, 9)),
+        12: ([1.0], [2.0]),
+        13: ([1.0, math.nan, 3.0], [2.0]),
+        14: ([5.0] * 4, [5.0] * 4),
+    }
     df = traits(spark, groups)
     one = lambda test: {r["trait_id"]: r for r in test(df, "trait_value").collect()}
     normal, t, w, u = map(one, (difference.shapiro, difference.student, difference.welch, difference.mann_whitney))
@@ -156,7 +171,9 @@ def test_router_agrees_with_the_single_tests(spark):
         got = {r["trait_id"]: r for r in difference.difference_test(df, "trait_value", name).collect()}
         assert set(got) == {k for k, r in normal.items() if r["pvalue"] is not None and not math.isnan(r["pvalue"])} >= {0, 10, 14}
         for k, r in got.items():
-            method, want = ("MannwhitneyU-test", u[k]) if normal[k]["pvalue"] < 0.05 else ("T-test", t[k]) if (equal[k]["pvalue"] or 0) > 0.05 else ("Welchs-test", w[k])
+            method, want = (
+                "MannwhitneyU-test", u[k]
+            ) if normal[k]["pvalue"] < 0.05 else ("T-test", t[k]) if (equal[k]["pvalue"] or 0) > 0.05 else ("Welchs-test", w[k])
             assert r["method"] == method, (name, k)
             for c in ("statistic", "pvalue"):
                 same = lambda x: None if x is None or math.isnan(x) else pytest.approx(x, rel=1e-6)
@@ -177,11 +194,15 @@ def test_scores_of_ties_are_sums(spark):
 
 def test_variance(spark):
     rng = np.random.default_rng(4)
-    data = [(1, 0, 1, g, float(x)) for g, m in (("P", 0), ("M", 1)) for x in rng.normal(m, 1, 30)] + [(1, 1, 1, "P", 1.0), (1, 1, 1, "P", 2.0), (1, 2, 1, "X", 2.0)]
+    data = [(1, 0, 1, g, float(x)) for g, m in (("P", 0), ("M", 1)) for x in rng.normal(m, 1, 30)] + [
+        (1, 1, 1, "P", 1.0), (1, 1, 1, "P", 2.0), (1, 2, 1, "X", 2.0)
+    ]
     df = spark.createDataFrame(data, "chra int, windowa int, trait_id int, origin string, v double")
     a, one = variance.anova(df, "v").orderBy("windowa").collect()
     y = np.array([r[4] for r in data[:60]])
-    assert a["ssb"] + a["ssw"] == pytest.approx(((y - y.mean()) ** 2).sum()) and 0 <= a["anova_repeatability"] <= 1 and math.isnan(one["anova_f_value"])
+    assert a["ssb"] + a["ssw"] == pytest.approx(
+        ((y - y.mean()) ** 2).sum()
+    ) and 0 <= a["anova_repeatability"] <= 1 and math.isnan(one["anova_f_value"])
     t = difference.student(df.where("windowa = 0").withColumnRenamed("v", "trait_value"), "trait_value").first()["statistic"]
     assert a["anova_f_value"] == pytest.approx(t * t)
     names = "chra windowa trait_id anova_sigma_alpha_sq anova_sigma_epsilon_sq anova_repeatability anova_f_value bayes_sigma_alpha_sq bayes_sigma_epsilon_sq bayes_repeatability"
@@ -232,7 +253,10 @@ def test_reshape(spark):
 
 
 def test_rows(spark, tmp_path):
-    p = spark.createDataFrame([(1, 1, 1, 0, 1, 1.0), (1, 1, 1, 1, 0, 1.0), (1, 1, 1, 0, 1, 0.0), (1, 1, 1, 0, 2, 1.0)], "chra int, windowa int, trait_id int, allelea int, allelea_mutant_paternal int, trait_male_diff_paternal double")
+    p = spark.createDataFrame(
+        [(1, 1, 1, 0, 1, 1.0), (1, 1, 1, 1, 0, 1.0), (1, 1, 1, 0, 1, 0.0), (1, 1, 1, 0, 2, 1.0)],
+        "chra int, windowa int, trait_id int, allelea int, allelea_mutant_paternal int, trait_male_diff_paternal double",
+    )
     p = p.withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("allelea", "allelea_mutant_paternal")})
     m = p.toDF("chra", "windowa", "trait_id", "peerallelea", "peerallelea_mutant_maternal", "trait_male_diff_maternal")
     assert [(r["origin"], r["allele"], r["mutant"]) for r in rows.mutation_flips(p, m, "pos_flip").collect()] == [("P", 0, 1), ("M", 0, 1)]
@@ -256,7 +280,9 @@ def test_rows(spark, tmp_path):
 
 def test_database(spark, tmp_path):
     url = "jdbc:derby:memory:engine;create=true"
-    spark.range(20).select("id", (F.col("id") * 2).alias("v")).write.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    spark.range(20).select("id", (F.col("id") * 2).alias("v")).write.format("jdbc").options(
+        url=url, dbtable="t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    ).save()
     sql = tmp_path / "q.sql"
     sql.write_text('SELECT * FROM t WHERE "v" >= 10;')
     got = tables.read_database(spark, url, str(sql), '"id"', 3, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
@@ -274,7 +300,25 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setenv("STATLOOM_DB_USER", "u"), monkeypatch.setenv("STATLOOM_DB_PASSWORD", "p")
     (tmp_path / "folder").mkdir()
     query = 'SELECT * FROM traits'
-    assert main(["save", "--url", url, "--driver", driver, "--query", query, "--partition-on", '"trait_id"', "--size", "5", "--partitions", "2", "--output", str(tmp_path / "folder")]) == 0
+    assert main(
+        [
+            "save",
+            "--url",
+            url,
+            "--driver",
+            driver,
+            "--query",
+            query,
+            "--partition-on",
+            '"trait_id"',
+            "--size",
+            "5",
+            "--partitions",
+            "2",
+            "--output",
+            str(tmp_path / "folder"),
+        ]
+    ) == 0
     saved = str(tmp_path / "folder" / "query.parquet")
     assert "groups left out: 1 3" in capsys.readouterr().out and spark.read.parquet(saved).where("origin IS NOT NULL").count() == 80
     assert main(["difference", saved, "--variances", "bartlett", "--output", str(tmp_path / "d")]) == 0
@@ -285,7 +329,13 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main(["show", saved, "--rows", "3", "--sort", "trait_id"]) == 0 and len(capsys.readouterr().out.splitlines()) == 4
     for tool, lines in (("box", 2), ("curve", 101), ("histogram", 31), ("plot", 2)):
         assert main([tool, saved, "--value", "trait_value"]) == 0 and len(capsys.readouterr().out.splitlines()) == lines
-    windows = df.select(F.col("trait_id").alias("chra"), F.lit(0).alias("windowa"), "trait_id", F.col("trait_value").alias("v"), origin(F.col("f2")).alias("origin"))
+    windows = df.select(
+        F.col("trait_id").alias("chra"),
+        F.lit(0).alias("windowa"),
+        "trait_id",
+        F.col("trait_value").alias("v"),
+        origin(F.col("f2")).alias("origin"),
+    )
     tables.write(windows, str(tmp_path / "w"))
     (tmp_path / "w.txt").write_text("1 1\n2 1\n")
     assert main(["variance", str(tmp_path / "w"), "--value", "v", "--windows", str(tmp_path / "w.txt"), "--chromosome", "2"]) == 0
