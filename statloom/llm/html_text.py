@@ -40,12 +40,48 @@ from .textbatch import hashes, mix, slices
 
 #: Fixed values of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = set(
+    (
+        "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+        "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
+        "table tbody td tfoot th thead title tr ul"
+    ).split()
+)
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "option", "optgroup", "caption", "title"}
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = {"ul", "ol", "dl", "table", "select", "body", "html", "article", "main", "section", "div", "nav", "aside", "footer", "header", "td", "th", "li", "blockquote"}
+CLOSES = {
+    "li": {"li"},
+    "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"},
+    "tr": {"tr", "td", "th"},
+    "td": {"td", "th"},
+    "th": {"td", "th"},
+    "option": {"option"},
+}
+SCOPE = {
+    "ul",
+    "ol",
+    "dl",
+    "table",
+    "select",
+    "body",
+    "html",
+    "article",
+    "main",
+    "section",
+    "div",
+    "nav",
+    "aside",
+    "footer",
+    "header",
+    "td",
+    "th",
+    "li",
+    "blockquote",
+}
 #: Elements, roles and class or id words that are no part of an article. Inside article and main only whole classes in FURNITURE and ids in PLACES count.
-NOT_TEXT = set("script style noscript template head title iframe object svg canvas annotation annotation-xml audio video select button textarea datalist form nav footer aside menu dialog search".split())
+NOT_TEXT = set(
+    "script style noscript template head title iframe object svg canvas annotation annotation-xml audio video select button textarea datalist form nav footer aside menu dialog search".split()
+)
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = set(
     "nav navbar navigation menu menubar header masthead topbar footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner "
@@ -413,6 +449,9 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
                 start += len(own) + 1
                 deleted = templates_of(parts, nodes, got.tolist(), int(total))
                 texts.append(text_of(parts, deleted) if deleted else text)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in others), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
+                names=schema.names,
+            )
 
     return pages.select(*others, html).mapInArrow(run, schema)

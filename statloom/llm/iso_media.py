@@ -85,7 +85,11 @@ def write_container(payload: bytes) -> bytes:
             _full(b"hdlr", struct.pack(">I4s12x", 0, b"soun"), b"\0"),
             _box(b"minf", _full(b"smhd", bytes(4)), _box(b"dinf", _full(b"dref", struct.pack(">I", 1), _full(b"url ", flags=1))), table),
         )
-        track = _box(b"trak", _full(b"tkhd", struct.pack(">QQIIQ8xHHHH", 0, 0, 1, 0, length, 0, 0, 0x100, 0), MATRIX, bytes(8), version=1, flags=7), media)
+        track = _box(
+            b"trak",
+            _full(b"tkhd", struct.pack(">QQIIQ8xHHHH", 0, 0, 1, 0, length, 0, 0, 0x100, 0), MATRIX, bytes(8), version=1, flags=7),
+            media,
+        )
         head = _full(b"mvhd", struct.pack(">QQIQIH10x", 0, 0, TIMESCALE, length, 0x10000, 0x100), MATRIX, bytes(24), struct.pack(">I", 2), version=1)
         return _box(b"moov", head, track)
 
@@ -232,6 +236,8 @@ def media_columns(docs: DataFrame, text: str = "text", keep_media: bool = False)
                 stored = (len(media), hashlib.sha256(media).hexdigest(), describe(track), media)
                 rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), *stored)[: len(new)])
             made = zip(*rows, strict=True) if rows else [[]] * len(new)
-            yield pa.RecordBatch.from_arrays([batch[c] for c in others] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch[c] for c in others] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=schema.names
+            )
 
     return docs.select(*others, text).mapInArrow(run, schema)

@@ -154,7 +154,10 @@ def _store(at: str):
                 file.write(sets[bounds[i] : bounds[i + 1]])
                 places.append(place)
                 place += 2 * HASHES + 8 * int(count[i])
-            yield pa.RecordBatch.from_arrays([pa.array(high[full]), pa.array(less[full]), pa.array([name] * len(full), pa.string()), pa.array(places, pa.int64())], names=["hi", "lo", "file", "place"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(high[full]), pa.array(less[full]), pa.array([name] * len(full), pa.string()), pa.array(places, pa.int64())],
+                names=["hi", "lo", "file", "place"],
+            )
         if file:  # before the task is done: its rows count only then
             file.close()
 
@@ -197,7 +200,11 @@ def _verify(at: str, percent: int):
             d = batch.to_pydict()
             ok = []
             for f, p, n, f2, p2, n2 in zip(*(d[c] for c in ("file", "place", "n", "file2", "place2", "n2")), strict=True):
-                ok.append(100 * min(n, n2) >= percent * max(n, n2) and (store.low(f, p) == store.low(f2, p2)).mean() >= floor and alike(store.of(f, p, n), store.of(f2, p2, n2), percent))
+                ok.append(
+                    100 * min(n, n2) >= percent * max(n, n2) and (store.low(f, p) == store.low(f2, p2)).mean() >= floor and alike(
+                        store.of(f, p, n), store.of(f2, p2, n2), percent
+                    )
+                )
             yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -264,16 +271,23 @@ def _tiled(members: DataFrame, comp: DataFrame, index: DataFrame, percent: int,
     mixed = found.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high")
     rest = _of_band(found, mixed.select("band", "c"), limit).drop("c").join(index, "cid")
     # 1e-9: a pair exactly at the threshold is never two steps apart
-    rest = shared.saved(rest.withColumn("step", F.floor(F.log("n") / (math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")).cast("int")), f"{at}/rest")
+    rest = shared.saved(
+        rest.withColumn("step", F.floor(F.log("n") / (math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")).cast("int")),
+        f"{at}/rest",
+    )
     sizes = rest.groupBy("band", "step").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
     order = Window.partitionBy("band").orderBy("step")
     beside = lambda f, d: F.when(f("step").over(order) == F.col("step") + d, f("parts").over(order)).otherwise(0)
     sizes = sizes.withColumn("up", beside(F.lead, 1)).withColumn("down", beside(F.lag, -1)).withColumn("c", F.col("parts") * TILE)
-    rest = rest.join(sizes.withColumnsRenamed({"band": "_band", "step": "_step"}), F.expr("band = _band AND step = _step")).drop("_band", "_step", "c")
+    rest = rest.join(
+        sizes.withColumnsRenamed({"band": "_band", "step": "_step"}), F.expr("band = _band AND step = _step")
+    ).drop("_band", "_step", "c")
     own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     name = lambda step, part: step.cast("long") * (1 << 32) + part
     rest = rest.withColumn("part", name(F.col("step"), own))
-    upto = lambda step, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: name(step, k))).otherwise(F.expr("cast(array() as array<long>)"))
+    upto = lambda step, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: name(step, k))).otherwise(
+        F.expr("cast(array() as array<long>)")
+    )
     others = F.concat(upto(F.col("step"), F.col("parts")), upto(F.col("step") + 1, F.col("up")), upto(F.col("step") - 1, F.col("down")))
     rest = rest.withColumn("other", F.explode(others)).withColumn("t0", F.least("part", "other")).withColumn("t1", F.greatest("part", "other"))
     rest = rest.select("band", "t0", "t1", "part", "cid", "comp", "n", "file", "place")
@@ -288,20 +302,28 @@ def groups_of(rows: DataFrame, percent: int, by_id: bool) -> DataFrame:
     spark = rows.sparkSession
     at = shared.folder(spark, "minhash")
     bands = bands_for(percent)
-    drawn = rows.select("doc_id", "row", "text").mapInArrow(lambda it: sketches(it, "doc_id", "text", bands), "doc_id long, row long, n_shingles long, hi long, lo long, bands array<long>")
+    drawn = rows.select("doc_id", "row", "text").mapInArrow(
+        lambda it: sketches(it, "doc_id", "text", bands), "doc_id long, row long, n_shingles long, hi long, lo long, bands array<long>"
+    )
     drawn = shared.saved(drawn, f"{at}/sketches")
-    some = drawn.where("n_shingles > 0").groupBy("hi", "lo").agg(F.first("n_shingles").alias("n"), F.min("row").alias("row"), F.first("bands").alias("bands"))
+    some = drawn.where("n_shingles > 0").groupBy("hi", "lo").agg(
+        F.first("n_shingles").alias("n"), F.min("row").alias("row"), F.first("bands").alias("bands")
+    )
     classes = shared.saved(some.withColumn("cid", F.monotonically_increasing_id()), f"{at}/classes")  # numbers are fixed once written
     owned = shared.saved(drawn.drop("bands").join(classes.select("hi", "lo", "cid"), ["hi", "lo"], "left"), f"{at}/owned")
     limit = max(HOT_BUCKET, classes.count() // HOT_SHARE)
 
     keyed = classes.select("cid", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("cid").alias("head"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("c")).where("head < last").drop("last")
+    heads = keyed.groupBy("band").agg(
+        F.min("cid").alias("head"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("c")
+    ).where("head < last").drop("last")
     members = shared.saved(_of_band(keyed, shared.saved(heads, f"{at}/heads"), limit).drop("c"), f"{at}/members")
     paired = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("row")
     stored = rows.join(paired, "row", "left_semi").select("text").mapInArrow(_store(f"{at}/sets"), "hi long, lo long, file string, place long")
     stored = shared.saved(stored, f"{at}/stored")
-    index = classes.select("cid", "hi", "lo", "n").join(stored, ["hi", "lo"]).groupBy("cid", "n").agg(F.min(F.struct("file", "place")).alias("s")).select("cid", "n", "s.*")
+    index = classes.select("cid", "hi", "lo", "n").join(stored, ["hi", "lo"]).groupBy("cid", "n").agg(
+        F.min(F.struct("file", "place")).alias("s")
+    ).select("cid", "n", "s.*")
     index = shared.saved(index, f"{at}/index")
 
     edges = members.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")).distinct()
@@ -309,7 +331,9 @@ def groups_of(rows: DataFrame, percent: int, by_id: bool) -> DataFrame:
     placed = edges.join(index.withColumnRenamed("cid", "u"), "u").join(two, "v").repartition(_parts(spark))
     links = placed.mapInArrow(_verify(f"{at}/sets", percent), "u long, v long")
     if by_id:
-        several = owned.where("doc_id IS NOT NULL AND cid IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("v"), F.max("cid").alias("last")).where("v < last")
+        several = owned.where("doc_id IS NOT NULL AND cid IS NOT NULL").groupBy("doc_id").agg(
+            F.min("cid").alias("v"), F.max("cid").alias("last")
+        ).where("v < last")
         links = links.unionByName(owned.join(several.drop("last"), "doc_id").where("cid <> v").select(F.col("cid").alias("u"), "v").distinct())
     found = components(shared.saved(links, f"{at}/stars"))
     comp = found.select(F.col("u").alias("cid"), F.col("v").alias("comp"))
@@ -327,8 +351,15 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     groups = shared.saved(groups_of(rows, percent, True), f"{at}/rows")
     # written, so that a large component's rows can be split in the join
     least = shared.saved(groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")), f"{at}/least")
-    out = groups.join(least, "comp", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0).alias("kept"))
+    out = groups.join(least, "comp", "left").withColumn(
+        "component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    )
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0).alias("kept"),
+    )
 
 
 def _parts(spark) -> int:
@@ -345,6 +376,8 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = shared.saved(docs.withColumn(row, F.monotonically_increasing_id()), f"{at}/docs")  # numbers are fixed once written
     groups = groups_of(docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, False)
     groups = shared.saved(groups, f"{at}/groups")
-    first = groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select("least.row")
+    first = groups.where("comp IS NOT NULL").groupBy("comp").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
+    ).select("least.row")
     stay = first.unionByName(groups.where("comp IS NULL").select("row"))
     return docs.join(stay.withColumnRenamed("row", row), row, "left_semi").drop(row)

@@ -39,7 +39,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     one = Window.orderBy(F.col("source").asc_nulls_last())
     table = F.array(*[F.lit(float(w)) for w in weights])
     out = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_sid", F.row_number().over(one).cast("long"))
-    out = out.withColumn("w", table[((F.col("_sid") - 1) % len(weights)).cast("int")]).withColumn("full", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("full") / F.col("w"))
+    out = out.withColumn("w", table[((F.col("_sid") - 1) % len(weights)).cast("int")]).withColumn("full", F.col("source_size") * F.lit(cap)).withColumn(
+        "ratio", F.col("full") / F.col("w")
+    )
     order = Window.orderBy("ratio", "_sid")
     before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     rest = F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("full").over(before), F.lit(0.0))
@@ -66,13 +68,17 @@ def schedule(targets: DataFrame, slots: int, cells: int = 4096, chunk: int = 409
     point = F.lit(0).cast("long")
     for k in range(bits):
         point = point + F.when(F.col("slot").bitwiseAND(F.lit(1 << k)) != 0, F.lit(1 << (bits - 1 - k))).otherwise(F.lit(0))
-    points = targets.sparkSession.range(slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", F.floor(F.col("point") / width))
+    points = targets.sparkSession.range(slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn(
+        "cell", F.floor(F.col("point") / width)
+    )
     owned = points.join(spread, "cell").where("point >= lo AND point < hi").select("_sid", "slot")
     extra = ranges.where("hi <= lo").select("_sid", (F.col("_sid") + slots).alias("slot"))
     owned = owned.unionByName(extra).withColumn("chunk", F.floor(F.col("slot") / chunk))
     part = owned.groupBy("_sid", "chunk").agg(F.count(F.lit(1)).alias("c"))
     each = Window.partitionBy("_sid")
-    part = part.withColumn("base", F.sum("c").over(each.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).withColumn("n", F.sum("c").over(each)).drop("c")
+    part = part.withColumn(
+        "base", F.sum("c").over(each.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    ).withColumn("n", F.sum("c").over(each)).drop("c")
     rank = F.row_number().over(Window.partitionBy("_sid", "chunk").orderBy("slot")) - 1
     return owned.withColumn("r", rank).join(part, ["_sid", "chunk"]).select("slot", "_sid", (F.col("base") + F.col("r")).alias("rank"), "n")
 
@@ -118,7 +124,16 @@ def _mixed(sized: DataFrame, weights: tuple[float, ...], share: float, cap: floa
     return Mix(placed, pieces, plan, slots, total)
 
 
-def mix(docs: DataFrame, text: str | None = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_tokens: int = 1024, buckets: int = 4096, seed: str = "mix") -> DataFrame:
+def mix(
+    docs: DataFrame,
+    text: str | None = "text",
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    block_tokens: int = 1024,
+    buckets: int = 4096,
+    seed: str = "mix",
+) -> DataFrame:
     """Adds size, source_size, target and taken (the words the mix takes of this row, repeats counted) to docs.
 
     docs has doc_id and source, and either the text column or, with text=None, size.
@@ -139,7 +154,18 @@ def mix(docs: DataFrame, text: str | None = "text", weights: tuple[float, ...] =
     return some.select(*out).unionByName(found.placed.where("NOT size > 0").withColumn("taken", none).select(*out))
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_tokens: int = 1024, buckets: int = 4096, seed: str = "mix", slot: str | None = None, part_tokens: int = 1 << 24) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    text: str = "text",
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    block_tokens: int = 1024,
+    buckets: int = 4096,
+    seed: str = "mix",
+    slot: str | None = None,
+    part_tokens: int = 1 << 24,
+) -> DataFrame:
     """The mix as rows of docs' own columns: a row for each time a document is taken, the last with only the words taken.
 
     Rows come in the mix's order: partition by partition (of about part_tokens tokens, if that makes more than Spark's

@@ -92,7 +92,11 @@ def _count(bits: int, hot_bytes: bytes):
                 heads = np.flatnonzero(np.r_[True, u[a + 1 : b] != u[a : b - 1]])
                 large, small = _small(count[a:b])
                 sizes = np.array([b - a, len(heads), len(large)], np.int64)
-                rows.append(b"".join(x.tobytes() for x in (sizes, u[a:b][heads], w[a:b], large, np.diff(np.r_[heads, b - a]).astype(np.uint32), small)))
+                rows.append(
+                    b"".join(
+                        x.tobytes() for x in (sizes, u[a:b][heads], w[a:b], large, np.diff(np.r_[heads, b - a]).astype(np.uint32), small)
+                    )
+                )
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "data"])
 
     return run
@@ -157,7 +161,9 @@ def _merge_words(at: str):
     def one(data: bytes):
         n, n1, n2 = np.frombuffer(data, np.int64, 3)
         place = 24 + 8 * (n + n1 + n2)
-        w, l1, l2 = np.frombuffer(data, np.uint64, n, 24), np.frombuffer(data, np.int64, n1, 24 + 8 * n), np.frombuffer(data, np.int64, n2, 24 + 8 * (n + n1))
+        w, l1, l2 = np.frombuffer(data, np.uint64, n, 24), np.frombuffer(data, np.int64, n1, 24 + 8 * n), np.frombuffer(
+            data, np.int64, n2, 24 + 8 * (n + n1)
+        )
         return w, _large(np.frombuffer(data, np.uint8, n, place), l1), _large(np.frombuffer(data, np.uint8, n, place + n), l2)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -298,7 +304,9 @@ class Reader:
         starts = bounds[:-1]
         if not len(starts):
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2
-        return np.diff(bounds), np.add.reduceat((times[codes] > 0) * 1, starts), np.add.reduceat(base[codes], starts), np.add.reduceat(np.log10(p), starts)
+        return np.diff(bounds), np.add.reduceat(
+            (times[codes] > 0) * 1, starts
+        ), np.add.reduceat(base[codes], starts), np.add.reduceat(np.log10(p), starts)
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +314,10 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, named, _ = sequences(batch["text"])
         count = np.bincount(codes, minlength=len(named))
         many = count * HOT * 2 >= len(codes)
-        yield pa.RecordBatch.from_arrays([pa.array(named[many].view(np.int64)), pa.array(count[many]), pa.array(np.where(np.arange(many.sum()) == 0, len(codes), 0))], names=["word", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(named[many].view(np.int64)), pa.array(count[many]), pa.array(np.where(np.arange(many.sum()) == 0, len(codes), 0))],
+            names=["word", "n", "tokens"],
+        )
 
 
 def train(texts: DataFrame) -> Model:
@@ -315,7 +326,12 @@ def train(texts: DataFrame) -> Model:
     at = shared.folder(spark, "ngrams")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(31, max(8, (size >> 23).bit_length()))  # about 8 MB of text for each bucket, in whatever number of buckets
-    seen = shared.saved(texts.mapInArrow(_common, "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), f"{at}/common")
+    seen = shared.saved(
+        texts.mapInArrow(_common, "word long, n long, tokens long").groupBy("word").agg(
+            F.sum("n").alias("n"), F.sum("tokens").alias("tokens")
+        ),
+        f"{at}/common",
+    )
     tokens = seen.agg(F.sum("tokens")).first()[0] or 0
     # at most HOT contexts have such a share; the start mark has one for each text
     words_ = [r[0] for r in seen.where(F.col("n") * HOT >= tokens).select("word").collect()]
@@ -331,7 +347,12 @@ def train(texts: DataFrame) -> Model:
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds n_tokens, n_known, base_score and score (log10 probabilities of the whole text) to docs without its text."""
-    new = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    new = [
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("n_known", T.LongType()),
+        T.StructField("base_score", T.DoubleType()),
+        T.StructField("score", T.DoubleType()),
+    ]
     others = shared.others(docs, (f.name for f in new), text)
     schema = T.StructType([docs.schema[c] for c in others] + new)
 

@@ -155,7 +155,15 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-total / of))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", train_rows: int = 4000, train_bytes: int = 32 << 20) -> Model:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    key: str = "doc_id",
+    text: str = "text",
+    train_rows: int = 4000,
+    train_bytes: int = 32 << 20,
+) -> Model:
     """Trains on a bounded sample of docs that have a label of 0 or 1."""
     some = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     order = F.xxhash64("key", F.lit(17))
@@ -163,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     sizes = rows.join(some, "key").groupBy("key", "label", "digest").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
     first = Window.orderBy(order, "key", "label", "digest")  # over at most train_rows rows
-    chosen = sizes.orderBy(order, "key", "label", "digest").limit(train_rows).withColumn("upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = sizes.orderBy(order, "key", "label", "digest").limit(train_rows).withColumn(
+        "upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))
+    )
     chosen = F.broadcast(chosen.where(F.col("upto") <= train_bytes).select("key", "label", "digest"))
     sample = rows.join(chosen, ["key", "digest"]).groupBy("key", "label", "digest").agg(F.first("text").alias("text"))
     sample = sample.repartition(1).sortWithinPartitions(order, "key", "label", "digest").select("text", "label")

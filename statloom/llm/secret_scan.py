@@ -87,7 +87,13 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
     """The mean log-likelihood ratio of a token's steps."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    total = F.aggregate(codes, F.struct(F.lit(-1).alias("a"), F.lit(0.0).alias("t")), lambda acc, c: F.struct(c.alias("a"), F.when(acc["a"] < 0, acc["t"]).otherwise(acc["t"] + F.element_at(table, acc["a"] * WIDTH + c + 1)).alias("t")))
+    total = F.aggregate(
+        codes,
+        F.struct(F.lit(-1).alias("a"), F.lit(0.0).alias("t")),
+        lambda acc, c: F.struct(
+            c.alias("a"), F.when(acc["a"] < 0, acc["t"]).otherwise(acc["t"] + F.element_at(table, acc["a"] * WIDTH + c + 1)).alias("t")
+        ),
+    )
     return total["t"] / F.greatest(F.length(token) - 1, F.lit(1))
 
 
@@ -121,7 +127,14 @@ def stretches(token: Column, data: Column, model: list[float]) -> Column:
     score = lambda a, c: F.when(joint(a, c), F.lit(JOINT)).otherwise(F.element_at(table, a * WIDTH + c + 1) - LEAST)
     scores = _bound(codes, lambda x: F.zip_with(F.slice(x, F.lit(1), many), F.slice(x, F.lit(2), many), score))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    first = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("t"), F.lit(0.0).alias("best"), F.lit(0).alias("start"), F.lit(0).alias("end"), none.alias("out"))
+    first = F.struct(
+        F.lit(0).alias("i"),
+        F.lit(0.0).alias("t"),
+        F.lit(0.0).alias("best"),
+        F.lit(0).alias("start"),
+        F.lit(0).alias("end"),
+        none.alias("out"),
+    )
 
     def kept(best, start, end, out):
         return F.when(best >= EVIDENCE, F.concat(out, F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(out)
@@ -132,7 +145,14 @@ def stretches(token: Column, data: Column, model: list[float]) -> Column:
         fallen = (t <= 0) | (t < best - FALL)
         put = lambda yes, no, name: F.when(fallen, yes).otherwise(no).alias(name)
         out = put(kept(best, acc["start"], end, acc["out"]), acc["out"], "out")
-        return F.struct((i + 1).alias("i"), put(F.lit(0.0), t, "t"), put(F.lit(0.0), best, "best"), put(i + 1, acc["start"], "start"), put(i + 1, end, "end"), out)
+        return F.struct(
+            (i + 1).alias("i"),
+            put(F.lit(0.0), t, "t"),
+            put(F.lit(0.0), best, "best"),
+            put(i + 1, acc["start"], "start"),
+            put(i + 1, end, "end"),
+            out,
+        )
 
     found = F.aggregate(scores, first, step, lambda acc: kept(acc["best"], acc["start"], acc["end"], acc["out"]))
 
@@ -158,8 +178,26 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
         add = lambda a, b: a + b
         size = lambda f: lambda g, m: f(g) + f(m)
-        ends = _bound(gaps, lambda g: F.zip_with(_running(F.zip_with(g, found, size(F.length)), add), _running(F.zip_with(g, found, size(F.octet_length)), add), lambda c, o: F.struct(c.alias("c"), o.alias("o"))))
-        return F.zip_with(found, ends, lambda m, e: F.struct((e["c"] - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e["c"].alias("end"), m.alias("s"), (e["o"] - F.octet_length(m)).alias("at"), e["o"].alias("to")))
+        ends = _bound(
+            gaps,
+            lambda g: F.zip_with(
+                _running(F.zip_with(g, found, size(F.length)), add),
+                _running(F.zip_with(g, found, size(F.octet_length)), add),
+                lambda c, o: F.struct(c.alias("c"), o.alias("o")),
+            ),
+        )
+        return F.zip_with(
+            found,
+            ends,
+            lambda m, e: F.struct(
+                (e["c"] - F.length(m)).alias("start"),
+                F.lit(kind).alias("kind"),
+                e["c"].alias("end"),
+                m.alias("s"),
+                (e["o"] - F.octet_length(m)).alias("at"),
+                e["o"].alias("to"),
+            ),
+        )
 
     return _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
@@ -194,7 +232,14 @@ def with_spans(docs: DataFrame, model: list[float], text: str = "text", base: st
     found = found.withColumn(long, _spans(F.col(rest), RANDOM, 3))
 
     def parts(x):
-        piece = lambda data, y: F.struct((x["start"] + y["start"]).alias("start"), x["kind"].alias("kind"), (x["start"] + y["end"]).alias("end"), _bytes(data, y["start"], y["end"]).alias("s"), (x["at"] + y["start"]).alias("at"), (x["at"] + y["end"]).alias("to"))
+        piece = lambda data, y: F.struct(
+            (x["start"] + y["start"]).alias("start"),
+            x["kind"].alias("kind"),
+            (x["start"] + y["end"]).alias("end"),
+            _bytes(data, y["start"], y["end"]).alias("s"),
+            (x["at"] + y["start"]).alias("at"),
+            (x["at"] + y["end"]).alias("to"),
+        )
         return _bound(x["s"].cast("binary"), lambda data: F.transform(stretches(x["s"], data, model), lambda y: piece(data, y)))
 
     more = F.flatten(F.transform(long, parts))
@@ -204,7 +249,12 @@ def with_spans(docs: DataFrame, model: list[float], text: str = "text", base: st
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(
+            spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))
+        ),
+        ",",
+    )
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -176,13 +176,17 @@ class Codec:
         cut[1:] &= ~blank[:-1]
         cut[starts[full]] = True
         cuts = np.flatnonzero(cut)
-        segments = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.r_[cuts, len(buffer)].astype(np.int64)), pa.py_buffer(buffer)]).dictionary_encode()
+        segments = pa.Array.from_buffers(
+            pa.large_binary(), len(cuts), [None, pa.py_buffer(np.r_[cuts, len(buffer)].astype(np.int64)), pa.py_buffer(buffer)]
+        ).dictionary_encode()
         codes, distinct = segments.indices.to_numpy(zero_copy_only=False), segments.dictionary
         doc_cuts = np.searchsorted(cuts, bounds)
         joined = b"".join(distinct.to_pylist()).decode("utf-8", "replace")
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
         head = np.frombuffer(distinct.cast(pa.large_binary()).buffers()[2] or b"", np.uint8)
-        limits = np.frombuffer(distinct.cast(pa.large_binary()).buffers()[1], np.int64)[: len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
+        limits = np.frombuffer(
+            distinct.cast(pa.large_binary()).buffers()[1], np.int64
+        )[: len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
         leads = np.r_[0, np.cumsum((head[: limits[-1]] & 0xC0) != 0x80)]
         points[points == 32] = 0x2581
         ids, at = self.segments(points, leads[limits])
@@ -223,8 +227,18 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep_ids: b
             raw, plain = memoryview(ids.astype("<u4")).cast("B"), memoryview(data)
             cols = [batch[c] for c in others]
             cols.append(pa.array(np.diff(ends), pa.int64()))
-            cols.append(pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()))
-            cols.append(pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string()))
+            cols.append(
+                pa.array(
+                    [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)],
+                    pa.string(),
+                )
+            )
+            cols.append(
+                pa.array(
+                    [hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)],
+                    pa.string(),
+                )
+            )
             if keep_ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)

@@ -73,7 +73,9 @@ def _best_lists(asked: np.ndarray, k: int):
                 top = np.argpartition(-score, k - 1, axis=1)[:, :k]
                 score, where = np.take_along_axis(score, top, 1), np.take_along_axis(where, top, 1)
         q, place = np.nonzero(score > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(-score[q, place]), pa.array(where[q, place], pa.int64())], names=["q", "neg", "list"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q, pa.int64()), pa.array(-score[q, place]), pa.array(where[q, place], pa.int64())], names=["q", "neg", "list"]
+        )
 
     return run
 
@@ -208,7 +210,9 @@ def _lists(centers: np.ndarray, probes: int, sizes: list[int] | None, most: int,
             first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (of[1:] != of[:-1])]) if len(rows) else rows
             held = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)], pa.int32()), pa.array(lists, pa.int32()))
             got = batch.take(pa.array(rows[first]))
-            yield pa.RecordBatch.from_arrays([got["id"], got["embedding"], held, pa.array(of[first], pa.int32())], names=["id", "embedding", "lists", "shard"])
+            yield pa.RecordBatch.from_arrays(
+                [got["id"], got["embedding"], held, pa.array(of[first], pa.int32())], names=["id", "embedding", "lists", "shard"]
+            )
 
     return run
 
@@ -250,7 +254,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     spark = vectors.sparkSession
     at = shared.folder(spark, "vectors")
     embedding, same = F.col("embedding"), ["h1", "h2"]
-    whole = vectors.select(F.col(key).cast("long").alias("_key"), F.col(vector).alias("embedding")).where("_key IS NOT NULL AND embedding IS NOT NULL")
+    whole = vectors.select(F.col(key).cast("long").alias("_key"), F.col(vector).alias("embedding")).where(
+        "_key IS NOT NULL AND embedding IS NOT NULL"
+    )
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     whole = whole.where(F.coalesce(F.forall(embedding, finite), F.lit(False)) & F.exists(embedding, lambda x: x != 0))
     # -0.0 and 0.0 are one: such vectors have equal products
@@ -264,7 +270,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         few = few.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("_key"))).where(F.col("r") <= k + 1)
     few = few.groupBy(*same).agg(F.array_sort(F.collect_list("_key")).alias("ids"))
     single = whole.groupBy(*same).agg(F.first("embedding").alias("embedding")).join(few, same)
-    single = shared.saved(single.select(*same, F.element_at("ids", 1).alias("id"), "ids", "embedding", F.size("embedding").alias("size")), f"{at}/single")
+    single = shared.saved(
+        single.select(*same, F.element_at("ids", 1).alias("id"), "ids", "embedding", F.size("embedding").alias("size")), f"{at}/single"
+    )
     asked = owned.where(is_query(F.col("_key")))
     questions = shared.saved(single.join(asked.select(*same).distinct(), same, "left_semi").drop("ids"), f"{at}/questions")
     found = None
@@ -277,6 +285,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     named = near.select("qid", F.transform("ids", lambda v: F.struct(F.col("neg"), v.alias("id"))).alias("all"))
     answers = named.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("all"))), 1, k + 1).alias("all"))
     answers = answers.join(questions.select(F.col("id").alias("qid"), *same), "qid").drop("qid")
-    full = asked.join(answers, same).select(F.col("_key").alias("query_id"), F.slice(F.filter("all", lambda a: a["id"] != F.col("_key")), 1, k).alias("all"))
+    full = asked.join(answers, same).select(
+        F.col("_key").alias("query_id"), F.slice(F.filter("all", lambda a: a["id"] != F.col("_key")), 1, k).alias("all")
+    )
     ranked = full.select("query_id", F.posexplode("all").alias("rank", "a"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("a.id").alias("vec_id"), (-F.col("a.neg")).alias("score"))
