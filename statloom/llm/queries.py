@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+
 #: Where the public tokenizer's file is; a parameter of the codec.
 PIECES = "piece_bpe_32k.model"
 
@@ -48,7 +50,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan as scan
 
     found = scan.with_spans(table(spark, sf_dir, "documents", "doc_id", "text"), scan.train(spark))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{scan.KINDS[k]}") for k in range(3)]
+    of_kind = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{scan.KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(scan.joined(F.col("base")), 256).alias("base_sha256"), scan.joined(F.col("spans")).alias("spans"))
 
 
@@ -58,7 +61,9 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = ngram_lm.train(docs.where(~in_fold("doc_id", 7, 2)).select("text"))
     held_out, train_tokens = in_fold("doc_id", 7, 2).alias("held_out"), F.lit(model.stats["tokens"]).cast("long").alias("train_tokens")
-    return ngram_lm.score_documents(docs, model).select("doc_id", held_out, "n_tokens", "n_known", train_tokens, "base_score", "score")
+    # rounded, as sums of logarithms depend on their order in the last digits
+    scores = [F.round(c, 6).alias(c) for c in ("base_score", "score")]
+    return ngram_lm.score_documents(docs, model).select("doc_id", held_out, "n_tokens", "n_known", train_tokens, *scores)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,55 +108,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-OP7_SQL = r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
-      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
-r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a),
-c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.c AS component_id, s.doc_id = c.c AS kept FROM s JOIN c ON s.doc_id = c.x
-"""
-
-OP10_SQL = r"""
-WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
-k AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM p),
-d AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
-c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM k JOIN d USING (k)),
-l AS (SELECT r, list(j) AS j, count(*) AS n FROM c GROUP BY r)
-SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed,
-       sha256(array_to_string(CASE WHEN l.j IS NULL THEN w.w ELSE list_filter(w.w, lambda x, i: NOT list_contains(l.j, i)) END, ' ')) AS kept_sha256
-FROM w LEFT JOIN l ON w.r = l.r
-"""
-
-OP8_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k
-  FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
-o AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s),
-w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((sid - 1) % 3) + 1] AS w FROM o),
-r AS (SELECT *, source_size * 2.0::DOUBLE AS full_size, source_size * 2.0::DOUBLE / w AS ratio FROM w),
-l AS (
-  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(full_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
-  FROM r WINDOW b AS (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT first(level ORDER BY ratio, sid) AS level FROM l WHERE level <= ratio),
-t AS (SELECT source, source_size, CASE WHEN (SELECT level FROM c) IS NULL THEN full_size ELSE least(full_size, (SELECT level FROM c) * w) END AS target FROM r),
-p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS total,
-         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(start + size, total) - start) + greatest(0, least(source_size + start + size, total) - (source_size + start)))::BIGINT AS taken
-FROM p
-"""
+def l3_secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_secret_scan that SQL can tell: the spans of the fixed patterns."""
+    return op3_secret_scan(spark, sf_dir).drop("spans")
+
+
+def l9_media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9_media_columns that SQL can tell: the payload that was read back."""
+    return op9_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
@@ -164,5 +129,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_media_columns": op9_media_columns,
     "op10_substring_dedup": op10_substring_dedup,
+    "l3_secret_base": l3_secret_base,
+    "l9_media_payload": l9_media_payload,
+}
+SQL: dict[str, str] = {
+    "op4_lm_score": sql.OP4_SQL,
+    "op7_minhash_dedup": sql.OP7_SQL,
+    "op8_source_mix": sql.OP8_SQL,
+    "op10_substring_dedup": sql.OP10_SQL,
+    "l3_secret_base": sql.L3_SQL,
+    "l9_media_payload": sql.L9_SQL,
 }
-SQL: dict[str, str] = {"op10_substring_dedup": OP10_SQL, "op7_minhash_dedup": OP7_SQL, "op8_source_mix": OP8_SQL}
