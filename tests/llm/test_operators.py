@@ -955,6 +955,59 @@ def test_pipeline_stages(spark, tmp_path):
         assert none.count() == 0 and (name.startswith("SentencePiece") or none.columns == docs.columns), name
 
 
+def test_sql_of_queries(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from statloom.llm.queries import QUERIES, SQL
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for f in glob.glob(f"{d}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    for name in SQL:
+        mine = QUERIES[name](spark, d)
+        cols = sorted(mine.columns)
+        want = con.sql(f"SELECT {', '.join(cols)} FROM ({SQL[name]})").fetchall()
+        assert sorted(repr(tuple(r)) for r in mine.select(cols).collect()) == sorted(map(repr, want)), name
+
+
+def test_shared_files(spark, tmp_path):
+    import os
+
+    from statloom.llm import shared
+
+    data = np.arange(100, dtype=np.uint8)
+    for at in (str(tmp_path / "a"), f"mock://{tmp_path}/b"):  # a mounted folder, and one that only Arrow's file systems reach
+        if at.startswith("mock"):
+            from pyarrow import fs
+
+            system = fs._MockFileSystem()
+            real, fs.FileSystem = fs.FileSystem, type("OneSystem", (), {"from_uri": staticmethod(lambda uri: (system, uri.removeprefix("mock://").lstrip("/")))})
+        try:
+            shared.put(f"{at}/x", [data[:60], data[60:].tobytes()])
+            assert shared.get(f"{at}/x").tolist() == data.tolist()
+            ranges = shared.Ranges(at)
+            assert ranges.read("x", 10, 5).tolist() == [10, 11, 12, 13, 14]
+            with pytest.raises(OSError):
+                ranges.read("x", 90, 20)
+            files = shared.Files(at, maps=1, room=10)
+            assert files["x"].tolist() == data.tolist() and len(files.held) == 1
+            with pytest.raises(FileNotFoundError):
+                files["y"]
+        finally:
+            if at.startswith("mock"):
+                fs.FileSystem = real
+    before = len(shared.MADE)
+    shared.saved(spark.range(3), f"{shared.folder(spark, 'gone')}/t")
+    path = shared.MADE[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    shared.remove_all(spark, before)
+    assert not os.path.exists(path) and len(shared.MADE) == before
+
+
 def test_clashing_names(spark):
     """Results replace input columns of their names; columns called like an operator's own work names are passed on."""
     import corpus_pipeline as p
