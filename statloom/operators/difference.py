@@ -178,43 +178,35 @@ def difference_test(df: DataFrame, value: str, variances: str = "levene") -> Dat
     """trait_id, statistic, pvalue, method: t or Welch for normal traits by equality of variances, else Mann-Whitney.
 
     Traits whose normality p-value is exactly 0.05, or null or NaN, are in neither part and left out. Normality is that
-    of all of a trait's values; the other tests take P and M. Values are ranked once: one aggregate over
-    them gives normality, U, t and medians, a second one Levene's distances. variances: levene, bartlett or fligner.
+    of all of a trait's values; the other tests take P and M. Values are ranked once, and one aggregate over
+    them gives normality, U, t and Levene's F. variances: levene, bartlett or fligner (these two are joined by trait).
     """
     if variances not in ("levene", *VARIANCE_TESTS):
         raise ValueError(f"variances must be levene, {' or '.join(VARIANCE_TESTS)}")
-    values = value_ranks(df.select(*KEY, "origin", value), KEY, value, *_sides(), counts=("cnt", "p", "m"))
+    values = value_ranks(df.select(*KEY, "origin", value), KEY, value, *_sides(), counts=("cnt", "p", "m"), medians=("p", "m"))
     x, d = F.col(value).cast("double"), F.col("d")
     sums = [F.sum(F.col(c) * y).alias(f"{c}_{name}") for c in "pm" for name, y in (("n", F.lit(1)), ("d", d), ("dd", d * d))]
-    medians = [median_of(value, c).alias(f"med_{c}") for c in "pm"]
-    one = _scored(values, value).groupBy(*KEY).agg(*_normality(), *_rank_sums(value), *sums, *medians, F.max("least").cast("double").alias("least"))
+    for c in "pm":
+        z = F.when(F.col(c) > 0, F.abs(x - F.col(f"med_{c}")))
+        sums += [F.coalesce(F.sum(F.col(c) * y), F.lit(0.0)).alias(f"{c}_{name}") for name, y in (("z", z), ("zz", z * z))]
+    out = _scored(values, value).groupBy(*KEY).agg(*_normality(), *_rank_sums(value), *sums, F.max("least").cast("double").alias("least"))
     for k, c in ((1, "p"), (2, "m")):
         n, total, squares = (F.col(f"{c}_{x}") for x in ("n", "d", "dd"))
         mean = divide(total, F.when(n > 0, n))
         var = F.when(n > 1, F.greatest((squares - total * mean) / (n - 1), F.lit(0.0)))
-        one = one.withColumns({f"n{k}": n, f"m{k}": mean + F.col("least"), f"v{k}": var})
+        out = out.withColumns({f"n{k}": n, f"m{k}": mean + F.col("least"), f"v{k}": var})
     if variances == "levene":
-        z = join_groups(values, one.select(*KEY, "med_p", "med_m"), KEY)
-        far = {c: F.abs(x - F.col(f"med_{c}")) for c in "pm"}
-        z = z.groupBy(*KEY).agg(
-            *[
-                F.sum(F.when(F.col(c) > 0, F.col(c) * y)).alias(f"{c}_{name}") for c in "pm" for name,
-                y in (("n", F.lit(1)), ("z", far[c]), ("zz", far[c] * far[c]))
-            ]
-        )
-        side = lambda c: F.struct(*[F.col(f"{c}_{name}").alias(name) for name in ("n", "z", "zz")])
-        g = z.select(*KEY, F.explode(F.array(side("p"), side("m"))).alias("g")).select(*KEY, "g.*").where("n > 0")
-        g = g.select(
-            *KEY,
-            "n",
-            (F.col("z") / F.col("n")).alias("m"),
-            F.greatest(F.col("zz") - F.col("z") * F.col("z") / F.col("n"), F.lit(0.0)).alias("ss"),
-        )
-        p = tails.f_pvalue("statistic", F.col("k") - 1, F.col("N") - F.col("k"))
-        equal = _levene(g).select(*KEY, p.alias("equal"))
+        sides = [[F.col(f"{c}_{name}") for name in ("n", "z", "zz")] for c in "pm"]
+        within = [F.when(n > 0, F.greatest(zz - z * z / n, F.lit(0.0))).otherwise(0.0) for n, z, zz in sides]
+        squares = [F.when(n > 0, z * z / n).otherwise(0.0) for n, z, _ in sides]
+        k, rows, total = (sides[0][0] > 0).cast("int") + (sides[1][0] > 0).cast("int"), sides[0][0] + sides[1][0], sides[0][1] + sides[1][1]
+        out = out.withColumns({"k": k, "N": rows, "within": sum(within), "between": F.greatest(sum(squares) - total * total / F.when(rows > 0, rows), F.lit(0.0))})
+        out = out.withColumn("f", divide(divide(F.col("between"), F.col("k") - 1), divide(F.col("within"), F.col("N") - F.col("k"))))
+        out = out.withColumn("equal", tails.f_pvalue("f", F.col("k") - 1, F.col("N") - F.col("k")))
     else:
         equal = VARIANCE_TESTS[variances](df.where(F.col("origin").isin("P", "M")), value).select(*KEY, F.col("pvalue").alias("equal"))
-    out = join_groups(one, equal, KEY, "left").withColumn("normal", _shapiro()["pvalue"]).where("normal <> 0.05")
+        out = join_groups(out, equal, KEY, "left")
+    out = out.withColumn("normal", _shapiro()["pvalue"]).where("normal <> 0.05")
     is_normal, same = F.col("normal") > 0.05, F.coalesce(F.col("equal") > 0.05, F.lit(False))
     pick = lambda k: F.when(same, _student()[k]).otherwise(_welch()[k])
     out = out.withColumns({

@@ -39,10 +39,11 @@ def _cut(values: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     return placed.withColumn(name, F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda b: b <= x)))).drop("_bounds")
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, counts: Sequence[str] = ("cnt",)) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, counts: Sequence[str] = ("cnt",), medians: Sequence[str] = ()) -> DataFrame:
     """Each group's distinct values: keys, value, cnt, before (rows of smaller values), n (rows of the group), least (its least value), and more aggregates.
 
     Nulls are left out. counts: cnt and those of the other aggregates that are counts too, whose running sums and totals become before_{name} and n_{name}.
+    medians: those of counts whose median (of the group's rows that they count) is added as med_{name}.
     """
     keys = list(keys)
     if not keys:
@@ -54,7 +55,11 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, c
         for c in counts:
             before, n = _names(c)
             values = values.withColumn(before, running(c, keys)).withColumn(n, F.sum(c).over(Window.partitionBy(*keys)))
-        return values.withColumn("least", F.min(value).over(Window.partitionBy(*keys))).drop("_all")
+        whole = Window.partitionBy(*keys)
+        for c in medians:
+            low, high = (F.max(x).over(whole) for x in _middle(value, c))
+            values = values.withColumn(f"med_{c}", (low + high) / 2)
+        return values.withColumn("least", F.min(value).over(whole)).drop("_all")
     ranges = ["_range", "_part"]
     placed = _cut(_cut(values, keys, value, "_range"), [*keys, "_range"], value, "_part")
     below = placed.groupBy(*keys, *ranges).agg(F.min(value).alias("_least"), *[F.sum(c).alias(f"_c_{c}") for c in counts])
@@ -70,16 +75,28 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, c
     out = join_groups(placed, below, [*keys, *ranges])
     for c in counts:
         out = out.withColumn(_names(c)[0], F.col(f"_base_{c}") + F.col(f"_in_{c}"))
+    if medians:
+        out = join_groups(out, out.groupBy(*keys).agg(*[median_of(value, c).alias(f"med_{c}") for c in medians]), keys)
     return out.drop("_all", *ranges, *[f"{k}_{c}" for c in counts for k in ("_base", "_in")])
 
 
+def _at(value: str, rank: Column, count: str) -> Column:
+    before = F.col(_names(count)[0])
+    return F.when((before <= rank) & (rank < before + F.col(count)), F.col(value))
+
+
+def _middle(value: str, count: str) -> tuple[Column, Column]:
+    """The value at the lower middle place, and at the upper; null elsewhere."""
+    n = F.col(_names(count)[1])
+    return _at(value, F.floor((n - 1) / 2), count).cast("double"), _at(value, F.ceil((n - 1) / 2), count).cast("double")
+
+
 def at_rank(value: str, rank: Column, count: str = "cnt") -> Column:
     """An aggregate over value_ranks: the value that holds this place (from 0), among the rows of a count."""
-    before = F.col(_names(count)[0])
-    return F.max(F.when((before <= rank) & (rank < before + F.col(count)), F.col(value)))
+    return F.max(_at(value, rank, count))
 
 
 def median_of(value: str, count: str = "cnt") -> Column:
     """An aggregate over value_ranks: the mean of the middle values."""
-    n = F.col(_names(count)[1])
-    return (at_rank(value, F.floor((n - 1) / 2), count).cast("double") + at_rank(value, F.ceil((n - 1) / 2), count).cast("double")) / 2
+    low, high = _middle(value, count)
+    return (F.max(low) + F.max(high)) / 2
