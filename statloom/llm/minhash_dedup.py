@@ -42,7 +42,7 @@ SHINGLE, ROWS, BANDS = 5, 5, 24
 HASHES = ROWS * BANDS  # of a stored signature; the bands of a threshold may take more
 MISSED = 1e-6
 TILE = 512  # classes of a tile's side
-SLICE = 2 << 20  # bytes of text at a time
+SLICE = 1 << 20  # bytes of text at a time
 HOT_BUCKET, HOT_SHARE = 256, 4096  # a large bucket has so many classes, and one in so many: at most bands * HOT_SHARE such buckets
 _draw = np.random.default_rng(5)
 FACTORS = _draw.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)

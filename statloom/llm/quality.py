@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shared
-from .textbatch import Words, flat, hashes, mix, slices, words
+from .textbatch import Words, flat, hashes, mix, release, slices, words
 
 BITS, SIZE, GRAMS = 18, 8, (3, 4, 5)
+SLICE = 1 << 20  # bytes of text scored at a time
 END, AGAIN = 0, 1  # the rows of the end mark and of a pair of equal words
 
 
@@ -102,9 +103,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _in_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same as features(), with working arrays of one slice of texts at a time."""
     batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-    parts = [features(x["text"]) for x in slices([batch], "text", 1 << 19)]
-    sizes = np.concatenate([np.diff(x[2]) for x in parts])
-    return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), np.r_[0, np.cumsum(sizes)]
+    rows, shares, sizes = [], [], []
+    for part in slices([batch], "text", 1 << 17):
+        row, share, bounds = features(part["text"])
+        rows.append(row), shares.append(share), sizes.append(np.diff(bounds))
+    row = np.concatenate(rows)
+    rows.clear()  # one of the two is held twice at a time
+    return row, np.concatenate(shares), np.r_[0, np.cumsum(np.concatenate(sizes))]
 
 
 def train(texts: pa.Array, labels: np.ndarray, epochs: int = 3, rate: float = 1.5, batch: int = 16, seed: int = 7) -> Model:
@@ -187,6 +192,8 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         table = pa.Table.from_batches(held)
         model = train(table["text"].combine_chunks(), table["label"].to_numpy().astype(np.int64))
+        del held, table
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary())], names=["weights"])
 
 
@@ -196,7 +203,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", name: str
     schema = T.StructType([*docs.schema, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(model, batch[text]))], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ distinct word of a slice of a few megabytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,6 +22,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers stay, and the next operator's tasks run beside or in them."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 class Words(NamedTuple):
     codes: np.ndarray  # position of each word in `distinct`
     offsets: np.ndarray  # documents' first words, and the end
@@ -43,7 +57,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices with about `most` bytes of text, or one row."""
+    """The same rows in slices with about `most` bytes of text, or one row. Behind the last, freed memory is given back."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(size.astype(np.int64)), 0
@@ -52,6 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             end = max(end, at + 1)
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def words(texts: pa.Array, lower: bool = False) -> Words:
