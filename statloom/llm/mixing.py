@@ -7,7 +7,8 @@ are spread evenly over the slots, so every stretch of the mix is near the weight
 A source's slots are ranked; the slot of rank r takes the r-th of equal blocks of
 tokens of the source's documents in shuffled order, read again from the start
 when they end. Blocks of one source differ by one token at most. mixed_documents
-gives its rows in the order of the slots, so every stretch of what is written is near the weights too.
+gives its rows in the order of the slots, so every stretch of what is written is near the weights too. Its texts
+are shuffled once: where each row goes is written in sorted arrays, a file for each partition of rows, which the tasks that read them map.
 
 The shuffle orders documents by md5 of the seed and doc_id. A source's documents
 are cut into `buckets` by that hash, so prefix sums never bring a source to one
@@ -18,12 +19,18 @@ last. Tables may be empty. The results replace columns of their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
+from .textbatch import slices
 
 WORD = r"[^\x20\x09-\x0D]+"
 RESULTS = ("size", "source_size", "target", "taken")
@@ -173,21 +180,66 @@ def mixed_documents(
     """
     spark = docs.sparkSession
     row = shared.unused(docs, "_row")
-    kept = shared.saved(docs.withColumn(row, F.monotonically_increasing_id()), shared.folder(spark, "mix-docs"))  # numbers are fixed once written
+    at = shared.folder(spark, "mix-docs")
+    kept = shared.saved(docs.withColumn(row, F.monotonically_increasing_id()), f"{at}/docs")  # numbers are fixed once written
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    sized = shared.saved(kept.select("doc_id", "source", size, F.col(row).alias("_row")), shared.folder(spark, "mix-rows"))
+    sized = shared.saved(kept.select("doc_id", "source", size, F.col(row).alias("_row")), f"{at}/rows")
     found = _mixed(sized, weights, share, cap, block_tokens, buckets, seed)
     times = found.pieces.withColumn("rank", _rank(F.col("lo"))).join(found.plan.select("slot", "_sid", "rank"), ["_sid", "rank"])
+    part_of = F.shiftright("_row", 33).alias("of")  # the partition that wrote a row
+    times = times.select(part_of, "_row", "slot", "lo", (F.col("hi") - F.col("lo")).alias("part"), "size")
+    none = [F.lit(None).cast("long").alias(c) for c in TIMES]
+    every = sized.select(part_of).distinct().select("of", *none)  # so that each partition's file is there
+    shared.saved(times.unionByName(every).groupBy("of").applyInPandas(_write_times(f"{at}/times"), "of long, n long"), f"{at}/times-done").count()
+
     # whatever the columns of docs are called, they're out of the way in one
-    times = times.select(F.col("_row").alias("_at"), "slot", "lo", (F.col("hi") - F.col("lo")).alias("part"), "size")
-    packed = kept.select(F.col(row).alias("_at"), F.struct(*docs.columns).alias("_doc"))
+    rest = [c for c in docs.columns if c != text]
+    packed = kept.select(F.col(row).alias("_row"), F.col(text).alias("_body"), F.struct(*rest).alias("_doc"))
+    schema = T.StructType([*packed.schema, *(T.StructField(c, T.LongType()) for c in TIMES[1:])])
+    mixed = packed.mapInArrow(_taken(f"{at}/times"), schema)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.total // part_tokens)
-    sources = F.least(F.col("slot"), F.lit(found.slots - 1))  # sources of less than half a slot come last
-    mixed = packed.join(times, "_at").repartitionById(parts, (sources * parts / found.slots).cast("int")).sortWithinPartitions("slot", "lo")
-    body = F.col(f"_doc.`{text}`")
+    place = F.least(F.col("slot"), F.lit(found.slots - 1))  # sources of less than half a slot come last
+    mixed = mixed.repartitionById(parts, (place * parts / found.slots).cast("int")).sortWithinPartitions("slot", "lo")
+    body = F.col("_body")
     cut = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("part").cast("int")), " ")
     mixed = mixed.withColumn("_text", F.when(F.col("part") >= F.col("size"), body).otherwise(cut))
     length = lambda c: F.length("_text").cast(docs.schema[c].dataType)
     new = {text: F.col("_text"), "n_chars": length("n_chars") if "n_chars" in docs.columns else None}
     out = [(new[c] if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns if c != slot]
     return mixed.select(*out, *([F.col("slot").alias(slot)] if slot else []))
+
+
+TIMES = ("_row", "slot", "lo", "part", "size")
+
+
+def _write_times(at: str):
+    """Writes a partition's times, by row and place: each column of TIMES, one after another."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        of = int(rows["of"].iloc[0])
+        rows = rows[rows["_row"].notna()].sort_values(["_row", "lo"])
+        shared.put(f"{at}/{of}", [rows[c].to_numpy(np.int64) for c in TIMES])
+        return pd.DataFrame({"of": [of], "n": [len(rows)]})
+
+    return run
+
+
+def _taken(at: str):
+    """Each row as often as it's taken, with its times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = shared.Files(at)
+        for batch in slices(batches, "_body"):
+            rows = batch["_row"].to_numpy(zero_copy_only=False)
+            for of in np.unique(rows >> 33).tolist():
+                here = np.flatnonzero(rows >> 33 == of)
+                table = files[of].view(np.int64).reshape(len(TIMES), -1)
+                first, behind = (np.searchsorted(table[0], rows[here], side) for side in ("left", "right"))
+                times = behind - first
+                ends = np.cumsum(times)
+                place = np.arange(ends[-1]) + np.repeat(first - (ends - times), times)
+                taken = batch.take(pa.array(np.repeat(here, times)))
+                columns = [*taken.columns, *(pa.array(table[k][place]) for k in range(1, len(TIMES)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *TIMES[1:]])
+
+    return run
