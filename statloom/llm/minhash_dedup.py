@@ -344,11 +344,19 @@ def groups_of(rows: DataFrame, percent: int, by_id: bool) -> DataFrame:
     return owned.join(comp, "cid", "left").select("row", "doc_id", "n_shingles", F.coalesce("comp", "cid").alias("comp"))
 
 
+def _written(rows: DataFrame, percent: int, by_id: bool, at: str) -> DataFrame:
+    """groups_of, written; what it took to find them is deleted."""
+    before = len(shared.MADE)
+    groups = shared.saved(groups_of(rows, percent, by_id), at)
+    shared.remove_all(rows.sparkSession, before)
+    return groups
+
+
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     at = shared.folder(docs.sparkSession, "groups")
-    groups = shared.saved(groups_of(rows, percent, True), f"{at}/rows")
+    groups = _written(rows, percent, True, f"{at}/rows")
     # written, so that a large component's rows can be split in the join
     least = shared.saved(groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")), f"{at}/least")
     out = groups.join(least, "comp", "left").withColumn(
@@ -374,8 +382,8 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     at = shared.folder(docs.sparkSession, "rows")
     row = shared.unused(docs, "_row")
     docs = shared.saved(docs.withColumn(row, F.monotonically_increasing_id()), f"{at}/docs")  # numbers are fixed once written
-    groups = groups_of(docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, False)
-    groups = shared.saved(groups, f"{at}/groups")
+    rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = _written(rows, percent, False, f"{at}/groups")
     first = groups.where("comp IS NOT NULL").groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
     ).select("least.row")
