@@ -113,11 +113,6 @@ def l3_secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_secret_scan(spark, sf_dir).drop("spans")
 
 
-def l9_media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of op9_media_columns that SQL can tell: the payload that was read back."""
-    return op9_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_sentencepiece": op2_sentencepiece,
@@ -130,13 +125,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
     "op10_substring_dedup": op10_substring_dedup,
     "l3_secret_base": l3_secret_base,
-    "l9_media_payload": l9_media_payload,
 }
 SQL: dict[str, str] = {
     "op4_lm_score": sql.OP4_SQL,
     "op7_minhash_dedup": sql.OP7_SQL,
     "op8_source_mix": sql.OP8_SQL,
+    "op9_media_columns": sql.OP9_SQL,
     "op10_substring_dedup": sql.OP10_SQL,
     "l3_secret_base": sql.L3_SQL,
-    "l9_media_payload": sql.L9_SQL,
 }

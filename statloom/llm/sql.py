@@ -120,8 +120,49 @@ SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n
        sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN s USING (r)
 """
 
-L9_SQL = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
-p AS (SELECT *, greatest(1, (n + 191) // 192) * 192 AS size FROM d)
-SELECT doc_id, n AS n_bytes, size::BIGINT AS payload_bytes, sha256(t || repeat(' ', size - n)) AS payload_sha256 FROM p
+def _u32(*numbers: str) -> str:
+    return " || ".join(f"printf('%08x', ({x})::BIGINT)" for x in numbers)
+
+
+def _box(kind: str, *parts: str) -> str:
+    """Hexadecimal digits of a box: its size, kind and body. Parts are SQL of digits; literals or columns, as each is named twice."""
+    body = " || ".join(parts)
+    return f"(printf('%08x', (8 + length({body}) // 2)::BIGINT) || '{kind.encode().hex()}' || {body})"
+
+
+_MATRIX = "'000100000000000000000000000000000001000000000000000000000000000040000000'"
+_ENTRY = "'00000024726177200000000000000001000000000000000000010008000000001f400000'"  # 8-bit samples, 8,000 a second
+_PLAIN = "'00000000'"  # version and flags of a full box
+#: Containers of one track, byte for byte: n samples of 192 bytes in chunks of 8, every 16th a key. f is the file's first sample byte.
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
+p AS (SELECT *, greatest(1, (n_bytes + 191) // 192) AS n FROM d),
+q AS (SELECT *, n * 192 AS size, (n + 7) // 8 AS chunks, (n + 15) // 16 AS keys, lower(hex(encode(t || repeat(' ', n * 192 - n_bytes)))) AS h FROM p),
+a AS (SELECT *, n - (chunks - 1) * 8 AS rest, lower(printf('%016x', size)) AS wide,
+  {_box("stsd", _PLAIN, "'00000001'", _ENTRY)} AS stsd,
+  {_PLAIN} || {_u32("1", "n", "192")} AS stts, {_PLAIN} || {_u32("keys")} || array_to_string(list_transform(range(keys), lambda k: printf('%08x', k * 16 + 1)), '') AS stss,
+  {_PLAIN} || {_u32("192", "n")} AS stsz FROM q),
+b AS (SELECT *, CASE WHEN chunks = 1 THEN {_u32("1", "1", "rest", "1")} WHEN rest = 8 THEN {_u32("1", "1", "8", "1")}
+  ELSE {_u32("2", "1", "8", "1", "chunks", "rest", "1")} END AS runs FROM a),
+c AS (SELECT *, {_PLAIN} || runs AS stsc,
+  20 + 8 + 8 + 120 + 8 + 104 + 8 + 44 + 33 + 8 + 16 + 36 + 8 + length(stsd) // 2 + 8 + length(stts) // 2 + 8 + length(stss) // 2 + 12 + length(runs) // 2
+  + 8 + length(stsz) // 2 + 16 + 4 * chunks AS f FROM b),
+e AS (SELECT *, {_PLAIN} || {_u32("chunks")} || array_to_string(list_transform(range(chunks), lambda k: printf('%08x', f + k * 1536)), '') AS stco FROM c),
+g AS (SELECT *, stsd || {_box("stts", "stts")} || {_box("stss", "stss")} || {_box("stsc", "stsc")} || {_box("stsz", "stsz")} || {_box("stco", "stco")} AS stbl FROM e),
+i AS (SELECT *, {_box("smhd", "'0000000000000000'")} || {_box("dinf", "'0000001c6472656600000000000000010000000c75726c2000000001'")} || {_box("stbl", "stbl")} AS minf FROM g),
+j AS (SELECT *, '01000000' || repeat('00', 16) || {_u32("8000")} || wide || '55c40000' AS mdhd, '00000000' || '00000000' || '736f756e' || repeat('00', 13) AS hdlr FROM i),
+k AS (SELECT *, {_box("mdhd", "mdhd")} || {_box("hdlr", "hdlr")} || {_box("minf", "minf")} AS mdia,
+  '01000007' || repeat('00', 16) || '0000000100000000' || wide || repeat('00', 8) || '0000000001000000' || {_MATRIX} || repeat('00', 8) AS tkhd FROM j),
+l AS (SELECT *, {_box("tkhd", "tkhd")} || {_box("mdia", "mdia")} AS trak,
+  '01000000' || repeat('00', 16) || {_u32("8000")} || wide || '00010000' || '0100' || repeat('00', 10) || {_MATRIX} || repeat('00', 24) || '00000002' AS mvhd FROM k),
+m AS (SELECT *, {_box("mvhd", "mvhd")} || {_box("trak", "trak")} AS moov FROM l),
+o AS (SELECT *, '0000001466747970717420200000000071742020' || {_box("moov", "moov")} || {_u32("8 + size")} || '6d646174' || h AS media FROM m),
+x AS (SELECT *, right(h, 32) AS tail FROM o)
+SELECT doc_id, n_bytes, size::BIGINT AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(16), lambda z: (16 * instr('0123456789abcdef', tail[2 * z + 1]) + instr('0123456789abcdef', tail[2 * z + 2]) - 17)::UBIGINT)),
+    lambda u, v: list_reduce(list_prepend(xor(u, v), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda y, w: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))))::BIGINT AS tail_crc32,
+  (length(media) // 2)::BIGINT AS media_bytes, sha256(unhex(media)) AS media_sha256,
+  'codec=raw ;kind=soun;timescale=8000;duration=' || size || ';samples=' || n || ';keyframes='
+    || array_to_string(list_transform(range(keys), lambda z: (f + z * 3072) || '+192'), ',') AS feature FROM x
 """
