@@ -366,3 +366,40 @@ def test_oracle_at_small_scale(spark):
         cols = sorted(mine.columns)
         want = con.sql(f'SELECT {", ".join(chr(34) + c + chr(34) for c in cols)} FROM ({SQL[name]})').fetchall()
         assert sorted(repr(tuple(r)) for r in mine.select(cols).collect()) == sorted(map(repr, want)), name
+
+
+def test_entry_from_a_folder_without_write_permission(tmp_path):
+    """The archive for workers holds sources and nothing is written beside them, __pycache__ included."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(f"{here}/statloom", copy / "statloom", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{here}/{name}"):
+            shutil.copy(f"{here}/{name}", copy)
+    script = """
+import os, sys, zipfile
+import __spark_entry__ as e
+class Context:
+    applicationId = "one"
+    def addPyFile(self, path):
+        names = zipfile.ZipFile(path).namelist()
+        assert "statloom/operators/ranks.py" in names and all(n.endswith(".py") for n in names), names
+        sys.path.insert(0, path)
+e._ship(type("Session", (), {"sparkContext": Context()}))
+"""
+    folders = [d for d, _, _ in os.walk(copy)]
+    for d in folders:
+        os.chmod(d, 0o555)
+    try:
+        run = [sys.executable, "-B", "-c", script]
+        done = subprocess.run(run, cwd=copy, capture_output=True, text=True, timeout=120)
+    finally:
+        for d in folders:
+            os.chmod(d, 0o755)
+    assert done.returncode == 0, done.stderr
+    assert not [f for _, names, files in os.walk(copy) for f in (*names, *files) if f.endswith(("__pycache__", ".pyc"))]  # root may write anywhere
