@@ -108,6 +108,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import drawn
+
+    return drawn(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 def l3_secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op3_secret_scan that SQL can tell: the spans of the fixed patterns."""
     return op3_secret_scan(spark, sf_dir).drop("spans")
@@ -124,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_media_columns": op9_media_columns,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_source_divergence": op13_source_divergence,
     "l3_secret_base": l3_secret_base,
 }
 SQL: dict[str, str] = {
@@ -132,5 +146,7 @@ SQL: dict[str, str] = {
     "op8_source_mix": sql.OP8_SQL,
     "op9_media_columns": sql.OP9_SQL,
     "op10_substring_dedup": sql.OP10_SQL,
+    "op12_importance_resampling": sql.OP12_SQL,
+    "op13_source_divergence": sql.OP13_SQL,
     "l3_secret_base": sql.L3_SQL,
 }

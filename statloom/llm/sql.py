@@ -166,3 +166,45 @@ SELECT doc_id, n_bytes, size::BIGINT AS payload_bytes, sha256(unhex(h)) AS paylo
   'codec=raw ;kind=soun;timescale=8000;duration=' || size || ';samples=' || n || ';keyframes='
     || array_to_string(list_transform(range(keys), lambda z: (f + z * 3072) || '+192'), ',') AS feature FROM x
 """
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+e AS (SELECT r, unnest(w) AS w FROM d),
+c AS (SELECT r, w, count(*) AS n FROM e GROUP BY 1, 2),
+v AS (SELECT w, sum(s) AS s, sum(t) AS t FROM (SELECT w, n AS s, 0 AS t FROM c UNION ALL SELECT w, 0, 1 FROM b) GROUP BY 1),
+k AS (SELECT *, (xor(4294967295::UBIGINT, list_reduce(
+        list_prepend(4294967295::UBIGINT, list_transform(range(1, strlen(w) + 1), lambda i: ('0x' || substr(hex(w), 2 * i - 1, 2))::UBIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+          lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))) % 10000)::BIGINT AS k FROM v),
+g AS (SELECT k, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM k GROUP BY 1),
+f AS (SELECT k, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM g) + 10000) / ((s + 1) * ((SELECT sum(t) FROM g) + 10000))))::BIGINT AS gain FROM g),
+x AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM c JOIN k USING (w) JOIN f USING (k) GROUP BY 1),
+s AS (SELECT r, doc_id, len(d.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS noise
+      FROM d LEFT JOIN x USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS n FROM s WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM s LEFT JOIN o USING (r)
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT r, lang, source, unnest(w) AS w FROM d),
+k AS (SELECT lang, w, count(*) AS total FROM e GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY 1),
+c AS (SELECT lang, source, w, count(*) AS c FROM e JOIN k USING (lang, w) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT g.lang, g.source, v.v, v.n AS all_n, coalesce((SELECT sum(c) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS n FROM g JOIN v ON g.lang = v.lang),
+p AS (SELECT n.lang, n.source, k.w, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 5)::HUGEINT) // (n.n + 5 * v) AS p,
+        1 + (1000000000 * (k.total + 5)::HUGEINT) // (all_n + 5 * v) AS q
+      FROM n JOIN k ON n.lang = k.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.w = k.w),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.w = y.w
+        WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, w AS item, (p - q)::BIGINT AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms) WHERE rank <= 50
+"""

@@ -22,6 +22,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def only(*ranges: tuple[int, int]) -> np.ndarray:
+    """The gaps of words of these bytes (first and last of each range) and of all bytes beyond ASCII."""
+    gaps = np.ones(256, bool)
+    gaps[128:] = False
+    for a, b in ranges:
+        gaps[a : b + 1] = False
+    return gaps
+
+
+def unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of x in order, and how often each is there."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.r_[first, len(x)])
+
+
 try:
     _trim = ctypes.CDLL(None).malloc_trim
 except (AttributeError, OSError, TypeError):  # another C library
@@ -69,14 +85,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
     release()
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Maximal runs of bytes other than space and 9 to 13, of each text."""
+def words(texts: pa.Array, lower: bool = False, gaps: np.ndarray = SPACE) -> Words:
+    """Maximal runs of bytes that aren't gaps (a table of 256; space and 9 to 13 if none is given), of each text; lower: after A-Z became a-z."""
     data, ends = flat(texts)
     n = len(data)
     if lower:
         data = LOWER[data]
     gap = np.ones(n + 1, bool)
-    gap[:n] = SPACE[data]
+    gap[:n] = gaps[data]
     first = np.zeros(n + 1, bool)
     first[ends] = True
     before = np.empty(n + 1, bool)
