@@ -108,6 +108,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import linked
+
+    return linked(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance import drawn
 
@@ -136,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_media_columns": op9_media_columns,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_source_divergence": op13_source_divergence,
     "l3_secret_base": l3_secret_base,
@@ -146,6 +153,7 @@ SQL: dict[str, str] = {
     "op8_source_mix": sql.OP8_SQL,
     "op9_media_columns": sql.OP9_SQL,
     "op10_substring_dedup": sql.OP10_SQL,
+    "op11_embedding_dedup": sql.OP11_SQL,
     "op12_importance_resampling": sql.OP12_SQL,
     "op13_source_divergence": sql.OP13_SQL,
     "l3_secret_base": sql.L3_SQL,

@@ -167,6 +167,17 @@ SELECT doc_id, n_bytes, size::BIGINT AS payload_bytes, sha256(unhex(h)) AS paylo
     || array_to_string(list_transform(range(keys), lambda z: (f + z * 3072) || '+192'), ',') AS feature FROM x
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE x AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM x WHERE label IS NOT NULL AND len(list_filter(e, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+p AS (SELECT a.r AS a, b.r AS b FROM n a JOIN n b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) AND a.n > 0 AND b.n > 0
+      WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93::DOUBLE),
+r AS (SELECT r AS x, r AS y FROM x UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a),
+c AS (SELECT r.x, min(x.vec_id) AS c FROM r JOIN x ON r.y = x.r GROUP BY 1),
+l AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(l.n, 0)::BIGINT AS n_links, c AS component_id, vec_id IS NOT DISTINCT FROM c AS kept FROM x JOIN c ON x.r = c.x LEFT JOIN l ON x.r = l.a
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
