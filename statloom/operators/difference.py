@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.columns import divide, inverse_normal
-from .ranks import join_groups, median_of, value_ranks
+from .ranks import join_groups, value_ranks
+from .selection import median, median_places, with_values_at
 
 KEY = ["trait_id"]
 NAN = float("nan")
@@ -111,9 +112,9 @@ def welch(df: DataFrame, value: str) -> DataFrame:
 
 def _deviations(df: DataFrame, value: str) -> DataFrame:
     """trait_id, origin, z: distances from the median of trait and origin."""
-    rows = df.where(F.col(value).isNotNull()).select(*KEY, "origin", F.col(value).cast("double").alias("v"))
-    medians = value_ranks(rows, [*KEY, "origin"], "v").groupBy(*KEY, "origin").agg(median_of("v").alias("med"))
-    return join_groups(rows, medians, [*KEY, "origin"]).select(*KEY, "origin", F.abs(F.col("v") - F.col("med")).alias("z"))
+    rows = df.select(*KEY, "origin", F.col(value).cast("double").alias("v"))
+    rows = with_values_at(rows, [*KEY, "origin"], "v", median_places())
+    return rows.select(*KEY, "origin", F.abs(F.col("v") - median()).alias("z"))
 
 
 def _levene(g: DataFrame) -> DataFrame:
@@ -152,23 +153,20 @@ def bartlett(df: DataFrame, value: str) -> DataFrame:
 
 
 def fligner(df: DataFrame, value: str) -> DataFrame:
-    """trait_id, statistic, pvalue: equal variances by normal scores of the ranks of distances from medians."""
-    z = _deviations(df, value)
+    """trait_id, statistic, pvalue: equal variances by normal scores of the ranks of distances from medians. P and M are compared; other rows are left out."""
+    z = _deviations(df.where(F.col("origin").isin("P", "M")), value)
     place = 0.5 + (F.col("before") + (F.col("cnt") + 1) / 2) / (2 * (F.col("n") + 1))
-    ranked = value_ranks(z.select(*KEY, "z"), KEY, "z").select(*KEY, "z", inverse_normal(place).alias("a"))
     a = F.col("a")
-    g = join_groups(z, ranked, [*KEY, "z"]).groupBy(*KEY, "origin").agg(F.count(a).alias("c"), F.sum(a).alias("s"), F.sum(a * a).alias("q"))
-    g = g.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("k"),
-        F.sum("c").alias("N"),
-        F.sum("s").alias("S"),
-        F.sum("q").alias("Q"),
-        F.sum(F.col("s") * F.col("s") / F.col("c")).alias("B"),
-    )
-    mean = F.col("S") * F.col("S") / F.col("N")
-    stat = divide(F.col("B") - mean, divide(F.col("Q") - mean, F.col("N") - 1))
-    stat = F.when(F.col("k") > 1, stat).otherwise(F.lit(NAN))
-    return g.select(*KEY, stat.alias("statistic"), tails.chi2_pvalue(stat, F.col("k") - 1).alias("pvalue"))
+    sides = [F.sum(F.when(F.col(c) > 0, F.col(c) * y)).alias(f"{c}_{name}") for c in "pm" for name, y in (("c", F.lit(1)), ("s", a), ("q", a * a))]
+    g = value_ranks(z, KEY, "z", *_sides()).withColumn("a", inverse_normal(place)).groupBy(*KEY).agg(*sides)
+    none = lambda name: [F.coalesce(f"{c}_{name}", F.lit(0)) for c in "pm"]
+    total, count = sum(none("s")), sum(none("c"))
+    between = sum(F.coalesce(F.col(f"{c}_s") * F.col(f"{c}_s") / F.col(f"{c}_c"), F.lit(0.0)) for c in "pm")
+    mean = total * total / count
+    stat = divide(between - mean, divide(sum(none("q")) - mean, count - 1))
+    k = F.col("p_c").isNotNull().cast("int") + F.col("m_c").isNotNull().cast("int")
+    stat = F.when(k > 1, stat).otherwise(F.lit(NAN))
+    return g.select(*KEY, stat.alias("statistic"), tails.chi2_pvalue(stat, k - 1).alias("pvalue"))
 
 
 VARIANCE_TESTS = {"bartlett": bartlett, "fligner": fligner}

@@ -13,8 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import surely_at_most
+
 PER_RANGE = 1 << 20  # distinct values that a task sorts
 CUTS = 256  # ranges that a larger group, or range of one, is cut into
+SALTS = 64  # keys that a larger group is dealt to in a join
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -29,55 +32,79 @@ def _names(count: str) -> tuple[str, str]:
     return ("before", "n") if count == "cnt" else (f"before_{count}", f"n_{count}")
 
 
+def _spread(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, how: str = "inner") -> DataFrame:
+    """join_groups for large groups on the left: each is dealt by its values to SALTS keys, and the right side's row goes to all of them."""
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_groups(left.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")), salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def _cut(values: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Adds name: the range of each value among those of its group `by`; 0 in groups of at most PER_RANGE values."""
     x = F.col(value).cast("double")
-    large = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > PER_RANGE).drop("_d")
-    some = join_groups(values, large, by).where(F.abs(x) < float("inf"))  # not NaN either
-    bounds = some.groupBy(*by).agg(F.percentile_approx(x, [k / CUTS for k in range(1, CUTS)], 10_000).alias("_bounds"))
-    placed = join_groups(values, bounds, by, "left")
+    finite = F.when(F.abs(x) < float("inf"), x)  # not NaN either
+    bounds = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_d"), F.percentile_approx(finite, [k / CUTS for k in range(1, CUTS)], 10_000).alias("_bounds"))
+    placed = _spread(values, bounds.where(F.col("_d") > PER_RANGE).drop("_d"), by, value, "left")
     return placed.withColumn(name, F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda b: b <= x)))).drop("_bounds")
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, counts: Sequence[str] = ("cnt",), medians: Sequence[str] = ()) -> DataFrame:
-    """Each group's distinct values: keys, value, cnt, before (rows of smaller values), n (rows of the group), least (its least value), and more aggregates.
+def _numbered(values: DataFrame, keys: list[str], value: str, counts: Sequence[str], medians: Sequence[str]) -> DataFrame:
+    """value_ranks of groups that a task can sort."""
+    whole = Window.partitionBy(*keys)
+    for c in counts:
+        before, n = _names(c)
+        values = values.withColumn(before, _running(c, keys, value)).withColumn(n, F.sum(c).over(whole))
+    for c in medians:
+        low, high = (F.max(x).over(whole) for x in _middle(value, c))
+        values = values.withColumn(f"med_{c}", (low + high) / 2)
+    return values.withColumn("least", F.min(value).over(whole))
 
-    Nulls are left out. counts: cnt and those of the other aggregates that are counts too, whose running sums and totals become before_{name} and n_{name}.
-    medians: those of counts whose median (of the group's rows that they count) is added as med_{name}.
-    """
-    keys = list(keys)
-    if not keys:
-        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
-    values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"), *more)
-    upto = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = lambda c, by: F.sum(c).over(upto(by, [value])) - F.col(c)
-    if df.count() <= PER_RANGE:  # no group can be larger
-        for c in counts:
-            before, n = _names(c)
-            values = values.withColumn(before, running(c, keys)).withColumn(n, F.sum(c).over(Window.partitionBy(*keys)))
-        whole = Window.partitionBy(*keys)
-        for c in medians:
-            low, high = (F.max(x).over(whole) for x in _middle(value, c))
-            values = values.withColumn(f"med_{c}", (low + high) / 2)
-        return values.withColumn("least", F.min(value).over(whole)).drop("_all")
+
+def _upto(by: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _running(c: str, by: Sequence[str], value: str) -> Column:
+    return F.sum(c).over(_upto(by, [value])) - F.col(c)
+
+
+def _numbered_in_ranges(values: DataFrame, keys: list[str], value: str, counts: Sequence[str], medians: Sequence[str]) -> DataFrame:
+    """value_ranks of larger groups, in ranges of values."""
     ranges = ["_range", "_part"]
     placed = _cut(_cut(values, keys, value, "_range"), [*keys, "_range"], value, "_part")
     below = placed.groupBy(*keys, *ranges).agg(F.min(value).alias("_least"), *[F.sum(c).alias(f"_c_{c}") for c in counts])
     below = below.withColumn("least", F.min("_least").over(Window.partitionBy(*keys))).drop("_least")
     for c in counts:
         own = F.col(f"_c_{c}")
-        below = below.withColumn(f"_base_{c}", F.sum(own).over(upto(keys, ranges)) - own).withColumn(
+        below = below.withColumn(f"_base_{c}", F.sum(own).over(_upto(keys, ranges)) - own).withColumn(
             _names(c)[1], F.sum(own).over(Window.partitionBy(*keys))
         )
     below = below.drop(*[f"_c_{c}" for c in counts])
     for c in counts:
-        placed = placed.withColumn(f"_in_{c}", running(c, [*keys, *ranges]))
+        placed = placed.withColumn(f"_in_{c}", _running(c, [*keys, *ranges], value))
     out = join_groups(placed, below, [*keys, *ranges])
     for c in counts:
         out = out.withColumn(_names(c)[0], F.col(f"_base_{c}") + F.col(f"_in_{c}"))
     if medians:
-        out = join_groups(out, out.groupBy(*keys).agg(*[median_of(value, c).alias(f"med_{c}") for c in medians]), keys)
-    return out.drop("_all", *ranges, *[f"{k}_{c}" for c in counts for k in ("_base", "_in")])
+        out = _spread(out, out.groupBy(*keys).agg(*[median_of(value, c).alias(f"med_{c}") for c in medians]), keys, value)
+    return out.drop(*ranges, *[f"{k}_{c}" for c in counts for k in ("_base", "_in")])
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, counts: Sequence[str] = ("cnt",), medians: Sequence[str] = ()) -> DataFrame:
+    """Each group's distinct values: keys, value, cnt, before (rows of smaller values), n (rows of the group), least (its least value), and more aggregates.
+
+    Nulls are left out. counts: cnt and those of the other aggregates that are counts too, whose running sums and totals become before_{name} and n_{name}.
+    medians: those of counts whose median (of the group's rows that they count) is added as med_{name}.
+    Groups of more than PER_RANGE values are fewer than one in PER_RANGE, and broadcast; where there's none, Spark leaves their part of the plan out. Inputs that surely have no more rows are planned without it.
+    """
+    keys = list(keys)
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
+    values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"), *more)
+    if surely_at_most(df, PER_RANGE):
+        return _numbered(values, keys, value, counts, medians).drop("_all")
+    large = F.broadcast(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > PER_RANGE).drop("_d"))
+    small = _numbered(join_groups(values, large, keys, "left_anti"), keys, value, counts, medians)
+    return small.unionByName(_numbered_in_ranges(join_groups(values, large, keys), keys, value, counts, medians)).drop("_all")
 
 
 def _at(value: str, rank: Column, count: str) -> Column:

@@ -3,65 +3,100 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import inverse_normal
-from .ranks import at_rank, value_ranks
+from .ranks import value_ranks
+from .selection import values_at
 
 
 def box_cox_of(x: Column, lam: float) -> Column:
     return F.log(x) if lam == 0 else F.expm1(lam * F.log(x)) / lam
 
 
-LAMBDAS = 33  # tried in each pass
+LAMBDAS = 33  # tried at once
+BINS = 1 << 14  # of the logarithms
+STEP = 1e-3  # distance at which a found lambda is held against its neighbours
 
 
-def _likelihoods(logs: DataFrame, n: int, lambdas: Sequence[float]) -> list[float]:
-    """The log-likelihood of each lambda, in one pass over the logarithms (column l)."""
-    forms = [F.var_pop(F.col("l") if abs(lam) < 1e-12 else F.expm1(F.lit(lam) * F.col("l")) / lam) for lam in lambdas]
-    total, *variances = logs.agg(F.sum("l"), *forms).first()
-    return [(lam - 1) * total - n / 2 * math.log(s) if s > 0 and math.isfinite(s) else -math.inf for lam, s in zip(lambdas, variances, strict=True)]
+def _likelihoods(logs: DataFrame, n: int, mean: float, lambdas: Sequence[float]) -> list[float]:
+    """The log-likelihood of each lambda but for a constant, in one pass over the logarithms (column l, of this mean)."""
+    z = F.col("l") - mean
+    forms = [F.var_pop(z if abs(lam) < 1e-12 else F.expm1(F.lit(lam) * z) / lam) for lam in lambdas]
+    return [-n / 2 * math.log(s) if s is not None and s > 0 and math.isfinite(s) else -math.inf for s in logs.agg(*forms).first()]
 
 
-def _likeliest(logs: DataFrame, n: int) -> float:
-    lo, hi = -2.0, 2.0
+def _summary(logs: DataFrame, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms from low to high as at most 2 * BINS points and their weights.
+
+    A bin's points are its mean plus and minus its deviation, so its count, mean and variance are exact; what a smooth
+    function's sum over it misses comes from third moments: below its third derivative times the bin's width cubed, a row.
+    """
+    place = F.least(F.floor((F.col("l") - low) / (high - low) * BINS), F.lit(BINS - 1))
+    bins = logs.groupBy(place.alias("bin")).agg(F.count("l"), F.avg("l"), F.var_pop("l")).collect()  # at most BINS rows
+    count, mean, var = np.array([r[1:] for r in bins], float).T
+    return np.r_[mean - var**0.5, mean + var**0.5], np.r_[count, count] / 2
+
+
+def _likeliest(scores: Callable[[Sequence[float]], Sequence[float]], lo: float = -2.0, hi: float = 2.0) -> float:
     for _ in range(60):
         lambdas = [lo + (hi - lo) * k / (LAMBDAS - 1) for k in range(LAMBDAS)]
-        scores = _likelihoods(logs, n, lambdas)
-        k = max(range(LAMBDAS), key=scores.__getitem__)
+        found = scores(lambdas)
+        k = max(range(LAMBDAS), key=found.__getitem__)
         width = hi - lo
         if k in (0, LAMBDAS - 1) and width > 1:  # the edge isn't a bound
             lo, hi = lambdas[k] - width, lambdas[k] + width
             continue
         lo, hi = lambdas[max(k - 1, 0)], lambdas[min(k + 1, LAMBDAS - 1)]
-        if hi - lo < 1e-7:
+        if hi - lo < 1e-8:
             break
     return (lo + hi) / 2
 
 
-def box_cox(df: DataFrame, column: str, lambdas: Sequence[float] | None = None) -> tuple[DataFrame, float]:
-    """Adds {column}_boxcox with the likeliest lambda (of these, if given), and that lambda.
+def box_cox(df: DataFrame, column: str, lambdas: Sequence[float] | None = None, digits: int | None = None) -> tuple[DataFrame, float]:
+    """Adds {column}_boxcox with the likeliest lambda (of these, if given; rounded to so many digits, if any), and that lambda.
 
-    Values are moved above zero if any isn't; constant ones raise ValueError. Without values the column is null and lambda NaN.
-    Logarithms are computed once and kept; each pass over them tries LAMBDAS lambdas and narrows the bracket, and only these scalars reach the driver.
+    Values are moved above zero if any isn't; constant ones raise ValueError. Without values the column is null and lambda NaN. NaN and infinities
+    take no part in the search. Three passes over the column: its range, a summary of its logarithms in BINS bins, in which
+    lambda is searched on the driver, and the exact likelihoods of what was found and its neighbours; only if these disagree are exact passes made until they don't.
     """
     v, name = F.col(column).cast("double"), f"{column}_boxcox"
-    n, low, high = df.agg(F.count(v), F.min(v), F.max(v)).first()
+    finite = F.when(F.abs(v) < float("inf"), v)
+    n, low, high = df.agg(F.count(finite), F.min(finite), F.max(finite)).first()
     if not n:
         return df.withColumn(name, F.lit(None).cast("double")), math.nan
     if low == high:
         raise ValueError("Box-Cox needs values that differ")
+    shift = 0.0 if low > 0 else 1e-6 - low
     x = v if low > 0 else v - low + 1e-6
-    logs = df.where(v.isNotNull()).select(F.log(x).alias("l")).persist()
-    if lambdas is None:
-        lam = _likeliest(logs, n)
-    else:
-        scores = _likelihoods(logs, n, lambdas)
+    logs = df.where(finite.isNotNull()).select(F.log(x).alias("l"))
+    if lambdas is not None:
+        mean = logs.agg(F.avg("l")).first()[0]
+        scores = _likelihoods(logs, n, mean, lambdas)
         lam = lambdas[max(range(len(lambdas)), key=scores.__getitem__)]
-    logs.unpersist()
+        return df.withColumn(name, box_cox_of(x, lam)), lam
+    points, weight = _summary(logs, math.log(low + shift), math.log(high + shift))
+    mean = float((points * weight).sum() / n)
+
+    def scores(some: Sequence[float]) -> list[float]:
+        out = []
+        for lam in some:
+            with np.errstate(over="ignore", invalid="ignore"):
+                y = points - mean if abs(lam) < 1e-12 else np.expm1(lam * (points - mean)) / lam
+                m = (y * weight).sum() / n
+                s = ((y - m) ** 2 * weight).sum() / n
+            out.append(-n / 2 * math.log(s) if s > 0 and math.isfinite(s) else -math.inf)
+        return out
+
+    lam = _likeliest(scores)
+    near = _likelihoods(logs, n, mean, [lam - STEP, lam, lam + STEP])
+    if near[1] < max(near):
+        lam = _likeliest(lambda some: _likelihoods(logs, n, mean, some), lam - 0.5, lam + 0.5)
+    lam = lam if digits is None else round(lam, digits)
     return df.withColumn(name, box_cox_of(x, lam)), lam
 
 
@@ -115,21 +150,20 @@ def qq_line(points: DataFrame) -> DataFrame:
 
 def box_statistics(df: DataFrame, column: str) -> DataFrame:
     """q1, median, q3 (linear), whisker_low and whisker_high (the last values within 1.5 times q3 - q1), fliers (how many are beyond)."""
-    ranked = value_ranks(df.select(F.col(column).cast("double").alias("v")), [], "v")
-
-    def linear(q: float) -> Column:
-        at = (F.col("n") - 1) * q
-        low, high = at_rank("v", F.floor(at)), at_rank("v", F.ceil(at))
-        return low + (high - low) * (F.max(at) - F.floor(F.max(at)))
-
-    box = ranked.agg(linear(0.25).alias("q1"), linear(0.5).alias("median"), linear(0.75).alias("q3"))
+    values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    along = lambda n, q: (n - 1) * q
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    places = {f"{name}_{side}": lambda n, f=f, q=q: f(along(n, q)) for name, q in quartiles.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    box = values_at(values, [], "v", places)
+    n = F.col("n")
+    linear = lambda name, q: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (along(n, q) - F.floor(along(n, q)))
+    box = box.select(*[linear(name, q).alias(name) for name, q in quartiles.items()])  # one row
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col("v")
-    inside = (v >= low) & (v <= high)
-    return ranked.join(F.broadcast(box)).groupBy("q1", "median", "q3").agg(
-        F.min(F.when(inside, v)).alias("whisker_low"),
-        F.max(F.when(inside, v)).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).alias("fliers"),
+    inside = (F.col("v") >= low) & (F.col("v") <= high)
+    return values.join(F.broadcast(box)).groupBy(*quartiles).agg(
+        F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
+        F.count_if(~inside).alias("fliers"),
     )
 
 
