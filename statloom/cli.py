@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import origin
 from .operators import describe, difference, rows, shape, variance
-from .sources import tables
+from .sources import database, sinks, tables
 
 Options = argparse.Namespace
 LISTED = 20  # groups named in a message; all are in the results
@@ -44,6 +44,8 @@ def _box_cox(spark: SparkSession, o: Options) -> DataFrame:
 def _reshape(spark: SparkSession, o: Options) -> DataFrame:
     df = _one(spark, o)
     if o.mode == "w2l":
+        if o.group:
+            print("the group column isn't used from wide to long")
         return rows.wide_to_long(df, _split(o.ids), _split(o.values), o.variable, o.value or "value")
     return rows.long_to_wide(df, _split(o.ids), _split(o.group), _split(o.values), o.order)
 
@@ -68,7 +70,7 @@ def _database(spark: SparkSession, o: Options, partition_on: str | None) -> Data
     options = {name: os.environ[key] for name, key in (("user", "STATLOOM_DB_USER"), ("password", "STATLOOM_DB_PASSWORD")) if key in os.environ}
     if o.driver:
         options["driver"] = o.driver
-    return tables.read_database(spark, o.url, o.query, partition_on, int(o.partitions), **options)
+    return database.read_database(spark, o.url, o.query, partition_on, int(o.partitions), int(o.fetch), **options)
 
 
 def _difference(spark: SparkSession, o: Options) -> DataFrame:
@@ -118,8 +120,10 @@ TOOLS: dict[str, Callable[[SparkSession, Options], DataFrame]] = {
     "show": _show,
     "variance": _variance,
 }
-DEFAULTS = {"variable": "variable", "sort": "", "rows": "0", "size": "400", "ratio": "5", "partitions": "16", "variances": "levene"}
-NAMES = "output value group ids values variable order mode trait windows chromosome sort rows size ratio url query driver partition-on partitions variances picture"
+DEFAULTS = {"variable": "variable", "sort": "", "rows": "0", "size": "400", "ratio": "5", "partitions": "16", "fetch": "50000", "variances": "levene"}
+#: The name of a tool's result in a folder; query.parquet for the others.
+RESULTS = {"boxcox": "tmp.parquet", "convert": "tmp.parquet", "describe": "tmp.parquet", "filter": "tmp.parquet", "extract": "subquery.parquet"}
+NAMES = "output value group ids values variable order mode trait windows chromosome sort rows size ratio url query driver partition-on partitions fetch variances picture"
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -135,7 +139,7 @@ def main(argv: list[str] | None = None) -> int:
     began = time.time()
     out = TOOLS[o.tool](spark, o)
     if o.output:
-        print(f"written to {tables.write(out, o.output)} in {time.time() - began:.2f} s")
+        print(f"written to {sinks.write(out, o.output, sort=_split(o.sort) if o.tool != "show" else (), name=RESULTS.get(o.tool, "query.parquet"))} in {time.time() - began:.2f} s")
         return 0
     print("\t".join(out.columns))
     for row in out.toLocalIterator():  # all rows, a partition at a time

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import CENTRE, MIDDLE, TAIL, origin
 from ..operators import describe, difference, rows, shape, variance
-from ..sources import tables
+from ..sources import database, sinks, tables
 
 QUERIES, SQL = {}, {}
 
@@ -83,10 +85,13 @@ def s01_scan(spark, d):
     return _t(spark, d, "nation")
 
 
-@query("SELECT * FROM region UNION ALL SELECT * FROM region")
+@query("SELECT * FROM orders")
 def s02_scan_many(spark, d):
-    some = tables.scan_many(spark, [f"{d}/region.parquet", f"{d}/no_such_file.parquet"])
-    return some.unionByName(tables.scan(spark, f"{d}/region.parquet"))
+    """Two files of unequal size, which hold all orders, and one that isn't there."""
+    at, orders = sinks.scratch(spark, "parts"), _t(spark, d, "orders")
+    third = F.col("o_orderkey") % 3 == 0
+    paths = [sinks.write(orders.where(part), f"{at}/{name}") for name, part in (("a", third), ("b", F.coalesce(~third, F.lit(True))))]
+    return tables.scan_many(spark, [*paths, f"{at}/no_such_file"])
 
 
 @query("SELECT value FROM events")
@@ -94,6 +99,57 @@ def s03_scan_column(spark, d):
     return tables.scan_column(spark, f"{d}/events.parquet", "value")
 
 
+def _embedded(spark, df: DataFrame, table: str) -> tuple[str, dict[str, str]]:
+    """Puts a table into a new database of the driver's process, which only a local session's tasks can reach; gives its url and options."""
+    url = f"jdbc:derby:memory:{table}{uuid.uuid4().hex};create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df.coalesce(4).write.format("jdbc").options(url=url, dbtable=table, batchsize="5000", **options).save()
+    return url, options
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def s04a_database_read(spark, d):
+    """All orders, put into an embedded database and read back in 16 ranges of their price."""
+    url, options = _embedded(spark, _t(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), "orders")
+    back = database.read_database(spark, url, "SELECT * FROM orders", '"o_totalprice"', 16, **options)
+    return back.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+TRAIT_READ = """WITH s AS (SELECT c_nationkey AS k, count(*) AS c, count(DISTINCT c_mktsegment) * 100.0 / count(c_nationkey) AS r FROM customer GROUP BY 1)"""
+
+
+@query(
+    TRAIT_READ
+    + """ SELECT c_nationkey AS trait_id, c_mktsegment AS trait_value, c_custkey AS f2, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'P' END AS origin
+ FROM customer WHERE c_nationkey NOT IN (SELECT k FROM s WHERE c < 60 OR r < 8)"""
+)
+def s04b_trait_read(spark, d):
+    """A trait's rows from an embedded database, in ranges of the trait, through quality control."""
+    traits = _t(spark, d, "customer").select(
+        F.col("c_nationkey").alias("trait_id"), F.col("c_mktsegment").alias("trait_value"), F.col("c_custkey").alias("f2")
+    )
+    url, options = _embedded(spark, traits, "traits")
+    back = database.read_database(spark, url, "SELECT * FROM traits", '"trait_id"', 16, **options)
+    return describe.quality_control(back, "trait_id", "trait_value", 60, 8.0)[0]
+
+
+@query("SELECT * FROM lineitem")
+def s05_write(spark, d):
+    """All line items, written in ranges of l_partkey in the place of an older result, and read back."""
+    at = f"{sinks.scratch(spark, 'written')}/lineitem"
+    sinks.write(_t(spark, d, "region"), at)
+    return tables.scan(spark, sinks.write(_t(spark, d, "lineitem"), at, sort=["l_partkey", "l_orderkey"]))
+
+
+@query("SELECT * FROM orders UNION ALL SELECT * FROM orders")
+def s06_sink(spark, d):
+    """Files as one table, sunk into one result and read back."""
+    orders = f"{d}/orders.parquet"
+    at = sinks.scratch(spark, "sunk")
+    both = tables.scan(spark, orders).unionByName(tables.scan(spark, orders))
+    return tables.scan(spark, sinks.write(both, at, file_bytes=sinks.FILE_BYTES))
+
+
 @query("SELECT l_partkey AS trait_id, l_extendedprice AS trait_value FROM lineitem WHERE l_partkey = 17")
 def s09_extract_trait(spark, d):
     return rows.extract_trait(_traits(spark, d), 17).select("trait_id", "trait_value")
@@ -400,9 +456,20 @@ def s15b_single_value(spark, d):
     return spark.createDataFrame([(one,)], "value int")
 
 
-@query()
+BOX_COX = """WITH RECURSIVE x AS (SELECT event_id, value, CASE WHEN (SELECT min(value) FROM events) > 0 THEN value ELSE value - (SELECT min(value) FROM events) + 1e-6 END AS x FROM events),
+ z AS (SELECT ln(x) - (SELECT avg(ln(x)) FROM x) AS z FROM x WHERE x IS NOT NULL),
+ r AS (SELECT 0 AS k, -2.0::DOUBLE AS lo, 2.0::DOUBLE AS hi UNION ALL
+  SELECT k + 1, lo + (hi - lo) * greatest(j - 1, 0) / 32, lo + (hi - lo) * least(j + 1, 32) / 32
+  FROM (SELECT k, lo, hi, arg_min(j, s) AS j FROM (SELECT k, lo, hi, range AS j, var_pop(CASE WHEN lo + (hi - lo) * range / 32 = 0 THEN z
+    ELSE (exp((lo + (hi - lo) * range / 32) * z) - 1) / (lo + (hi - lo) * range / 32) END) AS s FROM r, range(33), z WHERE k < 8 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)),
+ b AS (SELECT round((lo + hi) / 2, 4) AS lam FROM r WHERE k = 8)
+ SELECT event_id, value, round((pow(x, lam) - 1) / lam, 6) AS value_boxcox FROM x, b"""
+
+
+@query(BOX_COX)
 def s22_box_cox(spark, d):
-    return shape.box_cox(_t(spark, d, "events").select("event_id", "value"), "value")[0]
+    out = shape.box_cox(_t(spark, d, "events").select("event_id", "value"), "value", digits=4)[0]
+    return out.withColumn("value_boxcox", F.round("value_boxcox", 6))
 
 
 @query("""WITH x AS (SELECT event_id, value, CASE WHEN (SELECT min(value) FROM events) > 0 THEN value ELSE value - (SELECT min(value) FROM events) + 1e-6 END AS x FROM events),

@@ -1,4 +1,4 @@
-"""Parquet, JDBC and text sources, and Parquet sinks."""
+"""Parquet and text sources."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import footers
+
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -32,49 +34,23 @@ def same_schema(frames: Sequence[DataFrame]) -> None:
 
 
 def scan_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The files that exist, as one table; a warning for each that doesn't, ValueError if none does or schemas differ."""
-    there = [p for p in paths if exists(spark, p)]
-    for p in paths:
-        if p not in there:
-            warnings.warn(f"skipped: {p} doesn't exist", stacklevel=2)
-    if not there:
-        raise ValueError("none of the files exists")
-    same_schema([spark.read.parquet(p) for p in there])
-    return spark.read.parquet(*there)
-
-
-def query_text(query: str) -> str:
-    """The query itself, or what a file of that name ending in .sql holds."""
-    if query.strip().lower().endswith(".sql"):
-        with open(query.strip()) as f:
-            query = f.read()
-    return query.strip().rstrip(";")
-
-
-def read_database(
-    spark: SparkSession,
-    url: str,
-    query: str,
-    partition_on: str | None = None,
-    partition_num: int = 16,
-    fetch: int = 50_000,
-    **options: str,
-) -> DataFrame:
-    """A query's rows over JDBC, in ranges of a numeric column whose bounds a first query asks for.
-
-    Credentials belong in options (user, password) from the environment, never in the url.
+    """The files that exist, as one table; a warning for each that doesn't, ValueError if none does or schemas differ.
+
+    Tasks read the footers, whatever the number of files; the message names some of the files that differ from the first.
     """
-    text = query_text(query)
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
-    if partition_on is None:
-        return reader.option("dbtable", f"({text}) q").option("fetchsize", fetch).load()
-    low, high = reader.option("dbtable", f"(SELECT min({partition_on}) AS lo, max({partition_on}) AS hi FROM ({text}) q) b").load().first()
-    if low is None:
-        return reader.option("dbtable", f"({text}) q").load()
-    ranges = {"partitionColumn": partition_on, "lowerBound": int(low), "upperBound": int(high) + 1, "numPartitions": partition_num}
-    return spark.read.format("jdbc").option("url", url).options(**options).option(
-        "dbtable", f"({text}) q"
-    ).option("fetchsize", fetch).options(**ranges).load()
+    known = footers.read(spark, paths).persist()  # a row for each file
+    try:
+        there = {r["path"] for r in known.where("file IS NOT NULL").select("path").distinct().collect()}
+        for p in paths:
+            if p not in there:
+                warnings.warn(f"skipped: {p} doesn't exist", stacklevel=2)
+        if not there:
+            raise ValueError("none of the files exists")
+        if wrong := footers.mismatches(known).limit(5).collect():
+            raise ValueError("schemas differ: " + "; ".join(f"{r['file']} has {r['found']} in the place of {r['expected']}" for r in wrong))
+    finally:
+        known.unpersist()
+    return spark.read.parquet(*[p for p in dict.fromkeys(paths) if p in there])
 
 
 def parse_windows(lines: DataFrame) -> DataFrame:
@@ -91,16 +67,33 @@ def read_windows(spark: SparkSession, path: str) -> DataFrame:
     return parse_windows(spark.read.text(path).withColumn("at", F.monotonically_increasing_id()))
 
 
-def target(spark: SparkSession, path: str) -> str:
-    """Where a result goes: into query.parquet below a folder that is there and holds no result of Spark's, else to path itself."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
-    folder = system.exists(there) and system.getFileStatus(there).isDirectory()
-    return f"{path.rstrip('/')}/query.parquet" if folder and not exists(spark, f"{path.rstrip('/')}/_SUCCESS") else path
+#: Steps of a plan that give at most as many rows as they get.
+NO_MORE = {"Project", "Filter", "Aggregate", "Window", "Sort", "Distinct", "Deduplicate", "GlobalLimit", "LocalLimit", "Repartition", "RepartitionByExpression", "Sample"}
+FOOTERS_OF = 4 << 30  # bytes of files whose footers are counted
 
 
-def write(df: DataFrame, path: str, one_file: bool = False) -> str:
-    """Parquet, in the place of what was there; returns where. one_file only for small results."""
-    path = target(df.sparkSession, path)
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").parquet(path)
-    return path
+def surely_at_most(df: DataFrame, most: int) -> bool:
+    """Whether df is known to have at most so many rows, without evaluating it: from limits, and from the footers of Parquet files below steps that add no rows.
+
+    False where that can't be told, and where the files are large. A frame made of an RDD is counted as far as needed.
+    """
+    spark = df.sparkSession
+
+    def bound(plan) -> float:
+        kind = plan.getClass().getSimpleName()
+        if (known := plan.maxRows()).isDefined():
+            return int(str(known.get()))
+        children = [plan.children().apply(k) for k in range(plan.children().size())]
+        if kind in NO_MORE or (kind == "Join" and str(plan.joinType()) in ("LeftSemi", "LeftAnti")):
+            return bound(children[0])
+        if kind == "Union":
+            return sum(map(bound, children))
+        if kind == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            relation = plan.relation()
+            if "Parquet" in relation.fileFormat().getClass().getSimpleName() and relation.location().sizeInBytes() <= FOOTERS_OF:
+                return spark.read.parquet(*relation.location().inputFiles()).count()
+        if kind == "LogicalRDD":
+            return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark).limit(most + 1).count()
+        return float("inf")
+
+    return bound(df._jdf.queryExecution().optimizedPlan()) <= most
