@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import origin
-from .operators import describe, difference, rows, shape, variance
+from .operators import describe, difference, figure, rows, shape, variance
 from .sources import database, sinks, tables
 
 Options = argparse.Namespace
@@ -51,11 +51,16 @@ def _reshape(spark: SparkSession, o: Options) -> DataFrame:
 
 
 def _variance(spark: SparkSession, o: Options) -> DataFrame:
-    df, chromosome = _one(spark, o), int(o.chromosome) if o.chromosome else None
-    if o.windows:
-        df = variance.windows_of(df, tables.read_windows(spark, o.windows), chromosome)
-    elif chromosome is not None:
+    df, chromosome, windows = _one(spark, o), int(o.chromosome) if o.chromosome else None, None
+    if chromosome is not None:
         df = df.where(F.col("chra") == chromosome)
+    if o.windows:
+        windows = tables.read_windows(spark, o.windows)
+        windows = windows if chromosome is None else windows.where(F.col("chra") == chromosome)
+    reasons = variance.window_reasons(df, o.value, o.group or "origin", windows).where("reason IS NOT NULL")
+    for reason, n in reasons.groupBy("reason").count().orderBy("reason").collect():  # at most a row for each reason
+        print(f"windows without a result or with part of one, {reason}: {n}")
+    df = df if windows is None else variance.windows_of(df, windows)
     return variance.variance_components(df, o.value, o.group or "origin")
 
 
@@ -88,10 +93,10 @@ def _difference(spark: SparkSession, o: Options) -> DataFrame:
 
 
 def _plot(spark: SparkSession, o: Options) -> DataFrame:
-    """The picture, if matplotlib is there and --picture names a file, and the box statistics."""
+    """The picture, if --picture names a file, and the box statistics."""
     df = _one(spark, o)
     if o.picture:
-        shape.picture(df, o.value, o.picture)
+        print(f"picture: {figure.draw(df, o.value, o.picture, o.title or '', float(o.width), float(o.height), o.format)}")
     return shape.box_statistics(df, o.value)
 
 
@@ -120,10 +125,10 @@ TOOLS: dict[str, Callable[[SparkSession, Options], DataFrame]] = {
     "show": _show,
     "variance": _variance,
 }
-DEFAULTS = {"variable": "variable", "sort": "", "rows": "0", "size": "400", "ratio": "5", "partitions": "16", "fetch": "50000", "variances": "levene"}
+DEFAULTS = {"variable": "variable", "sort": "", "rows": "0", "size": "400", "ratio": "5", "partitions": "16", "fetch": "50000", "width": "12", "height": "10", "format": "pdf", "variances": "levene"}
 #: The name of a tool's result in a folder; query.parquet for the others.
 RESULTS = {"boxcox": "tmp.parquet", "convert": "tmp.parquet", "describe": "tmp.parquet", "filter": "tmp.parquet", "extract": "subquery.parquet"}
-NAMES = "output value group ids values variable order mode trait windows chromosome sort rows size ratio url query driver partition-on partitions fetch variances picture"
+NAMES = "output value group ids values variable order mode trait windows chromosome sort rows size ratio url query driver partition-on partitions fetch variances picture title width height format"
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,14 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], varia
     return df.unpivot(list(ids), list(values), variable, value)
 
 
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """Adds a column that orders rows as their files do: by file and row number, whatever the splits that are read; by the order of reading where there are no files."""
+    try:
+        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def long_to_wide(
     df: DataFrame,
     ids: Sequence[str],
@@ -68,7 +77,8 @@ def long_to_wide(
 ) -> DataFrame:
     """One column for each group (for several value columns value_group), holding the first value by `order`, null or not.
 
-    Without order, the order of reading counts. names gives the groups' values and their column order; without it they're asked for first.
+    Without order, the order of files (by name) and of their rows counts, where df comes from files; else that of reading. For several files in an order of
+    your own, see scan_many. names gives the groups' values and their column order; without it they're asked for first.
     """
     if not groups:
         raise ValueError("long to wide needs a group column")
@@ -76,7 +86,7 @@ def long_to_wide(
     if len(groups) > 1:
         df = df.withColumn(group, F.concat_ws("_", *groups))
     if order is None:
-        df, order = df.withColumn("_order", F.monotonically_increasing_id()), "_order"
+        df, order = in_order(df, "_order"), "_order"
     firsts = [F.min_by(F.struct(v), order)[v].alias(v) for v in values]
     wide = df.groupBy(*ids).pivot(group, list(names) if names else None).agg(*firsts)
     if len(values) == 1:
@@ -104,3 +114,8 @@ def preview(df: DataFrame, sort: str = "", descending: bool = False, n: int | No
 def string_lengths(df: DataFrame, column: str, name: str = "length") -> DataFrame:
     """Code points."""
     return df.withColumn(name, F.length(column))
+
+
+def lines(df: DataFrame) -> DataFrame:
+    """Each row as one line of text, its values apart by tabs; null is the word null."""
+    return df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns]).alias("line"))

@@ -96,15 +96,20 @@ def _held(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
     return bars.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
 
 
-def _selected(rows: DataFrame, large: DataFrame, keys: list[str], places: Places) -> DataFrame:
-    """Of each large group, n and the value at each place."""
+def _found(rows: DataFrame, large: DataFrame, keys: list[str], places: Places) -> DataFrame:
+    """Of each large group and place (_place, its name), n and the value _v."""
     state, by = _brackets(large, keys, places), [*keys, "n", "_place", "_rank"]
     for _ in range(PASSES):
         cut = _inside(rows, state, keys).withColumn("_part", _part(F.col("_v"), F.col("_lo"), F.col("_hi")))
         bars = cut.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         state = _held(bars, keys, "_part").select(*keys, "n", "_place", (F.col("_rank") - F.col("_before")).alias("_rank"), "_lo", "_hi")
     left = _inside(rows, state, keys).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    found = _held(left, keys, "_v")
+    return _held(left, keys, "_v").select(*keys, "n", "_place", "_v")
+
+
+def _selected(rows: DataFrame, large: DataFrame, keys: list[str], places: Places) -> DataFrame:
+    """Of each large group, n and the value at each place."""
+    found = _found(rows, large, keys, places)
     return found.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_place") == p, F.col("_v"))).alias(p) for p in places])
 
 
@@ -153,6 +158,24 @@ def with_values_at(df: DataFrame, keys: Sequence[str], value: str, places: Place
     return small.unionByName(_match(rows, _selected(rows, large, by, places), by)).drop("_all", "_v")
 
 
+def values_along(df: DataFrame, value: str, points: int) -> DataFrame:
+    """place (from 0), n and v: of the sorted values that aren't null, those at `points` equal steps from the least to the largest; all, if there are no more."""
+    rows, by = _rows(df, [], value)
+    rows = rows.select(*by, "_v")
+    at = lambda k, n: F.floor(k * (n - 1) / (points - 1) + 0.5)
+
+    def whole(some: DataFrame) -> DataFrame:
+        placed, n, i = _sorted(some, by, {})[0], F.col("n"), F.col("_i")
+        k = F.floor(i * (points - 1) / F.greatest(n - 1, F.lit(1)) + 0.5)  # the only step that may be here
+        return placed.where((n <= points) | (i == at(k, n))).select(i.cast("long").alias("place"), "n", F.col("_v").alias("v"))
+
+    if surely_at_most(df, WHOLE):
+        return whole(rows)
+    large, places = _large(rows, by), {str(k): lambda n, k=k: at(F.lit(k), n) for k in range(points)}
+    found = _found(rows, large, by, places).select(at(F.col("_place").cast("int"), F.col("n")).cast("long").alias("place"), "n", F.col("_v").alias("v"))
+    return whole(_match(rows, large.select(*by), by, "left_anti")).unionByName(found)
+
+
 def median_places() -> Places:
     return {"_low": lower_middle, "_high": upper_middle}
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import inverse_normal
 from .ranks import value_ranks
-from .selection import values_at
+from .selection import values_along, values_at
 
 
 def box_cox_of(x: Column, lam: float) -> Column:
@@ -118,27 +118,38 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         (lo + F.col("bin") * width).alias("left"),
         (lo + (F.col("bin") + 1) * width).alias("right"),
         F.coalesce("count", F.lit(0)).alias("count"),
-        (F.coalesce("count", F.lit(0)) / (F.col("n") * width)).alias("density"),
+        (F.coalesce("count", F.lit(0)) / (F.nullif(F.col("n"), F.lit(0)) * width)).alias("density"),
     )
 
 
 def normal_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     """i, x, density of the normal with the column's mean and population deviation, at equal steps from min to max."""
     x = F.col("lo") + F.col("id") * (F.col("hi") - F.col("lo")) / (points - 1)
-    z = (F.col("x") - F.col("mean")) / F.col("sd")
+    sd = F.nullif(F.col("sd"), F.lit(0.0))  # divided by before the filter, for all that's known
+    z = (F.col("x") - F.col("mean")) / sd
     curve = df.sparkSession.range(points).join(F.broadcast(_span(df, column)))
     return curve.withColumn("x", x).where("sd > 0").select(
-        F.col("id").cast("int").alias("i"), "x", (F.exp(-z * z / 2) / (F.col("sd") * math.sqrt(2 * math.pi))).alias("density")
+        F.col("id").cast("int").alias("i"), "x", (F.exp(-z * z / 2) / (sd * math.sqrt(2 * math.pi))).alias("density")
     )
 
 
+def _filliben(i: Column, n: Column) -> Column:
+    """The normal quantile of the i-th of n order statistics' median."""
+    end = F.pow(F.lit(0.5), 1 / n)
+    return inverse_normal(F.when(i == n, end).when(i == 1, 1 - end).otherwise((i - 0.3175) / (n + 0.365)))
+
+
 def qq_points(df: DataFrame, column: str) -> DataFrame:
     """i, theoretical, sample: normal quantiles of Filliben's medians beside the sorted values."""
     ranked = value_ranks(df.select(column), [], column)
     each = ranked.withColumn("i", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("cnt"))))
-    end = F.pow(F.lit(0.5), 1 / F.col("n"))
-    p = F.when(F.col("i") == F.col("n"), end).when(F.col("i") == 1, 1 - end).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
-    return each.select("i", inverse_normal(p).alias("theoretical"), F.col(column).cast("double").alias("sample"))
+    return each.select("i", _filliben(F.col("i"), F.col("n")).alias("theoretical"), F.col(column).cast("double").alias("sample"))
+
+
+def qq_picked(df: DataFrame, column: str, points: int = 256) -> DataFrame:
+    """At most `points` of qq_points, at equal steps of i, the first and the last among them; found by bracketing, so that no large column is sorted."""
+    picked = values_along(df.select(column), column, points).withColumn("i", F.col("place") + 1)
+    return picked.select("i", _filliben(F.col("i"), F.col("n")).alias("theoretical"), F.col("v").alias("sample"))
 
 
 def qq_line(points: DataFrame) -> DataFrame:
@@ -167,27 +178,15 @@ def box_statistics(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def marks(df: DataFrame, column: str, steps: int = 512) -> DataFrame:
+    """v: of the values beyond the whiskers, the least of each of so many equal steps from min to max; enough for a picture."""
+    v = F.col("v")
+    one = F.broadcast(_span(df, column).select("lo", "hi"))  # one row
+    step = F.floor((v / 2 - F.col("lo") / 2) / F.nullif(F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0)) * steps)
+    return fliers(df, column).join(one).groupBy(step.alias("step")).agg(F.min("v").alias("v")).select("v")
+
+
 def fliers(df: DataFrame, column: str) -> DataFrame:
     """The values beyond the whiskers."""
     one = F.broadcast(box_statistics(df, column))
     return df.select(F.col(column).cast("double").alias("v")).join(one).where("v < whisker_low OR v > whisker_high").select("v")
-
-
-def picture(df: DataFrame, column: str, path: str, points: int = 2000) -> None:
-    """Histogram with normal curve, Q-Q plot (at most about `points` points) and box plot in one file. Needs matplotlib."""
-    import matplotlib
-
-    matplotlib.use("Agg")
-    from matplotlib import pyplot
-
-    bars, curve = histogram(df, column).toPandas(), normal_curve(df, column).toPandas()  # 30 and 100 rows
-    every = max(1, df.where(F.col(column).isNotNull()).count() // points)
-    qq = qq_points(df, column).where((F.col("i") - 1) % every == 0).toPandas()
-    box = box_statistics(df, column).first()
-    figure, (left, middle, right) = pyplot.subplots(1, 3, figsize=(12, 4))
-    left.bar(bars["left"], bars["density"], bars["right"] - bars["left"], align="edge")
-    left.plot(curve["x"], curve["density"], "--")
-    middle.plot(qq["theoretical"], qq["sample"], "o")
-    right.bxp([{"q1": box["q1"], "med": box["median"], "q3": box["q3"], "whislo": box["whisker_low"], "whishi": box["whisker_high"], "fliers": []}])
-    figure.savefig(path)
-    pyplot.close(figure)

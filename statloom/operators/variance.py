@@ -32,19 +32,60 @@ def category_codes(group: Column, categories: Sequence[str] = CATEGORIES) -> Col
     return F.coalesce(*[F.when(group == c, k) for k, c in enumerate(categories)])
 
 
-def _windows(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row for each window: trait_id and g, its groups (in order, at most two) with n, mean and ss. Windows with a group other than P and M are left out."""
+def _summaries(df: DataFrame, value: str, group: str) -> DataFrame:
+    """One row for each window: rows, values (not null), trait_id, groups with values, how many of them are known, whether all values are equal, and g, the known groups (in order, at most two) with n, mean and ss."""
     v = F.col(value).cast("double")
     g = df.groupBy(*WINDOW, group).agg(
-        F.count(v).alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count(v)).alias("ss"), F.min("trait_id").alias("trait_id")
+        F.count(F.lit(1)).alias("rows"),
+        F.count(v).alias("n"),
+        F.avg(v).alias("m"),
+        (F.var_pop(v) * F.count(v)).alias("ss"),
+        F.min(F.when(v.isNotNull(), F.col("trait_id"))).alias("trait_id"),
+        F.min(v).alias("low"),
+        F.max(v).alias("high"),
+    )
+    some = F.col("n") > 0
+    g = g.withColumn("code", F.when(some, category_codes(F.col(group))))
+    only = g.groupBy(*WINDOW).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("n").alias("values"),
+        F.min("trait_id").alias("trait_id"),
+        F.count_if(some).alias("groups"),
+        F.count("code").alias("known"),
+        (F.min("low") == F.max("high")).alias("constant"),
+        *[F.max(F.when(F.col("code") == k, F.struct("n", "m", "ss"))).alias(f"g{k}") for k in range(len(CATEGORIES))],
     )
-    g = g.where("n > 0").withColumn("code", category_codes(F.col(group)))
-    # rows of a window are its groups: with one beyond P and M it's dropped before they're listed
-    only = g.groupBy(*WINDOW).agg(F.min("trait_id").alias("trait_id"), F.count(F.lit(1)).alias("groups"), F.count("code").alias("known"), *[
-        F.max(F.when(F.col("code") == k, F.struct("n", "m", "ss"))).alias(f"g{k}") for k in range(len(CATEGORIES))
-    ])
     listed = F.filter(F.array(*[f"g{k}" for k in reversed(range(len(CATEGORIES)))]), lambda x: x.isNotNull())
-    return only.where(F.col("groups") == F.col("known")).select(*WINDOW, "trait_id", listed.alias("g"))
+    return only.select(*WINDOW, "rows", "values", "trait_id", "groups", "known", "constant", listed.alias("g"))
+
+
+def _windows(df: DataFrame, value: str, group: str) -> DataFrame:
+    """One row for each window with values: trait_id and g. Windows with a group other than P and M are left out; window_reasons names them."""
+    return _summaries(df, value, group).where((F.col("values") > 0) & (F.col("groups") == F.col("known"))).select(*WINDOW, "trait_id", "g")
+
+
+#: Why a window has no result, or only NaN and null in it; the first that holds is given.
+UNLISTED, NO_ROWS, NO_VALUES, UNKNOWN, ONE_GROUP, CONSTANT = "no dictionary row", "no rows", "no values", "unknown group", "one group", "constant"
+
+
+def window_reasons(df: DataFrame, value: str, group: str = "origin", windows: DataFrame | None = None) -> DataFrame:
+    """chra, windowa, rows and reason of each window: null for those with a result.
+
+    windows: a dictionary (chra, windows); its windows without rows are named too, and those beyond it. 'unknown group' and what is above it leave no
+    result; one group gives NaN and a constant null in some columns.
+    """
+    found = _summaries(df, value, group)
+    if windows is not None:
+        listed = windows.where("windows > 0").select(
+            F.col("chra"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("windowa"), F.lit(True).alias("listed")
+        )
+        found = found.join(listed, WINDOW, "full")
+    else:
+        found = found.withColumn("listed", F.lit(True))
+    reason = F.when(F.col("listed").isNull(), UNLISTED).when(F.col("rows").isNull(), NO_ROWS).when(F.col("values") == 0, NO_VALUES).when(
+        F.col("groups") > F.col("known"), UNKNOWN
+    ).when(F.col("groups") == 1, ONE_GROUP).when(F.col("constant"), CONSTANT)
+    return found.select(*WINDOW, F.coalesce("rows", F.lit(0)).alias("rows"), reason.alias("reason"))
 
 
 def _with_anova(g: DataFrame) -> DataFrame:

@@ -256,18 +256,55 @@ SHAPIRO = f"""WITH r AS ({RANKED}), s AS (SELECT *, {QUANTILE("((i - 0.375) / (n
   ELSE pow(a1 * (y1 - x1) + a2 * (y2 - x2) + (mx - c1 * (y1 - x1) - c2 * (y2 - x2)) / sqrt((sq - 2 * c1 * c1 - 2 * c2 * c2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / ss END AS w FROM b)"""
 
 
-@query(SHAPIRO + " SELECT trait_id, n, round(w, 6) AS statistic FROM w")
+def _upper(z: str) -> str:
+    """SQL of the standard normal's probability above z, by Simpson's rule."""
+    end = f"least(abs({z}), 12.0::DOUBLE)"
+    weight = "CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(401), lambda k: ({weight}) * exp(-pow({end} * k / 400, 2) / 2))) * {end} / 1200"
+    return f"(0.5 - sign({z}) * {area} / sqrt(2 * pi()))"
+
+
+#: SQL of W's p-value from w and n (6/pi etc. for three values; Royston's transforms beyond).
+W_PLACE = """CASE WHEN n <= 11 THEN (-ln(0.459 * n - 2.273 - ln(1 - w)) - (((-0.0006714 * n + 0.025054) * n - 0.39978) * n + 0.5440))
+  / exp(((-0.0020322 * n + 0.062767) * n - 0.77857) * n + 1.3822)
+ ELSE (ln(1 - w) - (((0.0038915 * ln(n) - 0.083751) * ln(n) - 0.31082) * ln(n) - 1.5861)) / exp((0.0030302 * ln(n) - 0.082676) * ln(n) - 0.4803) END"""
+W_P = f"""CASE WHEN w >= 1 THEN 1.0 WHEN n = 3 THEN greatest(0.0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))))
+ WHEN n <= 11 AND ln(1 - w) >= 0.459 * n - 2.273 THEN 0.0 ELSE {_upper("z")} END"""
+
+
+def _tested_p(df: DataFrame, *more: str) -> DataFrame:
+    """trait_id, more columns, the statistic and its p-value, rounded; null where the statistic isn't known."""
+    p = F.when(_known("statistic").isNotNull(), _known("pvalue", 6))
+    return df.select("trait_id", *more, _known("statistic", 6).alias("statistic"), p.alias("pvalue"))
+
+
+@query(f"""{SHAPIRO}, p AS (SELECT *, CASE WHEN w < 1 AND n > 3 AND NOT (n <= 11 AND ln(1 - w) >= 0.459 * n - 2.273) THEN {W_PLACE} END AS z FROM w)
+ SELECT trait_id, n, round(w, 6) AS statistic, round(CASE WHEN w IS NOT NULL THEN {W_P} END, 6) AS pvalue FROM p""")
 def s16_shapiro(spark, d):
-    return difference.shapiro(_traits(spark, d), "trait_value").select("trait_id", "n", _known("statistic", 6).alias("statistic"))
+    return _tested_p(difference.shapiro(_traits(spark, d), "trait_value"), "n")
 
 
 U = f"""u AS (SELECT a.trait_id, sum(CASE WHEN a.v > b.v THEN 1.0::DOUBLE WHEN a.v = b.v THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS u
  FROM ({TRAITS}) a JOIN ({TRAITS}) b ON a.trait_id = b.trait_id WHERE a.g = 'P' AND b.g = 'M' GROUP BY 1)"""
 
 
-@query(f"WITH {U} SELECT trait_id, u FROM ({TWO}) LEFT JOIN u USING (trait_id)")
+#: How many of the choices of a of a + b ranks give each U, for all a of at most 8 and b of at most 64 (trait sizes of the tables are below).
+WAYS = """ways AS (SELECT 0 AS a, 0 AS b, 0 AS u, 1.0::DOUBLE AS c, 0 AS s UNION ALL
+ SELECT a, b, u, sum(c) AS c, s FROM (SELECT a + 1 AS a, b, u + b AS u, c, s + 1 AS s FROM ways WHERE a < 8 AND s < 72 UNION ALL
+  SELECT a, b + 1, u, c, s + 1 FROM ways WHERE b < 64 AND s < 72) GROUP BY a, b, u, s)"""
+RANK_P = f"""RECURSIVE {U}, {WAYS},
+ tie AS (SELECT trait_id, sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT trait_id, v, count(*) AS t FROM ({TRAITS}) GROUP BY 1, 2) GROUP BY 1),
+ two AS (SELECT trait_id, n1, n2, ties, u, greatest(u, n1 * n2 - u) AS top, n1 + n2 AS n FROM ({TWO}) JOIN tie USING (trait_id) LEFT JOIN u USING (trait_id)),
+ exact AS (SELECT trait_id, 2 * sum(c) FILTER (ways.u >= ceil(top)) / sum(c) AS p FROM two JOIN ways ON a = least(n1, n2) AND b = greatest(n1, n2)
+  WHERE least(n1, n2) <= 8 AND ties = 0 AND two.u IS NOT NULL GROUP BY 1),
+ scale AS (SELECT *, n1 * n2 / 12.0::DOUBLE * (n + 1 - ties / (n * (n - 1))) AS var FROM two WHERE u IS NOT NULL),
+ place AS (SELECT *, CASE WHEN var > 0 AND NOT (least(n1, n2) <= 8 AND ties = 0) THEN (top - n1 * n2 / 2.0::DOUBLE - 0.5) / sqrt(var) END AS z FROM scale),
+ up AS (SELECT trait_id, least(1.0, CASE WHEN z IS NOT NULL THEN 2 * {_upper("z")} ELSE p END) AS u_p FROM place LEFT JOIN exact USING (trait_id))"""
+
+
+@query(f"WITH {RANK_P} SELECT trait_id, u AS statistic, round(u_p, 6) AS pvalue FROM two LEFT JOIN up USING (trait_id)")
 def s17_mann_whitney(spark, d):
-    return difference.mann_whitney(_traits(spark, d), "trait_value").select("trait_id", _known("statistic").alias("u"))
+    return _tested_p(difference.mann_whitney(_traits(spark, d), "trait_value"))
 
 
 def _t_p(t: str, df: str) -> str:
@@ -319,21 +356,23 @@ def s19a_levene(spark, d):
     return out.select("trait_id", _known("statistic", 5).alias("f"), F.when(_known("statistic").isNotNull(), _known("pvalue", 6)).alias("pvalue"))
 
 
-@query(f"""SELECT trait_id, round(CASE WHEN n1 > 1 AND n2 > 1 AND v1 > 0 AND v2 > 0 THEN
+@query(f"""WITH b AS (SELECT trait_id, CASE WHEN n1 > 1 AND n2 > 1 AND v1 > 0 AND v2 > 0 THEN
  ((n1 + n2 - 2) * ln(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) - (n1 - 1) * ln(v1) - (n2 - 1) * ln(v2))
- / (1 + (1.0 / (n1 - 1) + 1.0 / (n2 - 1) - 1.0 / (n1 + n2 - 2)) / 3) END, 6) AS t FROM ({TWO})""")
+ / (1 + (1.0 / (n1 - 1) + 1.0 / (n2 - 1) - 1.0 / (n1 + n2 - 2)) / 3) END AS t FROM ({TWO}))
+ SELECT trait_id, round(t, 6) AS statistic, round(CASE WHEN t IS NOT NULL THEN 2 * {_upper("sqrt(greatest(t, 0))")} END, 6) AS pvalue FROM b""")
 def s19b_bartlett(spark, d):
-    return difference.bartlett(_traits(spark, d), "trait_value").select("trait_id", _known("statistic", 6).alias("t"))
+    return _tested_p(difference.bartlett(_traits(spark, d), "trait_value"))
 
 
 @query(f"""WITH {DISTANCES}, r AS (SELECT *, rank() OVER (PARTITION BY trait_id ORDER BY z) + (count(*) OVER (PARTITION BY trait_id, z) - 1) / 2 AS r,
   count(*) OVER (PARTITION BY trait_id) AS n FROM z),
  a AS (SELECT trait_id, g, {QUANTILE("(0.5 + r / (2 * (n + 1)))")} AS a FROM r),
  b AS (SELECT trait_id, g, count(a) AS c, sum(a) AS s, sum(a * a) AS q FROM a GROUP BY 1, 2),
- c AS (SELECT trait_id, count(*) AS k, sum(c) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / c) AS b FROM b GROUP BY 1)
- SELECT trait_id, round(CASE WHEN k = 2 THEN (b - s * s / n) / nullif((q - s * s / n) / (n - 1), 0) END, 6) AS statistic FROM c""")
+ c AS (SELECT trait_id, count(*) AS k, sum(c) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / c) AS b FROM b GROUP BY 1),
+ x AS (SELECT trait_id, CASE WHEN k = 2 THEN (b - s * s / n) / nullif((q - s * s / n) / (n - 1), 0) END AS x FROM c)
+ SELECT trait_id, round(x, 6) AS statistic, round(CASE WHEN x IS NOT NULL THEN 2 * {_upper("sqrt(greatest(x, 0))")} END, 6) AS pvalue FROM x""")
 def s19c_fligner(spark, d):
-    return difference.fligner(_traits(spark, d), "trait_value").select("trait_id", _known("statistic", 6).alias("statistic"))
+    return _tested_p(difference.fligner(_traits(spark, d), "trait_value"))
 
 
 #: Whether W's p-value is above 0.05, as a bound on its transform (6/pi etc. for three values); -1.6448536269514722 is the normal quantile of 0.05.
@@ -341,19 +380,19 @@ NORMAL = """CASE WHEN w >= 1 THEN true WHEN n = 3 THEN 6 / pi() * (asin(sqrt(w))
  WHEN n <= 11 THEN ln(1 - w) < 0.459 * n - 2.273 AND (-ln(0.459 * n - 2.273 - ln(1 - w)) - (((-0.0006714 * n + 0.025054) * n - 0.39978) * n + 0.5440))
   / exp(((-0.0020322 * n + 0.062767) * n - 0.77857) * n + 1.3822) < 1.6448536269514722
  ELSE (ln(1 - w) - (((0.0038915 * ln(n) - 0.083751) * ln(n) - 0.31082) * ln(n) - 1.5861)) / exp((0.0030302 * ln(n) - 0.082676) * ln(n) - 0.4803) < 1.6448536269514722 END"""
-ROUTED = f"""WITH shapiro AS ({SHAPIRO} SELECT * FROM w), spread AS (WITH {LEVENE} SELECT * FROM l), {U}, {STUDENT}, {WELCH},
+ROUTED = f"""WITH {RANK_P}, shapiro AS ({SHAPIRO} SELECT * FROM w), spread AS (WITH {LEVENE} SELECT * FROM l), {STUDENT}, {WELCH},
  equal AS (SELECT trait_id, f IS NOT NULL AND {_t_p("sqrt(f)", "(n - 2)")} > 0.05 AS same FROM spread),
  route AS (SELECT trait_id, {NORMAL} AS normal, coalesce(same, false) AS same FROM shapiro JOIN equal USING (trait_id) WHERE w IS NOT NULL)"""
 
 
 @query(f"""{ROUTED} SELECT trait_id, CASE WHEN NOT normal THEN 'MannwhitneyU-test' WHEN same THEN 'T-test' ELSE 'Welchs-test' END AS method,
  round(CASE WHEN NOT normal THEN u WHEN same THEN s.t ELSE w.t END, 6) AS statistic,
- round(CASE WHEN NOT normal THEN NULL WHEN same THEN {_t_p("s.t", "s.df")} ELSE {_t_p("w.t", "w.df")} END, 6) AS t_pvalue
- FROM route LEFT JOIN u USING (trait_id) JOIN s USING (trait_id) JOIN w USING (trait_id)""")
+ round(CASE WHEN NOT normal THEN u_p WHEN same THEN {_t_p("s.t", "s.df")} ELSE {_t_p("w.t", "w.df")} END, 6) AS pvalue
+ FROM route LEFT JOIN u USING (trait_id) LEFT JOIN up USING (trait_id) JOIN s USING (trait_id) JOIN w USING (trait_id)""")
 def s19d_difference_test(spark, d):
     out = difference.difference_test(_traits(spark, d), "trait_value")
-    p = F.when((F.col("method") != "MannwhitneyU-test") & _known("statistic").isNotNull(), _known("pvalue", 6))
-    return out.select("trait_id", "method", _known("statistic", 6).alias("statistic"), p.alias("t_pvalue"))
+    p = F.when(_known("statistic").isNotNull(), _known("pvalue", 6))
+    return out.select("trait_id", "method", _known("statistic", 6).alias("statistic"), p.alias("pvalue"))
 
 
 @query(f"""WITH {STUDENT}, p AS (SELECT trait_id, CASE WHEN t IS NOT NULL THEN {_t_p("t", "df")} END AS p FROM s)
@@ -437,6 +476,31 @@ def s21b_windows(spark, d):
     return _digits(variance.anova(variance.windows_of(_windows(spark, d), sizes, 2), "v"))
 
 
+REASONS = """WITH e AS (SELECT l_linenumber AS chra, month(l_shipdate)::INT AS windowa,
+  CASE WHEN l_linenumber = 6 AND month(l_shipdate) = 2 THEN l_returnflag WHEN l_linenumber = 1 AND month(l_shipdate) = 3 THEN 'P' WHEN l_orderkey % 2 = 0 THEN 'M' ELSE 'P' END AS g,
+  CASE WHEN l_linenumber = 5 AND month(l_shipdate) = 3 THEN 1.0::DOUBLE WHEN l_linenumber = 4 AND month(l_shipdate) = 4 THEN NULL ELSE l_extendedprice END AS v FROM lineitem),
+ d AS (SELECT range::INT AS chra, 10 AS windows FROM range(1, 7)),
+ w AS (SELECT chra, windowa, count(*) AS n, count(v) AS k, count(DISTINCT g) FILTER (v IS NOT NULL) AS groups,
+  bool_or(g NOT IN ('P', 'M')) FILTER (v IS NOT NULL) AS other, min(v) = max(v) AS same FROM e GROUP BY 1, 2),
+ x AS (SELECT chra, unnest(range(windows))::INT AS windowa FROM d),
+ a AS (SELECT coalesce(w.chra, x.chra) AS chra, coalesce(w.windowa, x.windowa) AS windowa, x.chra IS NOT NULL AS listed, n, k, groups, other, same
+  FROM w FULL JOIN x ON w.chra = x.chra AND w.windowa = x.windowa)
+ SELECT chra, windowa, coalesce(n, 0) AS rows, CASE WHEN NOT listed THEN 'no dictionary row' WHEN n IS NULL THEN 'no rows' WHEN k = 0 THEN 'no values'
+  WHEN other THEN 'unknown group' WHEN groups = 1 THEN 'one group' WHEN same THEN 'constant' END AS reason FROM a"""
+
+
+@query(REASONS)
+def s21c_window_reasons(spark, d):
+    """All windows of lineitem, some of them spoilt, with why they have no result."""
+    c, m = F.col("chra"), F.col("windowa")
+    flags = _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("chra"), F.month("l_shipdate").alias("windowa"), F.lit(1).alias("trait_id"),
+        F.when((F.col("l_linenumber") == 6) & (F.month("l_shipdate") == 2), F.col("l_returnflag")).when(
+            (F.col("l_linenumber") == 1) & (F.month("l_shipdate") == 3), "P").otherwise(origin(F.col("l_orderkey"))).alias("origin"), F.col("l_extendedprice").alias("v"))
+    v = F.when((c == 5) & (m == 3), 1.0).when((c == 4) & (m == 4), None).otherwise(F.col("v"))
+    sizes = spark.createDataFrame([(k, 10) for k in range(1, 7)], "chra int, windows int")
+    return variance.window_reasons(flags.withColumn("v", v), "v", windows=sizes)
+
+
 @query("SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 END AS code, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def s12b_codes(spark, d):
     code = variance.category_codes(F.col("l_returnflag"), ("A", "R"))
@@ -445,15 +509,28 @@ def s12b_codes(spark, d):
 
 @query("SELECT n_nationkey AS chra, n_regionkey AS windows FROM nation")
 def s04c_dictionary(spark, d):
-    lines = _t(spark, d, "nation").select(F.concat_ws(" ", "n_nationkey", "n_regionkey").alias("value"), F.lit(1).alias("at"))
-    junk = lines.select(F.concat("value", F.lit(" x")).alias("value"), "at")
-    return tables.parse_windows(lines.unionByName(junk))
+    """A text file with a line for each nation, and lines that don't count: other words, an earlier line of the same chromosome."""
+    at = sinks.scratch(spark, "dictionary")
+    two = lambda x: F.concat_ws(" ", "n_nationkey", x)
+    lines = F.explode(F.array(two(F.col("n_regionkey") + 7), two(F.lit("x")), F.concat(two("n_regionkey"), F.lit(" 9")), two("n_regionkey")))
+    _t(spark, d, "nation").select(lines.alias("value")).coalesce(1).write.text(at)
+    return tables.read_windows(spark, at)
+
+
+SINGLE = "SELECT '{0}' AS name, CASE WHEN count(DISTINCT {1}) = 1 AND count({1}) = count(*) THEN min({1})::VARCHAR END AS value FROM lineitem"
 
 
-@query("SELECT DISTINCT l_linenumber AS value FROM lineitem WHERE l_linenumber = 2")
+@query(" UNION ALL ".join(SINGLE.format(*x) for x in (("flag", "l_returnflag"), ("letters", "length(l_linestatus)"), ("line", "l_linenumber"))))
 def s15b_single_value(spark, d):
-    one = describe.single_value(_t(spark, d, "lineitem").where("l_linenumber = 2"), "l_linenumber")
-    return spark.createDataFrame([(one,)], "value int")
+    """The single value of each of three columns of all line items, null where a column has several."""
+    t, out = _t(spark, d, "lineitem"), []
+    t = t.select(F.col("l_returnflag").alias("flag"), F.length("l_linestatus").alias("letters"), F.col("l_linenumber").alias("line"))
+    for name in t.columns:
+        try:
+            out.append((name, str(describe.single_value(t, name))))
+        except ValueError:
+            out.append((name, None))
+    return spark.createDataFrame(out, "name string, value string")
 
 
 BOX_COX = """WITH RECURSIVE x AS (SELECT event_id, value, CASE WHEN (SELECT min(value) FROM events) > 0 THEN value ELSE value - (SELECT min(value) FROM events) + 1e-6 END AS x FROM events),
@@ -499,6 +576,19 @@ def s24_long_to_wide(spark, d):
     return rows.long_to_wide(n, ["n_regionkey"], ["g"], ["n_name"], order="n_nationkey", names=[0, 1, 2])
 
 
+FIRSTS = "arg_min(o_totalprice, (o_orderkey % 3 = 0)::INT * 1000000000000 + o_orderkey) FILTER (o_orderstatus = '{0}') AS \"{0}\""
+
+
+@query("SELECT o_custkey, " + ", ".join(FIRSTS.format(x) for x in "FOP") + " FROM orders GROUP BY 1")
+def s24b_pivot_of_files(spark, d):
+    """The first price of each customer and status, in the order of two files (the longer one first) and of their rows."""
+    at, orders = sinks.scratch(spark, "pivot"), _t(spark, d, "orders")
+    third = F.coalesce(F.col("o_orderkey") % 3 == 0, F.lit(False))
+    paths = [sinks.write(orders.where(part), f"{at}/{name}", sort=["o_orderkey"]) for name, part in (("b", ~third), ("a", third))]
+    both = tables.scan_many(spark, paths, order="at")
+    return rows.long_to_wide(both, ["o_custkey"], ["o_orderstatus"], ["o_totalprice"], order="at", names=["F", "O", "P"])
+
+
 @query("""WITH s AS (SELECT min(value) AS lo, (max(value) - min(value)) / 30 AS w, count(value) AS n FROM events),
  c AS (SELECT least(floor((value - lo) / w), 29)::INT AS bin, count(*) AS count FROM events, s WHERE value IS NOT NULL GROUP BY 1)
  SELECT range::INT AS bin, coalesce(count, 0)::BIGINT AS count, round(coalesce(count, 0) / (n * w), 8) AS density FROM range(30), s LEFT JOIN c ON range = bin""")
@@ -519,6 +609,15 @@ def s25c_qq_points(spark, d):
     return _rounded(shape.qq_points(_t(spark, d, "events"), "value"), 8)
 
 
+@query(f"""WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS place, count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
+ k AS (SELECT DISTINCT CASE WHEN n <= 256 THEN range ELSE floor(range * (n - 1) / 255.0::DOUBLE + 0.5)::BIGINT END AS place FROM range(256), (SELECT max(n) AS n FROM r)),
+ p AS (SELECT place + 1 AS i, value, CASE WHEN place + 1 = n THEN pow(0.5, 1.0 / n) WHEN place = 0 THEN 1 - pow(0.5, 1.0 / n)
+  ELSE (place + 1 - 0.3175) / (n + 0.365) END::DOUBLE AS p FROM r JOIN k USING (place))
+ SELECT i, round({sql_quantile("p")}, 8) AS theoretical, round(value, 8) AS sample FROM p""")
+def s25c_qq_picked(spark, d):
+    return _rounded(shape.qq_picked(_t(spark, d, "events"), "value"), 8)
+
+
 @query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS q3 FROM events)
  SELECT round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
  max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
@@ -533,6 +632,11 @@ def s26_preview(spark, d):
     return rows.preview(_t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), "o_orderdate, o_orderkey", True, 25)
 
 
+@query("SELECT concat_ws(chr(9), o_orderkey, coalesce(o_orderstatus, 'null'), coalesce(o_totalprice::VARCHAR, 'null')) AS line FROM orders")
+def s08_console_lines(spark, d):
+    return rows.lines(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+
+
 @query("SELECT * FROM nation ORDER BY n_name DESC LIMIT 5")
 def s26b_sort_by_map(spark, d):
     n = _t(spark, d, "nation").withColumn("m", F.create_map(F.lit("name"), F.col("n_name")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import warnings
 from collections.abc import Sequence
 
@@ -33,9 +35,11 @@ def same_schema(frames: Sequence[DataFrame]) -> None:
             raise ValueError(f"schemas differ: {kinds[0]} and {k}")
 
 
-def scan_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def scan_many(spark: SparkSession, paths: Sequence[str], order: str | None = None) -> DataFrame:
     """The files that exist, as one table; a warning for each that doesn't, ValueError if none does or schemas differ.
 
+    order: the name of a column to add that orders rows by the place of their path in the list, file and row number, whatever the splits that are read.
+
     Tasks read the footers, whatever the number of files; the message names some of the files that differ from the first.
     """
     known = footers.read(spark, paths).persist()  # a row for each file
@@ -50,7 +54,15 @@ def scan_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             raise ValueError("schemas differ: " + "; ".join(f"{r['file']} has {r['found']} in the place of {r['expected']}" for r in wrong))
     finally:
         known.unpersist()
-    return spark.read.parquet(*[p for p in dict.fromkeys(paths) if p in there])
+    paths = [p for p in dict.fromkeys(paths) if p in there]
+    df = spark.read.parquet(*paths)
+    if order is None:
+        return df
+    plain = lambda p: re.sub("^file:/+", "/", spark._jvm.org.apache.hadoop.fs.Path(p).toUri().toString())
+    places = F.from_json(F.lit(json.dumps({plain(p).rstrip("/"): k for k, p in enumerate(paths)})), "map<string,int>")
+    file, top = F.regexp_replace("_metadata.file_path", "^file:/+", "/"), lambda f: F.regexp_replace(f, "/[^/]*$", "")
+    place = F.coalesce(F.try_element_at(places, file), F.try_element_at(places, top(file)), F.lit(len(paths)))
+    return df.withColumn(order, F.struct(place.alias("place"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
 def parse_windows(lines: DataFrame) -> DataFrame:

@@ -239,3 +239,83 @@ def test_box_cox_on_a_summary(spark):
         assert llf(lam) >= max(llf(lam - 1e-4), llf(lam + 1e-4))
     out, lam = shape.box_cox(spark.createDataFrame([(1.0,), (2.0,), (5.0,), (math.nan,), (math.inf,), (None,)], "v double"), "v", digits=2)
     assert lam == round(lam, 2) and out.where("v_boxcox IS NULL").count() == 1
+
+
+def test_pictures(spark, tmp_path):
+    """Both formats are whole files with all bars, points and texts; endings and sizes are kept to."""
+    import re
+    import xml.etree.ElementTree as tree
+    import zlib
+
+    from statloom.operators import figure
+
+    df = spark.range(3000).select((F.randn(4) * 3 + 10).alias("v")).unionByName(spark.createDataFrame([(90.0,), (math.nan,), (None,)], "v double"))
+    path = figure.draw(df, "v", str(tmp_path / "deep" / "one.svg"), "A & B <1>", 9, 4)
+    root = tree.parse(path).getroot()
+    count = lambda tag: len(root.findall(f"{{http://www.w3.org/2000/svg}}{tag}"))
+    assert root.get("width") == "648pt" and root.get("height") == "288pt" and count("circle") >= 256
+    bars = [p for p in root.iter() if p.get("fill") == figure.BAR]
+    assert len(bars) == 30 and "A & B <1>" in [t.text for t in root.iter() if t.tag.endswith("text")]
+    path = figure.draw(df, "v", str(tmp_path / "two"), "plain (title)")
+    assert path.endswith("two.pdf")
+    raw = (tmp_path / "two.pdf").read_bytes()
+    start = int(re.search(rb"startxref\n(\d+)", raw)[1])
+    assert raw[start : start + 4] == b"xref"
+    for k, place in enumerate(re.findall(rb"(\d{10}) 00000 n", raw), 1):
+        assert raw[int(place) :].startswith(f"{k} 0 obj".encode())
+    size = int(re.search(rb"/Length (\d+)", raw)[1])
+    ops = zlib.decompress(raw[raw.index(b"stream\n") + 7 :][:size]).decode("latin-1")
+    assert "(plain \\(title\\)) Tj" in ops and ops.count(" c ") >= 3 * 256 and b"/MediaBox [0 0 864 720]" in raw
+    with pytest.raises(ValueError, match="png"):
+        figure.draw(df, "v", str(tmp_path / "three.png"))
+    for few in (df.where("v IS NULL"), spark.createDataFrame([(5.0,)], "v double")):  # nothing to draw, one value
+        tree.parse(figure.draw(few, "v", str(tmp_path / "four.svg")))
+    assert figure.ticks(0, 1) == pytest.approx([0, 0.2, 0.4, 0.6, 0.8, 1.0]) and figure.ticks(3, 3) == [3]
+
+
+def test_picked_points(spark, monkeypatch):
+    df = spark.range(5000).select(F.pow(F.col("id").cast("double"), 2).alias("v")).repartition(4)
+    whole = {r["i"]: tuple(r) for r in shape.qq_points(df, "v").collect()}
+    for most in (1 << 20, 100):
+        monkeypatch.setattr(selection, "WHOLE", most)
+        got = shape.qq_picked(df, "v", 64).orderBy("i").collect()
+        assert len(got) == 64 and got[0]["i"] == 1 and got[-1]["i"] == 5000
+        assert all(tuple(r) == pytest.approx(whole[r["i"]]) for r in got)
+        assert shape.qq_picked(df.limit(10), "v", 64).count() == 10
+
+
+def test_first_in_file_order(spark, tmp_path):
+    """A pivot over files whose splits are read out of order: a short file comes first by name and is read last, and files are split."""
+    part = lambda name, rows: sinks.write(spark.createDataFrame(rows, "id int, g string, v long").coalesce(1), str(tmp_path / name), one_file=True)
+    short, long_ = part("a", [(1, "x", 1), (2, "x", 2)]), part("b", [(k % 5, "x", 1000 + k) for k in range(60_000)])
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        both = spark.read.parquet(short, long_)
+        assert both.withColumn("at", F.monotonically_increasing_id()).select(F.min_by("v", "at")).first()[0] != 1  # the order of reading is another
+        from statloom.operators import rows as reshape
+
+        got = {r["id"]: r["x"] for r in reshape.long_to_wide(both, ["id"], ["g"], ["v"]).collect()}
+        assert got == {0: 1000, 1: 1, 2: 2, 3: 1003, 4: 1004}
+        for order, one in (([short, long_], 1), ([long_, short], 1001)):
+            listed = tables.scan_many(spark, order, order="at")
+            got = {r["id"]: r["x"] for r in reshape.long_to_wide(listed, ["id"], ["g"], ["v"], order="at").collect()}
+            assert got[1] == one and got[0] == 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_window_reasons(spark):
+    from statloom.operators import variance
+
+    rows = [(1, 0, g, v) for g, v in (("P", 1.0), ("M", 2.0), ("P", 3.0))] + [(1, 1, "X", 1.0), (1, 1, "P", 2.0)] + [(1, 2, "P", 1.0), (1, 2, "X", None)]
+    rows += [(1, 3, "P", 2.0), (1, 3, "M", 2.0)] + [(1, 4, "P", None)] + [(1, 9, "P", 1.0)] + [(7, 0, "P", 1.0)]
+    df = spark.createDataFrame([(c, w, 1, g, v) for c, w, g, v in rows], "chra int, windowa int, trait_id int, origin string, v double")
+    sizes = spark.createDataFrame([(1, 6), (2, 1), (3, 0)], "chra int, windows int")
+    got = {(r["chra"], r["windowa"]): (r["rows"], r["reason"]) for r in variance.window_reasons(df, "v", windows=sizes).collect()}
+    assert got == {
+        (1, 0): (3, None), (1, 1): (2, "unknown group"), (1, 2): (2, "one group"), (1, 3): (2, "constant"), (1, 4): (1, "no values"),
+        (1, 5): (0, "no rows"), (2, 0): (0, "no rows"), (1, 9): (1, "no dictionary row"), (7, 0): (1, "no dictionary row"),
+    }
+    done = {(r["chra"], r["windowa"]) for r in variance.anova(df, "v").collect()}
+    assert done == {k for k, (n, reason) in got.items() if n and reason in (None, "one group", "constant", "no dictionary row")}
