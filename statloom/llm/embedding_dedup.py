@@ -1,8 +1,8 @@
 """Embedding near-dedup: navigable small-world graphs per shard, every shard queried, links verified by cosine, components joined.
 
 Vectors are compared where labels and lengths are equal. Equal ones (128-bit digests) are one class with a weight. A
-label's classes are dealt by digest to as many shards as keep one below SHARD_BYTES; small labels share shards, each with graphs of
-its own. A task builds a shard's graphs and writes them to one file of the shared folder.
+label's classes are dealt by digest to as many shards as keep one below SHARD_BYTES, and a task writes a shard's graph to a file of the
+shared folder. Labels of one shard are dealt to tasks in small groups, each with graphs of its own, and answered where they're built.
 
 While a graph is built, a class within half of the linking angle of a node joins that node's ball, so members of a ball are all linked with each
 other, and a group of near copies is a few nodes however large it is. The layers of the graph are prefixes of its nodes, which come in random order.
@@ -37,7 +37,7 @@ from . import shared
 from .components import components
 
 COSINE = 0.93
-SHARD_BYTES, ACROSS, SHARED = 8 << 20, 8, 8  # of a shard's vectors as doubles; shards that a tile is held against; a shard of small labels is that much smaller
+SHARD_BYTES, ACROSS, SHARED = 8 << 20, 8, 64  # of a shard's vectors as doubles; shards that a tile is held against; groups of small labels for SHARD_BYTES
 WIDTH, FAN, BUILD, BEAM = 32, 16, 48, 32  # links of a node, nodes of a layer for one of the next, beams of building and of asking
 BATCH, AT_ONCE = 256, 4  # queries walked together; nodes opened in one step
 ASKED, AUDIT = 64, 0.99  # queries of an audit, and the share of what is in reach that has to be found
@@ -338,15 +338,19 @@ def forest(pairs: np.ndarray, n: int) -> np.ndarray:
     return pairs[keep]
 
 
-NODES = "cid long, leader long, h1 long, h2 long, least long, weight long, ball long"
+NODES = "cid long, leader long, h1 long, h2 long, least long, weight long, ball long, links long"
 
 
-def _build(at: str, half: float):
-    """Writes a shard's graphs, one for each label and length, and gives a row for each class."""
+def _build(at: str, cosine: float, alone: int):
+    """Gives a row for each class of a shard's graphs, one for each label and length. Shards below `alone` hold all of their labels: links are counted
+    at once, and edges follow as rows with only cid and leader. Others are written to a file."""
+    half = math.acos(cosine) / 2 - SLACK
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("h1", "ascending"), ("h2", "ascending")])  # random, and the same when a task runs again
         cell, held, rows, done = key[0].as_py(), {}, [], 0
+        kinds = [pa.int64()] * len(NODES.split(", "))
+        names = [c.split()[0] for c in NODES.split(", ")]
         group = table["space"].to_numpy()
         for k, space in enumerate(np.unique(group)):
             part = table.filter(pa.array(group == space))
@@ -356,14 +360,23 @@ def _build(at: str, half: float):
             ids = (cell * PLACE) + done + np.arange(len(part))
             whole = graph.arrays() | {"x": raw.astype(np.float32) if pa.types.is_float32(lists.type.value_type) else raw}
             whole |= {"weight": part["weight"].to_numpy(), "first": np.array([cell * PLACE + done]), "space": np.array([space])}
-            held |= {f"{k}/{name}": x for name, x in whole.items()}
             ball = np.bincount(graph.ball, minlength=graph.n)[graph.ball]
-            columns = [pa.array(ids), pa.array(ids[graph.nodes[graph.ball]]), *(part[c].combine_chunks() for c in ("h1", "h2", "least", "weight")), pa.array(ball)]
-            rows.append(pa.Table.from_arrays(columns, names=[c.split()[0] for c in NODES.split(", ")]))
+            links, edges = np.zeros(len(part), np.int64), np.zeros((0, 2), np.int64)
+            if cell < alone:
+                stored = Stored(whole)
+                links, edges, _ = links_between(stored, stored, cosine)
+                links, edges = links - 1, ids[graph.nodes[forest(edges, graph.n)]]
+            else:
+                held |= {f"{k}/{name}": x for name, x in whole.items()}
+            columns = [ids, ids[graph.nodes[graph.ball]], *(part[c].combine_chunks() for c in ("h1", "h2", "least", "weight")), ball, links]
+            rows.append(pa.Table.from_arrays([pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in columns], names=names))
+            blank = [pa.array(edges[:, 0]), pa.array(edges[:, 1]), *(pa.nulls(len(edges), kind) for kind in kinds[2:])]
+            rows.append(pa.Table.from_arrays(blank, names=names))
             done += len(part)
-        file = io.BytesIO()
-        np.savez(file, **held)
-        shared.put(f"{at}/{cell}", [file.getvalue()])
+        if held:
+            file = io.BytesIO()
+            np.savez(file, **held)
+            shared.put(f"{at}/{cell}", [file.getvalue()])
         return pa.concat_tables(rows)
 
     return run
@@ -448,19 +461,16 @@ def linked(
     alone = F.col("base") + F.pmod(F.col("h2"), F.col("k"))
     cell = F.coalesce(alone, F.pmod(F.xxhash64("space"), F.lit(max(shared_cells, 1))))
     dealt = classes.join(F.broadcast(start), "space", "left").withColumn("cell", cell).drop("base", "k")
-    half = math.acos(cosine) / 2 - SLACK
-    nodes = shared.saved(dealt.repartition(max(_parts(spark), min(done, 1 << 16)), "cell").groupBy("cell").applyInArrow(_build(f"{at}/shards", half), NODES), f"{at}/nodes")
-
-    held = nodes.select(F.floor(F.col("cid") / PLACE).alias("cell")).where(F.col("cell") < shared_cells).distinct()
-    tiles = held.select("cell", F.col("cell").alias("first"), (F.col("cell") + 1).alias("end"))
-    across = start.select(F.explode(F.sequence(F.col("base"), F.col("base") + F.col("k") - 1)).alias("cell"), "base", "k")
-    across = across.select("cell", "base", "k", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("k") - 1, F.lit(ACROSS))).alias("first"))
-    tiles = tiles.unionByName(across.select("cell", "first", F.least(F.col("first") + ACROSS, F.col("base") + F.col("k")).alias("end")))
-    tiles = shared.saved(tiles, f"{at}/tiles")
+    built = dealt.repartition(max(_parts(spark), min(done, 1 << 16)), "cell").groupBy("cell").applyInArrow(_build(f"{at}/shards", cosine, shared_cells), NODES)
+    built = shared.saved(built, f"{at}/built")
+    nodes, near = built.where("h1 IS NOT NULL"), built.where("h1 IS NULL").select(F.col("cid").alias("u"), F.col("leader").alias("v"))
+    tiles = start.select(F.explode(F.sequence(F.col("base"), F.col("base") + F.col("k") - 1)).alias("cell"), "base", "k")
+    tiles = tiles.select("cell", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("k") - 1, F.lit(ACROSS))).alias("first"), "base", "k")
+    tiles = shared.saved(tiles.select("cell", "first", F.least(F.col("first") + ACROSS, F.col("base") + F.col("k")).alias("end")), f"{at}/tiles")
     found = tiles.repartition(max(_parts(spark), min(tiles.count(), 1 << 16)), "cell", "first").mapInPandas(_tiles(f"{at}/shards", cosine), "u long, v long, n long")
     found = shared.saved(found, f"{at}/found")
 
-    joined = components(found.where("v IS NOT NULL").select("u", "v"))
+    joined = components(found.where("v IS NOT NULL").select("u", "v").unionByName(near))
     balls = nodes.where("cid = leader").select("leader", "ball").join(joined.select(F.col("u").alias("leader"), F.col("v").alias("comp")), "leader", "left")
     balls = balls.withColumn("comp", F.coalesce("comp", "leader"))
     total = nodes.count()
@@ -468,7 +478,7 @@ def linked(
     named = shared.saved(_with(nodes.drop("ball"), balls, ["leader"], "ball", max(total // 4096, 256)), f"{at}/named")
     least = shared.saved(named.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), f"{at}/least")
     named = _with(named, least, ["comp"], "members", max(total // 4096, 256)).join(links, "cid", "left")
-    named = shared.saved(named.select(*same, "weight", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), f"{at}/answers")
+    named = shared.saved(named.select(*same, "weight", "component_id", (F.col("links") + F.coalesce("n_links", F.lit(0))).alias("n_links")), f"{at}/answers")
     wanted = rows.where("h1 IS NOT NULL").select("vec_id", *same)
     out = _with(wanted, named, same, "weight", max((nodes.agg(F.sum("weight")).first()[0] or 0) // 4096, 256)).select("vec_id", "n_links", "component_id")
     rest = rows.where("h1 IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
