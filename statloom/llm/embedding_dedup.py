@@ -9,7 +9,7 @@ other, and a group of near copies is a few nodes however large it is. The layers
 
 Every shard of a label is then queried with the nodes of every other one and with its own: a tile is a shard and a few shards that it's held against, read
 from their files; no vector is shuffled again. A query's beam is widened while it's full of nodes in reach. Of each pair
-of shards some queries are compared with all nodes: where less than AUDIT of what is in reach (and of the two nearest) was found, beams
+of shards some queries are compared with all nodes: where less than AUDIT of what is in reach, or beyond it by less than BEYOND, was found, beams
 are doubled and all queries asked again; a graph that no beam searches well enough is read whole. Of two balls in reach, those wholly within the linking
 angle (by the triangle inequality) are linked as a whole; of the others the members' cosines are computed in double precision. So links are counted and
 never listed: a tile gives the number of links of each class, and a spanning forest of the links between balls, whose components
@@ -40,7 +40,7 @@ COSINE = 0.93
 SHARD_BYTES, ACROSS, SHARED = 8 << 20, 8, 64  # of a shard's vectors as doubles; shards that a tile is held against; groups of small labels for SHARD_BYTES
 WIDTH, FAN, BUILD, BEAM = 32, 16, 48, 32  # links of a node, nodes of a layer for one of the next, beams of building and of asking
 BATCH, AT_ONCE = 256, 4  # queries walked together; nodes opened in one step
-ASKED, AUDIT = 64, 0.99  # queries of an audit, and the share of what is in reach that has to be found
+ASKED, AUDIT, BEYOND = 256, 0.99, 0.2  # queries of an audit, the share of what is near that has to be found, and an angle that widens the reach for it
 SLACK, EXACT = 1e-6, 1e-12  # angles nearer than SLACK to a bound are decided by cosines, cosines nearer than EXACT by exact sums
 PLACE = 1 << 24  # classes of a shard, at most
 
@@ -246,11 +246,11 @@ def scaled(raw: np.ndarray) -> np.ndarray:
 
 def in_reach(a: Stored, b: Stored, theta: float, width: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs of balls of a and b that may hold a link, and the beam that passed the audit (-1 where all nodes were read)."""
-    low = np.cos(np.minimum(theta + a.radius + b.radius.max() + SLACK, np.pi))
+    reach = theta + a.radius + b.radius.max() + SLACK
+    low = np.cos(np.minimum(reach, np.pi))
     some = np.unique(np.linspace(0, a.n - 1, min(a.n, ASKED)).astype(np.int64))
     exact = a.at[some] @ b.at.T
-    nearest = np.sort(exact, axis=1)[:, max(-2, -b.n)]
-    want = exact >= np.minimum(low[some], nearest)[:, None]
+    want = exact >= np.cos(np.minimum(reach[some] + BEYOND, np.pi))[:, None]
     while True:
         i, j = b.reach(a.at, low, width)
         beams = b.walk(a.at[some], min(width, b.n))[0]
