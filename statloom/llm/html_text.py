@@ -13,8 +13,8 @@ articles with common lines share them. A block must recur in PAGES main texts, h
 many as the page's own prose does, so that near copies keep their paragraphs, lists and tables; outside of
 articles a fifth of the host's texts (SHARE) is enough in place of the latter.
 
-The main text is that of the article elements (or of main, or else of the body), in
-page order. Character references are decoded once, in each run of text between tags; white space in a block is one space; blocks are joined by one.
+The main text is that of the article elements, without those that are marked as comments, replies or teasers; or of main, where it has several articles or is
+mostly beside them; or else of the body; in page order. Character references are decoded once, in each run of text between tags; white space in a block is one space; blocks are joined by one.
 Null and empty pages and pages of nothing but templates give an empty text. A url without a host is its own host. Broken markup never raises:
 unclosed elements end with their parent, a tag without an end is text, and from the first tag on whose quotes never close tags end at the next ">".
 The time for a page grows with its length, whatever is in it. Rows may repeat; the results replace columns of their names.
@@ -93,6 +93,13 @@ FURNITURE = set(
     "cookie cookies gdpr popup overlay newsletter subscribe signup share sharing comments disqus replies breadcrumb breadcrumbs pagination pager".split()
 )
 PLACES = {"comments", "disqus_thread", "sidebar"}
+#: Joined class and id words that name furniture inside an article too: what it is about, and what kind of box it is.
+BOXED = re.compile(
+    "(?:comments?|repl(?:y|ies)|respond|ads?|advert|newsletter|cookies?|related|recommended|share|sharing|social|subscribe)[-_]+"
+    "(?:list|area|section|thread|form|box|slot|unit|banner|container|wrapper|notice|bar|signup|widget|posts?|articles?|stories|links|buttons?|icons|block|popup)(?:[-_].*)?"
+)
+OTHERS = re.compile("(?:comment|reply|response|teaser|related|recommended|promo|sponsored)(?:[-_].*)?")  # classes of articles that are none of the page's own
+TEXTUAL = {"p", "li", "dd", "td", "th", "blockquote", "span", "b", "i", "em", "strong", "code"}  # a button in these is a word of theirs
 MARKABLE = BLOCK - {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "caption", "figcaption", "legend", "summary", "br"}  # headings and inline elements are never deleted for a word
 TEMPLATE = (BLOCK | NOT_TEXT) - {"html", "body", "br"}
 PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li p pre summary tbody td tfoot th thead tr".split())
@@ -151,8 +158,14 @@ def _marked(node: Node, attributes: dict[str, str]) -> None:
     style = attributes.get("style", "").replace(" ", "").lower()
     node.gone = tag not in PLAIN and attributes.get("role", "").lower() in ROLES
     node.gone |= "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
+    words = names.split()
     if tag in MARKABLE and tag not in PLAIN:
-        node.gone |= place in PLACES or not FURNITURE.isdisjoint(names.split())
+        marks = FURNITURE.intersection(words)
+        # "share" is also a word for stock: it counts alone or beside other such words
+        node.gone |= place in PLACES or bool(marks - {"share"}) or (bool(marks) and not set(words) - FURNITURE - MARKS - {"buttons", "bar", "links", "icons", "box"})
+        node.gone |= any(BOXED.fullmatch(w) for w in (*words, place))
+    if tag == "article":
+        node.gone |= attributes.get("itemprop", "").lower() == "comment" or any(OTHERS.fullmatch(w) for w in (*words, place))
     if (tag in MARKABLE or tag in ("a", "ins", "label")) and tag not in PLAIN:
         node.worded = not MARKS.isdisjoint(re.split(r"[\s_-]+", f"{names} {place}"))
 
@@ -206,7 +219,8 @@ def parse(page: str) -> Node:
         node = Node(tag)
         if attributes := _attributes(m[3]):
             _marked(node, attributes)
-        node.gone |= tag in NOT_TEXT
+        around = stack.nodes[-1].tag
+        node.gone |= tag in NOT_TEXT and not (tag == "button" and around in TEXTUAL) and not (tag == "footer" and around == "blockquote")
         stack.nodes[-1].children.append(node)
         if tag in RAW:  # no markup inside; nothing of it is text of an article
             node.gone = True
@@ -233,8 +247,33 @@ def _articles(node: Node, tag: str, out: list[Node]) -> list[Node]:
     return out
 
 
+def _written(parts: list[Node], without: list[Node], paragraphs: bool = False) -> int:
+    """Characters of the parts' text outside links and the nodes `without`; with paragraphs, only those in p, pre, blockquote, dd and headings."""
+    total, skip = 0, set(map(id, without))
+    stack = [(x, not paragraphs) for x in parts]
+    while stack:
+        x, counts = stack.pop()
+        if isinstance(x, str):
+            total += len(x.strip()) if counts else 0
+        elif id(x) not in skip and not x.gone and not x.worded and x.tag != "a":
+            counts = counts or x.tag in ("p", "pre", "blockquote", "dd", "h1", "h2", "h3")
+            stack += [(y, counts) for y in x.children]
+    return total
+
+
 def main_parts(root: Node) -> list[Node]:
-    return _articles(root, "article", []) or _articles(root, "main", []) or [root]
+    """The articles; but main where it has several, or more text beside them than in them, and the whole page where its paragraphs beside them are twice as long."""
+    articles, mains = _articles(root, "article", []), _articles(root, "main", [])
+    if not articles:
+        return mains or [root]
+    if mains:
+        within = [a for m in mains for a in _articles(m, "article", [])]
+        beside = _written(mains, within, True)
+        if beside and (len(within) > 1 or beside > _written(within, [])):
+            return mains
+    elif _written([root], articles, True) > 2 * _written(articles, []):
+        return [root]
+    return articles
 
 
 def text_of(parts: list[Node], deleted: set[int]) -> str:
