@@ -6,7 +6,8 @@ samples: random strings (hex and base64 digests of numbers) and ordinary identif
 of fixed patterns, are scored by the log-likelihood ratio of the models for each step between
 characters, less LEAST. Each stretch whose sum reaches EVIDENCE is a span of kind random, however long the names
 beside it are: a running maximum ends where the sum has fallen by FALL. A stretch is carried on to the joint (JOINTS) or end beside it
-if that is near. A token without such a stretch is a span if its mean ratio is LEAST or more.
+if that is near. A token without such a stretch is a span if its mean ratio is LEAST or more. Either needs LETTERS letters, and a digit or TURNS
+changes from small to large letters.
 
 Spans are in code points, end exclusive, and have their place in UTF-8 bytes as well. Places are running sums in rounds that double
 their reach, and new texts are joined from pieces once, so the work grows with a text's length and its number of
@@ -33,6 +34,7 @@ WIDTH = len(ALPHABET) + 1
 JOINTS = 64  # codes from this on join names: / _ = -
 LEAST = 0.35
 LENGTH, EVIDENCE, FALL, JOINT = 20, 9.0, 8.0, -0.5  # least characters and sum of a stretch; its end; the score of a step at a joint
+LETTERS, TURNS = 6, 4  # least letters of a random span; without a digit it needs so many small letters before large ones
 #: Words of ordinary identifiers and texts, for the labelled samples.
 IDENTIFIERS = (
     "user account name value index count total number first last next previous current default create update delete remove insert select filter "
@@ -165,9 +167,14 @@ def stretches(token: Column, data: Column, model: list[float]) -> Column:
         after = F.when(rest <= 4, rest).otherwise(F.length(F.regexp_extract(tail, "^([A-Za-z0-9+]{0,8}(?:==?$)?)(?:$|[/_=-])", 1)))
         return F.struct((x["start"] - before).alias("start"), (x["end"] + after).alias("end"))
 
-    wide = F.filter(F.transform(found, widened), lambda x: x["end"] - x["start"] >= LENGTH)
+    def like_a_key(s: Column) -> Column:
+        # rules, digit runs, article numbers and names of letters alone are none, whatever the models say
+        letters, digits, turns = (F.regexp_count(s, F.lit(p)) for p in ("[A-Za-z]", "[0-9]", "[a-z][A-Z]"))
+        return (letters >= LETTERS) & ((digits > 0) | (turns >= TURNS))
+
+    wide = F.filter(F.transform(found, widened), lambda x: (x["end"] - x["start"] >= LENGTH) & like_a_key(_bytes(data, x["start"], x["end"])))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(token).alias("end")))
-    return _bound(wide, lambda w: F.when(F.size(w) > 0, w).when(likelihood_ratio(token, model) >= LEAST, whole).otherwise(none))
+    return _bound(wide, lambda w: F.when(F.size(w) > 0, w).when(like_a_key(token) & (likelihood_ratio(token, model) >= LEAST), whole).otherwise(none))
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:

@@ -230,6 +230,27 @@ def test_secrets_beside_names_and_base_spans(spark):
     assert last == {0: [keys[160], keys[170]], 1: []}
 
 
+def test_ordinary_lines_are_no_secrets(spark):
+    """Rules, numbers and names of letters alone stay as they are, and keys beside them don't."""
+    from statloom.llm.secret_scan import redacted
+
+    lines = [
+        "-" * 40,
+        "_" * 32 + " sign here",
+        "=" * 60,
+        "ISBN978-3-16-148410-0978316148410",
+        "0123456789012345678901234567890",
+        "chr1_12345678_12345999_rs9923231",
+        "krzysztof_grzegorz_brzeczyszczykiewicz",
+        "abcdefghijklmnopqrstuvwxyz",
+        "2024-01-01_12-30-00_2024-01-02_12-30-00",
+    ]
+    keys = ["sk9fQ2xZ7LmP4vRt8WcB1nKd6Hj3", "QXBwS2V5VmFsdWVGb3JUZXN0MTIzNDU2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*lines, *(f"{rule}\n{key} end" for rule, key in zip(lines, keys))])], "doc_id long, text string")
+    got = [r["text"] for r in redacted(df).orderBy("doc_id").collect()]
+    assert got[: len(lines)] == lines and got[len(lines) :] == [f"{rule}\n[SECRET] end" for rule in lines[:2]]
+
+
 def test_many_secrets_in_one_text(spark):
     import time
 
@@ -913,6 +934,35 @@ def test_html_of_templates_alone(spark):
     assert got[9] == "" and got[0] == "Story number 0 of its own"
 
 
+def test_html_chooses_the_main_part():
+    """Reader comments, teasers and cards in article elements don't take the place of what the page is about."""
+    from statloom.llm.html_text import main_parts, parse, text_of
+
+    text = lambda page: text_of(main_parts(parse(page)), set())
+    post = "The long post " * 9
+    comments = "<article class='comment'><p>first!</p></article><article class=comment-body id=c2><p>nice</p></article>"
+    assert text(f"<main><div><h1>Title</h1><p>{post}</p></div>{comments}</main>") == f"Title {post.strip()}"
+    assert text(f"<article><p>{post}</p>{comments}<article itemprop=comment>me too</article></article>") == post.strip()
+    assert text(f"<div id=content><p>{post}</p></div><article class=teaser><p>Read this too</p></article>") == post.strip()
+    assert text(f"<div id=content><p>{post}</p></div><article><p>Read this</p></article>") == f"{post.strip()} Read this"
+    assert text("<main><p>An introduction.</p><article><p>Card one</p></article><article><p>Card two</p></article></main>") == "An introduction. Card one Card two"
+    assert text(f"<main><p>Latest</p><article><p>{post}</p></article></main>") == post.strip()
+    assert text(f"<article class='post comments-open'><p>{post}</p></article>") == post.strip()
+
+
+def test_html_boxes_and_words_inside_articles():
+    from statloom.llm.html_text import main_parts, parse, text_of
+
+    text = lambda inner: text_of(main_parts(parse(f"<article><p>Text.</p>{inner}</article>")), set())
+    for box in ("ol class='comment-list'", "section id=comments-area", "div class='ad-slot'", "div class=newsletter-signup", "div class='cookie-notice'", "div class='x related-posts'"):
+        assert text(f"<{box}><p>gone</p></{box.split()[0]}>") == "Text.", box
+    assert text('<div class="share price">The share price rose.</div>') == "Text. The share price rose."
+    assert text('<div class="share buttons">Tweet</div><div class=share>Tweet</div>') == "Text."
+    assert text("<p>Press <button>OK</button> now</p><div><button>Buy</button></div>") == "Text. Press OK now"
+    assert text("<blockquote>Said so.<footer>A. Person</footer></blockquote><footer>gone</footer>") == "Text. Said so. A. Person"
+    assert text("<section class=related-work><p>Kept.</p></section>") == "Text. Kept."
+
+
 def test_html_words_inside_articles(spark):
     article = "<header>Byline</header><div class='entry-header'><h1>Title</h1></div><section id='related-work'><h2 class=search>Related</h2><p class='notice'>Notice</p></section>"
     article += "<pre>x <span class='hljs-comment'># remark</span></pre><div class='search-results'>results</div><p>a <math><mi>x</mi><annotation>tex</annotation></math></p>"
