@@ -10,9 +10,9 @@ when they end. Blocks of one source differ by one token at most. mixed_documents
 gives its rows in the order of the slots, so every stretch of what is written is near the weights too. Its texts
 are shuffled once: where each row goes is written in sorted arrays, a file for each partition of rows, which the tasks that read them map.
 
-The shuffle orders documents by md5 of the seed and doc_id. A source's documents
+The shuffle orders documents by md5 of the seed, doc_id and size. A source's documents
 are cut into `buckets` by that hash, so prefix sums never bring a source to one
-task. One row for each source is ordered in one task. Null doc_ids are hashed as empty; rows that tie in all of it are alike. Null
+task, and rows of one doc_id only as far as they have one size. One row for each source is ordered in one task. Null doc_ids are hashed as empty; rows that tie in all of it are alike. Null
 or empty texts have size 0 and are never taken. Null is a source of its own, the
 last. Tables may be empty. The results replace columns of their names.
 """
@@ -33,7 +33,7 @@ from . import shared
 from .textbatch import slices
 
 WORD = r"[^\x20\x09-\x0D]+"
-RESULTS = ("size", "source_size", "target", "taken")
+RESULTS = ("size", "source_size", "target", "taken", "first_slot")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -114,7 +114,7 @@ def _mixed(sized: DataFrame, weights: tuple[float, ...], share: float, cap: floa
     plan = schedule(targets, slots)
     info = targets.join(plan.groupBy("_sid").agg(F.max("n").alias("n")), "_sid", "left")
 
-    rows = sized.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    rows = sized.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size"))))
     rows = rows.withColumn("_bucket", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
     named = rows.withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     info = info.withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
@@ -141,7 +141,7 @@ def mix(
     buckets: int = 4096,
     seed: str = "mix",
 ) -> DataFrame:
-    """Adds size, source_size, target and taken (the words the mix takes of this row, repeats counted) to docs.
+    """Adds size, source_size, target, taken (the words the mix takes of this row, repeats counted) and first_slot (of the block with its first word; null if none is taken) to docs.
 
     docs has doc_id and source, and either the text column or, with text=None, size.
     """
@@ -154,11 +154,14 @@ def mix(
     first = F.expr("rank * (_total div n) + least(rank, _total % n)")
     last = F.expr("(rank + 1) * (_total div n) + least(rank + 1, _total % n)")
     words = F.sum(F.least("hi", last) - F.greatest("lo", first))
-    taken = blocks.join(found.plan.select("_sid", "rank"), ["_sid", "rank"]).groupBy("_sid", "_start").agg(words.alias("taken"))
+    # a source's slots grow with their ranks, and a row's first time comes before its second
+    blocks = blocks.join(found.plan.select("slot", "_sid", "rank"), ["_sid", "rank"])
+    taken = blocks.groupBy("_sid", "_start").agg(words.alias("taken"), F.min("slot").alias("first_slot"))
     out = [F.col(f"_row.`{c}`") if c in held else c for c in shared.others(docs, RESULTS)] + [*RESULTS]
     none = F.lit(0).cast("long")
     some = found.placed.where("size > 0").join(taken, ["_sid", "_start"], "left").withColumn("taken", F.coalesce("taken", none))
-    return some.select(*out).unionByName(found.placed.where("NOT size > 0").withColumn("taken", none).select(*out))
+    nothing = found.placed.where("NOT size > 0").withColumn("taken", none).withColumn("first_slot", F.lit(None).cast("long"))
+    return some.select(*out).unionByName(nothing.select(*out))
 
 
 def mixed_documents(

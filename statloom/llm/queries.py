@@ -93,7 +93,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("size"))
     sized = shared.saved(sized, shared.folder(spark, "mix-rows"))  # texts are read and counted once
-    return mixing.mix(sized, None).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(sized, None).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ FROM w LEFT JOIN l ON w.r = l.r
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 o AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s),
@@ -40,14 +40,34 @@ l AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(full_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM r WINDOW b AS (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT first(level ORDER BY ratio, sid) AS level FROM l WHERE level <= ratio),
-t AS (SELECT source, source_size, CASE WHEN (SELECT level FROM c) IS NULL THEN full_size ELSE least(full_size, (SELECT level FROM c) * w) END AS target FROM r),
+t AS (SELECT sid, source, source_size, CASE WHEN (SELECT level FROM c) IS NULL THEN full_size ELSE least(full_size, (SELECT level FROM c) * w) END AS target FROM r),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS total,
+  SELECT d.doc_id, d.size, t.sid, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS total,
          (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(start + size, total) - start) + greatest(0, least(source_size + start + size, total) - (source_size + start)))::BIGINT AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT len(list_filter(range(62), lambda k: (1::BIGINT << k) < blocks)) AS bits
+      FROM (SELECT ceil(coalesce(sum(floor(target + 0.5)), 0) / 1024)::BIGINT AS blocks FROM t)),
+n AS (SELECT bits, 1::BIGINT << bits AS slots FROM b),
+g AS (
+  SELECT sid, floor(sum(target) OVER (ORDER BY sid) / sum(target) OVER () * slots + 0.5)::BIGINT AS hi, slots
+  FROM t, n WHERE floor(target + 0.5) > 0),
+i AS (SELECT sid, hi, lag(hi, 1, 0) OVER (ORDER BY sid) AS lo, slots FROM g),
+v AS (
+  SELECT slot, list_sum(list_transform(range(bits), lambda k: ((slot >> k) & 1) << (bits - 1 - k)))::BIGINT AS point
+  FROM n, LATERAL (SELECT unnest(range(slots)) AS slot)),
+q AS (
+  SELECT sid, slot FROM i JOIN v ON coalesce(point, 0) >= lo AND coalesce(point, 0) < hi
+  UNION ALL SELECT sid, sid + slots FROM i WHERE hi <= lo),
+m AS (SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank, count(*) OVER (PARTITION BY sid) AS slots FROM q),
+f AS (
+  SELECT p.*, CASE WHEN start < total % c * (total // c + 1) THEN start // (total // c + 1)
+                   ELSE total % c + (start - total % c * (total // c + 1)) // greatest(total // c, 1) END AS rank
+  FROM p LEFT JOIN (SELECT sid, any_value(slots) AS c FROM m GROUP BY 1) AS c USING (sid)),
+taken AS (
+  SELECT *, (greatest(0, least(start + size, total) - start) + greatest(0, least(source_size + start + size, total) - (source_size + start)))::BIGINT AS taken
+  FROM f)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN m.slot END AS first_slot
+FROM taken LEFT JOIN m ON m.sid = taken.sid AND m.rank = taken.rank
 """
 
 #: crc32 of doc_id as text, bit by bit; null is read as empty text.

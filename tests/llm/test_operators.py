@@ -696,6 +696,9 @@ def test_mix(spark):
         assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == sizes[r["source"]] and 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in got)
+    least = lambda rows, c: {k: min(r[c] for r in rows if r["doc_id"] == k and r[c] is not None) for k in {r["doc_id"] for r in rows if r[c] is not None}}
+    assert least(got, "first_slot") == least(mixing.mixed_documents(df, block_tokens=64, slot="first_slot").collect(), "first_slot")
     rows_out = mixing.mixed_documents(df, block_tokens=64)
     assert rows_out.columns == df.columns and sum(len(WORD.findall(r["text"])) for r in rows_out.collect()) == sum(taken.values())
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
