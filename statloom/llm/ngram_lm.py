@@ -6,7 +6,8 @@ by bucket of the context, a shuffle brings a bucket's packs together, and each
 bucket is written to the shared folder as sorted hash arrays: pair -> count,
 context -> total and number of followers seen once, twice, more often. A second
 shuffle, by following word, gives continuation counts and plain counts. Contexts with
-more than one in HOT of all tokens spread over all buckets by the pair.
+more than one in HOT of all tokens spread over all buckets by the pair; their totals, and the counts of counts, are summed for each
+GATHERED buckets in a task, then by Spark.
 
     P(w|u) = (c(u,w) - D(c(u,w))) / c(u) + g(u) * Q(w)
     Q(w) = (n(w) - D'(n(w))) / n + g' / (V + 1)
@@ -36,6 +37,8 @@ from .textbatch import hashes, mix, slices, spans, words
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 HOT = 1024
 SLICE = 8 << 20
+GATHERED = 256  # buckets
+CONTEXT = ["total", "once", "twice", "more"]
 STATS = [f"{kind}{k}" for kind in ("pair", "word") for k in ("1", "2", "3", "4", "_all", "_sum")] + ["tokens"]
 
 
@@ -140,9 +143,8 @@ def _merge_pairs(at: str, bits: int, hot_bytes: bytes):
         context = np.stack([np.add.reduceat(x, heads) for x in (c, (c == 1) * 1, (c == 2) * 1, (c > 2) * 1)], 1)
         common = np.isin(u[heads], hot)
         shared.put(f"{at}/context/{own}", [u[heads][~common], context[~common]])
-        out = [(-1, np.array([*_of_counts(c), 0, 0, 0, 0, 0, 0, int(c.sum())], np.int64).tobytes())]
-        if common.any():
-            out.append((-2, u[heads][common].tobytes() + context[common].tobytes()))
+        stats = np.array([*_of_counts(c), 0, 0, 0, 0, 0, 0, int(c.sum())], np.int64)
+        out = [(-1 - own // GATHERED, b"".join(x.tobytes() for x in (stats, u[heads][common], context[common])))]
         order = np.argsort(w, kind="stable")
         w, c = w[order], c[order]
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -166,30 +168,30 @@ def _merge_words(at: str):
         )
         return w, _large(np.frombuffer(data, np.uint8, n, place), l1), _large(np.frombuffer(data, np.uint8, n, place + n), l2)
 
+    def numbers(stats) -> pd.DataFrame:
+        return pd.DataFrame([[*stats, None, 0, 0, 0, 0]], columns=[*STATS, "word", *CONTEXT])
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Counts of counts, in a row without a word, and shares of common contexts' totals, each in a row with its word."""
         own, packs = int(rows["bucket"].iloc[0]), [x for x in rows["data"] if x]
-        if own == -1:
-            stats = sum(np.frombuffer(x, np.int64) for x in packs)
-            return pd.DataFrame([stats.tolist()], columns=STATS)
-        if not packs:
-            shared.put(f"{at}/context/hot" if own == -2 else f"{at}/word/{own}", [])
-            return pd.DataFrame([[0] * len(STATS)], columns=STATS)
-        if own == -2:
+        if own < 0:
             parts = [np.frombuffer(x, np.int64) for x in packs]
-            u = np.concatenate([x[: len(x) // 5].view(np.uint64) for x in parts])
-            context = np.concatenate([x[len(x) // 5 :].reshape(-1, 4) for x in parts])
-            named, place = np.unique(u, return_inverse=True)
+            contexts = [x[len(STATS) :] for x in parts]
+            table = np.concatenate([np.c_[x[: len(x) // 5], x[len(x) // 5 :].reshape(-1, 4)] for x in contexts])
+            named, place = np.unique(table[:, 0], return_inverse=True)
             total = np.zeros((len(named), 4), np.int64)
-            np.add.at(total, place, context)
-            shared.put(f"{at}/context/hot", [named, total])
-            return pd.DataFrame([[0] * len(STATS)], columns=STATS)
+            np.add.at(total, place, table[:, 1:])
+            return pd.concat([numbers(sum(x[: len(STATS)] for x in parts)), pd.DataFrame({"word": named.astype("object"), **dict(zip(CONTEXT, total.T, strict=True))})])
+        if not packs:
+            shared.put(f"{at}/word/{own}", [])
+            return numbers([0] * len(STATS))
         w, seen, times = (np.concatenate(x) for x in zip(*map(one, packs), strict=True))
         order = np.argsort(w, kind="stable")
         w = w[order]
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
         seen, times = np.add.reduceat(seen[order], first), np.add.reduceat(times[order], first)
         shared.put(f"{at}/word/{own}", [w[first], seen, times])
-        return pd.DataFrame([[0] * 6 + [*_of_counts(seen), 0]], columns=STATS)
+        return numbers([0] * 6 + [*_of_counts(seen), 0])
 
     return run
 
@@ -325,7 +327,8 @@ def train(texts: DataFrame) -> Model:
     spark = texts.sparkSession
     at = shared.folder(spark, "ngrams")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(31, max(8, (size >> 23).bit_length()))  # about 8 MB of text for each bucket, in whatever number of buckets
+    # about 8 MB of text for each bucket, in whatever number of buckets; less in less than 256 buckets
+    bits = min(31, max(min(8, (size >> 18).bit_length()), (size >> 23).bit_length(), 1))
     seen = shared.saved(
         texts.mapInArrow(_common, "word long, n long, tokens long").groupBy("word").agg(
             F.sum("n").alias("n"), F.sum("tokens").alias("tokens")
@@ -339,10 +342,15 @@ def train(texts: DataFrame) -> Model:
     packed = texts.mapInArrow(_count(bits, hot), "bucket int, data binary")
     every = spark.range(1 << bits).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("data"))  # each bucket's files are there
     merged = shared.by_bucket(packed.unionByName(every), bits).applyInPandas(_merge_pairs(at, bits, hot), "bucket int, data binary")
-    merged = merged.unionByName(every).unionByName(spark.createDataFrame([(-2, b"")], merged.schema))
-    stats = shared.by_bucket(merged, bits).applyInPandas(_merge_words(at), ", ".join(f"{x} long" for x in STATS))
-    row = stats.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in STATS]).first()
-    return Model(at, bits, hot, row.asDict())
+    names = [*STATS, "word", *CONTEXT]
+    stats = shared.by_bucket(merged.unionByName(every), bits).applyInPandas(_merge_words(at), ", ".join(f"{x} long" for x in names))
+    rows = stats.groupBy("word").agg(*[F.sum(x).alias(x) for x in names if x != "word"]).collect()  # one, and one for each hot context
+    common = [r for r in rows if r["word"] is not None]
+    named = np.array([r["word"] for r in common], np.int64).view(np.uint64)
+    order = np.argsort(named)
+    shared.put(f"{at}/context/hot", [named[order], np.array([[r[c] for c in CONTEXT] for r in common], np.int64).reshape(-1, 4)[order]])
+    found = next((r for r in rows if r["word"] is None), None)
+    return Model(at, bits, hot, {x: (found[x] or 0) if found else 0 for x in STATS})
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
