@@ -529,6 +529,37 @@ def test_scan_drops_nothing_that_counts():
         assert set(want) <= set(near)
 
 
+def test_scan_abandons_most_candidates_early():
+    from statloom.llm import vector_search as v
+
+    x = np.array(pa.parquet.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist())
+    x, k = np.unique(x[np.isfinite(x).all(1) & (x != 0).any(1)], axis=0), 21
+    turn, cuts = v.axes(x), v.cuts_of(x.shape[1])
+    asked, held = np.split(np.random.default_rng(8).permutation(len(x))[:600], [300])
+
+    def neighbours(own):
+        score = x[own] @ x.T
+        return np.argsort(-score, axis=1)[:, :k], np.sort(score, axis=1)[:, -k]
+
+    near, kth = neighbours(held)
+    q, near, y = np.repeat(held, k), near.ravel(), x @ turn
+    norm, rest = np.linalg.norm(x, axis=1), np.stack([np.linalg.norm(y[:, c:], axis=1) for c in cuts], 1)
+    parts = np.stack([(y[q, :c] * y[near, :c]).sum(1) for c in cuts], 1)
+    share = v.measured(np.repeat(kth, k), norm[q] * norm[near], parts, rest[q] * rest[near])
+    # lists and the order in which they're visited, as in a tile
+    centers = v.fit(x, len(x))
+    order = np.argsort((x @ centers.T).argmax(1), kind="stable")
+    names, lists = np.unique((x @ centers.T).argmax(1)[order], return_inverse=True)
+    dropped = np.zeros(len(cuts) + 1, np.int64)
+    first = (x[asked] @ centers[names].T).argmax(1)
+    got = v.scan(x[asked], x[order], k, lists, None, turn, share, first, None, dropped)
+    want, _ = neighbours(asked)
+    hits = sum(len(set(order[g]) & set(w)) for g, w in zip(got, want, strict=True))
+    assert hits >= 0.985 * k * len(asked)  # other queries than those that were measured
+    assert dropped[:-1].sum() >= 0.5 * len(asked) * len(x)
+    print("abandoned by depth", dropped / len(asked) / len(x), "found", hits / k / len(asked))
+
+
 def sets_of(rows):
     out = []
     for i, t, *_ in rows:
