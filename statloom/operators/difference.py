@@ -7,12 +7,15 @@ functions of one aggregated row for each trait.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.columns import divide, inverse_normal
-from .ranks import join_groups, value_ranks
+from . import selection
+from .ranks import by_size, join_groups, value_ranks
 from .selection import median, median_places, with_values_at
 
 KEY = ["trait_id"]
@@ -110,10 +113,15 @@ def welch(df: DataFrame, value: str) -> DataFrame:
     return _t_test(df, value, _welch())
 
 
-def _deviations(df: DataFrame, value: str) -> DataFrame:
-    """trait_id, origin, z: distances from the median of trait and origin."""
-    rows = df.select(*KEY, "origin", F.col(value).cast("double").alias("v"))
-    rows = with_values_at(rows, [*KEY, "origin"], "v", median_places())
+def _by_trait(df: DataFrame, value: str, f: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """f of trait_id, origin and v, and whether all traits are small: small ones are dealt to tasks once, for all that f does."""
+    rows = df.select(*KEY, "origin", F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    return by_size(rows, KEY, selection.WHOLE, f)
+
+
+def _deviations(rows: DataFrame, whole: bool) -> DataFrame:
+    """trait_id, origin, z: distances of v from the median of trait and origin."""
+    rows = with_values_at(rows, [*KEY, "origin"], "v", median_places(), whole)
     return rows.select(*KEY, "origin", F.abs(F.col("v") - median()).alias("z"))
 
 
@@ -134,10 +142,9 @@ def _levene(g: DataFrame) -> DataFrame:
 
 def levene(df: DataFrame, value: str) -> DataFrame:
     """trait_id, statistic, pvalue: equal variances, about medians. Equal if pvalue > 0.05."""
-    g = _deviations(df, value).groupBy(*KEY, "origin").agg(
-        F.count("z").alias("n"), F.avg("z").alias("m"), (F.var_pop("z") * F.count("z")).alias("ss")
-    )
-    return _levene(g).select(*KEY, "statistic", tails.f_pvalue("statistic", F.col("k") - 1, F.col("N") - F.col("k")).alias("pvalue"))
+    sums = [F.count("z").alias("n"), F.avg("z").alias("m"), (F.var_pop("z") * F.count("z")).alias("ss")]
+    g = _by_trait(df, value, lambda some, whole: _levene(_deviations(some, whole).groupBy(*KEY, "origin").agg(*sums)))
+    return g.select(*KEY, "statistic", tails.f_pvalue("statistic", F.col("k") - 1, F.col("N") - F.col("k")).alias("pvalue"))
 
 
 def bartlett(df: DataFrame, value: str) -> DataFrame:
@@ -154,11 +161,15 @@ def bartlett(df: DataFrame, value: str) -> DataFrame:
 
 def fligner(df: DataFrame, value: str) -> DataFrame:
     """trait_id, statistic, pvalue: equal variances by normal scores of the ranks of distances from medians. P and M are compared; other rows are left out."""
-    z = _deviations(df.where(F.col("origin").isin("P", "M")), value)
     place = 0.5 + (F.col("before") + (F.col("cnt") + 1) / 2) / (2 * (F.col("n") + 1))
     a = F.col("a")
     sides = [F.sum(F.when(F.col(c) > 0, F.col(c) * y)).alias(f"{c}_{name}") for c in "pm" for name, y in (("c", F.lit(1)), ("s", a), ("q", a * a))]
-    g = value_ranks(z, KEY, "z", *_sides()).withColumn("a", inverse_normal(place)).groupBy(*KEY).agg(*sides)
+
+    def summed(some: DataFrame, whole: bool) -> DataFrame:
+        ranked = value_ranks(_deviations(some, whole), KEY, "z", *_sides(), whole=whole)
+        return ranked.withColumn("a", inverse_normal(place)).groupBy(*KEY).agg(*sides)
+
+    g = _by_trait(df.where(F.col("origin").isin("P", "M")), value, summed)
     none = lambda name: [F.coalesce(f"{c}_{name}", F.lit(0)) for c in "pm"]
     total, count = sum(none("s")), sum(none("c"))
     between = sum(F.coalesce(F.col(f"{c}_s") * F.col(f"{c}_s") / F.col(f"{c}_c"), F.lit(0.0)) for c in "pm")

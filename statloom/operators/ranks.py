@@ -1,6 +1,7 @@
 """Ranks of values in groups of any size: never one task for a group.
 
-Equal values are one row with a count, so a value that a third of all rows share is
+Groups of few rows are dealt to tasks by key once, before anything is counted, in a number of partitions that grows with the input, so
+that a task's memory doesn't. Equal values are one row with a count, so a value that a third of all rows share is
 nothing special. Where a group may have more distinct values than a task should sort, it's cut into value ranges
 at approximate quantiles, twice: bounds only decide where ranges end, so ranks are exact. Each range's
 values are numbered on their own and moved by the counts of the ranges below.
@@ -8,14 +9,14 @@ values are numbered on their own and moved by the counts of the ranges below.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import surely_at_most
+from ..sources.tables import dealt, surely_at_most
 
-PER_RANGE = 1 << 20  # distinct values that a task sorts
+PER_RANGE = 1 << 20  # distinct values that a task sorts, and rows of a group that isn't cut
 CUTS = 256  # ranges that a larger group, or range of one, is cut into
 SALTS = 64  # keys that a larger group is dealt to in a join
 
@@ -27,6 +28,17 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def by_size(df: DataFrame, keys: Sequence[str], most: int, f: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """f of the rows of groups of at most `most` rows, dealt by their keys, and of all others; its second argument tells which. f must keep groups apart.
+
+    Large groups are fewer than one in `most` rows, and broadcast; where there's none, Spark leaves their part of the plan out. Inputs that surely have no more rows are planned without it.
+    """
+    if surely_at_most(df, most):
+        return f(df, True)
+    large = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > most).drop("_d"))
+    return f(dealt(join_groups(df, large, keys, "left_anti"), keys), True).unionByName(f(join_groups(df, large, keys), False))
+
+
 def _names(count: str) -> tuple[str, str]:
     """The columns with the running sum and the total of a count."""
     return ("before", "n") if count == "cnt" else (f"before_{count}", f"n_{count}")
@@ -89,22 +101,25 @@ def _numbered_in_ranges(values: DataFrame, keys: list[str], value: str, counts:
     return out.drop(*ranges, *[f"{k}_{c}" for c in counts for k in ("_base", "_in")])
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, counts: Sequence[str] = ("cnt",), medians: Sequence[str] = ()) -> DataFrame:
+def value_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, *more: Column, counts: Sequence[str] = ("cnt",), medians: Sequence[str] = (), whole: bool = False
+) -> DataFrame:
     """Each group's distinct values: keys, value, cnt, before (rows of smaller values), n (rows of the group), least (its least value), and more aggregates.
 
     Nulls are left out. counts: cnt and those of the other aggregates that are counts too, whose running sums and totals become before_{name} and n_{name}.
     medians: those of counts whose median (of the group's rows that they count) is added as med_{name}.
-    Groups of more than PER_RANGE values are fewer than one in PER_RANGE, and broadcast; where there's none, Spark leaves their part of the plan out. Inputs that surely have no more rows are planned without it.
+    Groups of more than PER_RANGE rows are cut into ranges. whole: all groups are known to be small.
     """
     keys = list(keys)
     if not keys:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
-    values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"), *more)
-    if surely_at_most(df, PER_RANGE):
-        return _numbered(values, keys, value, counts, medians).drop("_all")
-    large = F.broadcast(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > PER_RANGE).drop("_d"))
-    small = _numbered(join_groups(values, large, keys, "left_anti"), keys, value, counts, medians)
-    return small.unionByName(_numbered_in_ranges(join_groups(values, large, keys), keys, value, counts, medians)).drop("_all")
+    rows = df.where(F.col(value).isNotNull())
+
+    def numbered(some: DataFrame, small: bool) -> DataFrame:
+        values = some.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"), *more)
+        return (_numbered if small else _numbered_in_ranges)(values, keys, value, counts, medians)
+
+    return (numbered(rows, True) if whole else by_size(rows, keys, PER_RANGE, numbered)).drop("_all")
 
 
 def _at(value: str, rank: Column, count: str) -> Column:

@@ -1,6 +1,6 @@
 """Values at chosen places of each group's order, by bracketing: exact medians and quantiles without sorting a large group.
 
-One pass counts each group's rows. Groups of at most WHOLE rows are sorted, each in one task. Of the larger ones, which
+One pass counts each group's rows. Groups of at most WHOLE rows are sorted, each in one task, of which there are more when the input grows. Of the larger ones, which
 are fewer than one in WHOLE rows and broadcast for that reason, no row is shuffled: a pass cuts the bracket
 around each wanted place into CUTS parts, counts their rows (with the least and the largest value of each, on the map side first) and goes on in the part that holds
 the place. Parts are equal in logarithms where the bracket spans several magnitudes, else in values; both only decide
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import surely_at_most
-from .ranks import join_groups
+from .ranks import by_size, join_groups
 
 WHOLE = 1 << 20  # rows of a group that a task sorts
 CUTS, PASSES = 4096, 3
@@ -136,26 +136,27 @@ def values_at(df: DataFrame, keys: Sequence[str], value: str, places: Places, mo
         every = (df if keys else df.withColumn("_all", F.lit(1))).groupBy(*by).agg(*more)
         known = known if keys else known.withColumn("_all", F.lit(1))
         return join_groups(every, known, by, "left").fillna(0, ["n"]).drop("_all")
-    rows = rows.select(*by, "_v")
-    large = _large(rows, by)
-    small, at = _sorted(_match(rows, large.select(*by), by, "left_anti"), by, places)
-    small = small.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(c).alias(name) for name, c in at.items()])
-    return small.unionByName(_selected(rows, large, by, places)).drop("_all")
+
+    def found(some: DataFrame, small: bool) -> DataFrame:
+        if not small:
+            return _selected(some, _large(some, by), by, places)
+        placed, at = _sorted(some, by, places)
+        return placed.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(c).alias(name) for name, c in at.items()])
+
+    return by_size(rows.select(*by, "_v"), by, WHOLE, found).drop("_all")
 
 
-def with_values_at(df: DataFrame, keys: Sequence[str], value: str, places: Places) -> DataFrame:
-    """The rows whose value isn't null, with the columns of values_at of their group. Rows of large groups stay where they are."""
+def with_values_at(df: DataFrame, keys: Sequence[str], value: str, places: Places, whole: bool = False) -> DataFrame:
+    """The rows whose value isn't null, with the columns of values_at of their group. Rows of large groups stay where they are. whole: all groups are known to be small."""
     rows, by = _rows(df, keys, value)
 
-    def whole(some: DataFrame) -> DataFrame:
-        small, at = _sorted(some, by, places)
-        return small.withColumns({name: F.max(c).over(Window.partitionBy(*by)) for name, c in at.items()}).drop("_i")
+    def found(some: DataFrame, small: bool) -> DataFrame:
+        if not small:
+            return _match(some, _selected(some, _large(some, by), by, places), by)
+        placed, at = _sorted(some, by, places)
+        return placed.withColumns({name: F.max(c).over(Window.partitionBy(*by)) for name, c in at.items()}).drop("_i")
 
-    if surely_at_most(df, WHOLE):
-        return whole(rows).drop("_all", "_v")
-    large = _large(rows, by)
-    small = whole(_match(rows, large.select(*by), by, "left_anti"))
-    return small.unionByName(_match(rows, _selected(rows, large, by, places), by)).drop("_all", "_v")
+    return (found(rows, True) if whole else by_size(rows, by, WHOLE, found)).drop("_all", "_v")
 
 
 def values_along(df: DataFrame, value: str, points: int) -> DataFrame:

@@ -118,6 +118,46 @@ def test_tests_by_brackets_agree(spark, monkeypatch):
     assert shape.box_statistics(df, "trait_value").collect() == box
 
 
+def _exchanges(df):
+    """Records written and partitions of each exchange of a frame that was collected."""
+    seen, todo, out = set(), [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        plan = todo.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(plan.plan())
+        else:
+            if name == "Exchange" and plan.id() not in seen:
+                seen.add(plan.id())
+                out.append((plan.metrics().apply("shuffleRecordsWritten").value(), plan.outputPartitioning().numPartitions()))
+            todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    return out
+
+
+@pytest.mark.parametrize("name", ["fligner", "levene", "shapiro", "mann_whitney"])
+def test_small_groups_are_dealt_once(spark, monkeypatch, tmp_path, name):
+    """Rows of small groups cross one exchange, whose partitions grow in number with the input; a large group among them changes nothing."""
+    at, f = str(tmp_path / "t"), getattr(difference, name)
+    trait = F.when(F.col("id") < 30_000, F.col("id") % 1000).otherwise(-1)  # one of 5,000 rows, and 1,000 of 30
+    rows = spark.range(35_000).select(trait.alias("trait_id"), F.rand(5).alias("trait_value"), F.when(F.rand(6) < 0.5, "P").otherwise("M").alias("origin"))
+    rows.coalesce(1).write.parquet(at)
+    df = spark.read.parquet(at)
+    want = {r[0]: tuple(r) for r in f(df, "trait_value").collect()}
+    for module, most in ((selection, "WHOLE"), (ranks, "PER_RANGE")):
+        monkeypatch.setattr(module, most, 1000)
+    monkeypatch.setattr(tables, "TASK_BYTES", 20_000)
+    size = sum(os.path.getsize(f"{at}/{x}") for x in os.listdir(at) if x.endswith(".parquet"))
+    for part, groups in ((df.where("trait_id >= 0"), 1000), (df, 1001)):
+        tested = f(part, "trait_value")
+        got = {r[0]: tuple(r) for r in tested.collect()}
+        assert len(got) == groups and all(x == pytest.approx(want[k], nan_ok=True) for k, x in got.items())
+        if groups == 1000:
+            wide = [n for records, n in _exchanges(tested) if records >= 29_000]
+            assert len(wide) == 1 and wide[0] >= size / 20_000 > 4
+
+
 @pytest.mark.parametrize("large", [1 << 16, 500])
 def test_quality_control_at_the_line(spark, monkeypatch, large):
     """Groups of 1,000 rows with 49, 50 and 51 distinct values (4.9, 5.0 and 5.1 %), one far above the line, a small one, and a null group."""
