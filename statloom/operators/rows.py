@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import tables
 from ..sources.tables import same_schema
 
 
@@ -62,7 +63,7 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], varia
 def in_order(df: DataFrame, name: str) -> DataFrame:
     """Adds a column that orders rows as their files do: by file and row number, whatever the splits that are read; by the order of reading where there are no files."""
     try:
-        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        return tables.in_order(df, name)
     except AnalysisException:
         return df.withColumn(name, F.monotonically_increasing_id())
 
@@ -87,7 +88,7 @@ def long_to_wide(
         df = df.withColumn(group, F.concat_ws("_", *groups))
     if order is None:
         df, order = in_order(df, "_order"), "_order"
-    firsts = [F.min_by(F.struct(v), order)[v].alias(v) for v in values]
+    firsts = [F.min_by(v, order).alias(v) for v in values]  # null too; numbers by a long are hashed, not sorted
     wide = df.groupBy(*ids).pivot(group, list(names) if names else None).agg(*firsts)
     if len(values) == 1:
         return wide

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-FILE_BYTES = 128 << 20
+FILE_BYTES, SORTED_BYTES = 128 << 20, 32 << 20  # a task sorts a whole file
 
 
 def _system(spark: SparkSession, path: str):
@@ -79,7 +79,7 @@ def write(
     if one_file:
         df = df.coalesce(1)
     elif sort or file_bytes:
-        df = laid_out(df, sort, file_bytes or FILE_BYTES)
+        df = laid_out(df, sort, file_bytes or (SORTED_BYTES if sort else FILE_BYTES))
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
     if row_group_bytes:
         writer = writer.option("parquet.block.size", row_group_bytes)

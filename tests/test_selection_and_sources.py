@@ -359,3 +359,29 @@ def test_window_reasons(spark):
     }
     done = {(r["chra"], r["windowa"]) for r in variance.anova(df, "v").collect()}
     assert done == {k for k, (n, reason) in got.items() if n and reason in (None, "one group", "constant", "no dictionary row")}
+
+
+def test_pivot_of_files_holds_no_paths(spark, tmp_path):
+    """Rows are ordered by a long, so that numbers are hashed, not sorted, and none carries its file's path; nulls and strings as before."""
+    from statloom.operators import rows as reshape
+
+    data = [("b b", [(1, "x", None, None), (1, "x", 5.0, "s"), (2, "y", 6.0, "t")]), ("a", [(1, "x", 7.0, "u"), (3, "x", 8.0, "v"), (3, "x", 9.0, "w")])]
+    paths = [sinks.write(spark.createDataFrame(part, "id int, g string, v double, s string").coalesce(1), str(tmp_path / name)) for name, part in data]
+    listed = tables.scan_many(spark, paths, order="at")
+    assert dict(listed.dtypes)["at"] == "bigint" and [r["v"] for r in listed.orderBy("at").collect()] == [None, 5.0, 6.0, 7.0, 8.0, 9.0]
+    wide = reshape.long_to_wide(listed, ["id"], ["g"], ["v"], order="at", names=["x", "y"])
+    assert sorted(map(tuple, wide.collect())) == [(1, None, None), (2, None, 6.0), (3, 8.0, None)]
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    texts = reshape.long_to_wide(spark.read.parquet(*paths), ["id"], ["g"], ["s"])  # by name: a first
+    assert sorted(map(tuple, texts.collect())) == [(1, "u", None), (2, None, "t"), (3, "v", None)]
+
+
+def test_sorted_files_are_small(spark, monkeypatch, tmp_path):
+    """A task sorts a whole file, so sorted files are a fourth of others by default."""
+    df = spark.read.parquet(sinks.write(spark.range(100_000), str(tmp_path / "t")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert sinks.SORTED_BYTES * 4 <= sinks.FILE_BYTES
+    monkeypatch.setattr(sinks, "SORTED_BYTES", -(-size // 4))
+    at = sinks.write(df.select(F.col("id").alias("id")), str(tmp_path / "sorted"), sort=["id"])
+    assert sum(x.endswith(".parquet") for x in os.listdir(at)) == 4
